@@ -1,9 +1,11 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .mixing import op2_mixing
 from .packing import op9_best_fit_packing
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
