@@ -4,9 +4,11 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op4_language_id
 from .mixing import op2_mixing
 from .packing import op9_best_fit_packing
+from .simhash import op1_simhash
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
