@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -17,7 +18,7 @@ from .common import staged
 
 CAPACITY = 2048
 #: Chunks of text whose ids a Python worker keeps.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
 #: Rows that one rank group holds on average.
 RANK_ROWS = 2000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,10 +39,44 @@ def _tokenizer(path: str | None):
     return out, {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: its own if printable, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-    import numpy as np
+    return [_packed(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+def _learn(tokenizer, cache: dict[str, bytes], fresh: list[str]) -> None:
+    """Put the ids of `` chunk`` into the cache for each chunk.
+
+    A chunk of letters alone is one word to the tokenizer, and a closing comma or full stop the next:
+    such words go to its model directly.
+    """
+    model, other = tokenizer.model, []
+    marks = dict(zip(".,", _encode(tokenizer, [".", ","])))
+    for chunk in fresh:
+        mark = marks.get(chunk[-1:], b"")
+        word = chunk[:-1] if mark else chunk
+        if word.isalpha() and len(word) < 64:
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            cache[chunk] = _packed([t.id for t in model.tokenize(_BLANK + written)]) + mark
+        else:
+            other.append(chunk)
+    for at in range(0, len(other), 20_000):
+        some = other[at : at + 20_000]
+        cache.update(zip(some, _encode(tokenizer, [f" {c}" for c in some])))
 
 
 def _chunks(text: str) -> list[str]:
@@ -61,9 +96,7 @@ def token_bytes(texts: list[str | None], path: str | None = None) -> list[bytes]
     if len(cache) + len(fresh) > CACHE_CHUNKS:
         cache.clear()
         fresh = list({c for parts in split for c in parts[1:]})
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at : at + 20_000]
-        cache.update(zip(some, _encode(tokenizer, [f" {c}" for c in some])))
+    _learn(tokenizer, cache, fresh)
     first = _encode(tokenizer, [parts[0] for parts in split])
     out = [b"".join([head, *map(cache.__getitem__, parts[1:]), _SEPARATOR]) for head, parts in zip(first, split)]
     for c in fresh:  # long chunks do not come again
