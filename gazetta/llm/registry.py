@@ -1,5 +1,6 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from .ann import op5_ann
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op4_language_id
 from .mixing import op2_mixing
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_ann": op5_ann,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
