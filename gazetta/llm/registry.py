@@ -3,6 +3,7 @@
 from .ann import op5_ann
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op4_language_id
+from .lm import op6_lm_scoring
 from .mixing import op2_mixing
 from .packing import op9_best_fit_packing
 from .simhash import op1_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_ann": op5_ann,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
