@@ -6,6 +6,7 @@ from .langid import op4_language_id
 from .lm import op6_lm_scoring
 from .mixing import op2_mixing
 from .packing import op9_best_fit_packing
+from .pii import op10_pii
 from .simhash import op1_simhash
 from .toxicity import op3_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_lm_scoring": op6_lm_scoring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
