@@ -8,6 +8,7 @@ from .mixing import op2_mixing
 from .packing import op9_best_fit_packing
 from .pii import op10_pii
 from .simhash import op1_simhash
+from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_ann": op5_ann,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
