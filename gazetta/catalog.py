@@ -1,4 +1,7 @@
 """All queries of the library by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import base
+from .plans import changes, lists, metrics, pages, scores, similar, streams, texts  # noqa: F401  (each registers its queries)
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
