@@ -55,7 +55,7 @@ def ranking_from_json(df: DataFrame, column: str, fallback: str | None = None) -
     out = df.withColumn("__p", parsed).withColumn("malformed", F.col(column).isNotNull() & (F.trim(column) != "") & ~ok)
 
     def of(kind: str) -> Column:
-        return F.coalesce(F.filter(known, lambda d: d.type == kind)[0].score.try_cast("int"), F.lit(0))
+        return F.coalesce(F.get(F.filter(known, lambda d: d.type == kind), F.lit(0)).score.try_cast("int"), F.lit(0))
 
     fit, value, feasible, urgent = map(of, DIMENSIONS)
     preset = F.coalesce("__p.preset", F.lit("FIT"))

@@ -86,7 +86,7 @@ def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     t = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("table_no", "block"))
     rows = F.filter(F.transform(F.split("block", r"\R"), lambda r: F.split(r, "\t")), lambda r: F.array_join(r, "") != "")
     t = t.withColumn("rows", F.transform(rows, lambda r: F.transform(r, F.trim)))
-    width = F.size(F.col("rows")[0])
+    width = F.size(F.get("rows", F.lit(0)))
     whole = F.forall("rows", lambda r: F.size(r) == width) & (width >= 2)
     return t.where((F.size("rows") > 0) & whole).select(key, "table_no", F.posexplode("rows").alias("row_no", "cells"))
 
@@ -311,7 +311,7 @@ def unsupported_numbers(statements: DataFrame, sources: DataFrame, key: str) ->
 
 def score_table(rows: DataFrame, key: str) -> DataFrame:
     """(key, table_no, criterion, points) of two-column tables whose second column is all numbers; any other cell rejects the table."""
-    body = rows.where("row_no > 0 AND size(cells) = 2").select(key, "table_no", F.col("cells")[0].alias("criterion"), F.col("cells")[1].alias("cell"))
+    body = rows.where("row_no > 0 AND size(cells) = 2").select(key, "table_no", F.get("cells", F.lit(0)).alias("criterion"), F.get("cells", F.lit(1)).alias("cell"))
     body = body.withColumn("points", F.regexp_replace("cell", "[점+ ]", "").try_cast("double"))
     good = F.min(F.col("points").isNotNull().cast("int")).over(Window.partitionBy(key, "table_no")) == 1
     return body.withColumn("good", good).where("good").select(key, "table_no", "criterion", "points")
@@ -323,4 +323,4 @@ def single_deadline(df: DataFrame, key: str, text: str, label: str) -> DataFrame
     hits = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
     dates = F.transform(F.arrays_zip(*[h.alias(f"g{i}") for i, h in enumerate(hits)]), lambda z: F.try_to_date(F.concat_ws("-", z.g0, F.lpad(z.g1, 2, "0"), F.lpad(z.g2, 2, "0")), "yyyy-MM-dd"))
     distinct = F.array_distinct(F.array_compact(dates))
-    return df.select(key, F.when(F.size(distinct) == 1, distinct[0]).alias("deadline"))
+    return df.select(key, F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).alias("deadline"))

@@ -24,7 +24,7 @@ class _Versions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "version_hash string, version_no long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, number = self.last.get() if self.last.exists() else (None, 0)
         for part in rows:
             part = part.sort_values(["ts", "event_id"], kind="stable")
@@ -56,7 +56,7 @@ class _Runs(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "outcome string, late long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         outcome, late = self.state.get() if self.state.exists() else ("", 0)
         came = []
         for part in rows:
@@ -75,8 +75,8 @@ class _Runs(StatefulProcessor):
         if came:
             yield pd.DataFrame(came, columns=["run_id", "outcome", "late"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        outcome, late = self.state.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        outcome, late = self.state.get() if self.state.exists() else ("", 0)
         if outcome == "OPEN":
             self.state.update(("FAILED", late))
             yield pd.DataFrame([(key[0], "FAILED", late)], columns=["run_id", "outcome", "late"])

@@ -155,7 +155,7 @@ def test_unknown_sentences_and_file_names(spark):
 
 
 def test_filters_reach_the_scan_and_no_pair_product(spark):
-    from gazetta.plans.base import QUERIES
+    from gazetta.catalog import QUERIES
 
     from .conftest import SMALL
 
