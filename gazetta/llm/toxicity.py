@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled documents of each label that the model is fitted on, at most.
-FIT_DOCS = 4096
+FIT_DOCS = 2048
 #: Longer documents are left out of the fit (never of the scoring).
 FIT_CHARS = 100_000
 #: A feature counts if so many fitted documents have it, and offending ones by so many standard errors more.
@@ -50,25 +51,36 @@ def _z(bad: int, have: int, n_bad: int, n_all: int) -> float:
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 150, ridge: float = 1e-4, rate: float = 0.08) -> Model:
     """Weights of the sentence scores that make the noisy-or of each document agree with its label."""
-    bags = [[s[2] for s in sentences(t)] for t in texts]
-    have, bad = Counter(), Counter()
-    for bag, y in zip(bags, toxic):
-        own = {f for w in frozenset().union(*bag) for f in features(w)}
-        have.update(own)
+    def own_features(text: str) -> set[str]:
+        return {f for w in set(_WORDS.findall(text.lower())) for f in features(w)}
+
+    n_all, n_bad, few = len(texts), sum(toxic), Counter()
+    for text, y in zip(texts, toxic):
         if y:
-            bad.update(own)
-    n_all, n_bad = len(texts), sum(toxic)
-    names = [f for f, k in bad.items() if have[f] >= LEAST_DOCS and _z(k, have[f], n_bad, n_all) >= LEAST_Z]
+            few.update(own_features(text))
+    bad = {f: n for f, n in few.items() if n >= LEAST_DOCS}
+    del few
+    have = Counter(bad)
+    for text, y in zip(texts, toxic):
+        if not y:
+            have.update(f for f in own_features(text) if f in bad)
+    names = [f for f, n in bad.items() if _z(n, have[f], n_bad, n_all) >= LEAST_Z]
     at = {f: i for i, f in enumerate(names)}
     words: dict[str, int] = {}
-    doc_of, sent_of, word_of = [], [], []
-    for d, bag in enumerate(bags):
-        for sent in bag:
+    pairs: list[tuple[int, int]] = []
+    doc_of, sent_of, word_of = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):  # a word without any of these features adds nothing
+        for _, _, sent in sentences(text):
             for w in sent:
-                sent_of.append(len(doc_of))
-                word_of.append(words.setdefault(w, len(words)))
+                if w not in words:
+                    own = [at[f] for f in features(w) if f in at]
+                    words[w] = len(words) if own else -1
+                    if own:
+                        pairs += [(words[w], f) for f in own]
+                if words[w] >= 0:
+                    sent_of.append(len(doc_of))
+                    word_of.append(words[w])
             doc_of.append(d)
-    pairs = [(i, at[f]) for w, i in words.items() for f in features(w) if f in at]
     if not pairs or len(set(toxic)) < 2:
         share = float(np.mean(toxic)) if toxic else 0.0
         return Model(float(np.log(max(share, 1e-4) / max(1 - share, 1e-4))) - 4, {})
