@@ -71,7 +71,7 @@ def is_unknown(c: Column, pattern: str = UNKNOWN) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences and lines of a text that are not blank."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?。])\s+|\R+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?。])\s+|\R+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def source_role(name: Column) -> Column:

@@ -85,7 +85,7 @@ def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     block = r"(?s)\[표\]\s*(.*?)\s*\[/표\]"
     t = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("table_no", "block"))
     rows = F.filter(F.transform(F.split("block", r"\R"), lambda r: F.split(r, "\t")), lambda r: F.array_join(r, "") != "")
-    t = t.withColumn("rows", F.transform(rows, lambda r: F.transform(r, F.trim)))
+    t = t.withColumn("rows", F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(c))))
     width = F.size(F.get("rows", F.lit(0)))
     whole = F.forall("rows", lambda r: F.size(r) == width) & (width >= 2)
     return t.where((F.size("rows") > 0) & whole).select(key, "table_no", F.posexplode("rows").alias("row_no", "cells"))

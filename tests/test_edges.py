@@ -184,3 +184,9 @@ def test_run_expiry_and_late_results(spark, tmp_path):
         assert {(1, "COLLECTED"), (2, "FAILED")} <= {(r.run_id, r.outcome) for r in out.collect()}
     finally:
         spark.conf.unset(name)
+
+
+def test_sentences_and_cells_keep_their_digits(spark):
+    df = spark.createDataFrame([("0 a. 1 b. 2 c.", "[표]\na\tb\n12\t21\n[/표]")], "t string, x string").selectExpr("1 AS id", "*")
+    assert df.select(X.sentences(F.col("t"))).first()[0] == ["0 a.", "1 b.", "2 c."]
+    assert [r.cells for r in T.table_rows(df, "id", "x").orderBy("row_no").collect()] == [["a", "b"], ["12", "21"]]
