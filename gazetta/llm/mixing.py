@@ -15,6 +15,8 @@ WEIGHTS = (5, 2, 1)
 #: A source counts at most so many times over.
 MOST = 3
 SHARDS = 64
+#: Words of one slice of a shard, which one task writes.
+SLICE_WORDS = 5_000_000
 BLOCK_WORDS = 100_000
 #: Blocks of one source; a larger source has larger blocks.
 MAX_BLOCKS = 65_536
@@ -160,9 +162,9 @@ def mixed(rows: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as taken, shard by shard, shuffled within each.
+    """The mix itself: rows of ``docs`` as often as taken, by shards, shuffled within each slice of a shard.
 
-    ``docs`` has one row a doc_id; a document taken in part keeps its first words.
+    Large shards are dealt over several tasks, a slice each.  ``docs`` has one row a doc_id; a document taken in part keeps its first words.
     """
     taken = staged(mixed(word_counts(docs), shards, block_words, seed).select("doc_id", "size", F.explode("placements").alias("__p")))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__p.words").cast("int")), " ")
@@ -170,7 +172,9 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, s
         "text", F.when(F.col("__p.words") < F.col("__size"), some).otherwise(F.col("text"))
     )
     order = F.xxhash64("doc_id", "__p.epoch", F.lit(seed + 2))
-    return out.repartition("__p.shard").sortWithinPartitions("__p.shard", order).select(docs.columns)
+    words = taken.agg(F.sum("__p.words")).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), F.lit(-(-words // (shards * SLICE_WORDS)) or 1))
+    return out.repartition("__p.shard", part).sortWithinPartitions("__p.shard", part, order).select(docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
