@@ -129,10 +129,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     fps = staged(fingerprints(docs))
     nodes = staged(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    same = fps.where("doc_id IS NOT NULL").join(nodes, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    repeated = fps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    edges = links(nodes).unionByName(same.join(repeated, "a"))
-    known = nodes.select("id").unionByName(repeated.select(F.col("a").alias("id")).where("id IS NOT NULL")).distinct()
+    edges, known = links(nodes), nodes.select("id")
+    repeated = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if not repeated.isEmpty():
+        same = fps.join(repeated, "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        edges, known = edges.unionByName(same), known.unionByName(repeated.select(F.col("doc_id").alias("id"))).distinct()
     found = staged(nodes.join(components(known, edges), "id").select("fp", F.col("component").alias("component_id")))
     return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
