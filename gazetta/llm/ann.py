@@ -168,9 +168,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     spark = vectors.sparkSession
     rows = staged(usable(vectors))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths[0]["d"]
     rows = rows.where(F.size("v") == dim)
     most = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
@@ -200,17 +199,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     cand = cand.join(where, "leaf").withColumn("block", F.expr("block + pmod(xxhash64(vec_id), parts)"))
     cand = cand.select("vec_id", "v", "leaf", "block", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part"))
 
+    places = spark.sparkContext.broadcast({leaf: range(first, first + parts) for leaf, first, parts in blocks})
+
     def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             q = np.array(part["v"].tolist(), float).reshape(-1, dim)
-            order = visit_order(np.hstack([q, np.zeros((len(q), 1))]), tree.value, tree.value.visits)
-            yield pd.DataFrame({"query_id": part["vec_id"], "v": part["v"], "leaves": order})
-
-    queries = staged(rows.where(is_query).mapInPandas(asked, "query_id long, v array<double>, leaves array<long>"))
-    probes = queries.select("query_id", "v", F.explode("leaves").alias("leaf")).join(where, "leaf")
-    probes = probes.withColumn("block", F.explode(F.expr("sequence(block, block + parts - 1)")))
-    probes = probes.groupBy("query_id", "block").agg(F.collect_list("leaf").alias("leaves"))  # of one block's leaves
-    probes = probes.join(queries.select("query_id", "v"), "query_id")
+            rows = []
+            for number, leaves in enumerate(visit_order(np.hstack([q, np.zeros((len(q), 1))]), tree.value, tree.value.visits)):
+                wanted: dict[int, list[int]] = {}
+                for leaf in leaves:
+                    for block in places.value.get(leaf, ()):
+                        wanted.setdefault(block, []).append(leaf)
+                rows += [(number, block, of) for block, of in wanted.items()]
+            at = [r[0] for r in rows]
+            out = pd.DataFrame({"query_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+            yield out.assign(block=[r[1] for r in rows], leaves=[r[2] for r in rows])
+
+    schema = "query_id long, v array<double>, block long, leaves array<long>"
+    probes = rows.where(is_query).mapInPandas(asked, schema)
     probes = probes.withColumn("part", F.expr(f"cast(pmod(xxhash64(query_id), {query_parts}) as int)"))
     found = cand.groupBy("block", "part").cogroup(probes.groupBy("block", "part"))
     found = found.applyInPandas(lambda c, q: _search_block(c, q, k), "query_id long, vec_id long, score double")
