@@ -23,8 +23,8 @@ LENGTH = 400
 GRAM = 32
 #: Depth of the shallow sort, in eight-byte words.
 SHALLOW_WORDS = 8
-#: Differing segments of one anchor that are sorted together.
-SORT_SEGMENTS = 256
+#: Differing segments of one anchor that are sorted together: at most about 8 MB of text and 1.5 million suffixes.
+SORT_SEGMENTS = 8192
 #: Segments that a task sorts at once.
 _BUFFER = 2000
 #: Documents' ids that may be broadcast (16 bytes each).
@@ -244,7 +244,7 @@ def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield work()
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, sort_segments: int = SORT_SEGMENTS) -> DataFrame:
     """(doc_id, mark, from, to): byte ranges that hold repeated strings; ranges of a document may overlap.
 
     ``docs``: doc_id, text, mark (a hash of the text, which tells rows of one doc_id apart).
@@ -265,7 +265,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     distinct = staged(distinct.select("anchor", "s1", "s2", "n", "one.*"))
     per = distinct.groupBy("anchor").agg(F.count("*").alias("m"))
     cut = cut_segments(docs, distinct.drop("n")).join(per, "anchor")
-    parts = F.ceil(F.col("m") / SORT_SEGMENTS).cast("int")
+    parts = F.ceil(F.col("m") / sort_segments).cast("int")
     cut = cut.withColumn("parts", parts).withColumn("part", F.expr("cast(pmod(xxhash64(s1, s2), parts) as int)"))
     cut = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part").select("anchor", "part", "parts", "s1", "s2", "at", "data")
     schema = "anchor long, s1 long, s2 long, from int, to int, w1 long, w2 long, known boolean"
@@ -311,7 +311,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, sort_segments: int = SORT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of from, to) of every row of ``docs``.
 
     Every byte that a 400-byte string covers which also starts elsewhere, in the same document or another, is removed;
@@ -319,7 +319,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     different documents with equal text.  Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-    ranges = repeated_ranges(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    ranges = repeated_ranges(docs, sort_segments).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
     ranges = staged(ranges)
     ids = ranges.select("doc_id", "mark")
     n = ids.count()

@@ -120,8 +120,8 @@ def plain_passages(texts, n=400):
     return out
 
 
-def check_passages(df):
-    rows = sorted(suffix_dedup.suffix_dedup(df).collect(), key=lambda r: (r.doc_id, r.kept_sha256))
+def check_passages(df, sort_segments=suffix_dedup.SORT_SEGMENTS):
+    rows = sorted(suffix_dedup.suffix_dedup(df, sort_segments).collect(), key=lambda r: (r.doc_id, r.kept_sha256))
     texts = sorted(df.select("doc_id", "text").collect(), key=lambda r: r.doc_id)
     want = plain_passages([r.text for r in texts])
     want = sorted(zip([r.doc_id for r in texts], want), key=lambda x: (x[0], x[1][3]))
@@ -141,7 +141,8 @@ def test_passages_at_edges_and_shared_by_many(spark):
     docs += ["a" * 3000, "ab" * 600, None, "", shared[0], shared[0][:400], shared[0][1:401], "é" * 500, docs[0], docs[0]]
     for i in range(10):  # one byte changed
         docs.append(docs[i][:50] + "#" + docs[i][51:])
-    assert check_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")) > 0
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert check_passages(df) == check_passages(df, 20) > 0  # an anchor's segments in one part, and in many
 
 
 def test_passages_of_odd_rows(odd_docs, no_docs):
