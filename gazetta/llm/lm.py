@@ -10,17 +10,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Words of at least this share of the training tokens are contexts: 1/share bounds their number.  Below, a
-#: context is in the lowest frequency bucket, which has no bigrams.
+#: Words of at least this share of the training tokens are looked up from a table sent to all tasks, which
+#: 1/share bounds; all others meet their counts in shuffles, where so rare a key makes no large group.
 CONTEXT_SHARE, CONTEXT_LEAST = 1e-6, 3
-#: Bigrams of at least this share are kept: at most 2,000,000.
+#: The same for bigrams: at most 2,000,000 are sent.
 BIGRAM_SHARE, BIGRAM_LEAST = 5e-7, 2
-#: Buckets of context frequency; each is four times the one before.
+#: Buckets of context frequency, from 1, 4, 16, ... occurrences on; 0 is for contexts never seen.
 BUCKETS = 12
 #: The end of a text, a token no word can equal.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -28,21 +28,37 @@ _FLUSH = 2_000_000
 
 
 class Vocabulary(NamedTuple):
-    """Context words by hash (sorted): counts and frequency buckets, with the corpus totals."""
+    """Frequent words by hash (sorted) with their counts, and the corpus totals."""
 
     name: str
     hashes: np.ndarray
     counts: np.ndarray
-    buckets: np.ndarray
     total: int
     distinct: int
 
 
 class Bigrams(NamedTuple):
+    """Frequent bigrams of frequent words."""
+
     keys: np.ndarray  # sorted: context rank * number of words + word rank
     counts: np.ndarray
 
 
+class Tokens(NamedTuple):
+    """The tokens of some texts on end; rank -1 is a word outside the vocabulary, ``rare`` those words' hashes in turn."""
+
+    docs: list
+    marks: list
+    sizes: np.ndarray
+    ranks: np.ndarray
+    contexts: np.ndarray
+    both: np.ndarray  # the bigram's count, 0 where it is not among the frequent ones
+    rare: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
 _loaded: dict = {"name": None}
 
 
@@ -64,7 +80,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def coded(text: str | None, vocabulary: Vocabulary) -> tuple[np.ndarray, list[int]]:
-    """Rank of each token, the end last, -1 for words that are no contexts; and the signed hashes of those."""
+    """Rank of each token, the end last, -1 for words outside the vocabulary; and the signed hashes of those."""
     by_hash, by_word = _ranks(vocabulary)
     own = words(text)
     ranks = list(map(by_word.get, own))
@@ -79,6 +95,8 @@ def coded(text: str | None, vocabulary: Vocabulary) -> tuple[np.ndarray, list[in
                 else:
                     by_word[own[i]] = r
     ranks.append(by_hash.get(_signed(END), -1))
+    if ranks[-1] < 0:
+        rare.append(_signed(END))
     return np.array(ranks, np.int64), rare
 
 
@@ -110,23 +128,25 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def context_words(counts: DataFrame) -> Vocabulary:
-    """The words that are contexts; at most 1 / CONTEXT_SHARE reach the driver."""
+    """The frequent words; at most 1 / CONTEXT_SHARE reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(CONTEXT_LEAST, CONTEXT_SHARE * total)
     rows = counts.where((F.col("c") >= least) | (F.col("h") == _signed(END))).toPandas().sort_values("h")
-    c = rows["c"].to_numpy(np.int64)
-    buckets = np.clip(np.log2(np.maximum(c, 1) / least) // 2 + 1, 1, BUCKETS).astype(np.int64)
-    return Vocabulary(uuid.uuid4().hex, rows["h"].to_numpy(np.int64), c, buckets, int(total), int(distinct))
+    return Vocabulary(uuid.uuid4().hex, rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), int(total), int(distinct))
+
+
+def bucket_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(4 ** np.arange(BUCKETS), counts, side="right")
 
 
 def _pairs(ranks: np.ndarray, size: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context ranks (the first token follows the end), and bigram keys, -1 where either word is no context."""
+    """Context ranks (the first token follows the end), and bigram keys, -1 where either word is outside the vocabulary."""
     context = np.r_[end, ranks[:-1]]
     return context, np.where((context >= 0) & (ranks >= 0), context * size + ranks, -1)
 
 
 def count_bigrams(docs: DataFrame, vocabulary: Vocabulary) -> Bigrams:
-    """Counts of all pairs of context words over ``docs``; those of BIGRAM_SHARE or more reach the driver."""
+    """The frequent bigrams: pairs of frequent words over ``docs`` are counted, those of BIGRAM_SHARE or more reach the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,40 +185,100 @@ def _bigram_counts(keys: np.ndarray, bigrams: Bigrams) -> np.ndarray:
     return np.where(bigrams.keys[at] == keys, bigrams.counts[at], 0)
 
 
-def rare_words(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame) -> DataFrame:
-    """(doc_id, mark, bucket, c, n), staged: how often words that are no contexts follow contexts of each bucket.
+def tokens_of(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bigrams: Bigrams) -> Iterator[Tokens]:
+    size, end = len(vocabulary.hashes), _end(vocabulary)
+
+    def together() -> Tokens:
+        docs, marks, ranks, rare = zip(*held)
+        sizes, every = np.array([len(r) for r in ranks]), np.concatenate(ranks)
+        contexts = np.r_[end, every[:-1]]
+        contexts[np.cumsum(sizes) - sizes] = end
+        seen = (every >= 0) & (contexts >= 0)
+        both = np.zeros(len(every), np.int64)
+        both[seen] = _bigram_counts(contexts[seen] * size + every[seen], bigrams)
+        return Tokens(list(docs), list(marks), sizes, every, contexts, both, np.array([h for x in rare for h in x], np.int64))
+
+    for batch in batches:
+        held, n = [], 0
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            held.append((doc, text_mark(text), *coded(text, vocabulary)))
+            n += len(held[-1][2])
+            if n > _FLUSH // 4:
+                yield together()
+                held, n = [], 0
+        if held:
+            yield together()
+
+
+def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of word hashes."""
+    return (contexts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)).view(np.int64)
+
+
+_TRAIN, _RARE_CONTEXT, _RARE_WORD, _ROW = 1, 2, 4, 8
+
 
-    ``c`` is the word's count, 0 if unknown; ``mark`` tells rows of one doc_id but of different texts apart.
-    A row with bucket null stands for each row of ``docs``.
+def rare_tokens(docs: DataFrame, train: Column, vocabulary: Vocabulary, bigrams: Bigrams, counts: DataFrame) -> DataFrame:
+    """(doc_id, mark, train, c, context, both, n), staged: the tokens whose bigram is not among the frequent ones.
+
+    ``c``, ``context`` and ``both`` are the counts of the word, its context and the two together over all
+    training rows, 0 if never seen; ``n`` is how often the text has the two.  Equal bigrams meet in one task,
+    those of a rare context all together, so that their sums are these counts; only frequent contexts
+    come with their count and are dealt out by bigram.
+    ``mark`` tells rows of one doc_id but of different texts apart.  A row with n null stands for each row of ``docs``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, bigrams))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        buckets, end = np.r_[v.buckets, 0], _end(v)  # rank -1 is the lowest bucket
+        v, b = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                h, doc, meta = [], [], []
-                for d, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ranks, rare = coded(text, v)
-                    mark = text_mark(text) << 34
-                    context = np.r_[end, ranks[:-1]]
-                    found = Counter(zip(rare, buckets[context[:-1][ranks[:-1] < 0]].tolist()))
-                    h += [x for x, _ in found] + [None]
-                    meta += [mark | n << 4 | b for (_, b), n in found.items()] + [mark | 15]
-                    doc += [d] * (len(found) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(meta, pa.int64())], names=["h", "doc_id", "meta"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "h long, doc_id long, meta long")
-    bucket = F.col("meta").bitwiseAND(15).cast("int")
+            trains = iter(batch["train"].to_pylist())
+            for t in tokens_of([batch], v, b):
+                hashes = np.full(len(t.ranks), _signed(END), np.int64)
+                hashes[t.ranks >= 0] = v.hashes[t.ranks[t.ranks >= 0]]
+                hashes[t.ranks < 0] = t.rare
+                before = np.r_[_signed(END), hashes[:-1]]
+                before[np.cumsum(t.sizes) - t.sizes] = _signed(END)
+                keys = pair_keys(before, hashes)
+                owners, rest = t.owners(), np.flatnonzero(t.both == 0)
+                # a pair's occurrences within a text become one row
+                apart = keys[rest] ^ (owners[rest].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+                _, first, n = np.unique(apart, return_index=True, return_counts=True)
+                at = rest[first]
+                own = np.array([m << 34 | bool(next(trains)) * _TRAIN for m in t.marks], np.int64)
+                meta = own[owners[at]] | n.astype(np.int64) << 4 | (t.contexts[at] < 0) * _RARE_CONTEXT | (t.ranks[at] < 0) * _RARE_WORD
+                known = np.r_[v.counts, 0]
+                context = np.where(t.contexts[at] < 0, before[at], known[t.contexts[at]])
+                word = np.where(t.ranks[at] < 0, hashes[at], known[t.ranks[at]])
+                rows = pair_keys(np.array([d or 0 for d in t.docs], np.int64), own)
+                docs_of = pa.array(t.docs, pa.int64())
+                doc = pa.concat_arrays([docs_of.take(pa.array(owners[at])), docs_of])
+                none = np.zeros(len(rows), np.int64)
+                sides = (np.r_[meta, own | _ROW], np.r_[keys[at], rows], np.r_[context, none], np.r_[word, none])
+                yield pa.RecordBatch.from_arrays([doc, *map(pa.array, sides)], names=["doc_id", "meta", "key", "context", "word"])
+
+    flag = lambda i: F.col("meta").bitwiseAND(i) != 0
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    rows = rows.mapInArrow(of, "doc_id long, meta long, key long, context long, word long")
+    rows = rows.withColumn("together", F.when(flag(_RARE_CONTEXT), F.col("context")).otherwise(F.col("key"))).repartition("together")
+    n = F.shiftright("meta", 4).bitwiseAND((1 << 30) - 1)
+    learnt = F.sum(F.when(flag(_TRAIN), n).otherwise(0))
+    rows = rows.withColumn("both", learnt.over(Window.partitionBy("together", "key")))
+    rows = rows.withColumn("alone", learnt.over(Window.partitionBy("together")))
+    rows = rows.select(
+        "doc_id", "meta", "word", "both",
+        F.when(flag(_RARE_CONTEXT), F.col("alone")).otherwise(F.col("context")).alias("context"),
+        F.when(flag(_RARE_WORD), F.col("word")).otherwise(F.col("key")).alias("h"),
+    )
     return staged(
         rows.join(counts, "h", "left").select(
             "doc_id",
             F.shiftright("meta", 34).alias("mark"),
-            F.when(bucket != 15, bucket).alias("bucket"),
-            F.coalesce("c", F.lit(0)).alias("c"),
-            F.shiftright("meta", 4).bitwiseAND((1 << 30) - 1).alias("n"),
+            flag(_TRAIN).alias("train"),
+            F.when(flag(_RARE_WORD), F.coalesce("c", F.lit(0))).otherwise(F.col("word")).alias("c"),
+            "context",
+            "both",
+            F.when(~flag(_ROW), n).alias("n"),
         )
     )
 
@@ -207,6 +287,10 @@ def text_mark(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode()) & 0xFFFFFF
 
 
+def _bucket(context: Column) -> Column:
+    return sum(((context >= 4**i).cast("int") for i in range(BUCKETS)), F.lit(0))
+
+
 def held_out_cells(docs: DataFrame, rare: DataFrame, vocabulary: Vocabulary, bigrams: Bigrams) -> list:
     """(bucket, n, p1, p2) rows: training tokens by context bucket, each with itself deleted from the counts.
 
@@ -218,47 +302,33 @@ def held_out_cells(docs: DataFrame, rare: DataFrame, vocabulary: Vocabulary, big
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, b = shared.value
-        size, end, buckets = len(v.hashes), _end(v), np.r_[v.buckets, 0]
-        sums, held, tokens = np.zeros((3, (BUCKETS + 1) * width * width)), [], 0
-
-        def add() -> None:
-            ranks, context, keys = (np.concatenate(x) for x in zip(*held))
-            c = v.counts[ranks] - 1
-            both = np.maximum(_bigram_counts(keys, b) - 1, 0)
-            of_context = np.where(context >= 0, v.counts[context] - 1, 1)
-            p1, p2 = c / max(1, v.total - 1), both / np.maximum(of_context, 1)
+        sums = np.zeros((3, (BUCKETS + 1) * width * width))
+        for t in tokens_of(batches, v, b):
+            seen = t.both > 0
+            c, both, of_context = v.counts[t.ranks[seen]] - 1, t.both[seen] - 1, v.counts[t.contexts[seen]]
+            p1, p2 = c / max(1, v.total - 1), both / np.maximum(of_context - 1, 1)
             cell = np.minimum(2 * np.log2(c + 1), width - 1).astype(np.int64)
             cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
-            at = (buckets[context] * width + cell) * width + cell2
+            at = (bucket_of(of_context) * width + cell) * width + cell2
             for i, w in enumerate((None, p1, p2)):
                 sums[i] += np.bincount(at, w, sums.shape[1])
-
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                ranks, _ = coded(text, v)
-                context, keys = _pairs(ranks, size, end)
-                seen = ranks >= 0
-                held.append((ranks[seen], context[seen], keys[seen]))
-                tokens += len(ranks)
-                if tokens > _FLUSH // 4:
-                    add()
-                    held, tokens = [], 0
-        if held:
-            add()
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(s[at]) for s in sums)], names=["cell", "n", "p1", "p2"])
 
-    cells = docs.select("text").mapInArrow(of, "cell long, n double, p1 double, p2 double")
+    cells = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "cell long, n double, p1 double, p2 double")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
     out = [(r["cell"] // width**2, r["n"], r["p1"] / r["n"], r["p2"] / r["n"]) for r in cells.collect()]
-    c = F.greatest(F.col("c") - 1, F.lit(0))
+    c, both = F.greatest(F.col("c") - 1, F.lit(0)), F.greatest(F.col("both") - 1, F.lit(0))
+    p2 = both / F.greatest(F.col("context") - 1, F.lit(1))
     size = F.floor(2 * F.log2(c + 1)).alias("size")
-    few = rare.where("bucket IS NOT NULL").groupBy("bucket", size).agg(F.sum("n").alias("n"), F.sum(F.col("n") * c.cast("double")).alias("s"))
-    return out + [(r["bucket"], float(r["n"]), r["s"] / r["n"] / max(1, vocabulary.total - 1), 0.0) for r in few.collect()]
+    size2 = F.when(both > 0, F.floor(4 * F.log2(p2))).alias("size2")
+    few = rare.where("train AND n IS NOT NULL").groupBy(_bucket(F.col("context")).alias("bucket"), size, size2)
+    few = few.agg(F.sum("n").alias("n"), F.sum(F.col("n") * c.cast("double")).alias("s"), F.sum(F.col("n") * p2).alias("s2"))
+    return out + [(r["bucket"], float(r["n"]), r["s"] / r["n"] / max(1, vocabulary.total - 1), r["s2"] / r["n"]) for r in few.collect()]
 
 
 def mixture_weights(cells: list, distinct: int, rounds: int = 60) -> np.ndarray:
-    """Weights (bucket x [uniform, word, bigram]) that make the held-out tokens likeliest, by EM; the lowest bucket has no bigrams."""
+    """Weights (bucket x [uniform, word, bigram]) that make the held-out tokens likeliest, by EM; contexts never seen have no bigrams."""
     weights = np.tile([0.1, 0.6, 0.3], (BUCKETS + 1, 1))
     weights[0] = [0.2, 0.8, 0.0]
     for bucket in {c[0] for c in cells}:
@@ -278,8 +348,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     ``score`` is the log10 probability of the text and its end: each token has its bucket's mixture of the
     uniform share of 1/(V+1), the word's share of the training tokens and the bigram's share of its context.
-    ``base_score`` is the add-one word model.  Counts cover all training rows; every word's own count is used, while
-    contexts and bigrams have a least share (see above), by which the tables sent to tasks are bounded.
+    ``base_score`` is the add-one word model.  Counts cover all training rows; the count of every word, context and
+    bigram is used.  Only the frequent ones are sent to tasks, the others meet their tokens in shuffles.
     Null and empty texts are their end alone.  Repeated rows are scored alike.
     """
     spark = docs.sparkSession
@@ -287,42 +357,32 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     counts = staged(count_words(teach))
     vocabulary = context_words(counts)
     bigrams = count_bigrams(teach, vocabulary)
-    rare = rare_words(docs, vocabulary, counts)
-    cells = held_out_cells(teach, rare.where(train), vocabulary, bigrams)
+    rare = rare_tokens(docs, train, vocabulary, bigrams, counts)
+    cells = held_out_cells(teach, rare, vocabulary, bigrams)
     weights = mixture_weights(cells, vocabulary.distinct)
     n, v = vocabulary.total, vocabulary.distinct
     shared = spark.sparkContext.broadcast((vocabulary, bigrams, weights))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, pairs, w = shared.value
-        size, end, buckets = len(vocab.hashes), _end(vocab), np.r_[vocab.buckets, 0]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ranks, _ = coded(text, vocab)
-                context, keys = _pairs(ranks, size, end)
-                seen = ranks >= 0
-                c = vocab.counts[ranks[seen]]
-                both = _bigram_counts(keys[seen], pairs) / np.maximum(vocab.counts[context[seen]], 1) if size else 0
-                mine = w[buckets[context[seen]]]
-                p = mine[:, 0] / (v + 1) + mine[:, 1] * c / max(1, n) + mine[:, 2] * both
-                # the end, where nothing was learnt, is an unknown token
-                lost = len(ranks) and ranks[-1] < 0
-                unseen = np.log10(w[0, 0] / (v + 1)) if lost else 0.0
-                base = np.log10((c + 1) / (n + v + 1)).sum() + (np.log10(1 / (n + v + 1)) if lost else 0.0)
-                rows.append((doc, text_mark(text), len(ranks), len(c), float(base), float(np.log10(p).sum() + unseen)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["doc_id", "mark", "n_tokens", "known", "base", "own"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "mark", "n_tokens", "known", "base", "own"]
+        for t in tokens_of(batches, vocab, pairs):
+            seen = t.both > 0
+            c, of_context, owners = vocab.counts[t.ranks[seen]], vocab.counts[t.contexts[seen]], t.owners()[seen]
+            mine = w[bucket_of(of_context)]
+            p = mine[:, 0] / (v + 1) + mine[:, 1] * c / max(1, n) + mine[:, 2] * t.both[seen] / of_context
+            per = [np.bincount(owners, x, len(t.docs)) for x in (None, np.log10((c + 1) / (n + v + 1)), np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((t.docs, t.marks, t.sizes, *per), kinds)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, mark long, n_tokens long, known long, base double, own double")
-    own = F.element_at(F.array(*[F.array(*map(F.lit, map(float, x))) for x in weights]), F.col("bucket") + 1)
-    p = own[0] / F.lit(float(v + 1)) + own[1] * F.col("c") / F.lit(float(max(1, n)))
+    own = F.element_at(F.array(*[F.array(*map(F.lit, map(float, x))) for x in weights]), _bucket(F.col("context")) + 1)
+    p = own[0] / F.lit(float(v + 1)) + own[1] * F.col("c") / F.lit(float(max(1, n))) + own[2] * F.col("both") / F.greatest("context", F.lit(1))
     some = rare.groupBy("doc_id", "mark").agg(
-        F.count_if(F.col("bucket").isNull()).alias("alike"),
+        F.count_if(F.col("n").isNull()).alias("alike"),
         F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).alias("rare_known"),
-        F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))), F.lit(0.0)).alias("rare_base"),
-        F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n") * F.log10(p))), F.lit(0.0)).alias("rare_own"),
+        F.coalesce(F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))), F.lit(0.0)).alias("rare_base"),
+        F.coalesce(F.sum(F.col("n") * F.log10(p)), F.lit(0.0)).alias("rare_own"),
     )
     some = some.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
     joined = rows.join(some, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")))

@@ -96,6 +96,36 @@ def test_lm_of_odd_rows(spark, odd_docs, no_docs):
     assert all(r.n_known == 0 for r in lm.score(odd_docs, F.lit(False)).collect())
 
 
+def test_lm_uses_every_bigram_and_context(spark, monkeypatch):
+    rng = random.Random(1)
+    texts = {i: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30)) for i in range(60)}
+    texts[60] = "once seen pair"
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    train = F.coalesce(F.col("doc_id") % 4 != 3, F.lit(True))
+    one, two, n = Counter(), Counter(), 0
+    tokens = {d: lm.words(t) + [b"\n"] for d, t in texts.items()}
+    for d, own in tokens.items():
+        if d % 4 != 3:
+            one.update(own)
+            two.update(zip([b"\n"] + own, own))
+            n += len(own)
+    bucket = lambda c: sum(c >= 4**i for i in range(lm.BUCKETS))
+    cells = []
+    for (u, w), k in two.items():
+        cells.append((bucket(one[u]), k, (one[w] - 1) / (n - 1), (k - 1) / max(one[u] - 1, 1)))
+    weights = lm.mixture_weights(cells, len(one))
+    # the cut at the shares is for speed alone: all counts are used, however many are sent to the tasks
+    for share in (lm.BIGRAM_SHARE, 1e-2, 1.0):
+        monkeypatch.setattr(lm, "CONTEXT_SHARE", share)
+        monkeypatch.setattr(lm, "BIGRAM_SHARE", share)
+        for r in lm.score(docs, train).collect():
+            own, score = tokens[r.doc_id], 0.0
+            for u, w in zip([b"\n"] + own, own):
+                a, b, c = weights[bucket(one[u])]
+                score += math.log10(a / (len(one) + 1) + b * one[w] / n + c * two[u, w] / max(one[u], 1))
+            assert math.isclose(r.score, score, rel_tol=0.01), (share, r, score)
+
+
 def test_em_finds_the_weights_that_made_the_data():
     rng, cells = np.random.default_rng(0), []
     for p1, p2 in rng.uniform(0.001, 0.5, (400, 2)):
