@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as S
-from .base import query, table
+from .base import ORACLES, query, table
 
 #: The synthetic texts have no Korean particles or headings; these are the vocabulary's parameters.
 _PLAIN = dict(generic=("the", "and"), prefixes=(), particles=(), synonyms=())
@@ -59,24 +59,24 @@ _TERM_SQL = f"""d AS (SELECT doc_id, {_SQL_TERMS.format("regexp_extract(text, '^
 t AS (SELECT doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(title) AS term, 2 AS w FROM d UNION ALL SELECT doc_id, unnest(purpose), 1 FROM d) GROUP BY 1, 2)"""
 
 
-def features(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+def features(spark, sf, only="true"):
+    d = table(spark, sf, "documents").where(only)
     return d.select("doc_id", terms(F.regexp_extract("text", "^[^\n]*", 0)).alias("title"), terms(F.regexp_replace("text", "^[^\n]*\n?", "")).alias("purpose"))
 
 
-def term_rows(spark, sf):
-    return S.term_table(features(spark, sf), "doc_id", "title", "purpose")
+def term_rows(spark, sf, only="true"):
+    return S.term_table(features(spark, sf, only), "doc_id", "title", "purpose")
 
 
 @query("a4_corpus_stats", f"WITH {_TERM_SQL} SELECT term, count(*) AS df FROM t GROUP BY 1")
 def a4(spark, sf):
-    return S.corpus_stats(term_rows(spark, sf), "doc_id")[0]
+    return S.corpus_stats(term_rows(spark, sf, "lang = 'en'"), "doc_id")[0]
 
 
 @query("a5_stats_excluding", f"""WITH {_TERM_SQL}, f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), o AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY 1), w AS (SELECT count(*) AS n, sum(len) AS total FROM o)
 SELECT doc_id, term, df - 1 AS df, n - 1 AS n, round(greatest(1.0, (total - len) / greatest(1, n - 1)), 6) AS average FROM t JOIN f USING (term) JOIN o USING (doc_id), w WHERE doc_id % 10 = 3 AND df > 1""")
 def a5(spark, sf):
-    out = S.stats_excluding(term_rows(spark, sf), "doc_id").where("doc_id % 10 = 3 AND df > 0")
+    out = S.stats_excluding(term_rows(spark, sf, "lang = 'en'"), "doc_id").where("doc_id % 10 = 3 AND df > 0")
     return out.select("doc_id", "term", "df", "n", F.round("average", 6).alias("average"))
 
 
@@ -85,13 +85,36 @@ q AS (SELECT item_id - 1000000 AS query_id, unnest({_SQL_TERMS.format('text')})
 b AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(1, total / n)))) AS lexical FROM q JOIN f USING (term) JOIN t USING (term) JOIN o USING (doc_id), w GROUP BY 1, 2)"""
 
 
-def lexical(spark, sf):
+def lexical(spark, sf, only="true"):
     q = table(spark, sf, "benchmark").select((F.col("item_id") - 1000000).alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
-    return S.bm25(q, term_rows(spark, sf), "doc_id")
+    return S.bm25(q, term_rows(spark, sf, only), "doc_id")
 
 
 @query("r5_bm25", f"WITH {_BM25} SELECT query_id, id, round(lexical, 5) AS lexical FROM b")
 def r5(spark, sf):
+    return lexical(spark, sf, "lang = 'en'").select("query_id", "id", F.round("lexical", 5).alias("lexical"))
+
+
+def _all_languages(name):
+    return ORACLES[name].replace(" WHERE lang = 'en'", "")
+
+
+@query("a4_corpus_stats_whole", _all_languages("a4_corpus_stats"))
+def a4_whole(spark, sf):
+    """As a4, over the documents of all languages."""
+    return S.corpus_stats(term_rows(spark, sf), "doc_id")[0]
+
+
+@query("a5_stats_excluding_whole", _all_languages("a5_stats_excluding").replace("doc_id % 10 = 3 AND ", ""))
+def a5_whole(spark, sf):
+    """As a5, for every document of all languages."""
+    out = S.stats_excluding(term_rows(spark, sf), "doc_id").where("df > 0")
+    return out.select("doc_id", "term", "df", "n", F.round("average", 6).alias("average"))
+
+
+@query("r5_bm25_whole", _all_languages("r5_bm25"))
+def r5_whole(spark, sf):
+    """As r5, over the documents of all languages."""
     return lexical(spark, sf).select("query_id", "id", F.round("lexical", 5).alias("lexical"))
 
 

@@ -190,3 +190,18 @@ def test_sentences_and_cells_keep_their_digits(spark):
     df = spark.createDataFrame([("0 a. 1 b. 2 c.", "[표]\na\tb\n12\t21\n[/표]")], "t string, x string").selectExpr("1 AS id", "*")
     assert df.select(X.sentences(F.col("t"))).first()[0] == ["0 a.", "1 b.", "2 c."]
     assert [r.cells for r in T.table_rows(df, "id", "x").orderBy("row_no").collect()] == [["a", "b"], ["12", "21"]]
+
+
+def test_similar_notices_cover_all_languages(spark):
+    from gazetta.catalog import QUERIES
+    from gazetta.plans import similar
+
+    from .conftest import SMALL
+
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    seen = {r.doc_id for r in similar.term_rows(spark, SMALL).select("doc_id").distinct().collect()}
+    assert {langs[d] for d in seen} == set(langs.values())
+    lexical = QUERIES["r6_hybrid_rank"](spark, SMALL).where("lexical_rank IS NOT NULL").select("query_id", "id").collect()
+    assert {langs[r.id] for r in lexical} - {"en"} and {langs[r.query_id] for r in lexical} - {"en"}
+    left = {r.doc_id for r in QUERIES["a5_stats_excluding_whole"](spark, SMALL).select("doc_id").distinct().collect()}
+    assert {d % 10 for d in left} == set(range(10)) and {langs[d] for d in left} - {"en"}
