@@ -206,18 +206,30 @@ def near_duplicates(rows: DataFrame, key: str, kind: str, text: str, n: int = 3,
     return pairs.where(jaccard >= threshold).select("a", "b")
 
 
+def members(rows: DataFrame, key: str, text: Column, *within: str) -> DataFrame:
+    """(id, representative) of every row: equal texts, of equal ``within``, stand for their smallest id; empty ones are left out."""
+    rows = rows.select(F.col(key).alias("id"), *within, text.alias("t")).where("t <> ''")
+    first = rows.groupBy(*within, "t").agg(F.min("id").alias("representative"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*within, "t")]
+    return rows.alias("r").join(first.alias("f"), same).select("id", "representative")
+
+
 def statement_pairs(rows: DataFrame, key: str, text: str, least: float = 0.68) -> DataFrame:
-    """(a, b, ratio): distinct statements with the same set of numbers, not none, whose edit similarity is ``least`` or more.
+    """(a, b, ratio): distinct statements with the same set of numbers, or with none, whose edit similarity is ``least`` or more.
 
     The block is the number set and the length in steps of a quarter octave; similar texts differ by two steps at most.
     """
     numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))), ",")
-    rows = rows.select(F.col(key).alias("id"), F.col(text).alias("t"), numbers.alias("numbers")).where("numbers <> '' AND t <> ''")
+    rows = rows.select(F.col(key).alias("id"), F.col(text).alias("t"), numbers.alias("numbers")).where("t <> ''")
     rows = rows.groupBy("numbers", "t").agg(F.min("id").alias("id")).withColumn("step", F.floor(4 * F.log2(F.length("t"))))
     a = rows.select("numbers", F.col("id").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence(F.col("step") - 3, F.col("step") + 3)).alias("step"))
     b = rows.select("numbers", "step", F.col("id").alias("b"), F.col("t").alias("tb"))
-    ratio = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb"))
-    return a.join(b, ["numbers", "step"]).where("a < b").withColumn("ratio", ratio).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    longest = F.greatest(F.length("ta"), F.length("tb"))
+    near = (F.col("a") < F.col("b")) & (F.least(F.length("ta"), F.length("tb")) >= least * longest - 1)
+    # the distance is only worked out up to what the ratio allows; -1 is more
+    pairs = a.join(b, ["numbers", "step"]).where(near).withColumn("most", F.ceil((1 - least) * longest).cast("int"))
+    pairs = pairs.withColumn("distance", F.expr("levenshtein(ta, tb, most)")).where("distance >= 0")
+    return pairs.withColumn("ratio", 1 - F.col("distance") / longest).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
 def uncovered(requirements: DataFrame, items: DataFrame, key: str, least: float = 0.65) -> DataFrame:

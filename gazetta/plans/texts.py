@@ -194,17 +194,31 @@ def j10(spark, sf):
     return T.ground_quotes(b.unionByName(d).withColumn("source", F.lit("body")), s)
 
 
+def numbered(spark, sf):
+    return clauses(spark, sf).withColumn("id", F.col("doc_id") * 100000 + F.col("clause_no"))
+
+
 @query("j12_near_duplicates")
 def j12(spark, sf):
-    """Clauses that state a number, the kind being the document's language."""
-    c = clauses(spark, sf).where(F.col("clause").rlike(r"\d")).withColumn("id", F.col("doc_id") * 100000 + F.col("clause_no"))
-    return T.near_duplicates(c.join(docs(spark, sf).select("doc_id", "lang"), "doc_id"), "id", "lang", "clause")
+    """All clauses, the kind being the document's language; j12_members has the copies behind each id."""
+    return T.near_duplicates(numbered(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id"), "id", "lang", "clause")
+
+
+@query("j12_members")
+def j12_members(spark, sf):
+    c = numbered(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    return T.members(c, "id", T.compact(F.col("clause")), "lang")
 
 
 @query("j13_statement_pairs")
 def j13(spark, sf):
-    c = clauses(spark, sf).where(F.col("clause").rlike(r"\d")).withColumn("id", F.col("doc_id") * 100000 + F.col("clause_no"))
-    return T.statement_pairs(c, "id", "clause").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """All clauses; j13_members has the copies behind each id."""
+    return T.statement_pairs(numbered(spark, sf), "id", "clause").select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query("j13_members")
+def j13_members(spark, sf):
+    return T.members(numbered(spark, sf), "id", F.col("clause"))
 
 
 @query("j16_uncovered", r"""WITH a AS (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS text FROM documents), j AS (SELECT x.doc_id, x.text, y.text AS item FROM a x JOIN a y ON y.doc_id = x.doc_id + 1),

@@ -205,3 +205,15 @@ def test_similar_notices_cover_all_languages(spark):
     assert {langs[r.id] for r in lexical} - {"en"} and {langs[r.query_id] for r in lexical} - {"en"}
     left = {r.doc_id for r in QUERIES["a5_stats_excluding_whole"](spark, SMALL).select("doc_id").distinct().collect()}
     assert {d % 10 for d in left} == set(range(10)) and {langs[d] for d in left} - {"en"}
+
+
+def test_clauses_without_digits_and_copies_are_found(spark, tmp_path):
+    from gazetta.catalog import QUERIES
+
+    one, two = "the goods are delivered to the town hall by noon", "the goods are delivered to the town hall by moon"
+    texts = [(1, one, "en"), (2, two, "en"), (3, one, "en"), (4, "something else altogether, far from that", "en"), (5, one, None), (6, one, None)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {tuple(r)[:2] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("j12_near_duplicates") == {(100000, 200000)} == run("j13_statement_pairs")
+    assert run("j12_members") == {(100000, 100000), (200000, 200000), (300000, 100000), (400000, 400000), (500000, 500000), (600000, 500000)}
+    assert run("j13_members") == {(100000, 100000), (200000, 200000), (300000, 100000), (400000, 400000), (500000, 100000), (600000, 100000)}
