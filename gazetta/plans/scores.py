@@ -84,12 +84,22 @@ n AS (SELECT *, CASE WHEN deadline > DATE '1995-06-17' THEN (SELECT count(*) FRO
 s AS (SELECT *, CASE WHEN "left" <= 0 THEN 0 ELSE CAST(least(100, round_even("left" / days * 100, 0)) AS INTEGER) END AS schedule FROM n)
 SELECT item, schedule, CAST(round_even(condition * 0.8::DOUBLE + schedule * 0.2::DOUBLE, 0) AS INTEGER) AS readiness FROM s""")
 def k7(spark, sf):
+    return _readiness(table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_shipdate < '1996-06-17'"))
+
+
+def _readiness(lineitem):
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
-    i = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_shipdate < '1996-06-17'").select(
+    i = lineitem.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("l_shipdate").cast("date").alias("deadline"), pick(_KINDS, "l_partkey").alias("work_type"), pick(_LEVELS, "l_suppkey").alias("evidence"), F.lit(None).cast("int").alias("condition"))
     return S.readiness(i, date(1995, 6, 17)).select("item", "schedule", "readiness")
 
 
+@query("k7_readiness_whole")
+def k7_whole(spark, sf):
+    """As k7, for every item."""
+    return _readiness(table(spark, sf, "lineitem"))
+
+
 @query("k8_parse_won", "SELECT o_orderkey, CAST((o_custkey % 90 + 1) * 100000000 + (o_orderkey % 9 + 1) * 10000000 AS DECIMAL(38, 6)) AS won FROM orders")
 def k8(spark, sf):
     text = F.format_string("총 %,d억 %d천만 원 이내", F.col("o_custkey") % 90 + 1, F.col("o_orderkey") % 9 + 1)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import texts as T
-from .base import query, table
+from .base import ORACLES, query, table
 
 _CLAUSES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
 c AS (SELECT * FROM (SELECT doc_id, unnest(range(len(p))) AS clause_no, regexp_replace(trim(regexp_replace(unnest(p), '^[\s○●■□▪·*-]+', '')), '\s+', ' ', 'g') AS clause FROM s) WHERE length(clause) BETWEEN 15 AND 300)"""
@@ -37,6 +37,19 @@ def f9(spark, sf):
     return docs(spark, sf).select("doc_id", X.is_unknown(raw).alias("unknown"))
 
 
+@query("f8_classify_warning_whole")
+def f8_whole(spark, sf):
+    """Every line of the whole texts."""
+    return T.lines(docs(spark, sf), "doc_id", "text").select("doc_id", "line_no", X.classify_warning(F.col("line"), F.lit(False)).alias("category"))
+
+
+@query("f9_is_unknown_whole")
+def f9_whole(spark, sf):
+    """Every sentence of the whole texts."""
+    s = docs(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return s.select("doc_id", "sentence_no", X.is_unknown(F.col("sentence")).alias("unknown"))
+
+
 @query("f10_source_role", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'form' WHEN 1 THEN 'example' WHEN 2 THEN 'reference' ELSE 'notice' END AS role FROM part")
 def f10(spark, sf):
     k = F.col("p_partkey") % 4
@@ -188,9 +201,19 @@ def e26(spark, sf):
 s AS (SELECT doc_id AS document_id, text FROM documents WHERE doc_id % 7 > 0)
 SELECT claim_id, CASE WHEN s.document_id IS NULL THEN 'SOURCE_NOT_FOUND' WHEN regexp_replace(lower(quote), '\s+', '', 'g') <> '' AND contains(regexp_replace(lower(text), '\s+', '', 'g'), regexp_replace(lower(quote), '\s+', '', 'g')) THEN 'OK' ELSE 'QUOTE_MISMATCH' END AS result FROM q LEFT JOIN s USING (document_id)""")
 def j10(spark, sf):
+    return _grounded(spark, sf, "doc_id % 3 = 0", "doc_id % 7 > 0")
+
+
+@query("j10_ground_quotes_whole", ORACLES["j10_ground_quotes"].replace(" WHERE doc_id % 3 = 0", "").replace(" WHERE doc_id % 7 > 0", ""))
+def j10_whole(spark, sf):
+    """As j10, with every document as claim and source."""
+    return _grounded(spark, sf)
+
+
+def _grounded(spark, sf, claims="true", sources="true"):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 50).alias("document_id"), F.substring("text", 1, 40).alias("quote"))
-    d = docs(spark, sf).where("doc_id % 3 = 0").select((F.col("doc_id") + 5000000).alias("claim_id"), F.col("doc_id").alias("document_id"), F.substring("text", 11, 30).alias("quote"))
-    s = docs(spark, sf).where("doc_id % 7 > 0").select(F.col("doc_id").alias("document_id"), F.lit("body").alias("source"), "text")
+    d = docs(spark, sf).where(claims).select((F.col("doc_id") + 5000000).alias("claim_id"), F.col("doc_id").alias("document_id"), F.substring("text", 11, 30).alias("quote"))
+    s = docs(spark, sf).where(sources).select(F.col("doc_id").alias("document_id"), F.lit("body").alias("source"), "text")
     return T.ground_quotes(b.unionByName(d).withColumn("source", F.lit("body")), s)
 
 

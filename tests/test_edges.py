@@ -217,3 +217,24 @@ def test_clauses_without_digits_and_copies_are_found(spark, tmp_path):
     assert run("j12_near_duplicates") == {(100000, 200000)} == run("j13_statement_pairs")
     assert run("j12_members") == {(100000, 100000), (200000, 200000), (300000, 100000), (400000, 400000), (500000, 500000), (600000, 500000)}
     assert run("j13_members") == {(100000, 100000), (200000, 200000), (300000, 100000), (400000, 400000), (500000, 100000), (600000, 100000)}
+
+
+def test_whole_scores_warnings_and_quotes(spark, tmp_path):
+    from gazetta.catalog import QUERIES
+
+    days = [datetime.datetime(1994, 1, 1) + datetime.timedelta(days=37 * i) for i in range(60)]
+    items = [(i, 1 + i % 3, i, i, d) for i, d in enumerate(days)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.item: (r.schedule, r.readiness) for r in QUERIES["k7_readiness_whole"](spark, str(tmp_path)).collect()}
+    now, want = datetime.date(1995, 6, 17), {}
+    for key, number, part, supplier, ship in items:
+        left = sum((now + datetime.timedelta(days=k)).weekday() < 5 for k in range(1, (ship.date() - now).days + 1))
+        schedule = min(100, round(left / list(S.WORK_DAYS.values())[part % 12] * 100)) if left > 0 else 0
+        want[key * 10 + number] = (schedule, round(list(S.EVIDENCE.values())[supplier % 5] * 0.8 + schedule * 0.2))
+    assert got == want
+    texts = [(1, "fine line\nHTTP status 503 here\ntimed out", "en"), (7, "All is well and good here. N/A.", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(1, 1, "HTTP_503"), (1, 2, "TIMEOUT")} < {tuple(r) for r in QUERIES["f8_classify_warning_whole"](spark, str(tmp_path)).collect()}
+    assert rows(QUERIES["f9_is_unknown_whole"](spark, str(tmp_path)).where("doc_id = 7"), "sentence_no") == [(7, 0, False), (7, 1, True)]
+    assert rows(QUERIES["j10_ground_quotes_whole"](spark, str(tmp_path))) == [(5000001, "OK"), (5000007, "OK")]
