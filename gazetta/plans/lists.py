@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lists as L
 from ..operators.versioning import latest_per_key
-from .base import query, table
+from .base import ORACLES, query, table
 
 NOW = datetime(1996, 1, 1)
 
@@ -257,6 +257,18 @@ def t3(spark, sf):
     return L.order_by_mode(_scored(spark, sf), True, "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score").limit(500)
 
 
+@query("t2_order_score_whole", ORACLES["t2_order_score"].removesuffix(" LIMIT 500"))
+def t2_whole(spark, sf):
+    """As t2, all orders."""
+    return L.order_score(_scored(spark, sf), "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score")
+
+
+@query("t3_order_by_mode_whole", ORACLES["t3_order_by_mode"].removesuffix(" LIMIT 500"))
+def t3_whole(spark, sf):
+    """As t3, all orders."""
+    return L.order_by_mode(_scored(spark, sf), True, "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score")
+
+
 @query("t4_page", f"SELECT o_orderkey, score FROM {_SCORED} ORDER BY score DESC NULLS LAST, o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40")
 def t4(spark, sf):
     return L.page(L.order_score(_scored(spark, sf), "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score"), 2, 20)

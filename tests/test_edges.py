@@ -238,3 +238,15 @@ def test_whole_scores_warnings_and_quotes(spark, tmp_path):
     assert {(1, 1, "HTTP_503"), (1, 2, "TIMEOUT")} < {tuple(r) for r in QUERIES["f8_classify_warning_whole"](spark, str(tmp_path)).collect()}
     assert rows(QUERIES["f9_is_unknown_whole"](spark, str(tmp_path)).where("doc_id = 7"), "sentence_no") == [(7, 0, False), (7, 1, True)]
     assert rows(QUERIES["j10_ground_quotes_whole"](spark, str(tmp_path))) == [(5000001, "OK"), (5000007, "OK")]
+
+
+def test_orders_without_a_score_come_last(spark):
+    from gazetta.catalog import QUERIES
+
+    from .conftest import SMALL
+
+    n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    for name in ("t2_order_score_whole", "t3_order_by_mode_whole"):
+        scores = [r.score for r in QUERIES[name](spark, SMALL).collect()]
+        known = [s for s in scores if s is not None]
+        assert len(scores) == n > 500 and None in scores and scores[: len(known)] == sorted(known, reverse=True)
