@@ -1,33 +1,43 @@
-"""Approximate nearest neighbours: a hierarchical k-means tree searched best bin first."""
+"""Approximate nearest neighbours: a hierarchical k-means tree that grows with the table, searched best bin first.
+
+The top of the tree is fitted on a bounded sample; a region of it that holds more vectors gets a tree of its own, fitted
+in a task on a bounded sample of that region, and so on until leaves are small.  Queries go down level by level; how many
+regions they keep at each level is set by sample queries whose true neighbours among all vectors are known.
+"""
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import ranked, small_side, staged
 
-#: Vectors that the tree is fitted on, and their bytes, at most; every vector is indexed.
+#: Vectors that one tree is fitted on, and their bytes, at most; every vector is indexed.
 FIT_VECTORS, FIT_BYTES = 20_000, 32_000_000
+#: Children of a node, and fitted vectors from which a node is no longer split.
 BRANCHES, LEAF = 8, 48
+#: A region with more vectors gets a tree of its own, at most DEPTH trees deep.
+SPLIT, DEPTH = 4 * LEAF, 3
 CALIBRATION_QUERIES = 256
 RECALL = 0.97
 #: Candidates and queries that meet in one task's block.
 BLOCK, QUERY_BLOCK = 4096, 2048
+_FAN = 1 << 16
+_OUT = "query_id long, rank int, vec_id long, score double"
 
 
 class Tree(NamedTuple):
     centres: np.ndarray  # of all nodes, in the lifted space
     children: list[list[int]]  # empty for a leaf
     leaf: np.ndarray  # number of the leaf, in tree order; -1 for inner nodes
-    visits: int  # leaves that a query visits
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -40,15 +50,12 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         own = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
-        n = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        centres = np.array([x[own == g].mean(axis=0) if (own == g).any() else centres[g] for g in range(k)])
     return own
 
 
-def grow(x: np.ndarray, seed: int = 7) -> Tree:
-    """The tree over distinct lifted vectors: nodes are split by k-means until LEAF vectors are left."""
+def grow(x: np.ndarray, leaf_size: int = LEAF, seed: int = 7) -> Tree:
+    """The tree over lifted vectors: nodes are split by k-means until ``leaf_size`` vectors are left."""
     rng, centres, children, leaf = np.random.default_rng(seed), [], [], []
 
     def node(rows: np.ndarray) -> int:
@@ -56,7 +63,7 @@ def grow(x: np.ndarray, seed: int = 7) -> Tree:
         centres.append(x[rows].mean(axis=0) if len(rows) else np.zeros(x.shape[1]))
         children.append([])
         leaf.append(-1)
-        own = _kmeans(x[rows], BRANCHES, rng) if len(rows) > max(LEAF, BRANCHES) else np.zeros(len(rows), int)
+        own = _kmeans(x[rows], BRANCHES, rng) if len(rows) > max(leaf_size, BRANCHES) else np.zeros(len(rows), int)
         groups = [rows[own == g] for g in np.unique(own)]
         if len(groups) < 2:
             leaf[at] = sum(v >= 0 for v in leaf)
@@ -66,7 +73,7 @@ def grow(x: np.ndarray, seed: int = 7) -> Tree:
         return at
 
     node(np.arange(len(x)))
-    return Tree(np.array(centres), children, np.array(leaf), 0)
+    return Tree(np.array(centres), children, np.array(leaf))
 
 
 def leaves_of(x: np.ndarray, tree: Tree) -> np.ndarray:
@@ -84,145 +91,395 @@ def leaves_of(x: np.ndarray, tree: Tree) -> np.ndarray:
     return out
 
 
-def visit_order(q: np.ndarray, tree: Tree, visits: int) -> list[list[int]]:
-    """For each query the first ``visits`` leaves, the nearest open node being opened next from a priority queue."""
+def visit_order(q: np.ndarray, tree: Tree, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[tuple[int, float]]]:
+    """For each query its first leaves, best bin first: the nearest open node is opened next from a priority queue.
+
+    ``visits`` leaves, and more until they hold ``least`` vectors by ``sizes``.  With each leaf comes its bound: the largest
+    distance that had to be opened on the way.
+    """
     far = (tree.centres**2).sum(axis=1) - 2 * q @ tree.centres.T
     out = []
     for d in far:
-        queue, found = [(d[0], 0)], []
-        while queue and len(found) < visits:
-            _, at = heapq.heappop(queue)
+        queue, found, bound, held = [(d[0], 0)], [], -np.inf, 0
+        while queue and (len(found) < visits or (sizes is not None and held < least)):
+            value, at = heapq.heappop(queue)
+            bound = max(bound, value)
             if tree.children[at]:
                 for kid in tree.children[at]:
                     heapq.heappush(queue, (d[kid], kid))
             else:
-                found.append(int(tree.leaf[at]))
+                found.append((int(tree.leaf[at]), float(bound)))
+                held += int(sizes[tree.leaf[at]]) if sizes is not None else 0
         out.append(found)
     return out
 
 
-def calibrated(x: np.ndarray, most: float, k: int, recall: float = RECALL, seed: int = 8) -> Tree:
-    """The tree of the vectors ``x``, its visits widened until sample queries find ``recall`` of their true nearest."""
-    x = np.unique(x, axis=0)
-    up = lifted(x, most)
-    tree = grow(up)
-    own, n_leaves = leaves_of(up, tree), int(tree.leaf.max()) + 1
-    asked = np.random.default_rng(seed).permutation(len(x))[:CALIBRATION_QUERIES]
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, max(1, len(x) - 1))
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    order = visit_order(np.hstack([x[asked], np.zeros((len(asked), 1))]), tree, n_leaves)
-    place = np.empty((len(asked), n_leaves), np.int64)
-    for i, o in enumerate(order):
-        place[i, o] = np.arange(n_leaves)
-    needs = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
-    visits = int(needs[min(len(needs) - 1, int(np.ceil(recall * len(needs))) - 1)]) if len(needs) else 1
-    return tree._replace(visits=max(1, visits))
-
-
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v) whose vector has no null or non-finite component and is not zero; v is an array of doubles."""
+def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """(vec_id, v, asked) of the rows whose vector has no null or non-finite component and is not zero; v is an array of doubles."""
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull()).where(ok).select(F.col("vec_id").cast("long"), v.alias("v"))
+    asked = F.coalesce(is_query, F.lit(False)).alias("asked")
+    return vectors.where(F.col("vec_id").isNotNull()).where(ok).select(F.col("vec_id").cast("long"), v.alias("v"), asked)
 
 
 def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Sums in component order, so that equal vectors have equal scores wherever they are computed."""
-    out = np.zeros((len(q), len(c)))
-    for d in range(q.shape[1]):
-        out += q[:, d, None] * c[None, :, d]
+    """Sums of the rows' products in component order, so that equal vectors have equal scores wherever they are computed."""
+    out = np.zeros(np.broadcast_shapes(q.shape, c.shape)[:-1])
+    for d in range(q.shape[-1]):
+        out += q[..., d] * c[..., d]
+    return out
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+
+
+def _numbers(column) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _least_kept(near: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+    """For each row the value from which entries may be among its ``k`` largest, rounding allowed for."""
+    if near.shape[1] <= k:
+        return np.full(len(near), -np.inf)
+    kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    return np.where(np.isfinite(kth), kth - slack, -np.inf)
+
+
+def best_pairs(q: np.ndarray, c: np.ndarray, ids: np.ndarray, meets: list[tuple[np.ndarray, slice]], k: int) -> tuple:
+    """(query row, id, score) of the ``k`` best of each query among the candidates it ``meets``, ties to the smaller id.
+
+    Matrix products choose, with room for their rounding; sums in component order decide.
+    """
+    with np.errstate(all="ignore"):
+        slack = np.nan_to_num(1e-12 * np.sqrt((q**2).sum(axis=1)) * np.sqrt((c**2).sum(axis=1).max(initial=0)), posinf=np.inf)
+        rows, cols, about = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        for of, some in meets:
+            near = np.nan_to_num(q[of] @ c[some].T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            r, s = np.nonzero(near >= _least_kept(near, k, slack[of])[:, None])
+            rows.append(of[r])
+            cols.append(s + some.start)
+            about.append(near[r, s])
+        rows, cols, about = map(np.concatenate, (rows, cols, about))
+        order = np.lexsort((-about, rows))
+        rows, cols, about = rows[order], cols[order], about[order]
+        first = np.searchsorted(rows, rows)
+        kth = about[np.minimum(first + k - 1, len(rows) - 1)]  # of a query with fewer than k, another's: then all are kept
+        few = np.searchsorted(rows, rows, side="right") - first <= k
+        keep = few | ~np.isfinite(kth) | (about >= kth - slack[rows])
+        rows, cols = rows[keep], cols[keep]
+        score = inner_products(q[rows], c[cols])
+    order = np.lexsort((ids[cols], -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    keep = (np.arange(len(rows)) - np.searchsorted(rows, rows) < k) & ~np.isnan(score)
+    return rows[keep], ids[cols[keep]], score[keep]
+
+
+def _table(names: list[str], *columns) -> pa.Table:
+    return pa.table(dict(zip(names, columns)))
+
+
+def _search_block(cand: pa.Table, asked: pa.Table, k: int, dim: int) -> pa.Table:
+    region = _numbers(cand["region"])
+    order = np.lexsort((_numbers(cand["vid"]), region))
+    c, ids, region = _matrix(cand["v"], dim)[order], _numbers(cand["vid"])[order], region[order]
+    q, mine = _matrix(asked["v"], dim), _numbers(asked["vid"])
+    lists = asked["regions"].combine_chunks()
+    wants, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+    by = np.argsort(wants, kind="stable")
+    wants, of = wants[by], of[by]
+    names, start = np.unique(region, return_index=True)
+    end = np.r_[start[1:], len(region)]
+    lo, hi = np.searchsorted(wants, names), np.searchsorted(wants, names, side="right")
+    meets = [(of[a:b], slice(s, e)) for a, b, s, e in zip(lo, hi, start, end) if b > a]
+    rows, near, score = best_pairs(q, c, ids, meets, k)
+    return _table(["qvid", "cvid", "score"], mine[rows], near, score)
+
+
+def _all_of_one_length(rows: pa.Table, k: int) -> pa.Table:
+    """Every pair of the few vectors of a length that is not the tables' common one."""
+    dim, ids = rows["d"][0].as_py(), _numbers(rows["vec_id"])
+    order = np.argsort(ids, kind="stable")
+    x, ids, asked = _matrix(rows["v"], dim)[order], ids[order], np.asarray(rows["asked"].to_pylist())[order]
+    mine = ids[asked]
+    at, near, score = best_pairs(x[asked], x, ids, [(np.arange(len(mine)), slice(0, len(x)))] if len(mine) else [], k + 1)
+    other = near != mine[at]
+    at, near, score = at[other], near[other], score[other]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = rank < k
+    return _table(["query_id", "rank", "vec_id", "score"], mine[at[keep]], (rank[keep] + 1).astype(np.int32), near[keep], score[keep])
+
+
+class Index(NamedTuple):
+    """Vectors (vid, v, path, region) in small regions; ``path``: the regions from the top down, the last being ``region``."""
+
+    placed: DataFrame
+    top: Tree
+    below: list[DataFrame]  # (region, tree) of each further level
+    scale: float
+    most: float
+    dim: int
+
+    def lift(self, column, queries: bool = False) -> np.ndarray:
+        x = _matrix(column, self.dim) / self.scale
+        return np.hstack([x, np.zeros((len(x), 1))]) if queries else lifted(x, self.most)
+
+
+def _with_trees(rows: DataFrame, trees: DataFrame, key: str, f, schema: str) -> DataFrame:
+    """``f(rows, tree)`` for the rows of each region and its tree; a region with many rows is dealt over several tasks.
+
+    ``trees`` has the column ``n``, the number of rows of its region.
+    """
+    salts = F.ceil(F.col("n") / (16 * BLOCK)).cast("int")
+    known = small_side(trees.select("region", salts.alias("salts")))
+    left = rows.join(known, "region").withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int")).drop("salts")
+    right = trees.select("region", "tree", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt"))
+    kinds = dict(p.rsplit(" ", 1) for p in schema.split(", "))
+
+    def apply(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], {"long": pa.int64(), "double": pa.float64()}.get(k, pa.list_(pa.float64() if n == "v" else pa.int64()))) for n, k in kinds.items()})
+        return f(a, pickle.loads(b["tree"][0].as_py()))
+
+    return both.applyInArrow(apply, schema)
+
+
+def build_index(vectors: DataFrame, dim: int, fit_vectors: int = FIT_VECTORS, leaf: int = LEAF) -> Index:
+    """Index the distinct ``vectors`` (vid, v; staged), all of length ``dim``."""
+    spark = vectors.sparkSession
+    scale = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scaled = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale))
+    most = vectors.agg(F.max(F.sqrt(scaled))).first()[0]
+    n_fit = max(2, min(fit_vectors, FIT_BYTES // (8 * dim)))
+    sample = vectors.orderBy(F.xxhash64("vid"), "vid").limit(n_fit).select("v").toArrow()
+    index = Index(vectors, None, [], scale, most, dim)
+    index = index._replace(top=grow(index.lift(sample["v"]), leaf))
+    bare = index._replace(placed=None)  # what tasks need of it
+    shared = spark.sparkContext.broadcast(bare)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = leaves_of(shared.value.lift(b["v"]), shared.value.top)
+            path = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32), pa.array(own))
+            yield pa.RecordBatch.from_arrays([b["vid"], b["v"], path, pa.array(own)], names=["vid", "v", "path", "region"])
+
+    schema, below = "vid long, v array<double>, path array<long>, region long", []
+    placed = staged(vectors.mapInArrow(place, schema))
+    bare = bare._replace(top=None)
+    for _ in range(DEPTH - 1):
+        many = staged(placed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf))
+        if many.isEmpty():
+            break
+        some = placed.join(small_side(many), "region").where(F.pmod(F.xxhash64("vid", F.lit(1)), F.ceil(F.col("n") / n_fit)) == 0)
+
+        def fit(key, rows):
+            tree = grow(bare.lift(rows["v"]), leaf)
+            return _table(["region", "tree", "n", "leaves"], [key[0].as_py()], pa.array([pickle.dumps(tree)], pa.binary()), [rows["n"][0].as_py()], [int(tree.leaf.max()) + 1])
+
+        trees = staged(some.groupBy("region").applyInArrow(fit, "region long, tree binary, n long, leaves long").where("leaves > 1").drop("leaves"))
+
+        def assign(rows: pa.Table, tree: Tree) -> pa.Table:
+            own = leaves_of(bare.lift(rows["v"]), tree)
+            child = (_numbers(rows["region"]) + 1) * _FAN + own
+            path = [[*p, c] for p, c in zip(rows["path"].to_pylist(), child.tolist())]
+            return _table(["vid", "v", "path", "region"], rows["vid"], rows["v"], pa.array(path, pa.list_(pa.int64())), child)
+
+        rest = placed.join(small_side(trees.select("region")), "region", "left_anti").select("vid", "v", "path", "region")
+        placed = staged(rest.unionByName(_with_trees(placed, trees, "vid", assign, schema)))
+        below.append(trees)
+    return index._replace(placed=placed, below=below)
+
+
+def routes(index: Index, queries: DataFrame, visits: list[int], upto: int, least: int) -> DataFrame:
+    """(vid, region, bound): the regions of level ``upto`` that each query (vid, v; staged) goes to, nearest first by ``bound``.
+
+    It keeps ``visits[level]`` regions of each level, and more until they hold ``least`` vectors; all of a level that ``visits`` ends before.
+    """
+    spark = queries.sparkSession
+    n_top = int(index.top.leaf.max()) + 1
+    counts = index.placed.groupBy(F.col("path")[0].alias("r")).count().collect()  # leaves of the top tree, which the fitted sample bounds
+    sizes = np.zeros(n_top, np.int64)
+    for r, n in counts:
+        sizes[r] = n
+    shared = spark.sparkContext.broadcast((index._replace(placed=None, below=[]), sizes, visits[0] if visits else None))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sizes, most = shared.value
+        for b in batches:
+            found = visit_order(of.lift(b["v"], queries=True), of.top, len(sizes) if most is None else most, sizes, least)
+            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [x for f in found for x in f]
+            columns = [b["vid"].take(pa.array(own)), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vid", "region", "bound"])
+
+    schema = "vid long, region long, bound double"
+    out = queries.mapInArrow(start, schema)
+    bare = index._replace(placed=None, below=[], top=None)
+    for level, trees in enumerate(index.below[:upto], 1):
+        out = staged(out)
+        asked = staged(out.groupBy("region").agg(F.count("*").alias("n")))
+        with_n = staged(trees.drop("n").join(asked, "region"))
+
+        def down(rows: pa.Table, tree: Tree) -> pa.Table:
+            found = visit_order(bare.lift(rows["v"], queries=True), tree, int(tree.leaf.max()) + 1)
+            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            leaf, bound = np.array([x for f in found for x in f]).reshape(-1, 2).T
+            child = (_numbers(rows["region"])[own] + 1) * _FAN + leaf.astype(np.int64)
+            return _table(["vid", "region", "bound"], _numbers(rows["vid"])[own], child, np.maximum(_numbers(rows["bound"])[own], bound))
+
+        inner = out.join(small_side(with_n.select("region")), "region", "left_semi").join(queries, "vid").select("vid", "v", "region", "bound")
+        rest = out.join(small_side(with_n.select("region")), "region", "left_anti").select("vid", "region", "bound")
+        out = rest.unionByName(_with_trees(inner, with_n, "vid", down, schema))
+        if level < len(visits):
+            out = _nearest_regions(index, out, level, visits[level], least)
     return out
 
 
-def _search_block(cand: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    if not len(cand) or not len(asked):
-        return none
-    cand = cand.sort_values("vec_id", kind="stable")
-    c, q = np.array(cand["v"].tolist(), float), np.array(asked["v"].tolist(), float)
-    ids, leaf, mine = cand["vec_id"].to_numpy(), cand["leaf"].to_numpy(), asked["query_id"].to_numpy()
-    wants = asked["leaves"].tolist()
-    near = np.full((len(q), len(c)), -np.inf)
-    for v in np.unique(leaf):
-        rows = np.array([i for i, w in enumerate(wants) if v in w], dtype=int)
-        at = np.flatnonzero(leaf == v)
-        near[np.ix_(rows, at)] = inner_products(q[rows], c[at])
-    near[mine[:, None] == ids[None, :]] = -np.inf
-    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-    score = np.take_along_axis(near, best, axis=1)
-    row, col = np.nonzero(score > -np.inf)
-    return pd.DataFrame({"query_id": mine[row], "vec_id": ids[best[row, col]], "score": score[row, col]})
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> DataFrame:
+def _sizes(index: Index, level: int) -> DataFrame:
+    at = F.element_at("path", F.least(F.size("path"), F.lit(level + 1)))
+    return index.placed.groupBy(at.alias("region")).agg(F.count("*").alias("held"))
+
+
+def _nearest_regions(index: Index, found: DataFrame, level: int, visits: int, least: int) -> DataFrame:
+    order = Window.partitionBy("vid").orderBy("bound", "region")
+    held = small_side(staged(_sizes(index, level)))
+    out = found.join(held, "region").withColumn("place", F.row_number().over(order))
+    before = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.withColumn("before", before).where((F.col("place") <= visits) | (F.col("before") < least)).select("vid", "region", "bound")
+
+
+def nearest_of_all(index: Index, sample: list, k: int) -> DataFrame:
+    """(qvid, cvid, path): the ``k`` nearest other vectors of the sample queries (vid, v), from products with all vectors."""
+    q, own = np.array([r["v"] for r in sample], float).reshape(-1, index.dim), np.array([r["vid"] for r in sample], np.int64)
+    shared, dim = index.placed.sparkSession.sparkContext.broadcast((q, own)), index.dim
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared.value
+        best, rows, kept = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64), [[]]
+        ids, paths, base = [], [], 0
+        for b in batches:
+            near = q @ _matrix(b["v"], dim).T
+            new = b["vid"].to_numpy()
+            near[own[:, None] == new[None, :]] = -np.inf
+            both = np.hstack([best, near])
+            number = np.hstack([rows, np.broadcast_to(np.arange(base, base + len(new)), near.shape)])
+            at = np.argpartition(-both, min(k, both.shape[1] - 1), axis=1)[:, :k]
+            best, rows = np.take_along_axis(both, at, axis=1), np.take_along_axis(number, at, axis=1)
+            ids.append(new)
+            paths.append(b["path"])
+            base += len(new)
+        if base:
+            r, c = np.nonzero((best > -np.inf) & (rows >= 0))
+            path = pa.concat_arrays(paths).take(pa.array(rows[r, c]))
+            columns = [pa.array(own[r]), pa.array(np.concatenate(ids)[rows[r, c]]), path, pa.array(best[r, c])]
+            yield pa.RecordBatch.from_arrays(columns, names=["qvid", "cvid", "path", "score"])
+
+    found = index.placed.select("vid", "v", "path").mapInArrow(of, "qvid long, cvid long, path array<long>, score double")
+    order = Window.partitionBy("qvid").orderBy(F.desc("score"), "cvid")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("qvid", "cvid", "path")
+
+
+def calibrated(index: Index, queries: DataFrame, k: int, recall: float) -> list[int]:
+    """How many regions queries keep at each level: widened until sample queries reach ``recall`` of their true neighbours."""
+    few = queries.orderBy(F.xxhash64("vid", F.lit(2)), "vid").limit(CALIBRATION_QUERIES)
+    sample = few.collect()
+    truth = staged(nearest_of_all(index, sample, k))
+    few, visits = staged(few), []
+    for level in range(len(index.below) + 1):
+        at = F.element_at("path", F.least(F.size("path"), F.lit(level + 1)))
+        order = Window.partitionBy("vid").orderBy("bound", "region")
+        found = routes(index, few, visits, level, 0).withColumn("place", F.row_number().over(order))
+        wanted = truth.select(F.col("qvid").alias("vid"), at.alias("region"))
+        need = np.sort([r[0] for r in wanted.join(found, ["vid", "region"]).select("place").collect()])
+        share = recall ** ((level + 1) / (len(index.below) + 1))
+        at_least = int(np.ceil(share * truth.count()))
+        visits.append(int(need[min(len(need), max(1, at_least)) - 1]) if len(need) else 1)
+    return visits
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, fit_vectors: int = FIT_VECTORS, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds, its ``k`` nearest found among all other rows.
 
-    Nearness is the inner product in double precision, ties go to the smaller vec_id.  Vectors that are null,
-    zero, or hold null or non-finite components take no part, nor do those whose length is not the commonest.
-    Leaves are dealt into blocks of about BLOCK candidates; a leaf with more, as one with many copies of one vector,
-    is dealt over several blocks.  Fewer than ``k`` candidates: all of them, when all leaves are visited.
+    Nearness is the inner product in double precision, ties go to the smaller vec_id.  Vectors that are null, zero, or
+    hold null or non-finite components take no part.  Vectors have inner products with those of their own length: each
+    length of more than BLOCK rows, and the commonest, has a tree; the few of another length are compared with each other.
+    Fewer than ``k`` candidates: all of them.  Repeated rows of one vec_id and vector are one; one vec_id with several vectors
+    is searched for each, and never finds its own id.  Other columns are not read.  Copies of a vector are searched once: only the ``k`` + 1 smallest ids of one can be results.
     """
     spark = vectors.sparkSession
-    rows = staged(usable(vectors))
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    rows = staged(usable(vectors, is_query))
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     if not lengths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = lengths[0]["d"]
-    rows = rows.where(F.size("v") == dim)
-    most = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    n_fit = max(2, min(FIT_VECTORS, FIT_BYTES // (8 * dim)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_fit).toPandas()
-    tree = spark.sparkContext.broadcast(calibrated(np.array(sample["v"].tolist(), float), most, k, recall))
-
-    def indexed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x = lifted(np.array(part["v"].tolist(), float).reshape(-1, dim), most)
-            yield part.assign(leaf=leaves_of(x, tree.value))
-
-    cand = staged(rows.mapInPandas(indexed, "vec_id long, v array<double>, leaf long"))
-    sizes = dict(cand.groupBy("leaf").count().collect())  # leaves are fewer than fitted vectors
+        return spark.createDataFrame([], _OUT)
+    common = [r["d"] for r in lengths[:1]] + [r["d"] for r in lengths[1:] if r["count"] > BLOCK]
+    out = None
+    for dim in common:
+        one = _search_length(rows.where(F.size("v") == dim), dim, k, recall, fit_vectors, leaf)
+        out = one if out is None else out.unionByName(one)
+    if len(common) < len(lengths):
+        rest = rows.withColumn("d", F.size("v")).where(~F.col("d").isin(common))
+        out = out.unionByName(rest.groupBy("d").applyInArrow(lambda t: _all_of_one_length(t, k), _OUT))
+    return out
+
+
+def _search_length(rows: DataFrame, dim: int, k: int, recall: float, fit_vectors: int, leaf: int) -> DataFrame:
+    spark = rows.sparkSession
+    turn = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = rows.select("vec_id", "v").withColumn("turn", turn).where(F.col("turn") <= k + 1)
+    distinct = staged(few.groupBy("v").agg(F.min("vec_id").alias("vid"), F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    if not distinct.groupBy("vid").count().where("count > 1").isEmpty():  # one id, several vectors: number the vectors by least id
+        distinct = staged(ranked(distinct.withColumnRenamed("vid", "least"), ["least", F.xxhash64("v")], "vid").drop("least"))
+    vectors = distinct.select("vid", "v")
+    asked = staged(rows.where("asked").join(vectors, "v").select(F.col("vec_id").alias("query_id"), "vid").distinct())
+    queries = staged(vectors.join(asked.select("vid").distinct(), "vid"))
+    if queries.isEmpty():
+        return spark.createDataFrame([], _OUT)
+    index = build_index(vectors, dim, fit_vectors, leaf)
+    visits = calibrated(index, queries, k, recall)
+    last = len(visits) - 1
+    found = routes(index, queries, visits, last, k + 1)
+
+    tops = sorted(index.placed.groupBy(F.col("path")[0].alias("top")).count().collect())  # as many as leaves of the top tree
     blocks, block, filled = [], 0, 0
-    for leaf in sorted(sizes):
-        n = sizes[leaf]
+    for top, n in tops:  # neighbouring regions share a block; a large one has several
         if filled and filled + n > BLOCK:
             block, filled = block + 1, 0
         parts = -(-n // BLOCK)
-        blocks.append((leaf, block, parts))
+        blocks.append((top, block, parts))
         filled += n
         if parts > 1:
             block, filled = block + parts, 0
-    query_parts = max(1, -(-rows.where(is_query).count() // QUERY_BLOCK))
-    where = F.broadcast(spark.createDataFrame(blocks, "leaf long, block long, parts long"))
-    cand = cand.join(where, "leaf").withColumn("block", F.expr("block + pmod(xxhash64(vec_id), parts)"))
-    cand = cand.select("vec_id", "v", "leaf", "block", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part"))
-
-    places = spark.sparkContext.broadcast({leaf: range(first, first + parts) for leaf, first, parts in blocks})
-
-    def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            q = np.array(part["v"].tolist(), float).reshape(-1, dim)
-            rows = []
-            for number, leaves in enumerate(visit_order(np.hstack([q, np.zeros((len(q), 1))]), tree.value, tree.value.visits)):
-                wanted: dict[int, list[int]] = {}
-                for leaf in leaves:
-                    for block in places.value.get(leaf, ()):
-                        wanted.setdefault(block, []).append(leaf)
-                rows += [(number, block, of) for block, of in wanted.items()]
-            at = [r[0] for r in rows]
-            out = pd.DataFrame({"query_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
-            yield out.assign(block=[r[1] for r in rows], leaves=[r[2] for r in rows])
-
-    schema = "query_id long, v array<double>, block long, leaves array<long>"
-    probes = rows.where(is_query).mapInPandas(asked, schema)
-    probes = probes.withColumn("part", F.expr(f"cast(pmod(xxhash64(query_id), {query_parts}) as int)"))
-    found = cand.groupBy("block", "part").cogroup(probes.groupBy("block", "part"))
-    found = found.applyInPandas(lambda c, q: _search_block(c, q, k), "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    where = F.broadcast(spark.createDataFrame(blocks, "top long, block long, parts long"))
+    number = F.expr("block + pmod(xxhash64(region), parts)")
+    cand = index.placed.select("vid", "v", "region", F.col("path")[0].alias("top")).join(where, "top").withColumn("block", number)
+    region = staged(index.placed.select("region", F.col("path")[0].alias("top")).distinct())
+    probes = found.join(small_side(region), "region").join(where, "top").withColumn("block", number)
+    probes = staged(probes.groupBy("vid", "block").agg(F.collect_list("region").alias("regions")))
+    parts = F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")
+    parts = small_side(staged(probes.groupBy("block").agg(parts)))
+    cand = cand.drop("top", "parts").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probes = probes.join(parts, "block").join(queries, "vid").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).drop("parts")
+
+    def block_pairs(c: pa.Table, q: pa.Table) -> pa.Table:
+        if not c.num_rows or not q.num_rows:
+            return _table(["qvid", "cvid", "score"], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return _search_block(c, q, k + 1, dim)
+
+    pairs = cand.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInArrow(block_pairs, "qvid long, cvid long, score double")
+    nearest = Window.partitionBy("qvid").orderBy(F.desc("score"), "cvid")
+    pairs = pairs.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
+    each = pairs.join(distinct.select(F.col("vid").alias("cvid"), "ids"), "cvid").select("qvid", "score", F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("qvid").orderBy(F.desc("score"), "vec_id")
+    each = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    lists = each.groupBy(F.col("qvid").alias("vid")).agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+    own = F.slice(F.filter("found", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    out = asked.join(lists, "vid").select("query_id", F.posexplode(own).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows of ``embeddings`` whose vec_id is divisible by 20; ``search`` states the odd cases."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)

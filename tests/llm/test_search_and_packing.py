@@ -20,7 +20,7 @@ def test_recall_against_brute_force(spark):
     for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
         by[r.query_id].append((r.vec_id, r.score))
     for q in np.flatnonzero(ids % 20 == 0):
-        s = ann.inner_products(x[q : q + 1], x)[0]
+        s = ann.inner_products(x[q : q + 1], x)
         s[q] = -np.inf
         best = np.lexsort((ids, -s))[:20]
         got = by[int(ids[q])]
@@ -31,6 +31,45 @@ def test_recall_against_brute_force(spark):
     assert hits / want >= 0.9
 
 
+def plain_nearest(rows, k):
+    out = {}
+    for i, v in rows:
+        if i % 20 == 0:
+            ids, alike = zip(*[(j, w) for j, w in rows if j != i and len(w) == len(v)])
+            near = ann.inner_products(np.array([v]), np.array(alike))
+            out[i] = [(ids[j], float(near[j])) for j in np.lexsort((ids, -near))[:k]]
+    return out
+
+
+def found_by_query(df):
+    by = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        by[r.query_id].append((r.vec_id, r.score))
+    return by
+
+
+def test_a_tree_deeper_than_its_sample(spark):
+    """More vectors than the fit takes: regions are split in tasks, twice, and recall holds against all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[rng.integers(40)] + 0.4 * rng.normal(size=12)).tolist()) for i in range(3000)]
+    # names that clash with the operator's own
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "vec_id long, embedding array<double>, v int, region int, path int, block int, asked int")
+    want = plain_nearest(rows, 20)
+    got = found_by_query(ann.search(df, F.col("vec_id") % 20 == 0, 20, fit_vectors=60, leaf=4))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_many_copies_and_equal_scores_are_exact(spark):
+    rows = [(i, [1.0, 0.0, float(i % 3)]) for i in range(1, 900)] + [(1000 + i, [0.5, 0.5, 0.0]) for i in range(300)]
+    rows += [(2000, [1.0, 2.0]), (2001, [1.0, 1.0]), (2002, [-1.0, 4.0])]  # of another length
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_by_query(ann.search(df, F.col("vec_id") % 20 == 0, 20)) == plain_nearest(rows, 20)
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(twice, F.col("vec_id") == 20).collect()) == [(20, 1, 3), (20, 1, 3)]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(40)]
