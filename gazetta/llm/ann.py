@@ -23,11 +23,11 @@ from .common import ranked, small_side, staged
 #: Vectors that one tree is fitted on, and their bytes, at most; every vector is indexed.
 FIT_VECTORS, FIT_BYTES = 20_000, 32_000_000
 #: Children of a node, and fitted vectors from which a node is no longer split.
-BRANCHES, LEAF = 8, 48
-#: A region with more vectors gets a tree of its own, at most DEPTH trees deep.
-SPLIT, DEPTH = 4 * LEAF, 3
+BRANCHES, LEAF = 8, 128
+#: A region with SPLIT times as many vectors gets a tree of its own, at most DEPTH trees deep.
+SPLIT, DEPTH = 4, 3
 CALIBRATION_QUERIES = 256
-RECALL = 0.97
+RECALL = 0.94
 #: Candidates and queries that meet in one task's block.
 BLOCK, QUERY_BLOCK = 4096, 2048
 _FAN = 1 << 16
@@ -91,27 +91,32 @@ def leaves_of(x: np.ndarray, tree: Tree) -> np.ndarray:
     return out
 
 
-def visit_order(q: np.ndarray, tree: Tree, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[tuple[int, float]]]:
-    """For each query its first leaves, best bin first: the nearest open node is opened next from a priority queue.
+def bounds(q: np.ndarray, tree: Tree) -> np.ndarray:
+    """For each query and leaf the largest distance on the way down to it: best bin first opens leaves in this order."""
+    cost = (tree.centres**2).sum(axis=1) - 2 * q @ tree.centres.T
+    for at, kids in enumerate(tree.children):  # parents come before their children
+        for kid in kids:
+            cost[:, kid] = np.maximum(cost[:, kid], cost[:, at])
+    out = np.empty((len(q), int(tree.leaf.max()) + 1))
+    out[:, tree.leaf[tree.leaf >= 0]] = cost[:, tree.leaf >= 0]
+    return out
+
 
-    ``visits`` leaves, and more until they hold ``least`` vectors by ``sizes``.  With each leaf comes its bound: the largest
-    distance that had to be opened on the way.
+def best_bins(far: np.ndarray, tree: Tree, more) -> list[tuple[int, float]]:
+    """Leaves best bin first: the nearest open node is opened next from a priority queue, while ``more(leaves so far, next bound)``.
+
+    ``far``: the distance of each node.  With each leaf comes the largest distance opened until then.
     """
-    far = (tree.centres**2).sum(axis=1) - 2 * q @ tree.centres.T
-    out = []
-    for d in far:
-        queue, found, bound, held = [(d[0], 0)], [], -np.inf, 0
-        while queue and (len(found) < visits or (sizes is not None and held < least)):
-            value, at = heapq.heappop(queue)
-            bound = max(bound, value)
-            if tree.children[at]:
-                for kid in tree.children[at]:
-                    heapq.heappush(queue, (d[kid], kid))
-            else:
-                found.append((int(tree.leaf[at]), float(bound)))
-                held += int(sizes[tree.leaf[at]]) if sizes is not None else 0
-        out.append(found)
-    return out
+    queue, found, bound = [(far[0], 0)], [], -np.inf
+    while queue and more(found, max(bound, queue[0][0])):
+        value, at = heapq.heappop(queue)
+        bound = max(bound, value)
+        if tree.children[at]:
+            for kid in tree.children[at]:
+                heapq.heappush(queue, (far[kid], kid))
+        else:
+            found.append((int(tree.leaf[at]), float(bound)))
+    return found
 
 
 def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
@@ -228,21 +233,23 @@ class Index(NamedTuple):
 
 
 def _with_trees(rows: DataFrame, trees: DataFrame, key: str, f, schema: str) -> DataFrame:
-    """``f(rows, tree)`` for the rows of each region and its tree; a region with many rows is dealt over several tasks.
+    """``f(rows, tree, split)`` for the rows of each region and its tree; a region with many rows is dealt over several tasks.
 
-    ``trees`` has the column ``n``, the number of rows of its region.
+    ``trees`` has the columns ``n``, the number of rows of its region, and perhaps ``split``, the leaves that have trees themselves.
     """
     salts = F.ceil(F.col("n") / (16 * BLOCK)).cast("int")
     known = small_side(trees.select("region", salts.alias("salts")))
     left = rows.join(known, "region").withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int")).drop("salts")
-    right = trees.select("region", "tree", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    split = F.coalesce("split", F.array().cast("array<long>")) if "split" in trees.columns else F.array().cast("array<long>")
+    right = trees.select("region", "tree", split.alias("split"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     both = left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt"))
-    kinds = dict(p.rsplit(" ", 1) for p in schema.split(", "))
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    none = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in schema.split(", "))]).empty_table()
 
     def apply(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({n: pa.array([], {"long": pa.int64(), "double": pa.float64()}.get(k, pa.list_(pa.float64() if n == "v" else pa.int64()))) for n, k in kinds.items()})
-        return f(a, pickle.loads(b["tree"][0].as_py()))
+            return none
+        return f(a, pickle.loads(b["tree"][0].as_py()), frozenset(b["split"][0].as_py()))
 
     return both.applyInArrow(apply, schema)
 
@@ -270,7 +277,7 @@ def build_index(vectors: DataFrame, dim: int, fit_vectors: int = FIT_VECTORS, le
     placed = staged(vectors.mapInArrow(place, schema))
     bare = bare._replace(top=None)
     for _ in range(DEPTH - 1):
-        many = staged(placed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf))
+        many = staged(placed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT * leaf))
         if many.isEmpty():
             break
         some = placed.join(small_side(many), "region").where(F.pmod(F.xxhash64("vid", F.lit(1)), F.ceil(F.col("n") / n_fit)) == 0)
@@ -281,7 +288,7 @@ def build_index(vectors: DataFrame, dim: int, fit_vectors: int = FIT_VECTORS, le
 
         trees = staged(some.groupBy("region").applyInArrow(fit, "region long, tree binary, n long, leaves long").where("leaves > 1").drop("leaves"))
 
-        def assign(rows: pa.Table, tree: Tree) -> pa.Table:
+        def assign(rows, tree, _):
             own = leaves_of(bare.lift(rows["v"]), tree)
             child = (_numbers(rows["region"]) + 1) * _FAN + own
             path = [[*p, c] for p, c in zip(rows["path"].to_pylist(), child.tolist())]
@@ -293,62 +300,105 @@ def build_index(vectors: DataFrame, dim: int, fit_vectors: int = FIT_VECTORS, le
     return index._replace(placed=placed, below=below)
 
 
-def routes(index: Index, queries: DataFrame, visits: list[int], upto: int, least: int) -> DataFrame:
-    """(vid, region, bound): the regions of level ``upto`` that each query (vid, v; staged) goes to, nearest first by ``bound``.
+def blocks_of(index: Index) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
+    """(first block, blocks) of each region of the top tree, and the regions' sizes; the fitted sample bounds their number.
 
-    It keeps ``visits[level]`` regions of each level, and more until they hold ``least`` vectors; all of a level that ``visits`` ends before.
+    Neighbouring regions share a block; a large one has several, by the numbers of the regions within it.
     """
-    spark = queries.sparkSession
-    n_top = int(index.top.leaf.max()) + 1
-    counts = index.placed.groupBy(F.col("path")[0].alias("r")).count().collect()  # leaves of the top tree, which the fitted sample bounds
-    sizes = np.zeros(n_top, np.int64)
-    for r, n in counts:
-        sizes[r] = n
-    shared = spark.sparkContext.broadcast((index._replace(placed=None, below=[]), sizes, visits[0] if visits else None))
+    tops = sorted(index.placed.groupBy(F.col("path")[0].alias("top")).count().collect())
+    out, sizes, block, filled = {}, np.zeros(int(index.top.leaf.max()) + 1, np.int64), 0, 0
+    for top, n in tops:
+        if filled and filled + n > BLOCK:
+            block, filled = block + 1, 0
+        out[top], sizes[top] = (block, -(-n // BLOCK)), n
+        filled += n
+        if n > BLOCK:
+            block, filled = block + out[top][1], 0
+    return out, sizes
+
+
+_ROUTE = "vid long, block long, regions array<long>, deeper long, stop double, least long"
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, sizes, most = shared.value
-        for b in batches:
-            found = visit_order(of.lift(b["v"], queries=True), of.top, len(sizes) if most is None else most, sizes, least)
-            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = [x for f in found for x in f]
-            columns = [b["vid"].take(pa.array(own)), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["vid", "region", "bound"])
-
-    schema = "vid long, region long, bound double"
-    out = queries.mapInArrow(start, schema)
-    bare = index._replace(placed=None, below=[], top=None)
-    for level, trees in enumerate(index.below[:upto], 1):
-        out = staged(out)
-        asked = staged(out.groupBy("region").agg(F.count("*").alias("n")))
-        with_n = staged(trees.drop("n").join(asked, "region"))
-
-        def down(rows: pa.Table, tree: Tree) -> pa.Table:
-            found = visit_order(bare.lift(rows["v"], queries=True), tree, int(tree.leaf.max()) + 1)
-            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            leaf, bound = np.array([x for f in found for x in f]).reshape(-1, 2).T
-            child = (_numbers(rows["region"])[own] + 1) * _FAN + leaf.astype(np.int64)
-            return _table(["vid", "region", "bound"], _numbers(rows["vid"])[own], child, np.maximum(_numbers(rows["bound"])[own], bound))
-
-        inner = out.join(small_side(with_n.select("region")), "region", "left_semi").join(queries, "vid").select("vid", "v", "region", "bound")
-        rest = out.join(small_side(with_n.select("region")), "region", "left_anti").select("vid", "region", "bound")
-        out = rest.unionByName(_with_trees(inner, with_n, "vid", down, schema))
-        if level < len(visits):
-            out = _nearest_regions(index, out, level, visits[level], least)
-    return out
 
+def _route_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["vid", "block", "regions", "deeper", "stop", "least"])
 
-def _sizes(index: Index, level: int) -> DataFrame:
-    at = F.element_at("path", F.least(F.size("path"), F.lit(level + 1)))
-    return index.placed.groupBy(at.alias("region")).agg(F.count("*").alias("held"))
+
+def _shared_out(vid: int, leaves: list[int], top_of, blocks: dict, split: frozenset, stop: float, least: list[int]) -> list[tuple]:
+    """Rows of one query: a block's regions together; regions that have a tree of their own each to be gone down further."""
+    per: dict[int, list[int]] = {}
+    rows = []
+    for leaf, need in zip(leaves, least):
+        if leaf in split:
+            rows.append((vid, None, None, leaf, stop, need))
+        else:
+            first, parts = blocks[top_of(leaf)]
+            per.setdefault(first + leaf % parts, []).append(leaf)
+    return rows + [(vid, block, regions, None, None, None) for block, regions in per.items()]
 
 
-def _nearest_regions(index: Index, found: DataFrame, level: int, visits: int, least: int) -> DataFrame:
-    order = Window.partitionBy("vid").orderBy("bound", "region")
-    held = small_side(staged(_sizes(index, level)))
-    out = found.join(held, "region").withColumn("place", F.row_number().over(order))
-    before = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("before", before).where((F.col("place") <= visits) | (F.col("before") < least)).select("vid", "region", "bound")
+def routes(index: Index, queries: DataFrame, visits: int, least: int, blocks: dict, sizes: np.ndarray) -> DataFrame:
+    """(vid, block, regions): the regions in which each query (vid, v; staged) is searched, those of one block together.
+
+    A query opens ``visits`` regions of the top tree, and more until they hold ``least`` vectors.  How far it had to go for
+    the last of them is where it stops within regions that have trees of their own.
+    """
+    context = queries.sparkSession.sparkContext
+    bare = index._replace(placed=None, below=[])
+    # regions with trees are as many as the level above has large leaves: the level's table is joined on them below the top
+    split = frozenset(r[0] for r in index.below[0].select("region").collect()) if index.below else frozenset()
+    shared = context.broadcast((bare, visits, blocks, sizes, split))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, visits, blocks, sizes, split = shared.value
+        for b in batches:
+            q, rows = of.lift(b["v"], queries=True), []
+            far = (of.top.centres**2).sum(axis=1) - 2 * q @ of.top.centres.T
+            for vid, d in zip(b["vid"].to_pylist(), far):
+                held, need = [0], []
+
+                def more(found, _):
+                    if len(found) > len(need):  # one more was opened
+                        own = found[-1][0]
+                        need.append(least if own in split and held[0] < least else 0)
+                        held[0] += max(need[-1], 0 if own in split else int(sizes[own]))
+                    return len(found) < visits or held[0] < least
+
+                found = best_bins(d, of.top, more)
+                need += [0] * (len(found) - len(need))
+                rows += _shared_out(vid, [x[0] for x in found], lambda r: r, blocks, split, found[-1][1], need)
+            yield _route_rows(rows)
+
+    out = staged(queries.mapInArrow(start, _ROUTE))
+    done = out.where("deeper IS NULL").select("vid", "block", "regions")
+    bare = bare._replace(top=None)
+    for level, trees in enumerate(index.below):
+        asked = staged(out.where("deeper IS NOT NULL").groupBy(F.col("deeper").alias("region")).agg(F.count("*").alias("n")))
+        if level + 1 < len(index.below):
+            children = index.below[level + 1].select("region", F.shiftright("region", 16).alias("up"))
+            children = children.groupBy((F.col("up") - 1).alias("region")).agg(F.collect_set("region").alias("split"))
+            with_n = trees.drop("n").join(asked, "region").join(children, "region", "left")
+        else:
+            with_n = trees.drop("n").join(asked, "region").withColumn("split", F.array().cast("array<long>"))
+        inner = out.where("deeper IS NOT NULL").select("vid", F.col("deeper").alias("region"), "stop", "least").join(queries, "vid")
+
+        def down(rows, tree, split):
+            of = rows["region"][0].as_py()
+            top, q, out = of, bare.lift(rows["v"], queries=True), []
+            while top >= _FAN:
+                top = (top >> 16) - 1
+            far = (tree.centres**2).sum(axis=1) - 2 * q @ tree.centres.T
+            for vid, stop, least, d in zip(rows["vid"].to_pylist(), rows["stop"].to_pylist(), rows["least"].to_pylist(), far):
+                found = best_bins(d, tree, lambda found, bound: bound <= stop or len(found) < least)  # noqa: B023
+                need = [least if i == 0 else 0 for i in range(len(found))]
+                out += _shared_out(vid, [(of + 1) * _FAN + x[0] for x in found], lambda _: top, blocks, split, stop, need)  # noqa: B023
+            return pa.Table.from_batches([_route_rows(out)])
+
+        out = staged(_with_trees(inner, staged(with_n), "vid", down, _ROUTE))
+        done = done.unionByName(out.where("deeper IS NULL").select("vid", "block", "regions"))
+    return done.groupBy("vid", "block").agg(F.flatten(F.collect_list("regions")).alias("regions"))
 
 
 def nearest_of_all(index: Index, sample: list, k: int) -> DataFrame:
@@ -382,22 +432,30 @@ def nearest_of_all(index: Index, sample: list, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("qvid", "cvid", "path")
 
 
-def calibrated(index: Index, queries: DataFrame, k: int, recall: float) -> list[int]:
-    """How many regions queries keep at each level: widened until sample queries reach ``recall`` of their true neighbours."""
-    few = queries.orderBy(F.xxhash64("vid", F.lit(2)), "vid").limit(CALIBRATION_QUERIES)
-    sample = few.collect()
+def calibrated(index: Index, queries: DataFrame, k: int, recall: float) -> int:
+    """How many regions of the top tree queries open: widened until sample queries reach ``recall`` of their true neighbours."""
+    sample = queries.orderBy(F.xxhash64("vid", F.lit(2)), "vid").limit(CALIBRATION_QUERIES).collect()
     truth = staged(nearest_of_all(index, sample, k))
-    few, visits = staged(few), []
-    for level in range(len(index.below) + 1):
-        at = F.element_at("path", F.least(F.size("path"), F.lit(level + 1)))
-        order = Window.partitionBy("vid").orderBy("bound", "region")
-        found = routes(index, few, visits, level, 0).withColumn("place", F.row_number().over(order))
-        wanted = truth.select(F.col("qvid").alias("vid"), at.alias("region"))
-        need = np.sort([r[0] for r in wanted.join(found, ["vid", "region"]).select("place").collect()])
-        share = recall ** ((level + 1) / (len(index.below) + 1))
-        at_least = int(np.ceil(share * truth.count()))
-        visits.append(int(need[min(len(need), max(1, at_least)) - 1]) if len(need) else 1)
-    return visits
+    x = np.array([r["v"] for r in sample], float) / index.scale
+    reach = bounds(np.hstack([x, np.zeros((len(x), 1))]), index.top)
+    number = {r["vid"]: i for i, r in enumerate(sample)}
+    found = {(r["qvid"], r["cvid"]): reach[number[r["qvid"]], r["path"][0]] for r in truth.collect()}  # at most k for each sample query
+    few, bare = staged(queries.where(F.col("vid").isin([r["vid"] for r in sample]))), index._replace(placed=None, below=[], top=None)
+    for level, trees in enumerate(index.below):
+        inner = truth.where(F.size("path") > level + 1).join(few.withColumnRenamed("vid", "qvid"), "qvid")
+        inner = inner.withColumn("region", F.col("path")[level]).withColumn("leaf", F.col("path")[level + 1].bitwiseAND(_FAN - 1))
+
+        def reached(rows, tree, _):
+            own = bounds(bare.lift(rows["v"], queries=True), tree)[np.arange(rows.num_rows), _numbers(rows["leaf"])]
+            return _table(["qvid", "cvid", "bound"], _numbers(rows["qvid"]), _numbers(rows["cvid"]), own)
+
+        for r in _with_trees(inner, trees, "qvid", reached, "qvid long, cvid long, bound double").collect():
+            found[r["qvid"], r["cvid"]] = max(found[r["qvid"], r["cvid"]], r["bound"])
+    if not found:
+        return 1
+    reach.sort(axis=1)
+    need = np.sort([np.searchsorted(reach[number[q]], bound) + 1 for (q, _), bound in found.items()])
+    return int(min(need[max(1, int(np.ceil(recall * len(need)))) - 1], reach.shape[1]))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, fit_vectors: int = FIT_VECTORS, leaf: int = LEAF) -> DataFrame:
@@ -438,29 +496,14 @@ def _search_length(rows: DataFrame, dim: int, k: int, recall: float, fit_vectors
     if queries.isEmpty():
         return spark.createDataFrame([], _OUT)
     index = build_index(vectors, dim, fit_vectors, leaf)
-    visits = calibrated(index, queries, k, recall)
-    last = len(visits) - 1
-    found = routes(index, queries, visits, last, k + 1)
-
-    tops = sorted(index.placed.groupBy(F.col("path")[0].alias("top")).count().collect())  # as many as leaves of the top tree
-    blocks, block, filled = [], 0, 0
-    for top, n in tops:  # neighbouring regions share a block; a large one has several
-        if filled and filled + n > BLOCK:
-            block, filled = block + 1, 0
-        parts = -(-n // BLOCK)
-        blocks.append((top, block, parts))
-        filled += n
-        if parts > 1:
-            block, filled = block + parts, 0
-    where = F.broadcast(spark.createDataFrame(blocks, "top long, block long, parts long"))
-    number = F.expr("block + pmod(xxhash64(region), parts)")
-    cand = index.placed.select("vid", "v", "region", F.col("path")[0].alias("top")).join(where, "top").withColumn("block", number)
-    region = staged(index.placed.select("region", F.col("path")[0].alias("top")).distinct())
-    probes = found.join(small_side(region), "region").join(where, "top").withColumn("block", number)
-    probes = staged(probes.groupBy("vid", "block").agg(F.collect_list("region").alias("regions")))
+    blocks, sizes = blocks_of(index)
+    probes = staged(routes(index, queries, calibrated(index, queries, k, recall), k + 1, blocks, sizes))
+    where = F.broadcast(spark.createDataFrame([(top, *b) for top, b in blocks.items()], "top long, first long, blocks long"))
+    cand = index.placed.select("vid", "v", "region", F.col("path")[0].alias("top")).join(where, "top")
+    cand = cand.select("vid", "v", "region", F.expr("first + region % blocks").alias("block"))
     parts = F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")
     parts = small_side(staged(probes.groupBy("block").agg(parts)))
-    cand = cand.drop("top", "parts").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cand = cand.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     probes = probes.join(parts, "block").join(queries, "vid").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).drop("parts")
 
     def block_pairs(c: pa.Table, q: pa.Table) -> pa.Table:
