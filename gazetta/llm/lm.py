@@ -1,330 +1,249 @@
-"""Language-model scoring: deleted interpolation of word n-grams, weights by expectation-maximisation."""
+"""Language-model scoring: deleted interpolation of word n-grams, weights by expectation-maximisation.
+
+Words and bigrams are 64-bit keys.  Tasks send each key's count once for each block of texts that has it, packed in arrays;
+the counts of a key meet in one task, and go back only to blocks where the corpus has more of it than the block itself.
+Nothing is cut: every word, context and bigram of the training rows counts, whatever the size of the corpus.
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Words of at least this share of the training tokens are looked up from a table sent to all tasks, which
-#: 1/share bounds; all others meet their counts in shuffles, where so rare a key makes no large group.
-CONTEXT_SHARE, CONTEXT_LEAST = 1e-6, 3
-#: The same for bigrams: at most 2,000,000 are sent.
-BIGRAM_SHARE, BIGRAM_LEAST = 5e-7, 2
 #: Buckets of context frequency, from 1, 4, 16, ... occurrences on; 0 is for contexts never seen.
 BUCKETS = 12
-#: The end of a text, a token no word can equal.
-END = xxhash.xxh64_intdigest(b"\n")
-_FLUSH = 2_000_000
-
+#: Bytes of text in a block, and keys in a bucket, about.
+BLOCK_BYTES, BUCKET_KEYS = 8_000_000, 2_000_000
+#: Bytes of text and tokens that a task works on at once, and words whose keys a Python worker keeps.
+_TEXT_BYTES, _FLUSH, _CACHE = 4_000_000, 2_000_000, 1_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_TOKENS = "doc_id long, train boolean, word array<long>, context array<long>, both array<long>"
 
-class Vocabulary(NamedTuple):
-    """Frequent words by hash (sorted) with their counts, and the corpus totals."""
 
-    name: str
-    hashes: np.ndarray
-    counts: np.ndarray
-    total: int
+class Totals(NamedTuple):
+    tokens: int
     distinct: int
 
 
-class Bigrams(NamedTuple):
-    """Frequent bigrams of frequent words."""
-
-    keys: np.ndarray  # sorted: context rank * number of words + word rank
-    counts: np.ndarray
-
-
-class Tokens(NamedTuple):
-    """The tokens of some texts on end; rank -1 is a word outside the vocabulary, ``rare`` those words' hashes in turn."""
-
-    docs: list
-    marks: list
-    sizes: np.ndarray
-    ranks: np.ndarray
-    contexts: np.ndarray
-    both: np.ndarray  # the bigram's count, 0 where it is not among the frequent ones
-    rare: np.ndarray
-
-    def owners(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-
-_loaded: dict = {"name": None}
-
+def words(text: str | None) -> list[bytes]:
+    """Words between [\\x20\\x09-\\x0D], A-Z in lower case; null is empty."""
+    return (text or "").encode().lower().split()
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
 
+_keys: dict[str, int] = {}
 
-def _ranks(vocabulary: Vocabulary) -> tuple[dict, dict]:
-    """Rank by hash, and by word for the words met so far; kept for the worker's next tasks."""
-    if _loaded["name"] != vocabulary.name:
-        by_hash = {int(h): i for i, h in enumerate(vocabulary.hashes)}
-        _loaded.update(name=vocabulary.name, by_hash=by_hash, by_word={})
-    return _loaded["by_hash"], _loaded["by_word"]
 
+def _key_of(word: str) -> int:
+    key = _keys.get(word)
+    if key is None:
+        if len(_keys) > _CACHE:
+            _keys.clear()
+        key = _keys[word] = xxhash.xxh64_intdigest(word.encode()) | 1
+    return key
 
-def words(text: str | None) -> list[bytes]:
-    """Words between [\\x20\\x09-\\x0D], A-Z in lower case; null is empty."""
-    return (text or "").encode().lower().split()
 
+#: The end of a text, a token no word can equal; words have odd keys, bigrams even ones.
+END = xxhash.xxh64_intdigest(b"\n") | 1
 
-def coded(text: str | None, vocabulary: Vocabulary) -> tuple[np.ndarray, list[int]]:
-    """Rank of each token, the end last, -1 for words outside the vocabulary; and the signed hashes of those."""
-    by_hash, by_word = _ranks(vocabulary)
-    own = words(text)
-    ranks = list(map(by_word.get, own))
-    rare = []
-    if None in ranks:
-        for i, r in enumerate(ranks):
-            if r is None:
-                h = _signed(xxhash.xxh64_intdigest(own[i]))
-                r = ranks[i] = by_hash.get(h, -1)
-                if r < 0:
-                    rare.append(h)
-                else:
-                    by_word[own[i]] = r
-    ranks.append(by_hash.get(_signed(END), -1))
-    if ranks[-1] < 0:
-        rare.append(_signed(END))
-    return np.array(ranks, np.int64), rare
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): how often each word of ``docs`` comes, and the end of a text once a row."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        ends = 0
+def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts on end, each text's end last; and how many tokens each text has."""
+    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(lower)
+    coded = split.flatten().dictionary_encode()
+    own = np.array([_key_of(w) if w else 0 for w in coded.dictionary.to_pylist()], np.uint64)
+    keys = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy(zero_copy_only=False))
+    real = keys != 0  # blanks at the ends of a text leave empty words
+    keys, owner = keys[real], owner[real]
+    sizes = np.bincount(owner, minlength=len(split)) + 1
+    out = np.full(len(keys) + len(split), END, np.uint64)
+    out[np.arange(len(keys)) + owner] = keys
+    return out, sizes
 
-        def flush() -> pa.RecordBatch:
-            h = [_signed(xxhash.xxh64_intdigest(w)) for w in held]
-            out = pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(held.values(), pa.int64())], names=["h", "n"])
-            held.clear()
-            return out
 
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.update(words(text))
-                ends += 1
-                if len(held) > _FLUSH // 2:
-                    yield flush()
-        if held:
-            yield flush()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(END)], pa.int64()), pa.array([ends], pa.int64())], names=["h", "n"])
+def pair_keys(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each token (a text's first follows the end) and the key of the two together."""
+    before = np.r_[np.uint64(END), keys[:-1]]
+    before[np.cumsum(sizes) - sizes] = np.uint64(END)
+    both = (before * _ODD) ^ (before >> np.uint64(29))
+    both = (both + keys) * np.uint64(0xD6E8FEB86659FD93)
+    return before, (both ^ (both >> np.uint64(32))) & ~np.uint64(1)
 
-    return docs.select("text").mapInArrow(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about _TEXT_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    number, start = np.cumsum(sizes) // _TEXT_BYTES, 0
+    for end in [*(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end
 
-def context_words(counts: DataFrame) -> Vocabulary:
-    """The frequent words; at most 1 / CONTEXT_SHARE reach the driver."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(CONTEXT_LEAST, CONTEXT_SHARE * total)
-    rows = counts.where((F.col("c") >= least) | (F.col("h") == _signed(END))).toPandas().sort_values("h")
-    return Vocabulary(uuid.uuid4().hex, rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), int(total), int(distinct))
 
+def _sums(n: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of ``by`` in order, and the sum of ``n`` of each."""
+    order = np.lexsort(by[::-1])
+    by, n = [c[order] for c in by], n[order]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return (*[c[first] for c in by], np.add.reduceat(n, first) if len(n) else n)
 
-def bucket_of(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(4 ** np.arange(BUCKETS), counts, side="right")
 
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, kind))
 
-def _pairs(ranks: np.ndarray, size: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context ranks (the first token follows the end), and bigram keys, -1 where either word is outside the vocabulary."""
-    context = np.r_[end, ranks[:-1]]
-    return context, np.where((context >= 0) & (ranks >= 0), context * size + ranks, -1)
 
+def key_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, blocks, counts): how many training tokens of a block are a word or bigram, 0 where only other rows have it.
 
-def count_bigrams(docs: DataFrame, vocabulary: Vocabulary) -> Bigrams:
-    """The frequent bigrams: pairs of frequent words over ``docs`` are counted, those of BIGRAM_SHARE or more reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    ``docs``: block, text, train.  A bucket holds a range of keys.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        size, end, held, n = len(v.hashes), _end(v), [], 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+            key, block, count = (np.concatenate(x) for x in zip(*held))
+            bucket = (key >> np.uint64(33)).astype(np.int64) * buckets >> 31
+            bucket, block, key, count = _sums(count, bucket, block, key)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            sizes = np.diff(np.r_[first, len(bucket)])
+            lists = (_lists(key.view(np.int64), sizes, pa.int64()), _lists(block, sizes, pa.int32()), _lists(count, sizes, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *lists], names=["bucket", "keys", "blocks", "counts"])
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                keys = _pairs(coded(text, v)[0], size, end)[1]
-                held.append(keys[keys >= 0])
-                n += len(held[-1])
-                if n > 4 * _FLUSH:
+            for part in _slices(batch):
+                keys, sizes = token_keys(part["text"])
+                taught = np.repeat(part["train"].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                of_block = np.repeat(part["block"].to_numpy().astype(np.int64), sizes)
+                for own in (keys, pair_keys(keys, sizes)[1]):
+                    block, key, count = _sums(taught, of_block, own)
+                    held.append((key, block, count))
+                    n += len(key)
+                if n > _FLUSH:
                     yield flush()
-                    held, n = [], 0
+                    held.clear()
+                    n = 0
         if n:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(of, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-    rows = counts.where(F.col("c") >= max(BIGRAM_LEAST, BIGRAM_SHARE * vocabulary.total)).toPandas().sort_values("key")
-    return Bigrams(rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64))
-
+    return docs.select("block", "text", "train").mapInArrow(of, "bucket int, keys array<long>, blocks array<int>, counts array<int>")
 
-def _end(v: Vocabulary) -> int:
-    at = int(np.searchsorted(v.hashes, _signed(END)))
-    return at if at < len(v.hashes) and v.hashes[at] == _signed(END) else -1
 
+def corpus_counts(counts: DataFrame) -> DataFrame:
+    """(block, keys, totals): to each block its keys of which the corpus has more than the block.
 
-def _bigram_counts(keys: np.ndarray, bigrams: Bigrams) -> np.ndarray:
-    if not len(bigrams.keys):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(bigrams.keys, keys), len(bigrams.keys) - 1)
-    return np.where(bigrams.keys[at] == keys, bigrams.counts[at], 0)
+    A row with block -1 a bucket has the numbers of distinct words and of tokens among the training words.
+    """
 
+    def of(rows):
+        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+        key, block, n = _sums(flat("counts").astype(np.int64), flat("keys").view(np.uint64), flat("blocks").astype(np.int64))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        total = np.add.reduceat(n, first)
+        is_word = (key[first] & np.uint64(1)).astype(bool) & (total > 0)
+        total = np.repeat(total, np.diff(np.r_[first, len(key)]))
+        more = total != n
+        order = np.argsort(block[more], kind="stable")
+        block, key, total, summary = block[more][order], key[more][order], total[more][order], [int(is_word.sum()), int(total[first][is_word].sum())]
+        at = np.flatnonzero(np.diff(np.r_[-2, block]))
+        sizes = np.diff(np.r_[at, len(block), len(block) + 2])
+        columns = (pa.array(np.r_[block[at], -1], pa.int32()), _lists(np.r_[key.view(np.int64), summary], sizes, pa.int64()))
+        return pa.table({"block": columns[0], "keys": columns[1], "totals": _lists(np.r_[total, 0, 0], sizes, pa.int64())})
 
-def tokens_of(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bigrams: Bigrams) -> Iterator[Tokens]:
-    size, end = len(vocabulary.hashes), _end(vocabulary)
+    return counts.groupBy("bucket").applyInArrow(of, "block int, keys array<long>, totals array<long>")
 
-    def together() -> Tokens:
-        docs, marks, ranks, rare = zip(*held)
-        sizes, every = np.array([len(r) for r in ranks]), np.concatenate(ranks)
-        contexts = np.r_[end, every[:-1]]
-        contexts[np.cumsum(sizes) - sizes] = end
-        seen = (every >= 0) & (contexts >= 0)
-        both = np.zeros(len(every), np.int64)
-        both[seen] = _bigram_counts(contexts[seen] * size + every[seen], bigrams)
-        return Tokens(list(docs), list(marks), sizes, every, contexts, both, np.array([h for x in rare for h in x], np.int64))
 
-    for batch in batches:
-        held, n = [], 0
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            held.append((doc, text_mark(text), *coded(text, vocabulary)))
-            n += len(held[-1][2])
-            if n > _FLUSH // 4:
-                yield together()
-                held, n = [], 0
-        if held:
-            yield together()
+def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc_id, train, word, context, both) of each row: how often the corpus has each token, its context and the two together.
 
+    A key that no other block has counts as often as the block's own training rows have it.
+    """
 
-def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64-bit keys of pairs of word hashes."""
-    return (contexts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)).view(np.int64)
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, total = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if right.num_rows:
+            known = right["keys"].combine_chunks().flatten().to_numpy().view(np.uint64)
+            total = right["totals"].combine_chunks().flatten().to_numpy()
+            order = np.argsort(known)
+            known, total = known[order], total[order]
+        if not left.num_rows:
+            return pa.table(dict(zip(("doc_id", "train", "word", "context", "both"), [pa.array([], pa.int64()), pa.array([], pa.bool_()), *[pa.array([], pa.list_(pa.int64()))] * 3])))
+        keys, sizes = token_keys(left["text"].combine_chunks())
+        before, pairs = pair_keys(keys, sizes)
+        taught = np.repeat(left["train"].to_numpy().astype(np.int64), sizes)
+
+        def count(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            distinct, number = np.unique(own, return_inverse=True)
+            n = np.bincount(number, taught, len(distinct)).astype(np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                n = np.where(known[at] == distinct, total[at], n)
+            return n, number
+
+        n, number = count(keys)
+        word = n[number]
+        context = np.r_[0, word[:-1]]
+        ends = np.cumsum(sizes) - sizes
+        context[ends] = word[ends + sizes - 1]  # a text's first token follows the end, whose count its own end has
+        n, number = count(pairs)
+        lists = [_lists(x, sizes, pa.int64()) for x in (word, context, n[number])]
+        return pa.table(dict(zip(("doc_id", "train", "word", "context", "both"), [left["doc_id"], left["train"], *lists])))
+
+    return docs.groupBy("block").cogroup(totals.where("block >= 0").groupBy("block")).applyInArrow(of, _TOKENS)
 
 
-_TRAIN, _RARE_CONTEXT, _RARE_WORD, _ROW = 1, 2, 4, 8
+def bucket_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(4 ** np.arange(BUCKETS), counts, side="right")
 
 
-def rare_tokens(docs: DataFrame, train: Column, vocabulary: Vocabulary, bigrams: Bigrams, counts: DataFrame) -> DataFrame:
-    """(doc_id, mark, train, c, context, both, n), staged: the tokens whose bigram is not among the frequent ones.
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Owner, word, context and pair counts of a batch's tokens."""
+    lists = [batch[c] for c in ("word", "context", "both")]
+    owner = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    return owner, *[x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
 
-    ``c``, ``context`` and ``both`` are the counts of the word, its context and the two together over all
-    training rows, 0 if never seen; ``n`` is how often the text has the two.  Equal bigrams meet in one task,
-    those of a rare context all together, so that their sums are these counts; only frequent contexts
-    come with their count and are dealt out by bigram.
-    ``mark`` tells rows of one doc_id but of different texts apart.  A row with n null stands for each row of ``docs``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, bigrams))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, b = shared.value
-        for batch in batches:
-            trains = iter(batch["train"].to_pylist())
-            for t in tokens_of([batch], v, b):
-                hashes = np.full(len(t.ranks), _signed(END), np.int64)
-                hashes[t.ranks >= 0] = v.hashes[t.ranks[t.ranks >= 0]]
-                hashes[t.ranks < 0] = t.rare
-                before = np.r_[_signed(END), hashes[:-1]]
-                before[np.cumsum(t.sizes) - t.sizes] = _signed(END)
-                keys = pair_keys(before, hashes)
-                owners, rest = t.owners(), np.flatnonzero(t.both == 0)
-                # a pair's occurrences within a text become one row
-                apart = keys[rest] ^ (owners[rest].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                _, first, n = np.unique(apart, return_index=True, return_counts=True)
-                at = rest[first]
-                own = np.array([m << 34 | bool(next(trains)) * _TRAIN for m in t.marks], np.int64)
-                meta = own[owners[at]] | n.astype(np.int64) << 4 | (t.contexts[at] < 0) * _RARE_CONTEXT | (t.ranks[at] < 0) * _RARE_WORD
-                known = np.r_[v.counts, 0]
-                context = np.where(t.contexts[at] < 0, before[at], known[t.contexts[at]])
-                word = np.where(t.ranks[at] < 0, hashes[at], known[t.ranks[at]])
-                rows = pair_keys(np.array([d or 0 for d in t.docs], np.int64), own)
-                docs_of = pa.array(t.docs, pa.int64())
-                doc = pa.concat_arrays([docs_of.take(pa.array(owners[at])), docs_of])
-                none = np.zeros(len(rows), np.int64)
-                sides = (np.r_[meta, own | _ROW], np.r_[keys[at], rows], np.r_[context, none], np.r_[word, none])
-                yield pa.RecordBatch.from_arrays([doc, *map(pa.array, sides)], names=["doc_id", "meta", "key", "context", "word"])
-
-    flag = lambda i: F.col("meta").bitwiseAND(i) != 0
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    rows = rows.mapInArrow(of, "doc_id long, meta long, key long, context long, word long")
-    rows = rows.withColumn("together", F.when(flag(_RARE_CONTEXT), F.col("context")).otherwise(F.col("key"))).repartition("together")
-    n = F.shiftright("meta", 4).bitwiseAND((1 << 30) - 1)
-    learnt = F.sum(F.when(flag(_TRAIN), n).otherwise(0))
-    rows = rows.withColumn("both", learnt.over(Window.partitionBy("together", "key")))
-    rows = rows.withColumn("alone", learnt.over(Window.partitionBy("together")))
-    rows = rows.select(
-        "doc_id", "meta", "word", "both",
-        F.when(flag(_RARE_CONTEXT), F.col("alone")).otherwise(F.col("context")).alias("context"),
-        F.when(flag(_RARE_WORD), F.col("word")).otherwise(F.col("key")).alias("h"),
-    )
-    return staged(
-        rows.join(counts, "h", "left").select(
-            "doc_id",
-            F.shiftright("meta", 34).alias("mark"),
-            flag(_TRAIN).alias("train"),
-            F.when(flag(_RARE_WORD), F.coalesce("c", F.lit(0))).otherwise(F.col("word")).alias("c"),
-            "context",
-            "both",
-            F.when(~flag(_ROW), n).alias("n"),
-        )
-    )
-
-
-def text_mark(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode()) & 0xFFFFFF
-
-
-def _bucket(context: Column) -> Column:
-    return sum(((context >= 4**i).cast("int") for i in range(BUCKETS)), F.lit(0))
-
-
-def held_out_cells(docs: DataFrame, rare: DataFrame, vocabulary: Vocabulary, bigrams: Bigrams) -> list:
+def held_out_cells(tokens: DataFrame, totals: Totals) -> list:
     """(bucket, n, p1, p2) rows: training tokens by context bucket, each with itself deleted from the counts.
 
     Like tokens share a cell of a grid over the logarithms of both counts, so that a few ten thousand
     cells stand for all tokens.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, bigrams))
     width = 128
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, b = shared.value
         sums = np.zeros((3, (BUCKETS + 1) * width * width))
-        for t in tokens_of(batches, v, b):
-            seen = t.both > 0
-            c, both, of_context = v.counts[t.ranks[seen]] - 1, t.both[seen] - 1, v.counts[t.contexts[seen]]
-            p1, p2 = c / max(1, v.total - 1), both / np.maximum(of_context - 1, 1)
-            cell = np.minimum(2 * np.log2(c + 1), width - 1).astype(np.int64)
-            cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
-            at = (bucket_of(of_context) * width + cell) * width + cell2
-            for i, w in enumerate((None, p1, p2)):
-                sums[i] += np.bincount(at, w, sums.shape[1])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                _, word, context, both = _flat(batch.slice(at, 500))
+                word, both, rest = word - 1, both - 1, np.maximum(context - 1, 1)
+                p1, p2 = word / max(1, totals.tokens - 1), both / rest
+                cell = np.minimum(2 * np.log2(word + 1), width - 1).astype(np.int64)
+                cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
+                number = (bucket_of(context) * width + cell) * width + cell2
+                for i, w in enumerate((None, p1, p2)):
+                    sums[i] += np.bincount(number, w, sums.shape[1])
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(s[at]) for s in sums)], names=["cell", "n", "p1", "p2"])
 
-    cells = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "cell long, n double, p1 double, p2 double")
+    cells = tokens.where("train").select("word", "context", "both").mapInArrow(of, "cell long, n double, p1 double, p2 double")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
-    out = [(r["cell"] // width**2, r["n"], r["p1"] / r["n"], r["p2"] / r["n"]) for r in cells.collect()]
-    c, both = F.greatest(F.col("c") - 1, F.lit(0)), F.greatest(F.col("both") - 1, F.lit(0))
-    p2 = both / F.greatest(F.col("context") - 1, F.lit(1))
-    size = F.floor(2 * F.log2(c + 1)).alias("size")
-    size2 = F.when(both > 0, F.floor(4 * F.log2(p2))).alias("size2")
-    few = rare.where("train AND n IS NOT NULL").groupBy(_bucket(F.col("context")).alias("bucket"), size, size2)
-    few = few.agg(F.sum("n").alias("n"), F.sum(F.col("n") * c.cast("double")).alias("s"), F.sum(F.col("n") * p2).alias("s2"))
-    return out + [(r["bucket"], float(r["n"]), r["s"] / r["n"] / max(1, vocabulary.total - 1), r["s2"] / r["n"]) for r in few.collect()]
+    return [(r["cell"] // width**2, r["n"], r["p1"] / r["n"], r["p2"] / r["n"]) for r in cells.collect()]
 
 
 def mixture_weights(cells: list, distinct: int, rounds: int = 60) -> np.ndarray:
@@ -343,57 +262,50 @@ def mixture_weights(cells: list, distinct: int, rounds: int = 60) -> np.ndarray:
     return weights
 
 
+def counted(docs: DataFrame, train: Column) -> tuple[DataFrame, Totals]:
+    """The tokens of ``docs`` with their counts over the rows where ``train`` holds (staged), and the corpus's totals."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    n_bytes = docs.agg(size).first()[0] or 1
+    blocks, buckets = math.ceil(n_bytes / BLOCK_BYTES), math.ceil(n_bytes / 3 / BUCKET_KEYS)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"), block.alias("block"))
+    totals = staged(corpus_counts(key_counts(rows, buckets)))
+    pair = totals.where("block = -1").agg(F.sum(F.col("keys")[0]), F.sum(F.col("keys")[1])).first()
+    return staged(counted_tokens(rows, totals)), Totals(int(pair[1] or 0), int(pair[0] or 0))
+
+
+def scored(tokens: DataFrame, totals: Totals, weights: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of counted tokens."""
+    n, v = totals
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                owner, word, context, both = _flat(part)
+                own = weights[bucket_of(context)]
+                p = own[:, 0] / (v + 1) + own[:, 1] * word / max(1, n) + own[:, 2] * both / np.maximum(context, 1)
+                sums = [np.bincount(owner, x, part.num_rows) for x in (None, word > 0, np.log10((word + 1) / (n + v + 1)), np.log10(p))]
+                columns = [part["doc_id"], sums[0], sums[1].astype(np.int64), np.full(part.num_rows, n), sums[2], sums[3]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return tokens.select("doc_id", "word", "context", "both").mapInArrow(of, schema)
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, learnt from rows where ``train`` holds.
 
     ``score`` is the log10 probability of the text and its end: each token has its bucket's mixture of the
     uniform share of 1/(V+1), the word's share of the training tokens and the bigram's share of its context.
-    ``base_score`` is the add-one word model.  Counts cover all training rows; the count of every word, context and
-    bigram is used.  Only the frequent ones are sent to tasks, the others meet their tokens in shuffles.
-    Null and empty texts are their end alone.  Repeated rows are scored alike.
+    ``base_score`` is the add-one word model.  The counts of all training rows count, of every word, context and bigram.
+    Null and empty texts are their end alone.  Repeated rows are scored alike, rows without an id too; with no training
+    row all counts are zero.  Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    teach = docs.where(train)
-    counts = staged(count_words(teach))
-    vocabulary = context_words(counts)
-    bigrams = count_bigrams(teach, vocabulary)
-    rare = rare_tokens(docs, train, vocabulary, bigrams, counts)
-    cells = held_out_cells(teach, rare, vocabulary, bigrams)
-    weights = mixture_weights(cells, vocabulary.distinct)
-    n, v = vocabulary.total, vocabulary.distinct
-    shared = spark.sparkContext.broadcast((vocabulary, bigrams, weights))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, pairs, w = shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "mark", "n_tokens", "known", "base", "own"]
-        for t in tokens_of(batches, vocab, pairs):
-            seen = t.both > 0
-            c, of_context, owners = vocab.counts[t.ranks[seen]], vocab.counts[t.contexts[seen]], t.owners()[seen]
-            mine = w[bucket_of(of_context)]
-            p = mine[:, 0] / (v + 1) + mine[:, 1] * c / max(1, n) + mine[:, 2] * t.both[seen] / of_context
-            per = [np.bincount(owners, x, len(t.docs)) for x in (None, np.log10((c + 1) / (n + v + 1)), np.log10(p))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((t.docs, t.marks, t.sizes, *per), kinds)], names=names)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, mark long, n_tokens long, known long, base double, own double")
-    own = F.element_at(F.array(*[F.array(*map(F.lit, map(float, x))) for x in weights]), _bucket(F.col("context")) + 1)
-    p = own[0] / F.lit(float(v + 1)) + own[1] * F.col("c") / F.lit(float(max(1, n))) + own[2] * F.col("both") / F.greatest("context", F.lit(1))
-    some = rare.groupBy("doc_id", "mark").agg(
-        F.count_if(F.col("n").isNull()).alias("alike"),
-        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).alias("rare_known"),
-        F.coalesce(F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))), F.lit(0.0)).alias("rare_base"),
-        F.coalesce(F.sum(F.col("n") * F.log10(p)), F.lit(0.0)).alias("rare_own"),
-    )
-    some = some.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
-    joined = rows.join(some, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")))
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.expr("rare_known div alike")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base") / F.col("alike")).alias("base_score"),
-        (F.col("own") + F.col("rare_own") / F.col("alike")).alias("score"),
-    )
+    tokens, totals = counted(docs, train)
+    return scored(tokens, totals, mixture_weights(held_out_cells(tokens, totals), totals.distinct))
 
 
 def is_held_out() -> Column:
@@ -401,6 +313,7 @@ def is_held_out() -> Column:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores; documents held out by the hash of their id teach nothing, those without an id teach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score(docs, F.coalesce(~is_held_out(), F.lit(True)))
     return out.withColumn("held_out", F.coalesce(is_held_out(), F.lit(False)))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from gazetta.llm import langid, lm, pii, toxicity
 from pyspark.sql import functions as F
 
@@ -96,34 +97,41 @@ def test_lm_of_odd_rows(spark, odd_docs, no_docs):
     assert all(r.n_known == 0 for r in lm.score(odd_docs, F.lit(False)).collect())
 
 
-def test_lm_uses_every_bigram_and_context(spark, monkeypatch):
-    rng = random.Random(1)
-    texts = {i: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30)) for i in range(60)}
-    texts[60] = "once seen pair"
-    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    train = F.coalesce(F.col("doc_id") % 4 != 3, F.lit(True))
-    one, two, n = Counter(), Counter(), 0
-    tokens = {d: lm.words(t) + [b"\n"] for d, t in texts.items()}
+def test_lm_tokens_as_words():
+    texts = [None, "", "  ", " A b\x0bC ", "É\x85é x", "a\x1cb \x1d c", "x" * 50, "\n\t z"]
+    keys, sizes = lm.token_keys(pa.array(texts, pa.string()))
+    want = [[lm._key_of(w.decode()) for w in lm.words(t)] + [lm.END] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and keys.tolist() == [k for w in want for k in w]
+
+
+def test_lm_is_the_plain_interpolation_of_all_counts(spark, monkeypatch):
+    """Small blocks and buckets, so that counts travel between many of them."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 5_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one, two, n, cells = Counter(), Counter(), 0, []
+    tokens = {r.doc_id: lm.words(r.text) + [b"\n"] for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
     for d, own in tokens.items():
-        if d % 4 != 3:
+        if not held[d]:
             one.update(own)
             two.update(zip([b"\n"] + own, own))
             n += len(own)
     bucket = lambda c: sum(c >= 4**i for i in range(lm.BUCKETS))
-    cells = []
     for (u, w), k in two.items():
         cells.append((bucket(one[u]), k, (one[w] - 1) / (n - 1), (k - 1) / max(one[u] - 1, 1)))
-    weights = lm.mixture_weights(cells, len(one))
-    # the cut at the shares is for speed alone: all counts are used, however many are sent to the tasks
-    for share in (lm.BIGRAM_SHARE, 1e-2, 1.0):
-        monkeypatch.setattr(lm, "CONTEXT_SHARE", share)
-        monkeypatch.setattr(lm, "BIGRAM_SHARE", share)
-        for r in lm.score(docs, train).collect():
-            own, score = tokens[r.doc_id], 0.0
-            for u, w in zip([b"\n"] + own, own):
-                a, b, c = weights[bucket(one[u])]
-                score += math.log10(a / (len(one) + 1) + b * one[w] / n + c * two[u, w] / max(one[u], 1))
-            assert math.isclose(r.score, score, rel_tol=0.01), (share, r, score)
+    found, totals = lm.counted(docs, ~lm.is_held_out())
+    assert totals == (n, len(one))
+    weights = lm.mixture_weights(lm.held_out_cells(found, totals), totals.distinct)
+    assert np.allclose(weights, lm.mixture_weights(cells, len(one)), atol=0.02)
+    rows = lm.scored(found, totals, weights).collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        own, score = tokens[r.doc_id], 0.0
+        for u, w in zip([b"\n"] + own, own):
+            a, b, c = weights[bucket(one[u])]
+            score += math.log10(a / (len(one) + 1) + b * one[w] / n + c * two[u, w] / max(one[u], 1))
+        assert math.isclose(r.score, score, rel_tol=1e-9)
 
 
 def test_em_finds_the_weights_that_made_the_data():
