@@ -58,6 +58,7 @@ END = xxhash.xxh64_intdigest(b"\n") | 1
 
 def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens of the texts on end, each text's end last; and how many tokens each text has."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower misreads slices
     lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().dictionary_encode()
