@@ -25,9 +25,11 @@ BUCKETS = 12
 #: Bytes of text in a block, and keys in a bucket, about.
 BLOCK_BYTES, BUCKET_KEYS = 8_000_000, 2_000_000
 #: Bytes of text and tokens that a task works on at once, and words whose keys a Python worker keeps.
-_TEXT_BYTES, _FLUSH, _CACHE = 4_000_000, 2_000_000, 1_000_000
+_TEXT_BYTES, _FLUSH, _CACHE = 2_000_000, 1_000_000, 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_TOKENS = "doc_id long, train boolean, word array<long>, context array<long>, both array<long>"
+_COUNTS = "bucket int, n int, keys binary, blocks binary, counts binary"
+_TOTALS = "block int, n int, keys binary, totals binary"
+_TOKENS = "doc_id long, train boolean, word array<long>, both array<long>"
 
 
 class Totals(NamedTuple):
@@ -73,13 +75,19 @@ def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def pair_keys(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context of each token (a text's first follows the end) and the key of the two together."""
-    before = np.r_[np.uint64(END), keys[:-1]]
-    before[np.cumsum(sizes) - sizes] = np.uint64(END)
-    both = (before * _ODD) ^ (before >> np.uint64(29))
-    both = (both + keys) * np.uint64(0xD6E8FEB86659FD93)
-    return before, (both ^ (both >> np.uint64(32))) & ~np.uint64(1)
+def before(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each token what its context has: a text's first token follows the end, as which its own last one serves."""
+    out, first = np.r_[x[:1], x[:-1]], np.cumsum(sizes) - sizes
+    out[first] = x[first + sizes - 1]
+    return out
+
+
+def pair_keys(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The key of each token together with its context."""
+    context = before(keys, sizes)
+    both = ((context * _ODD) ^ (context >> np.uint64(29))) + keys
+    both *= np.uint64(0xD6E8FEB86659FD93)
+    return (both ^ (both >> np.uint64(32))) & ~np.uint64(1)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -108,8 +116,21 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, kind))
 
 
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """The numbers byte by byte, all lowest bytes first, compressed; of rising ones the steps."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
 def key_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys, blocks, counts): how many training tokens of a block are a word or bigram, 0 where only other rows have it.
+    """(bucket, n, keys, blocks, counts), packed: how many training tokens of a block are a word or bigram, 0 where only other rows have it.
 
     ``docs``: block, text, train.  A bucket holds a range of keys.
     """
@@ -118,22 +139,21 @@ def key_counts(docs: DataFrame, buckets: int) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, block, count = (np.concatenate(x) for x in zip(*held))
+            key, block, count = _sums(*(np.concatenate(x) for x in zip(*held)))
             bucket = (key >> np.uint64(33)).astype(np.int64) * buckets >> 31
-            bucket, block, key, count = _sums(count, bucket, block, key)
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            sizes = np.diff(np.r_[first, len(bucket)])
-            lists = (_lists(key.view(np.int64), sizes, pa.int64()), _lists(block, sizes, pa.int32()), _lists(count, sizes, pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *lists], names=["bucket", "keys", "blocks", "counts"])
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist()
+            rows = [(int(bucket[a]), b - a, packed(key[a:b], True), packed(block[a:b]), packed(count[a:b].astype(np.int32))) for a, b in zip(at, at[1:])]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "n", "keys", "blocks", "counts"])
 
         for batch in batches:
             for part in _slices(batch):
                 keys, sizes = token_keys(part["text"])
-                taught = np.repeat(part["train"].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                of_block = np.repeat(part["block"].to_numpy().astype(np.int64), sizes)
-                for own in (keys, pair_keys(keys, sizes)[1]):
-                    block, key, count = _sums(taught, of_block, own)
-                    held.append((key, block, count))
+                taught = np.repeat(part["train"].to_numpy(zero_copy_only=False).astype(np.int32), sizes)
+                of_block = np.repeat(part["block"].to_numpy(), sizes)
+                for own in (keys, pair_keys(keys, sizes)):
+                    key, block, count = _sums(taught, own, of_block)
+                    held.append((count, key, block))
                     n += len(key)
                 if n > _FLUSH:
                     yield flush()
@@ -142,35 +162,33 @@ def key_counts(docs: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.select("block", "text", "train").mapInArrow(of, "bucket int, keys array<long>, blocks array<int>, counts array<int>")
+    return docs.select("block", "text", "train").mapInArrow(of, _COUNTS)
 
 
-def corpus_counts(counts: DataFrame) -> DataFrame:
-    """(block, keys, totals): to each block its keys of which the corpus has more than the block.
+def _column(rows: pa.Table, name: str, kind: type, rising: bool = False) -> np.ndarray:
+    return np.concatenate([unpacked(d, n, kind, rising) for d, n in zip(rows[name].to_pylist(), rows["n"].to_pylist())])
 
-    A row with block -1 a bucket has the numbers of distinct words and of tokens among the training words.
-    """
+
+def corpus_counts(counts: DataFrame) -> DataFrame:
+    """(block, n, keys, totals), packed: to each block its keys of which the corpus has more than the block."""
 
     def of(rows):
-        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
-        key, block, n = _sums(flat("counts").astype(np.int64), flat("keys").view(np.uint64), flat("blocks").astype(np.int64))
+        key, block, n = _sums(_column(rows, "counts", np.int32).astype(np.int64), _column(rows, "keys", np.uint64, True), _column(rows, "blocks", np.int32))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        total = np.add.reduceat(n, first)
-        is_word = (key[first] & np.uint64(1)).astype(bool) & (total > 0)
-        total = np.repeat(total, np.diff(np.r_[first, len(key)]))
+        total = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(key)]))
         more = total != n
         order = np.argsort(block[more], kind="stable")
-        block, key, total, summary = block[more][order], key[more][order], total[more][order], [int(is_word.sum()), int(total[first][is_word].sum())]
-        at = np.flatnonzero(np.diff(np.r_[-2, block]))
-        sizes = np.diff(np.r_[at, len(block), len(block) + 2])
-        columns = (pa.array(np.r_[block[at], -1], pa.int32()), _lists(np.r_[key.view(np.int64), summary], sizes, pa.int64()))
-        return pa.table({"block": columns[0], "keys": columns[1], "totals": _lists(np.r_[total, 0, 0], sizes, pa.int64())})
+        block, key, total = block[more][order], key[more][order], total[more][order]
+        at = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+        out = [(int(block[a]), b - a, packed(key[a:b], True), packed(total[a:b])) for a, b in zip(at, at[1:])]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table(dict(zip(("block", "n", "keys", "totals"), [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)])))
 
-    return counts.groupBy("bucket").applyInArrow(of, "block int, keys array<long>, totals array<long>")
+    return counts.groupBy("bucket").applyInArrow(of, _TOTALS)
 
 
 def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
-    """(doc_id, train, word, context, both) of each row: how often the corpus has each token, its context and the two together.
+    """(doc_id, train, word, both) of each row: how often the corpus has each token, and it together with its context.
 
     A key that no other block has counts as often as the block's own training rows have it.
     """
@@ -178,34 +196,25 @@ def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         known, total = np.empty(0, np.uint64), np.empty(0, np.int64)
         if right.num_rows:
-            known = right["keys"].combine_chunks().flatten().to_numpy().view(np.uint64)
-            total = right["totals"].combine_chunks().flatten().to_numpy()
+            known, total = _column(right, "keys", np.uint64, True), _column(right, "totals", np.int64)
             order = np.argsort(known)
             known, total = known[order], total[order]
         if not left.num_rows:
-            return pa.table(dict(zip(("doc_id", "train", "word", "context", "both"), [pa.array([], pa.int64()), pa.array([], pa.bool_()), *[pa.array([], pa.list_(pa.int64()))] * 3])))
+            return pa.table(dict(zip(("doc_id", "train", "word", "both"), [pa.array([], pa.int64()), pa.array([], pa.bool_()), *[pa.array([], pa.list_(pa.int64()))] * 2])))
         keys, sizes = token_keys(left["text"].combine_chunks())
-        before, pairs = pair_keys(keys, sizes)
         taught = np.repeat(left["train"].to_numpy().astype(np.int64), sizes)
 
-        def count(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def count(own: np.ndarray) -> pa.ListArray:
             distinct, number = np.unique(own, return_inverse=True)
             n = np.bincount(number, taught, len(distinct)).astype(np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
                 n = np.where(known[at] == distinct, total[at], n)
-            return n, number
+            return _lists(n[number], sizes, pa.int64())
 
-        n, number = count(keys)
-        word = n[number]
-        context = np.r_[0, word[:-1]]
-        ends = np.cumsum(sizes) - sizes
-        context[ends] = word[ends + sizes - 1]  # a text's first token follows the end, whose count its own end has
-        n, number = count(pairs)
-        lists = [_lists(x, sizes, pa.int64()) for x in (word, context, n[number])]
-        return pa.table(dict(zip(("doc_id", "train", "word", "context", "both"), [left["doc_id"], left["train"], *lists])))
+        return pa.table(dict(zip(("doc_id", "train", "word", "both"), [left["doc_id"], left["train"], count(keys), count(pair_keys(keys, sizes))])))
 
-    return docs.groupBy("block").cogroup(totals.where("block >= 0").groupBy("block")).applyInArrow(of, _TOKENS)
+    return docs.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(of, _TOKENS)
 
 
 def bucket_of(counts: np.ndarray) -> np.ndarray:
@@ -214,37 +223,42 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Owner, word, context and pair counts of a batch's tokens."""
-    lists = [batch[c] for c in ("word", "context", "both")]
-    owner = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    return owner, *[x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    sizes = batch["word"].value_lengths().to_numpy(zero_copy_only=False)
+    word, both = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("word", "both"))
+    return np.repeat(np.arange(batch.num_rows), sizes), word, before(word, sizes), both
 
 
-def held_out_cells(tokens: DataFrame, totals: Totals) -> list:
-    """(bucket, n, p1, p2) rows: training tokens by context bucket, each with itself deleted from the counts.
+def held_out_cells(tokens: DataFrame) -> tuple[list, Totals]:
+    """(bucket, n, p1, p2) rows: training tokens by context bucket, each with itself deleted from the counts; and the totals.
 
     Like tokens share a cell of a grid over the logarithms of both counts, so that a few ten thousand
-    cells stand for all tokens.
+    cells stand for all tokens.  A word of c tokens counts 1/c for each: their sum is the number of distinct words.
     """
     width = 128
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, (BUCKETS + 1) * width * width))
+        sums, distinct = np.zeros((3, (BUCKETS + 1) * width * width)), 0.0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 _, word, context, both = _flat(batch.slice(at, 500))
+                distinct += float((1 / word).sum())
                 word, both, rest = word - 1, both - 1, np.maximum(context - 1, 1)
-                p1, p2 = word / max(1, totals.tokens - 1), both / rest
+                p2 = both / rest
                 cell = np.minimum(2 * np.log2(word + 1), width - 1).astype(np.int64)
                 cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
                 number = (bucket_of(context) * width + cell) * width + cell2
-                for i, w in enumerate((None, p1, p2)):
+                for i, w in enumerate((None, word, p2)):
                     sums[i] += np.bincount(number, w, sums.shape[1])
         at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(s[at]) for s in sums)], names=["cell", "n", "p1", "p2"])
+        columns = [np.r_[at, -1], *(np.r_[s[at], x] for s, x in zip(sums, (sums[0].sum(), distinct, 0.0)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "n", "rest", "p2"])
 
-    cells = tokens.where("train").select("word", "context", "both").mapInArrow(of, "cell long, n double, p1 double, p2 double")
-    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
-    return [(r["cell"] // width**2, r["n"], r["p1"] / r["n"], r["p2"] / r["n"]) for r in cells.collect()]
+    cells = tokens.where("train").select("word", "both").mapInArrow(of, "cell long, n double, rest double, p2 double")
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.sum("p2").alias("p2")).collect()
+    whole = next((r for r in cells if r["cell"] < 0), {"n": 0, "rest": 0})
+    totals = Totals(round(whole["n"]), round(whole["rest"]))
+    cells = sorted(r for r in cells if r["cell"] >= 0)
+    return [(r["cell"] // width**2, r["n"], r["rest"] / r["n"] / max(1, totals.tokens - 1), r["p2"] / r["n"]) for r in cells], totals
 
 
 def mixture_weights(cells: list, distinct: int, rounds: int = 60) -> np.ndarray:
@@ -263,16 +277,13 @@ def mixture_weights(cells: list, distinct: int, rounds: int = 60) -> np.ndarray:
     return weights
 
 
-def counted(docs: DataFrame, train: Column) -> tuple[DataFrame, Totals]:
-    """The tokens of ``docs`` with their counts over the rows where ``train`` holds (staged), and the corpus's totals."""
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
-    n_bytes = docs.agg(size).first()[0] or 1
+def counted(docs: DataFrame, train: Column) -> DataFrame:
+    """The tokens of ``docs`` with their counts over the rows where ``train`` holds, staged."""
+    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
     blocks, buckets = math.ceil(n_bytes / BLOCK_BYTES), math.ceil(n_bytes / 3 / BUCKET_KEYS)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"), block.alias("block"))
-    totals = staged(corpus_counts(key_counts(rows, buckets)))
-    pair = totals.where("block = -1").agg(F.sum(F.col("keys")[0]), F.sum(F.col("keys")[1])).first()
-    return staged(counted_tokens(rows, totals)), Totals(int(pair[1] or 0), int(pair[0] or 0))
+    return staged(counted_tokens(rows, staged(corpus_counts(key_counts(rows, buckets)))))
 
 
 def scored(tokens: DataFrame, totals: Totals, weights: np.ndarray) -> DataFrame:
@@ -293,7 +304,7 @@ def scored(tokens: DataFrame, totals: Totals, weights: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tokens.select("doc_id", "word", "context", "both").mapInArrow(of, schema)
+    return tokens.select("doc_id", "word", "both").mapInArrow(of, schema)
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -305,8 +316,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     Null and empty texts are their end alone.  Repeated rows are scored alike, rows without an id too; with no training
     row all counts are zero.  Other columns are not read; an empty table gives no rows.
     """
-    tokens, totals = counted(docs, train)
-    return scored(tokens, totals, mixture_weights(held_out_cells(tokens, totals), totals.distinct))
+    tokens = counted(docs, train)
+    cells, totals = held_out_cells(tokens)
+    return scored(tokens, totals, mixture_weights(cells, totals.distinct))
 
 
 def is_held_out() -> Column:

@@ -120,9 +120,10 @@ def test_lm_is_the_plain_interpolation_of_all_counts(spark, monkeypatch):
     bucket = lambda c: sum(c >= 4**i for i in range(lm.BUCKETS))
     for (u, w), k in two.items():
         cells.append((bucket(one[u]), k, (one[w] - 1) / (n - 1), (k - 1) / max(one[u] - 1, 1)))
-    found, totals = lm.counted(docs, ~lm.is_held_out())
+    found = lm.counted(docs, ~lm.is_held_out())
+    grid, totals = lm.held_out_cells(found)
     assert totals == (n, len(one))
-    weights = lm.mixture_weights(lm.held_out_cells(found, totals), totals.distinct)
+    weights = lm.mixture_weights(grid, totals.distinct)
     assert np.allclose(weights, lm.mixture_weights(cells, len(one)), atol=0.02)
     rows = lm.scored(found, totals, weights).collect()
     assert len(rows) == len(tokens)
