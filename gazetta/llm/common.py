@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a two- or three-column side that may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 200_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts lineage: a lost executor costs its unfinished tasks, not the work before.
+    Cuts lineage: a lost executor costs its unfinished tasks, not the work before.  What the write shuffled is
+    removed at its end, so that the disk holds one step's shuffles at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
