@@ -24,12 +24,12 @@ from .common import staged
 BUCKETS = 12
 #: Bytes of text in a block, and keys in a bucket, about.
 BLOCK_BYTES, BUCKET_KEYS = 8_000_000, 2_000_000
-#: Bytes of text and tokens that a task works on at once, and words whose keys a Python worker keeps.
-_TEXT_BYTES, _FLUSH, _CACHE = 2_000_000, 1_000_000, 300_000
+#: Bytes of text, keys and counted tokens that a task works on at once, and words whose keys a Python worker keeps.
+_TEXT_BYTES, _FLUSH, _CHUNK, _CACHE = 2_000_000, 1_000_000, 250_000, 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = "bucket int, n int, keys binary, blocks binary, counts binary"
 _TOTALS = "block int, n int, keys binary, totals binary"
-_TOKENS = "doc_id long, train boolean, word array<long>, both array<long>"
+_TOKENS = "docs array<long>, trains array<boolean>, n int, sizes binary, word binary, both binary"
 
 
 class Totals(NamedTuple):
@@ -112,10 +112,6 @@ def _sums(n: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*[c[first] for c in by], np.add.reduceat(n, first) if len(n) else n)
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, kind))
-
-
 def packed(x: np.ndarray, rising: bool = False) -> bytes:
     """The numbers byte by byte, all lowest bytes first, compressed; of rising ones the steps."""
     x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
@@ -188,11 +184,14 @@ def corpus_counts(counts: DataFrame) -> DataFrame:
 
 
 def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
-    """(doc_id, train, word, both) of each row: how often the corpus has each token, and it together with its context.
+    """(docs, trains, n, sizes, word, both), packed, of some rows together: how often the corpus has each token, and it together with its context.
 
     A key that no other block has counts as often as the block's own training rows have it.
     """
 
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    none = pa.schema(list(zip(("docs", "trains", "n", "sizes", "word", "both"), kinds))).empty_table()
+
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         known, total = np.empty(0, np.uint64), np.empty(0, np.int64)
         if right.num_rows:
@@ -200,19 +199,25 @@ def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
             order = np.argsort(known)
             known, total = known[order], total[order]
         if not left.num_rows:
-            return pa.table(dict(zip(("doc_id", "train", "word", "both"), [pa.array([], pa.int64()), pa.array([], pa.bool_()), *[pa.array([], pa.list_(pa.int64()))] * 2])))
+            return none
         keys, sizes = token_keys(left["text"].combine_chunks())
         taught = np.repeat(left["train"].to_numpy().astype(np.int64), sizes)
 
-        def count(own: np.ndarray) -> pa.ListArray:
+        def count(own: np.ndarray) -> np.ndarray:
             distinct, number = np.unique(own, return_inverse=True)
             n = np.bincount(number, taught, len(distinct)).astype(np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
                 n = np.where(known[at] == distinct, total[at], n)
-            return _lists(n[number], sizes, pa.int64())
+            return n[number]
 
-        return pa.table(dict(zip(("doc_id", "train", "word", "both"), [left["doc_id"], left["train"], count(keys), count(pair_keys(keys, sizes))])))
+        word, both, end = count(keys), count(pair_keys(keys, sizes)), np.r_[0, np.cumsum(sizes)]
+        docs, trains, rows = left["doc_id"].to_pylist(), left["train"].to_pylist(), []
+        cuts = [0, *(np.flatnonzero(np.diff(end[1:] // _CHUNK)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            some = slice(end[a], end[b])
+            rows.append((docs[a:b], trains[a:b], int(end[b] - end[a]), packed(sizes[a:b]), packed(word[some]), packed(both[some])))
+        return pa.table(dict(zip(none.column_names, [pa.array(c, k) for c, k in zip(zip(*rows), none.schema.types)])))
 
     return docs.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(of, _TOKENS)
 
@@ -221,11 +226,14 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(4 ** np.arange(BUCKETS), counts, side="right")
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Owner, word, context and pair counts of a batch's tokens."""
-    sizes = batch["word"].value_lengths().to_numpy(zero_copy_only=False)
-    word, both = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("word", "both"))
-    return np.repeat(np.arange(batch.num_rows), sizes), word, before(word, sizes), both
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Docs, trains, sizes, and the word, context and pair counts of the tokens, of some texts at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs, trains, n, sizes, word, both = (batch[c][i].as_py() for c in ("docs", "trains", "n", "sizes", "word", "both"))
+            sizes = unpacked(sizes, len(docs), np.int64)
+            word, both = unpacked(word, n, np.int64), unpacked(both, n, np.int64)
+            yield docs, np.array(trains, bool), sizes, word, before(word, sizes), both
 
 
 def held_out_cells(tokens: DataFrame) -> tuple[list, Totals]:
@@ -238,22 +246,21 @@ def held_out_cells(tokens: DataFrame) -> tuple[list, Totals]:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, distinct = np.zeros((3, (BUCKETS + 1) * width * width)), 0.0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                _, word, context, both = _flat(batch.slice(at, 500))
-                distinct += float((1 / word).sum())
-                word, both, rest = word - 1, both - 1, np.maximum(context - 1, 1)
-                p2 = both / rest
-                cell = np.minimum(2 * np.log2(word + 1), width - 1).astype(np.int64)
-                cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
-                number = (bucket_of(context) * width + cell) * width + cell2
-                for i, w in enumerate((None, word, p2)):
-                    sums[i] += np.bincount(number, w, sums.shape[1])
+        for _, trains, sizes, *tokens in _chunks(batches):
+            word, context, both = (x[np.repeat(trains, sizes)] for x in tokens)
+            distinct += float((1 / word).sum())
+            word, both, rest = word - 1, both - 1, np.maximum(context - 1, 1)
+            p2 = both / rest
+            cell = np.minimum(2 * np.log2(word + 1), width - 1).astype(np.int64)
+            cell2 = np.where(both > 0, np.clip(width - 1 + 4 * np.log2(np.maximum(p2, 1e-12)), 1, width - 1), 0).astype(np.int64)
+            number = (bucket_of(context) * width + cell) * width + cell2
+            for i, w in enumerate((None, word, p2)):
+                sums[i] += np.bincount(number, w, sums.shape[1])
         at = np.flatnonzero(sums[0])
         columns = [np.r_[at, -1], *(np.r_[s[at], x] for s, x in zip(sums, (sums[0].sum(), distinct, 0.0)))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "n", "rest", "p2"])
 
-    cells = tokens.where("train").select("word", "both").mapInArrow(of, "cell long, n double, rest double, p2 double")
+    cells = tokens.mapInArrow(of, "cell long, n double, rest double, p2 double")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.sum("p2").alias("p2")).collect()
     whole = next((r for r in cells if r["cell"] < 0), {"n": 0, "rest": 0})
     totals = Totals(round(whole["n"]), round(whole["rest"]))
@@ -293,18 +300,15 @@ def scored(tokens: DataFrame, totals: Totals, weights: np.ndarray) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                owner, word, context, both = _flat(part)
-                own = weights[bucket_of(context)]
-                p = own[:, 0] / (v + 1) + own[:, 1] * word / max(1, n) + own[:, 2] * both / np.maximum(context, 1)
-                sums = [np.bincount(owner, x, part.num_rows) for x in (None, word > 0, np.log10((word + 1) / (n + v + 1)), np.log10(p))]
-                columns = [part["doc_id"], sums[0], sums[1].astype(np.int64), np.full(part.num_rows, n), sums[2], sums[3]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        for docs, _, sizes, word, context, both in _chunks(batches):
+            owner, own = np.repeat(np.arange(len(docs)), sizes), weights[bucket_of(context)]
+            p = own[:, 0] / (v + 1) + own[:, 1] * word / max(1, n) + own[:, 2] * both / np.maximum(context, 1)
+            known, base, score = (np.bincount(owner, x, len(docs)) for x in (word > 0, np.log10((word + 1) / (n + v + 1)), np.log10(p)))
+            columns = [docs, sizes, known.astype(np.int64), np.full(len(docs), n), base, score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tokens.select("doc_id", "word", "both").mapInArrow(of, schema)
+    return tokens.mapInArrow(of, schema)
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
