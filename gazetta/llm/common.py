@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a two- or three-column side that may be broadcast (about 16 bytes a row).
@@ -14,15 +13,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset, one of our own."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, as in tests, one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -71,17 +64,63 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns: rows that share doc_id and key are the same row repeated."""
+    return F.xxhash64(*docs.columns)
+
+
+def same(a: str, b: str, *columns: str) -> Column:
+    """The columns of two aliased tables agree, nulls with nulls."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, row_key; staged) names, once each however often they are repeated."""
+    keyed = docs.withColumn("row_key", row_key(docs))
+    often = kept.groupBy("doc_id", "row_key").agg(F.count("*").alias("n"))
+    out = keyed.alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "row_key"), "left_semi")
+    again = often.where("n > 1")
+    if not again.isEmpty():
+        twice = same("d", "k", "doc_id", "row_key")
+        once = out.alias("d").join(again.alias("k"), twice, "left_anti")
+        out = once.unionByName(out.alias("d").join(again.alias("k"), twice, "left_semi").dropDuplicates(["doc_id", "row_key"]))
+    return out.select(docs.columns)
+
+
+#: A key with more rows is hot; there are no more hot keys than the number of rows over this.
+HOT = 100_000
+
+
+def join_once(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Join on a key that ``table`` has once and rows may have any share of.
+
+    The keys in ``hot`` (staged) meet their rows where these are, the others in a shuffle.
+    """
+    if hot.isEmpty():
+        return rows.join(table, key)
+    few = small_side(hot.select(key))
+    often = rows.join(few, key, "left_semi").join(small_side(staged(table.join(few, key, "left_semi"))), key)
+    return often.unionByName(rows.join(few, key, "left_anti").join(table, key))
+
+
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, hot: int = HOT) -> DataFrame:
     """Connected components: (id, component), component being the smallest id reachable.
 
     ``nodes`` has column ``id`` (long, distinct), ``edges`` columns ``a`` and ``b``.
-    Alternates large-star and small-star steps, each an aggregate and a join on the
-    node; a node with very many neighbours is one aggregated row joined to its edges,
-    which adaptive execution may split.  Each round is staged; the rounds end when every
-    component is a star about its smallest id.
+    Alternates large-star and small-star steps, each an aggregate and a join on the node; nodes with over ``hot``
+    neighbours are joined where their edges are.  Each round is staged; the rounds end when every component is a
+    star about its smallest id.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = staged(edges.distinct())
+
+    def least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        out = staged(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        return out.select("a", "m"), out.where(F.col("n") > hot)
+
     for _ in range(max_rounds):
         ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -89,10 +128,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         if ends.where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             break
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("a", "b", "m")
+        lowest, many = least(both)
+        large = join_once(both, lowest.withColumn("m", F.least("a", "m")), "a", many)
+        large = staged(large.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        lowest, many = least(large)
+        small = join_once(large, lowest, "a", many)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = staged(small.where("a <> b").distinct())
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranked, small_side, staged
+from .common import ranked, row_key, same, small_side, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -71,7 +71,7 @@ def _split_group(rows: pd.DataFrame, by_group: dict[int, list[int]], seed: int)
 
 def _fill_boundary(rows: pd.DataFrame) -> pd.DataFrame:
     """Whole documents in the order drawn, whenever they fit; the first that does not is cut to what is left."""
-    rows = rows.sort_values(["order", "doc_id", "size"], kind="stable")
+    rows = rows.sort_values(["order", "doc_id", "row_key", "size"], kind="stable")
     left, taken = int(rows["left"].iloc[0]), []
     for n in rows["size"]:
         taken.append(n if n <= left else 0)
@@ -80,7 +80,7 @@ def _fill_boundary(rows: pd.DataFrame) -> pd.DataFrame:
         if left and not taken[at] and n:
             taken[at] = left
             break
-    return rows.assign(part=np.array(taken, dtype=np.int64))[["rank", "block", "doc_id", "size", "part"]]
+    return rows.assign(part=np.array(taken, dtype=np.int64))[["rank", "block", "doc_id", "row_key", "size", "part"]]
 
 
 def mix_plan(rows: DataFrame, shards: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -129,17 +129,18 @@ def mix_plan(rows: DataFrame, shards: int, block_words: int, seed: int) -> tuple
 def with_block(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Append each row's source's columns and its block."""
     named = small_side(sources.withColumnRenamed("source", "__source"))
-    block = F.expr(f"pmod(xxhash64(doc_id, {seed}), blocks)")
+    block = F.expr(f"pmod(xxhash64(doc_id, row_key, {seed}), blocks)")
     return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", block).drop("__source")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size), staged."""
-    return staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    """(doc_id, row_key, source, size), staged; ``row_key`` tells rows of one doc_id apart."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return staged(docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "source", size.alias("size")))
 
 
 def mixed(rows: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, size; staged) to doc_id, size, source_size, target, placements.
+    """``rows`` (doc_id, row_key, source, size; staged) to doc_id, row_key, size, source_size, target, placements.
 
     ``placements``: array of (epoch, shard, words), one for each time that the mix takes
     the document; words are its size but for at most one document of each source, which is cut.
@@ -149,11 +150,11 @@ def mixed(rows: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
     plan = small_side(plan)
     placed = with_block(rows, sources.select("source", "rank", "blocks"), seed).join(plan, ["rank", "block"])
     cut = placed.where("cut IS NOT NULL").withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1)))
-    cut = cut.select("rank", "block", "doc_id", "size", "left", "order").groupBy("rank")
-    cut = cut.applyInPandas(_fill_boundary, "rank long, block long, doc_id long, size long, part long")
+    cut = cut.select("rank", "block", "doc_id", "row_key", "size", "left", "order").groupBy("rank")
+    cut = cut.applyInPandas(_fill_boundary, "rank long, block long, doc_id long, row_key long, size long, part long")
     whole = F.transform("whole", lambda x: F.struct(x.epoch.alias("epoch"), x.shard.alias("shard"), F.col("size").alias("words")))
     last = F.struct(F.col("cut.epoch").alias("epoch"), F.col("cut.shard").alias("shard"), F.col("part").alias("words"))
-    names = ["rank", "doc_id", "size", F.filter("placements", lambda x: x.words > 0).alias("placements")]
+    names = ["rank", "doc_id", "row_key", "size", F.filter("placements", lambda x: x.words > 0).alias("placements")]
     done = placed.where("cut IS NULL").withColumn("placements", whole).select(names)
     cut = cut.join(plan, ["rank", "block"])
     cut = cut.withColumn("placements", F.when(F.col("part") > 0, F.concat(whole, F.array(last))).otherwise(whole)).select(names)
@@ -164,21 +165,34 @@ def mixed(rows: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
 def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken, by shards, shuffled within each slice of a shard.
 
-    Large shards are dealt over several tasks, a slice each.  ``docs`` has one row a doc_id; a document taken in part keeps its first words.
+    Large shards are dealt over several tasks, a slice each.  Rows are told apart by their id and a hash of all columns, so
+    rows without an id and rows that share one are taken each for itself; the same row repeated is taken as often as all of
+    its repeats are.  A document taken in part keeps its first words.  Texts without words are never taken.
     """
-    taken = staged(mixed(word_counts(docs), shards, block_words, seed).select("doc_id", "size", F.explode("placements").alias("__p")))
+    taken = mixed(word_counts(docs), shards, block_words, seed).where(F.size("placements") > 0)
+    taken = staged(taken.groupBy("doc_id", "row_key", "size").agg(F.flatten(F.collect_list("placements")).alias("__p"), F.count("*").alias("__n")))
+    keyed = docs.withColumn("row_key", row_key(docs))
+    names = [c for c in docs.columns]
+    wanted = taken.withColumnsRenamed({"size": "__size"})
+    joined = keyed.alias("d").join(wanted.alias("t"), same("d", "t", "doc_id", "row_key")).select(*[F.col(f"d.{c}") for c in names], F.col("d.row_key").alias("__key"), "__size", "__p", "__n")
+    once = joined.where("__n = 1")
+    again = taken.where("__n > 1")
+    if not again.isEmpty():
+        once = once.unionByName(joined.where("__n > 1").dropDuplicates(["doc_id", "__key"]))
+    out = once.withColumn("__p", F.explode("__p"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__p.words").cast("int")), " ")
-    out = docs.join(taken.withColumnRenamed("size", "__size"), "doc_id").withColumn(
-        "text", F.when(F.col("__p.words") < F.col("__size"), some).otherwise(F.col("text"))
-    )
-    order = F.xxhash64("doc_id", "__p.epoch", F.lit(seed + 2))
-    words = taken.agg(F.sum("__p.words")).first()[0] or 0
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), F.lit(-(-words // (shards * SLICE_WORDS)) or 1))
-    return out.repartition("__p.shard", part).sortWithinPartitions("__p.shard", part, order).select(docs.columns)
+    out = out.withColumn("text", F.when(F.col("__p.words") < F.col("__size"), some).otherwise(F.col("text")))
+    order = F.xxhash64("__key", "__p.epoch", F.lit(seed + 2))
+    words = taken.agg(F.sum(F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: a + x.words))).first()[0] or 0
+    part = F.pmod(F.xxhash64("__key", F.lit(seed + 3)), F.lit(-(-words // (shards * SLICE_WORDS)) or 1))
+    return out.repartition("__p.shard", part).sortWithinPartitions("__p.shard", part, order).select(names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document; null text has size 0."""
+    """doc_id, size, source_size, target, taken for every document, and where the splitting tree placed it; null text has size 0.
+
+    ``placements``: array of (epoch, shard, words); rows of one doc_id come each for itself.
+    """
     out = mixed(word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, x: a + x.words)
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "placements")

@@ -11,14 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import HOT, components, join_once, keep_rows, row_key, small_side, staged
 
 DISTANCE = 2
 SHINGLE = 3
 #: The embedding counts bits in 32 segments of two.
 SEGMENTS = 32
-#: Cells with more fingerprints are linked by one-bit neighbours instead of pair by pair.
+#: Cells with more fingerprints are cut again by a second grid.
 PAIR_CELL = 32
+#: Blocks of the second grid.
+TURNED_BLOCKS = 8
 _EVEN = 0x5555555555555555
 _PART = 100_000
 
@@ -43,16 +45,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, row_key, fp): fp is the fingerprint as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 fp = np.array([fingerprint(t) for t in part["text"].to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_key"], pa.array(fp)], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text")
+    return rows.mapInArrow(of, "doc_id long, row_key long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -86,64 +89,65 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grid_cells(nodes: DataFrame, blocks: int) -> DataFrame:
-    """(fp, id, cell, key): the cells of each fingerprint, one for each choice of the blocks that must agree."""
+def _cells(fp: Column, blocks: int) -> Column:
+    """An array of (cell, key): one for each choice of the blocks of the embedding that need not agree."""
     edge = [2 * (SEGMENTS * i // blocks) for i in range(blocks + 1)]
     mask = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(blocks)]
-    e = embedding(F.col("fp"))
-    keys = [
+    e = embedding(fp)
+    return F.array(*[
         F.struct(F.lit(k).alias("cell"), e.bitwiseAND(_signed(sum(mask[i] for i in range(blocks) if i not in free))).alias("key"))
         for k, free in enumerate(combinations(range(blocks), DISTANCE))
-    ]
-    return nodes.select("fp", "id", F.explode(F.array(*keys)).alias("c")).select("fp", "id", "c.cell", "c.key")
+    ])
+
+
+def turned(fp: Column) -> Column:
+    """The fingerprint turned by one bit: its segments then lie across those of the first grid."""
+    return F.shiftleft(fp, 1).bitwiseOR(F.shiftrightunsigned(fp, 63))
 
 
 def links(nodes: DataFrame, pair_cell: int = PAIR_CELL) -> DataFrame:
-    """Edges (a, b) between ids that connect exactly the fingerprints that links of Hamming distance 2 or less do.
+    """Edges (a, b) between ids of fingerprints whose Hamming distance is 2 or less.
 
-    ``nodes``: distinct fp with id, staged.  In small cells every pair is tested, by Manhattan distance and then
-    exactly.  In cells of more than ``pair_cell`` fingerprints (their number could grow with its square) two fingerprints
-    are joined where they share a one-bit neighbour, which holds just if their distance is 2 or less.
+    ``nodes``: distinct fp with id, staged.  Fingerprints so near share a cell of the grid over their embeddings.  A cell of more
+    than ``pair_cell`` of them is cut by the grid over the turned fingerprints, of which they share a cell too: both embeddings
+    together leave little of a fingerprint open, however many a cell had.  Pairs are tested by the Manhattan
+    distance of their embeddings and then exactly.
     """
-    cells = grid_cells(nodes, blocks_for(nodes.count()))
-    sizes = staged(cells.groupBy("cell", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    few = cells.join(sizes.where(F.col("n") <= pair_cell).drop("n"), ["cell", "key"])
-    other = few.select("cell", "key", F.col("fp").alias("fp_b"), F.col("id").alias("b"))
-    near = few.join(other, ["cell", "key"]).where("fp < fp_b")
+    cells = nodes.select("fp", "id", F.explode(_cells(F.col("fp"), blocks_for(nodes.count()))).alias("c")).select("fp", "id", "c.cell", "c.key")
+    sizes = small_side(staged(cells.groupBy("cell", "key").agg(F.count("*").alias("n")).where("n > 1")))
+    some = cells.join(sizes, ["cell", "key"])
+    again = F.when(F.col("n") > pair_cell, _cells(turned(F.col("fp")), TURNED_BLOCKS)).otherwise(F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("key"))))
+    some = some.select("fp", "id", "cell", "key", F.explode(again).alias("c")).select("fp", "id", "cell", "key", F.col("c.cell").alias("cell2"), F.col("c.key").alias("key2"))
+    on = ["cell", "key", "cell2", "key2"]
+    near = some.join(some.select(*on, F.col("fp").alias("fp_b"), F.col("id").alias("b")), on).where("fp < fp_b")
     near = near.where(manhattan(embedding(F.col("fp")), embedding(F.col("fp_b"))) <= DISTANCE)
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE).select(F.col("id").alias("a"), "b")
-
-    many = cells.join(sizes.where(F.col("n") > pair_cell).drop("n"), ["cell", "key"]).select("fp", "id").distinct()
-    flips = F.expr("explode(transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i))))")
-    hubs = staged(many).select("id", flips.alias("hub"))
-    least = hubs.groupBy("hub").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.unionByName(hubs.join(least, "hub").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE).select(F.col("id").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``.
+    """doc_id, row_key, fp, component_id, keep_key of every row of ``docs``.
 
-    component_id is the smallest doc_id reachable over links between fingerprints that differ in 2 bits or fewer.
-    Null, empty and blank texts share fingerprint 0.  Rows of one doc_id count as linked.  Only distinct
-    fingerprints are compared; documents without an id come back without a component.
+    Rows are documents each, also those that share a doc_id or have none.  Null, empty and blank texts share fingerprint 0.
+    component_id is the smallest doc_id reachable over links between fingerprints that differ in 2 bits or fewer; it is null
+    where no row reachable has an id.  ``keep_key`` is the row_key of the row with that id (the smallest key of several).
+    Only distinct fingerprints are compared.  An empty table gives no rows.
     """
     fps = staged(fingerprints(docs))
-    nodes = staged(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges, known = links(nodes), nodes.select("id")
-    repeated = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    if not repeated.isEmpty():
-        same = fps.join(repeated, "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        edges, known = edges.unionByName(same), known.unionByName(repeated.select(F.col("doc_id").alias("id"))).distinct()
-    found = staged(nodes.join(components(known, edges), "id").select("fp", F.col("component").alias("component_id")))
-    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    nodes = staged(fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")).withColumn("id", F.col("fp")))
+    found = staged(nodes.join(components(nodes.select("id"), links(nodes.select("fp", "id"))), "id").select("fp", "component", "first"))
+    least = found.groupBy("component").agg(F.min("first").alias("least"))
+    found = found.join(least, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keep_key"))
+    return join_once(fps, staged(found), "fp", nodes.where(F.col("n") > HOT)).select("doc_id", "row_key", "fp", "component_id", "keep_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates, the row of ``docs`` with the smallest doc_id; all columns."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates, the row of ``docs`` with the smallest doc_id; all columns.  Rows without an id stay where no other does."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("keep_key")))
+    return keep_rows(docs, staged(kept.select("doc_id", "row_key")))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of ``documents``; ``near_duplicates`` states the odd cases."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

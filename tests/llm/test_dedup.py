@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 from gazetta.llm import common, exact_dedup, simhash, suffix_dedup
+from pyspark.sql import functions as F
 
 from ..conftest import SMALL
 
@@ -29,16 +30,49 @@ def test_exact_dedup_of_odd_rows(odd_docs, no_docs):
     assert {(6, 7, 4, False), (7, 7, 4, True), (8, 7, 4, False)} <= got
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     kept = exact_dedup.drop_copies(odd_docs)
-    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 7, 9}
+    assert kept.columns == odd_docs.columns and sorted((r.doc_id or 0, (r.text or "")[:7]) for r in kept.collect()) == [(0, "no id"), (3, " \t\n "), (4, "one"), (5, "word0 a"), (7, "same  t"), (9, "Ünï çöd")]
+
+
+def test_rows_without_ids_and_of_one_id_lose_no_text(spark):
+    """Equal texts, ids null or shared by different texts, and one row repeated."""
+    rows = [(None, "a long  one"), (1, "a long one"), (2, "two"), (2, "three"), (2, "three"), (None, "four"), (None, "four"), (None, " four"), (3, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    assert plain(exact_dedup.drop_copies(df)) == [(0, " four"), (0, "a long  one"), (2, "three"), (2, "two")]
+    got = {(r.doc_id, r.text_sha256[:4]): (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+    assert got == {
+        (None, sha("alongone")): (None, 2), (1, sha("alongone")): (None, 2), (2, sha("two")): (2, 2), (3, sha("two")): (2, 2),
+        (2, sha("three")): (2, 2), (None, sha("four")): (None, 3),
+    }
+    far = [(None, "x y z"), (5, "x y z"), (None, "quite another text of words"), (6, "one two three"), (6, "many more words than that here"), (6, "one two three")]
+    df = spark.createDataFrame(far, "doc_id long, text string").repartition(3)
+    assert plain(simhash.keep_one(df)) == [(0, "quite another text of words"), (5, "x y z"), (6, "many more words than that here"), (6, "one two three")]
+
+
+def test_chains_tell_texts_of_one_key_apart(spark):
+    """Keys of 3 bits, so that buckets have long chains: bytes and the directory must find each class."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(6))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = lambda c: F.shiftleft(F.pmod(F.xxhash64(c), F.lit(8)), 61)
+    classes, got = {}, {r.doc_id: r for r in exact_dedup.exact_dedup(df, 2, few).collect()}
+    for i, t in enumerate(texts):
+        classes.setdefault(t.replace(" ", ""), []).append(i)
+    for ids in classes.values():
+        keep = min(ids, key=lambda i: (-len(texts[i]), i))
+        assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (keep, len(ids), i == keep) for i in ids)
+    assert len({r.bucket for r in got.values()}) > 1
 
 
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS h")
-    slots = exact_dedup.directory(keys, 100)
-    held = keys.withColumn("slot", exact_dedup._slot("h")).join(slots, "slot").groupBy("bucket", "local_depth").count().collect()
-    assert sum(r["count"] for r in held) == 5000 and max(r["count"] for r in held) <= 100
-    spread = spark.createDataFrame([(1,)] * 3, "h long")  # keys that no split can part
-    assert exact_dedup.directory(spread, 1).count() == 1
+    slots, depth = exact_dedup.directory(keys, 80)
+    held = keys.withColumn("slot", exact_dedup._prefix(F.col("h"), F.lit(depth))).join(slots, "slot").groupBy("bucket", "local_depth").count().collect()
+    assert sum(r["count"] for r in held) == 5000 and max(r["count"] for r in held) <= 80
+    assert slots.count() == 1 << depth and len({r["local_depth"] for r in held}) > 1
+    one = spark.createDataFrame([(-5,)], "h long")
+    assert exact_dedup.directory(one, 1)[1] == 0 and exact_dedup.directory(one, 1)[0].count() == 1
 
 
 def plain_components(fps, ids):
@@ -101,10 +135,10 @@ def test_manhattan_is_a_lower_bound(spark):
 
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd_docs).collect()}
-    assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (None, None)} <= got
+    assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (None, None)} <= got  # the row without an id is alone
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 9]
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 9]
 
 
 def plain_passages(texts, n=400):
@@ -172,4 +206,5 @@ def test_components_of_random_graphs(spark):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
         df = spark.createDataFrame(edges, "a long, b long")
-        assert {r.id: r.component for r in common.components(spark.range(150), df).collect()} == {i: find(i) for i in range(150)}
+        for hot in (2, 10**9):  # nodes with many neighbours joined where their edges are, or none
+            assert {r.id: r.component for r in common.components(spark.range(150), df, hot=hot).collect()} == {i: find(i) for i in range(150)}

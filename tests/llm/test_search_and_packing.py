@@ -131,6 +131,24 @@ def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     assert out.count() == odd_docs.count()
     assert all(not r.placements for r in out.collect() if r["size"] == 0)
     assert mixing.mixed(mixing.word_counts(no_docs)).count() == 0
+    taken = sum(p.words for r in out.collect() for p in r.placements)
+    mixed = mixing.mix(odd_docs)  # rows without an id and repeated rows are there as often as taken
+    assert mixed.columns == odd_docs.columns and mixing.word_counts(mixed).agg(F.sum("size")).first()[0] == taken
+    assert mixing.mix(no_docs).count() == 0 and mixing.mix(no_docs).columns == no_docs.columns
+
+
+def test_query_places_blocks_as_the_tree_splits_them(spark):
+    """Shards get whole blocks in equal numbers, each block once an epoch, as many of each source as its quota."""
+    rows = mixing.op2_mixing(spark, SMALL).collect()
+    assert all(r.taken == sum(p.words for p in r.placements) <= 3 * r["size"] for r in rows)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    _, plan = mixing.mix_plan(mixing.word_counts(docs), mixing.SHARDS, mixing.BLOCK_WORDS, mixing.SEED)
+    blocks = plan.collect()
+    placed = [(b["rank"], b.block, p.epoch, p.shard) for b in blocks for p in [*(b.whole or []), *([b.cut] if b.cut else [])]]
+    assert len({x[:3] for x in placed}) == len(placed)
+    per = Counter(x[3] for x in placed)
+    assert max(per.values()) - min(per.get(s, 0) for s in range(mixing.SHARDS)) <= 1
+    assert {p.shard for r in rows for p in r.placements} <= set(per)
 
 
 def check_packing(out, texts, capacity=2048):
