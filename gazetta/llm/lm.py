@@ -23,7 +23,7 @@ from .common import staged
 #: Buckets of context frequency, from 1, 4, 16, ... occurrences on; 0 is for contexts never seen.
 BUCKETS = 12
 #: Bytes of text in a block, and keys in a bucket, about.
-BLOCK_BYTES, BUCKET_KEYS = 8_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_KEYS = 12_000_000, 2_000_000
 #: Bytes of text, keys and counted tokens that a task works on at once, and words whose keys a Python worker keeps.
 _TEXT_BYTES, _FLUSH, _CHUNK, _CACHE = 2_000_000, 1_000_000, 250_000, 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)

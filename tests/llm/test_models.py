@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -183,6 +184,15 @@ def test_pii_query(spark, no_docs, odd_docs):
     assert pii.find(no_docs, model).count() == 0 and pii.find(odd_docs, model).where("spans <> ''").count() == 0
 
 
+def test_long_texts_with_very_many_spans():
+    model = pii.Model(1.0, [], [0.0] * 4)._replace(trees=[1.0])
+    text = "joe [at] corp.example.org or a@b.cd and +1 974 555 3436, " * 20_000  # over 1 MB
+    began = time.perf_counter()
+    base, spans = pii.all_spans(text, model)
+    assert len(base) == 40_000 <= len(spans) and time.perf_counter() - began < 60
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_trees_choose_disguised_spans_and_redaction(spark):
     model = pii.fit_on(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
     text = "write to joe [at] corp.example.org or +1 (974) 555-3436 before 2024-11-05"
