@@ -19,8 +19,12 @@ WARNINGS = (
     ("NO_TEXT", "텍스트를 찾지|no text"),
     ("UNSUPPORTED", "지원하지|unsupported"),
 )
-#: Sentences that only say that something is not known (fixed values).
-UNKNOWN = r"(?i)(확인하지\s*못했습니다|확인되지\s*않(았습니다|습니다|음)|명시(되어)?\s*있지\s*않(았습니다|습니다|음)|미확인|확인\s*필요|정보\s*없음|미기재|n/?a|unknown)"
+#: Sentences that only say that something is not known, with where it was sought and what (fixed values).
+UNKNOWN = (
+    r"(?i)(?:(?:원문|본문|자료|첨부파일)(?:에서|에)?\s*)?"
+    r"(?:(?:사업\s*목적|지원\s*대상|신청\s*자격|협력\s*구조|필수\s*파트너)(?:을|를|은|는|이|가)?\s*)?"
+    r"(확인하지\s*못했습니다|확인되지\s*않(았습니다|습니다|음)|명시(되어)?\s*있지\s*않(았습니다|습니다|음)|미확인|확인\s*필요|정보\s*없음|미기재|n/?a|unknown)"
+)
 #: Words too general to be topics, beginnings of such, and endings of particles (fixed values).
 GENERIC_TERMS = (
     "공고", "사업", "지원", "지원사업", "프로그램", "과제", "대상", "기업", "기관", "시행", "시행계획", "계획", "신청", "참여", "모집", "선정", "정부", "산업",

@@ -18,7 +18,9 @@ WORK_DAYS = {
 EVIDENCE = {"OFFICIAL_DOCUMENT": 100, "USER_CONFIRMED": 90, "OFFICIAL_WEBSITE": 65, "PUBLIC_INFORMATION": 45, "UNKNOWN": 0}
 REVIEW_DAYS = 5
 #: Korean number scales (fixed values).
-SCALES = {"조": 10**12, "억": 10**8, "천만": 10**7, "백만": 10**6, "만": 10**4, "천": 10**3}
+SCALES = {
+    "백": 10**2, "천": 10**3, "만": 10**4, "십만": 10**5, "백만": 10**6, "천만": 10**7, "억": 10**8, "십억": 10**9, "백억": 10**10, "천억": 10**11, "조": 10**12,
+}
 
 
 def opportunity_score(fit: Column, value: Column, feasibility: Column, urgency: Column, preset: Column) -> Column:
@@ -120,14 +122,46 @@ def readiness(items: DataFrame, today) -> DataFrame:
     return out.withColumns({"readiness": ready, "target_date": F.when(F.col("deadline") >= now, target)})
 
 
-def parse_won(text: Column) -> Column:
-    """Sum of number and scale pairs before 원, as an exact decimal: 1억 2천만원 is 120000000; null if there is none."""
-    parts = F.regexp_extract_all(text, F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(조|억|천만|백만|만|천)?\s*(?=[0-9]|원)"), F.lit(0))
+_SCALE = "(?:" + "|".join(sorted(SCALES, key=len, reverse=True)) + ")"
+#: Digits are taken whole: a number never gives any back to reach a match.
+_NUMBER = r"[0-9][0-9,]*+(?:\.[0-9]++)?"
+_CHAIN = rf"(?:{_NUMBER}\s*{_SCALE}\s*)*+(?:{_NUMBER}\s*)?+"
+_RANGE = rf"{_NUMBER}\s*{_SCALE}?\s*(?:[~∼–—－-]|부터)\s*"
+_AMOUNT = rf"(?<![0-9.,A-Za-z+-])[+-]?(?:{_RANGE})?(?=[0-9]){_CHAIN}원"
+
+
+def _chain_value(chain: Column, default: Column | None = None) -> Column:
+    """Sum of the numbers times their scales; a single number without a scale takes the default."""
+    pieces = F.regexp_extract_all(chain, F.lit(rf"{_NUMBER}\s*{_SCALE}?"), F.lit(0))
+
+    def one(piece: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(piece, "^[0-9][0-9,]*(?:[.][0-9]+)?", 0), ",", "").cast("decimal(24,4)")
+        own = _lookup(F.regexp_extract(piece, f"({_SCALE})$", 1), SCALES)
+        return (number * F.coalesce(own, default if default is not None else F.lit(1), F.lit(1)).cast("decimal(14,0)")).cast("decimal(38,6)")
+
+    return F.aggregate(pieces, F.lit(0).cast("decimal(38,6)"), lambda s, p: (s + one(p)).cast("decimal(38,6)"))
+
 
-    def one(part: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(part, r"^[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "").cast("decimal(24,4)")
-        scale = F.coalesce(_lookup(F.regexp_extract(part, r"(조|억|천만|백만|만|천)", 1), SCALES), F.lit(1)).cast("decimal(14,0)")
-        return (number * scale).cast("decimal(38,6)")
+def won_amounts(text: Column) -> Column:
+    """Every amount that ends in 원, as exact decimals in order: 1억 2천만원 is one of 120000000, 1~2억원 two.
 
-    total = F.aggregate(parts, F.lit(0).cast("decimal(38,6)"), lambda s, p: (s + one(p)).cast("decimal(38,6)"))
-    return F.when(text.contains("원") & (F.size(parts) > 0), total)
+    A range's lower end without a scale takes the upper one's; a minus makes an amount negative.  Numbers before
+    anything else (years, people) are no amounts.  Null text has none.
+    """
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_AMOUNT), F.lit(0))
+
+    def of(amount: Column) -> Column:
+        lower = F.regexp_extract(amount, rf"^[+-]?({_NUMBER}\s*{_SCALE}?)\s*(?:[~∼–—－-]|부터)", 1)
+        upper = F.regexp_replace(amount, rf"^[+-]?(?:{_RANGE})?", "")
+        sign = F.when(amount.startswith("-"), -1).otherwise(1)
+        last = _lookup(F.regexp_extract(upper, rf"({_SCALE})\s*원$", 1), SCALES)
+        high = (_chain_value(upper) * sign).cast("decimal(38,6)")
+        return F.when(lower == "", F.array(high)).otherwise(F.array((_chain_value(lower, last) * sign).cast("decimal(38,6)"), high))
+
+    return F.flatten(F.transform(found, of))
+
+
+def parse_won(text: Column) -> Column:
+    """The one amount that a text states; null if it states none or different ones."""
+    amounts = F.array_distinct(won_amounts(text))
+    return F.when(F.size(amounts) == 1, F.get(amounts, F.lit(0)))

@@ -102,5 +102,5 @@ def k7_whole(spark, sf):
 
 @query("k8_parse_won", "SELECT o_orderkey, CAST((o_custkey % 90 + 1) * 100000000 + (o_orderkey % 9 + 1) * 10000000 AS DECIMAL(38, 6)) AS won FROM orders")
 def k8(spark, sf):
-    text = F.format_string("총 %,d억 %d천만 원 이내", F.col("o_custkey") % 90 + 1, F.col("o_orderkey") % 9 + 1)
+    text = F.format_string("2026년 12명 대상 총 %,d억 %d천만 원 이내", F.col("o_custkey") % 90 + 1, F.col("o_orderkey") % 9 + 1)
     return table(spark, sf, "orders").select("o_orderkey", S.parse_won(text).alias("won"))

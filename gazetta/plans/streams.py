@@ -17,6 +17,17 @@ def _folder(spark):
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _with_rocks(spark, run):
+    """Run a stateful stream under the state store that it needs, in a new folder."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        return run(_folder(spark))
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
     path = f"{sf}/{name}.parquet"
@@ -37,16 +48,29 @@ def m2(spark, sf):
     e = _stream(spark, sf, "events")
     text = F.concat("event_type", F.lit("\x1d"), F.coalesce("props", F.lit("")))
     obs = e.select(F.col("user_id").alias("document_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.sha2(text, 256).alias("version_hash"))
-    before, name = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, ROCKS)
-    try:
-        base = _folder(spark)
-        out = J.run_to_end(J.stream_versions(obs), f"{base}/out", f"{base}/checkpoint")
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    out = _with_rocks(spark, lambda base: J.run_to_end(J.stream_versions(obs), f"{base}/out", f"{base}/checkpoint"))
     return out.groupBy("change_type").agg(F.count("*").alias("n"))
 
 
+def _runs(spark, sf):
+    """Each event is the acceptance of a run at its time, and the run's result ``value`` minutes later."""
+    e = _stream(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    done = F.timestamp_millis(F.unix_millis("ts") + F.round(F.col("value") * 60000).cast("long"))
+    both = F.array(F.struct(F.col("ts").alias("ts"), F.lit("accepted").alias("kind")), F.struct(done.alias("ts"), F.lit("result").alias("kind")))
+    rows = e.select(F.col("event_id").alias("run_id"), F.explode(both).alias("x")).select("run_id", "x.ts", "x.kind")
+    return _with_rocks(spark, lambda base: J.run_to_end(J.stream_runs(rows, 3600), f"{base}/out", f"{base}/checkpoint"))
+
+
+@query("m3_run_expiry", "SELECT event_id AS run_id, CASE WHEN coalesce(value, 0) <= 60 THEN 'COLLECTED' ELSE 'FAILED' END AS outcome FROM events")
+def m3(spark, sf):
+    return _runs(spark, sf).where("outcome <> 'LATE'").select("run_id", "outcome")
+
+
+@query("m4_late_results", "SELECT event_id AS run_id, CAST(1 AS BIGINT) AS late FROM events WHERE value > 60")
+def m4(spark, sf):
+    return _runs(spark, sf).where("outcome = 'LATE'").select("run_id", "late")
+
+
 @query("m5_stream_corpus_stats", "SELECT event_type AS term, count(*) AS df FROM events GROUP BY 1")
 def m5(spark, sf):
     base = _folder(spark)

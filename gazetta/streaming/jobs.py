@@ -26,16 +26,14 @@ class _Versions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, number = self.last.get() if self.last.exists() else (None, 0)
-        for part in rows:
-            part = part.sort_values(["ts", "event_id"], kind="stable")
-            out = []
-            for event, h in zip(part["event_id"], part["version_hash"]):
-                kind = "NEW" if not number else "UNCHANGED" if h == seen else "UPDATED"
-                number += kind != "UNCHANGED"
-                seen = h
-                out.append((key[0], event, kind, number))
-            yield pd.DataFrame(out, columns=["document_id", "event_id", "change_type", "version_no"])
+        rows, out = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable"), []
+        for event, h in zip(rows["event_id"], rows["version_hash"]):
+            kind = "NEW" if not number else "UNCHANGED" if h == seen else "UPDATED"
+            number += kind != "UNCHANGED"
+            seen = h
+            out.append((key[0], event, kind, number))
         self.last.update((seen, number))
+        yield pd.DataFrame(out, columns=["document_id", "event_id", "change_type", "version_no"])
 
     def close(self) -> None:
         pass
@@ -47,38 +45,42 @@ def stream_versions(stream: DataFrame) -> DataFrame:
 
 
 class _Runs(StatefulProcessor):
-    """A run ends with its results or an hour after its acceptance; what comes later is counted."""
+    """A run ends with its first result or an hour after its acceptance, by the events' own times; what comes later is counted.
+
+    A result tells by its time whether the run had failed before it, so that how rows fall into batches changes nothing;
+    the timer is for runs that stay silent.
+    """
 
     def __init__(self, wait_ms: int) -> None:
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "outcome string, late long")
+        self.state = handle.getValueState("state", "outcome string, late long, accepted long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        outcome, late = self.state.get() if self.state.exists() else ("", 0)
-        came = []
-        for part in rows:
-            for ts, kind in sorted(zip(part["ts"], part["kind"])):
-                if kind == "accepted" and not outcome:
-                    outcome = "OPEN"
-                    self.handle.registerTimer(int(ts.timestamp() * 1000) + self.wait_ms)
-                elif kind == "result":
-                    if outcome == "OPEN":
-                        outcome = "COLLECTED"
-                        came.append((key[0], outcome, 0))
-                    else:
-                        late += 1
-                        came.append((key[0], "LATE", late))
-        self.state.update((outcome, late))
+        outcome, late, accepted = self.state.get() if self.state.exists() else ("", 0, 0)
+        rows, came = pd.concat(list(rows)), []
+        for at, kind in sorted(zip(rows["at_ms"].tolist(), rows["kind"])):
+            if kind == "accepted" and not outcome:
+                outcome, accepted = "OPEN", at
+                self.handle.registerTimer(at + self.wait_ms)
+            elif kind == "result":
+                if outcome == "OPEN":
+                    outcome = "COLLECTED" if at <= accepted + self.wait_ms else "FAILED"
+                    came.append((key[0], outcome, late))
+                    if outcome == "COLLECTED":
+                        continue
+                late += 1
+                came.append((key[0], "LATE", late))
+        self.state.update((outcome, late, accepted))
         if came:
             yield pd.DataFrame(came, columns=["run_id", "outcome", "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        outcome, late = self.state.get() if self.state.exists() else ("", 0)
+        outcome, late, accepted = self.state.get() if self.state.exists() else ("", 0, 0)
         if outcome == "OPEN":
-            self.state.update(("FAILED", late))
+            self.state.update(("FAILED", late, accepted))
             yield pd.DataFrame([(key[0], "FAILED", late)], columns=["run_id", "outcome", "late"])
 
     def close(self) -> None:
@@ -86,8 +88,12 @@ class _Runs(StatefulProcessor):
 
 
 def stream_runs(stream: DataFrame, wait: int = 3600, delay: str = "10 seconds") -> DataFrame:
-    """Runs (run_id, ts, kind: accepted or result) that were collected, failed after ``wait`` seconds, or got results late."""
-    return stream.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(_Runs(wait * 1000), RUNS, "Append", "EventTime")
+    """Runs (run_id, ts, kind: accepted or result) that were collected, failed after ``wait`` seconds, or got results late.
+
+    Repeated acceptances are ignored; results of runs never accepted are late.
+    """
+    timed = stream.withWatermark("ts", delay).withColumn("at_ms", F.unix_millis("ts"))
+    return timed.groupBy("run_id").transformWithStateInPandas(_Runs(wait * 1000), RUNS, "Append", "EventTime")
 
 
 def stream_corpus_stats(stream: DataFrame, table: str, checkpoint: str):

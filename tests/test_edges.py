@@ -85,6 +85,10 @@ def test_business_days_by_counting(spark):
 
 def test_won_amounts(spark):
     cases = [("총 1억 2천만원", 120_000_000), ("3,500만 원", 35_000_000), ("1.5억원", 150_000_000), ("12명", None), (None, None)]
+    cases += [("12명 대상 5억원", 500_000_000), ("2026년 3,500만 원", 35_000_000), ("총 5억원, 건당 1억원", None), ("20억 5,000만원과 20억 5천만 원", 2_050_000_000)]
+    cases += [("3백억원", 30_000_000_000), ("2십만원", 200_000), ("5천억 원", 500_000_000_000), ("-30만원", -300_000), ("A4 용지 10장", None), ("1,234원", 1234)]
+    many = spark.createDataFrame([("1~2억원, 최대 3천만 원",), ("1천만원~5천만원",), (None,)], "t string").select(S.won_amounts(F.col("t")).alias("w")).collect()
+    assert [[int(x) for x in r.w] for r in many] == [[100_000_000, 200_000_000, 30_000_000], [10_000_000, 50_000_000], []]
     df = spark.createDataFrame([(c[0],) for c in cases], "t string").select(S.parse_won(F.col("t")).alias("w"))
     assert [None if r.w is None else int(r.w) for r in df.collect()] == [c[1] for c in cases]
 
@@ -147,8 +151,8 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_unknown_sentences_and_file_names(spark):
-    df = spark.createDataFrame([("미확인.",), ("N/A",), ("지원 대상 미확인입니다 아님",), (None,)], "t string")
-    assert [r[0] for r in df.select(X.is_unknown(F.col("t"))).collect()] == [True, True, False, False]
+    df = spark.createDataFrame([("미확인.",), ("N/A",), ("지원 대상 미확인입니다 아님",), (None,), ("원문에서 확인하지 못했습니다.",), ("첨부파일에 지원 대상이 명시되어 있지 않습니다",), ("본문 참고",)], "t string")
+    assert [r[0] for r in df.select(X.is_unknown(F.col("t"))).collect()] == [True, True, False, False, True, True, False]
     names = spark.createDataFrame([(" a.b.PDF (12 KB)",), ("plain 3 MB",), ("x.hwp",)], "t string")
     got = [tuple(r) for r in names.select(X.normalize_file_name(F.col("t")), X.file_extension(F.col("t"))).collect()]
     assert got == [("a.b.PDF", ".pdf"), ("plain", ""), ("x.hwp", ".hwp")]
@@ -165,25 +169,30 @@ def test_filters_reach_the_scan_and_no_pair_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
-def test_run_expiry_and_late_results(spark, tmp_path):
+@pytest.mark.parametrize("layout", ["one file", "three files"])
+def test_run_expiry_and_late_results(spark, tmp_path, layout):
     from gazetta.plans.streams import ROCKS
     from gazetta.streaming import jobs
 
     at = lambda h: f"2024-01-01 {h}"
-    first = [(1, at("00:00:00"), "accepted"), (2, at("00:00:00"), "accepted"), (1, at("00:10:00"), "result")]
-    later = [(3, at("05:00:00"), "accepted")]
-    last = [(2, at("05:00:01"), "result")]
+    first = [(1, at("00:00:00"), "accepted"), (2, at("00:00:00"), "accepted"), (1, at("00:10:00"), "result"), (4, at("00:00:00"), "accepted")]
+    later = [(3, at("05:00:00"), "accepted"), (1, at("05:00:00"), "result")]
+    last = [(2, at("05:00:01"), "result"), (3, at("06:00:00"), "result"), (5, at("05:00:01"), "result"), (2, at("05:30:00"), "result")]
     schema = "run_id long, ts string, kind string"
-    for n, part in enumerate((first, later, last)):
+    for n, part in enumerate([first + later + last] if layout == "one file" else [first, later, last]):
         spark.createDataFrame(part, schema).coalesce(1).selectExpr("run_id", "cast(ts as timestamp) ts", "kind").write.parquet(str(tmp_path / "in" / f"p{n}"))
-    name = "spark.sql.streaming.stateStore.providerClass"
+    name, zone = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set(name, ROCKS)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
     try:
         stream = spark.readStream.schema("run_id long, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-        out = jobs.run_to_end(jobs.stream_runs(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-        assert {(1, "COLLECTED"), (2, "FAILED")} <= {(r.run_id, r.outcome) for r in out.collect()}
+        out = jobs.run_to_end(jobs.stream_runs(stream, delay="6 hours"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        got = {(r.run_id, r.outcome, r.late) for r in out.collect()}
     finally:
         spark.conf.unset(name)
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = {(1, "COLLECTED", 0), (1, "LATE", 1), (2, "FAILED", 0), (2, "LATE", 1), (2, "LATE", 2), (3, "COLLECTED", 0), (5, "LATE", 1)}
+    assert want <= got and got - want <= {(4, "FAILED", 0)}  # the silent run fails when the watermark has passed
 
 
 def test_sentences_and_cells_keep_their_digits(spark):
