@@ -66,7 +66,8 @@ def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = split.flatten().dictionary_encode()
     own = np.array([_key_of(w) if w else 0 for w in coded.dictionary.to_pylist()], np.uint64)
     keys = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy(zero_copy_only=False))
+    owner = np.repeat(np.arange(len(split), dtype=np.int32), split.value_lengths().to_numpy(zero_copy_only=False))
+    del lower, coded
     real = keys != 0  # blanks at the ends of a text leave empty words
     keys, owner = keys[real], owner[real]
     sizes = np.bincount(owner, minlength=len(split)) + 1
@@ -152,6 +153,7 @@ def key_counts(docs: DataFrame, buckets: int) -> DataFrame:
                     held.append((count, key, block))
                     n += len(key)
                 if n > _FLUSH:
+                    pa.default_memory_pool().release_unused()
                     yield flush()
                     held.clear()
                     n = 0
@@ -214,6 +216,7 @@ def counted_tokens(docs: DataFrame, totals: DataFrame) -> DataFrame:
         word, both, end = count(keys), count(pair_keys(keys, sizes)), np.r_[0, np.cumsum(sizes)]
         docs, trains, rows = left["doc_id"].to_pylist(), left["train"].to_pylist(), []
         cuts = [0, *(np.flatnonzero(np.diff(end[1:] // _CHUNK)) + 1).tolist(), len(sizes)]
+        pa.default_memory_pool().release_unused()
         for a, b in zip(cuts, cuts[1:]):
             some = slice(end[a], end[b])
             rows.append((docs[a:b], trains[a:b], int(end[b] - end[a]), packed(sizes[a:b]), packed(word[some]), packed(both[some])))
