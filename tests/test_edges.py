@@ -259,3 +259,28 @@ def test_orders_without_a_score_come_last(spark):
         scores = [r.score for r in QUERIES[name](spark, SMALL).collect()]
         known = [s for s in scores if s is not None]
         assert len(scores) == n > 500 and None in scores and scores[: len(known)] == sorted(known, reverse=True)
+
+
+def test_submission_rows_of_literal_tables(spark):
+    from gazetta.operators import submissions as B
+
+    def table(*rows):
+        return "[표]\n" + "\n".join("\t".join(r) for r in rows) + "\n[/표]"
+
+    good = table(("연번", "서류명", "제출시기", "비고"), ("1", "사업계획서", "", ""), ("2", "확인서", "선정 후", "해당 시"), ("3", "동의서", "", "제출 면제"), ("4", "통장 사본", "", "2개 이상의 기업이 참여하는 경우 zip 파일로 제출"))
+    texts = [
+        (1, "제출 서류는 다음과 같다.\n" + good), (2, good), (3, "구비 서류 작성 예시\n" + good), (4, "신청 서류\n" + good + "\n* 면제 가능"),
+        (5, "신청 서류\n" + table(("서류명", "구분"), ("신청서", "선택"), ("추천서",))), (6, None), (7, "신청 서류\n" + table(("서류명", "서류명"), ("신청서", "동의서"))),
+    ]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.id, r.title, r.level, r.stage) for r in B.submission_rows(df, "id", "text").collect()}
+    assert got == {(1, "사업계획서", "MANDATORY", "APPLICATION"), (1, "확인서", "CONDITIONAL", "POST_SELECTION"), (1, "통장 사본", "MANDATORY", "APPLICATION")}
+
+
+def test_organizations_of_lines_and_cells(spark):
+    from gazetta.operators import submissions as B
+
+    text = "주 관: 산업진흥원, 기술원 및 연구소\n문의처: 산업 진흥원\n접수처: 온라인팀\n참고 사업 주최: 타 기관\n전담기관\t평가원\n주관기관\t전담기관"
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+    got = {(r.role, r.name) for r in B.organizations(df, "id", "text").collect()}
+    assert got == {("주관", "산업진흥원"), ("주관", "기술원"), ("접수처", "온라인팀"), ("전담기관", "평가원")}
