@@ -115,7 +115,7 @@ def submission_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Roles of organisations, those of contacts among them, and names that are none (fixed values).
 ROLES = (
-    "주관기관", "전담기관", "주최", "주관", "시행기관", "운영기관", "공동주관기관", "수행기관", "총괄기관", "관리기관", "후원", "문의처", "담당기관", "접수처",
+    "주관기관", "주최기관", "총괄기관", "총괄부처", "소관부처", "시행기관", "전담기관", "운영기관", "관리기관", "전문기관", "주관", "주최", "접수처", "문의처",
 )
 CONTACT_ROLES = ("문의처", "접수처")
 GENERIC_NAME = r"^(?:(?:참여|책임|공동|소속|담당|실습|학생|신규|선임|수석)?연구원|연구책임자|담당자|직원|(?:국내|국외|공공|민간|영리|비영리)?(?:연구기관|연구소|기업부설연구소|대학|대학교|의료기관|사무국|기업))$"
