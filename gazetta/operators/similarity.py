@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,8 @@ THEMES = (
     "순환경제|재제조", "규제샌드박스|규제특례", "국제공동연구|국제협력|기술협력", "공연|예술|창작",
     "반도체|디스플레이|제조|설비|기계|공장|예지보전|결함탐지", "전산|유지보수|유지관리|^it$",
 )
-#: Rows of the pair side that may be broadcast.
-SMALL = 100_000
+#: Rows of the query side that may be broadcast, and queries of a block.
+SMALL, BLOCK = 100_000, 512
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -30,16 +32,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """(query_id, id, cosine) of a stated, counted set of queries with all other rows of the same length, clamped to 1.
+def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str, least: float = -1.0) -> DataFrame:
+    """(query_id, id, cosine) of a stated set of queries with all other rows of the same length, clamped to 1, from ``least`` on.
 
-    The queries go to the rows (broadcast once counted small); every pair is wanted, so there is no key to join on but the length.
+    Every pair is wanted, so both sides are cut into blocks (by hash, about ``BLOCK`` queries and four times as many rows), and
+    a task multiplies one block of each as matrices.  Only pairs that reach ``least`` leave it.  Rows without an id take no part.
     """
-    q = unit_vectors(queries, key, "embedding").select(F.col(key).alias("query_id"), F.col("u").alias("q"), F.size("u").alias("d"))
-    c = unit_vectors(candidates, key, "embedding").select(F.col(key).alias("id"), "u", F.size("u").alias("d"))
-    q = F.broadcast(q) if queries.count() <= SMALL // 10 else q
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.col("q"))))
-    return c.join(q, "d").where("id <> query_id").select("query_id", "id", value.alias("cosine"))
+    blocks, slices = max(1, -(-queries.count() // BLOCK)), max(1, -(-candidates.count() // (4 * BLOCK)))
+    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = unit_vectors(queries.where(F.col(key).isNotNull()), key, "embedding")
+    q = q.select(F.size("u").alias("d"), part(blocks).alias("block"), every(slices).alias("slice"), F.col(key).alias("query_id"), F.col("u").alias("q"))
+    c = unit_vectors(candidates.where(F.col(key).isNotNull()), key, "embedding")
+    c = c.select(F.size("u").alias("d"), every(blocks).alias("block"), part(slices).alias("slice"), F.col(key).alias("id"), "u")
+
+    def multiply(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or rows.empty:
+            return pd.DataFrame({"query_id": asked.query_id[:0], "id": rows.id[:0], "cosine": np.zeros(0)})
+        values = np.clip(np.stack(asked.q) @ np.stack(rows.u).T, -1.0, 1.0)
+        i, j = np.nonzero((values >= least) & (asked.query_id.to_numpy()[:, None] != rows.id.to_numpy()[None, :]))
+        return pd.DataFrame({"query_id": asked.query_id.to_numpy()[i], "id": rows.id.to_numpy()[j], "cosine": values[i, j]})
+
+    kind = dict(candidates.dtypes)[key]
+    groups = ["d", "block", "slice"]
+    return q.groupBy(*groups).cogroup(c.groupBy(*groups)).applyInPandas(multiply, f"query_id {kind}, id {kind}, cosine double")
 
 
 def term_table(df: DataFrame, key: str, title: str, purpose: str) -> DataFrame:
@@ -68,7 +84,8 @@ def stats_excluding(terms: DataFrame, key: str) -> DataFrame:
 def bm25(queries: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """(query_id, id, lexical) for queries (query_id, term) over (key, term, tf), the query's own document left out of statistics and results.
 
-    ``query_id`` is the id of a document of ``terms`` or of none.
+    ``query_id`` is the id of a document of ``terms`` or of none.  The terms lie by document, so that the parts of a score meet where
+    they arise: query terms counted small go to them, more of them are joined by term and the parts shuffled.
     """
     df, whole = corpus_stats(terms, key)
     lengths = terms.groupBy(key).agg(F.sum("tf").alias("len"))
@@ -80,7 +97,9 @@ def bm25(queries: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     n, f = F.col("n") - has, F.coalesce("df", F.lit(0)) - F.coalesce("own_df", F.lit(0))
     average = F.greatest(F.lit(1.0), (F.col("total") - F.coalesce("own_len", F.lit(0))) / F.greatest(F.lit(1), n))
     asked = asked.select("query_id", "term", F.log(1 + (n - f + 0.5) / (f + 0.5)).alias("idf"), average.alias("average"))
-    hits = asked.join(terms.join(lengths, key), "term").where(F.col("query_id") != F.col(key))
+    asked = F.broadcast(asked) if queries.count() <= SMALL else asked
+    placed = terms.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
+    hits = placed.join(asked, "term").where(F.col("query_id") != F.col(key))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("average")))
     return hits.groupBy("query_id", F.col(key).alias("id")).agg(F.sum(part).alias("lexical"))
 

@@ -40,14 +40,14 @@ def r3(spark, sf):
 _PAIRS = _UNIT + ", p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.u, c.u) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)"
 
 
-def cosines(spark, sf):
+def cosines(spark, sf, least=-1.0):
     e = table(spark, sf, "embeddings")
-    return S.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id")
+    return S.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", least)
 
 
 @query("r4_cosine_pairs", f"WITH {_PAIRS} SELECT query_id, id, round(cosine, 5) AS cosine FROM p WHERE cosine >= 0.2")
 def r4(spark, sf):
-    return cosines(spark, sf).where("cosine >= 0.2").select("query_id", "id", F.round("cosine", 5).alias("cosine"))
+    return cosines(spark, sf, 0.2).select("query_id", "id", F.round("cosine", 5).alias("cosine"))
 
 
 @query("w3_rank_window", f"WITH {_PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 2) DESC, id) AS rn FROM p) SELECT query_id, id, CAST(rank() OVER (PARTITION BY query_id ORDER BY round(cosine, 2) DESC) AS INTEGER) AS rank FROM t WHERE rn <= 20")
@@ -122,7 +122,7 @@ def r5_whole(spark, sf):
 def r6(spark, sf):
     q = features(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode("title").alias("term"))
     lex = S.bm25(q, term_rows(spark, sf), "doc_id")
-    return S.hybrid_rank(cosines(spark, sf), lex, 0.2).select("query_id", "id", "semantic_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
+    return S.hybrid_rank(cosines(spark, sf, 0.2), lex, 0.2).select("query_id", "id", "semantic_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
 
 
 @query("t5_top_matches", f"WITH {_PAIRS}, r AS (SELECT query_id, id, round(cosine, 6) AS cosine FROM p) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS INTEGER) AS place FROM r QUALIFY place <= 3")

@@ -227,6 +227,24 @@ def j12(spark, sf):
     return T.near_duplicates(numbered(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id"), "id", "lang", "clause")
 
 
+_NUMBERED = _CLAUSES + ", g AS (SELECT doc_id, doc_id * 100000 + clause_no AS id, clause, regexp_replace(lower(clause), '\\s+', '', 'g') AS t, array_to_string(list_sort(regexp_extract_all(clause, '\\d+')), ',') AS numbers FROM c)"
+
+
+@query("j12_in_documents", f"""WITH {_NUMBERED}, d AS (SELECT doc_id, numbers, t, min(id) AS id FROM g WHERE t <> '' GROUP BY ALL),
+k AS (SELECT doc_id, numbers, id, CASE WHEN length(t) <= 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) END AS grams FROM d),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.grams, b.grams)) AS n, len(a.grams) + len(b.grams) AS m FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.numbers = b.numbers AND a.id < b.id)
+SELECT a, b FROM p WHERE n / (m - n) >= 0.72""")
+def j12_documents(spark, sf):
+    """The clauses of one document against each other."""
+    return T.near_duplicates(numbered(spark, sf), "id", "doc_id", "clause")
+
+
+@query("j13_in_documents")
+def j13_documents(spark, sf):
+    """The clauses of one document against each other."""
+    return T.statement_pairs(numbered(spark, sf), "id", "clause", within="doc_id").select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 @query("j12_members")
 def j12_members(spark, sf):
     c = numbered(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
