@@ -333,3 +333,17 @@ def test_statement_pairs_of_a_document_and_of_all(spark):
                     want.add((a, b, round(ratio, 6)))
         got = {(r.a, r.b, round(r.ratio, 6)) for r in T.statement_pairs(df, "id", "t", within=within).collect()}
         assert got == want and want
+
+
+def test_latency_of_skewed_repeated_and_missing_values(spark):
+    from gazetta.operators import windows as W
+
+    data = [("a", float(i % 7)) for i in range(300)] + [("a", 1e9)] + [("b", 5.0)] + [(None, float(i * i)) for i in range(41)] + [("c", None)] + [("d", 2.0)] * 50
+    df = spark.createDataFrame(data, "kind string, ms double")
+    want = {}
+    for kind in ("a", "b", "d", None):
+        values = sorted(v for k, v in data if k == kind and v is not None)
+        want[kind] = (round(sum(values) / len(values), 6), values[max(1, int(len(values) * 0.95)) - 1])
+    for cuts in (2, 256):
+        assert {r.kind: (round(r.mean, 6), r.p95) for r in W.latency(df, "kind", "ms", cuts).collect()} == want
+    assert W.latency(df.limit(0), "kind", "ms").count() == 0
