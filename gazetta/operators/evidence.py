@@ -132,13 +132,13 @@ def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -
 def evidence_units(df: DataFrame, key: str, text: str, topics: list[str] = TOPICS, most: int = 1600) -> DataFrame:
     """(key, start, end, topics, signature): a text's units in characters, end exclusive, with the numbers of the topics each shows.
 
-    A unit begins at a heading or after a blank line; one of over ``most`` characters is cut after a line, never within it.
+    A unit begins at a heading or after a blank line; one of over ``most`` characters is cut after a line or a sentence, never within it.
     A unit that begins with a proviso belongs to the one before; blank units are left out.
     """
     cut = rf"(?m)(?<=\n[ \t]{{0,40}}\r?\n)(?=.)|(?=^{HEADING})"
     rows = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), cut)).alias("unit", "body"))
-    # only units that are too long are read line by line
-    lines = F.when(F.length("body") > most, F.split("body", r"(?<=\n)")).otherwise(F.array("body"))
+    # only units that are too long are read by lines and sentences
+    lines = F.when(F.length("body") > most, F.split("body", r"(?<=\n)|(?<=[다요][.!?]\s{1,8})(?=\S)")).otherwise(F.array("body"))
     rows = rows.select(key, "unit", F.posexplode(lines).alias("line", "body")).where("body <> ''")
     up = Window.partitionBy(key).orderBy("unit", "line").rowsBetween(Window.unboundedPreceding, 0)
     inside = Window.partitionBy(key, "unit").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

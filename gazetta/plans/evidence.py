@@ -35,6 +35,6 @@ def e12(spark, sf):
 
 @query("e21_select_evidence")
 def e21(spark, sf):
-    """Topics of the synthetic documents' own words; texts over 1,000 characters are cut down to it."""
+    """Topics of the synthetic documents' own words; texts over 2,000 characters are cut down to it."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return V.select_evidence(docs, "doc_id", "text", 1000, [r"\d", "@", "[A-Z]{2,}", r"\?", "http"])
+    return V.select_evidence(docs, "doc_id", "text", 2000, [r"\d", "@", "[A-Z]{2,}", r"\?", "http"])
