@@ -1,6 +1,7 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
 from .ann import op5_ann
+from .decontamination import OP11_SQL, op11_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op4_language_id
 from .lm import op6_lm_scoring
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
+    "op11_decontamination": OP11_SQL,
 }
