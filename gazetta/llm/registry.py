@@ -1,8 +1,10 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
 from .ann import op5_ann
+from .conversations import op12_conversation_repair
 from .decontamination import OP11_SQL, op11_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .langid import op4_language_id
 from .lm import op6_lm_scoring
 from .mixing import op2_mixing
@@ -24,9 +26,12 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
     "op11_decontamination": op11_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
     "op11_decontamination": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
