@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ SYNONYMS = (
 )
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` worked out once a row, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalize_text(c: Column) -> Column:
     """Ends cut, every run of white space one blank; null is empty."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""), r"\s+", " ")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc
+
 # Words read as one another, and the words of roles, applicants, metrics, units and conditions.
 ALIASES = [
     ("주관연구개발기관|주관연구기관", "주관기관"),
@@ -41,7 +43,10 @@ CRITICAL = (
 )
 ANCHOR = f"{ENTITY}|특허|인증|신용등급|신용평가등급"
 GRADE = "[A-D]{1,3}[+-]?(?![A-Za-z])"
-LAW = "[「『｢][^」』｣\\n]{2,100}(?:법|법률)[」』｣](?:시행령|시행규칙)?(?:제\\d+조(?:의\\d+)?(?:제?\\d+(?:항|호)(?:의\\d+)?)*)?"
+# A cited law: its name, whether its order is meant, and the provision; articles, and names of laws without marks.
+PROVISION = r"제\d+조(?:의\d+)?(?:제?\d+(?:항|호)(?:의\d+)?)*"
+LAW = rf"[「『｢]([^」』｣\n]{{2,100}}(?:법|법률))[」』｣](시행령|시행규칙)?({PROVISION})?"
+BARE_LAW = r"[가-힣]{2,}법(?:시행령|시행규칙)?(?=제\d|에|$|[.,()])"
 TOPICS = [
     r"신청\s*자격|지원\s*대상|참여\s*자격|제외|불가|제한|단,|다만",
     r"접수|마감|제출|신청\s*기간|변경|정정|연장",
@@ -72,21 +77,50 @@ def _quantity(token: Column) -> Column:
     return F.concat_ws("|", F.regexp_extract(token, r"([A-Z])\d", 1), F.regexp_replace(value, r"\.$", ""), unit, _named(COMPARE, sign))
 
 
+def _laws(c: Column) -> Column:
+    """The laws that a text cites with marks: name with order, and provision."""
+    group = lambda g: F.regexp_extract_all(c, F.lit(LAW), F.lit(g))
+    cited = F.arrays_zip(group(1).alias("name"), group(2).alias("order"), group(3).alias("provision"))
+    return F.transform(cited, lambda x: F.struct(F.concat(x["name"], x["order"]).alias("name"), x["provision"].alias("provision")))
+
+
+def _without_laws(text: Column, cited: Column) -> Column:
+    """A text without the laws that the other one cites: with their provision, and by name alone where no other article follows."""
+    plain = F.when(F.size(cited) > 0, F.regexp_replace(text, "[「」『』｢｣]", "")).otherwise(text)
+
+    def leave_out(left: Column, law: Column) -> Column:
+        left = F.replace(left, F.concat(law["name"], law["provision"]), F.lit(""))
+        alone = F.concat(F.lit(r"\Q"), law["name"], F.lit(r"\E(?!제\d)"))
+        return F.when(law["provision"] != "", F.regexp_replace(left, alone, F.lit(""))).otherwise(left)
+
+    return F.aggregate(cited, plain, leave_out)
+
+
+def _compared(text: Column) -> Column:
+    """Compatibility characters folded, provisos marked, no white space."""
+    return F.regexp_replace(F.regexp_replace(nfkc(text), r"(^|[\s.※*;(])(?:단|다만)(?:[,，]\s*|\s+)", "$1단서"), r"\s+", "")
+
+
 def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -> DataFrame:
     """(keys, equivalent): whether a text says the same quantities, applicants, conditions and grades as a quote.
 
     Quantities belong to the role and metric before them; those without a metric keep their order.  The branches of "또는" are
-    compared one by one, in any order.  A text may leave out citations of laws, but not add one.  Null counts as empty, and two
-    empty texts are equivalent.  Repeated rows are judged once and given as often as they came.
+    compared one by one, in any order.  A text may leave out laws that the quote cites, or their articles, but not name another
+    law or article, with marks or without.  Full-width and other compatibility characters count as the plain ones.  Null counts
+    as empty, and two empty texts are equivalent.  Repeated rows are judged once and given as often as they came.
     """
     pairs = pairs.select(*keys, F.coalesce(text, F.lit("")).alias("__text"), F.coalesce(quote, F.lit("")).alias("__quote"))
     pairs = pairs.groupBy(*keys, "__text", "__quote").agg(F.count("*").alias("times"))
     key = F.xxhash64(*keys, "__text", "__quote")  # places rows; the columns themselves are the key
-    sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("__text").alias("value")), F.struct(F.lit("q").alias("side"), F.col("__quote").alias("value"))))
-    mark = F.regexp_replace("s.value", r"(^|[\s.※*;(])(?:단|다만)(?:[,，]\s*|\s+)", "$1단서")
-    rows = pairs.select(*keys, key.alias("pair"), "times", sides.alias("s")).select(*keys, "pair", "times", "s.side", F.regexp_replace(mark, r"\s+", "").alias("value"))
-    laws = F.array_sort(F.array_distinct(F.regexp_extract_all("value", F.lit(LAW), F.lit(0))))
-    rows = rows.withColumns({"laws": laws, "value": F.regexp_replace("value", LAW, "")})
+    pairs = pairs.select(*keys, key.alias("pair"), "times", _compared(F.col("__text")).alias("t"), _compared(F.col("__quote")).alias("q"))
+    pairs = pairs.withColumns({"cited": _laws(F.col("q")), "named": _laws(F.col("t"))})
+    names = lambda c: F.transform(c, lambda law: law["name"])
+    legal = F.size(F.array_except(names(F.col("named")), names(F.col("cited")))) == 0
+    pairs = pairs.select(*keys, "pair", "times", legal.alias("legal"), _without_laws(F.col("t"), F.col("cited")).alias("t"), F.regexp_replace("q", LAW, "").alias("q"))
+    added = [F.array_except(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.regexp_extract_all("q", F.lit(p), F.lit(0))) for p in (BARE_LAW, PROVISION)]
+    pairs = pairs.withColumn("legal", F.col("legal") & (F.size(added[0]) == 0) & (F.size(added[1]) == 0))
+    sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("value")), F.struct(F.lit("q").alias("side"), F.col("q").alias("value"))))
+    rows = pairs.select(*keys, "pair", "times", "legal", sides.alias("s")).select(*keys, "pair", "times", "legal", "s.side", "s.value")
     plain = F.col("value")
     for pattern, word in ALIASES:
         plain = F.regexp_replace(plain, pattern, word)
@@ -121,11 +155,10 @@ def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -
     said = said.groupBy(*id_).agg(F.array_sort(F.collect_list(F.struct(whole.alias("of"), "facts"))).alias("said"))
     each = rows.alias("r").join(said.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in id_], "left")
     one = F.struct(signs.alias("signs"), F.size(branches).alias("branches"), F.col("s.said").alias("said"))
-    each = each.select(*[F.col(f"r.{c}").alias(c) for c in id_], F.col("r.laws").alias("laws"), F.col("r.times").alias("times"), one.alias("one"))
+    each = each.select(*[F.col(f"r.{c}").alias(c) for c in id_], F.col("r.legal").alias("legal"), F.col("r.times").alias("times"), one.alias("one"))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.struct(F.lit(1).alias("x"), F.to_json(c).alias("v"))))["v"]
-    law = lambda side: F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("laws"))))
-    both = each.groupBy(*keys, "pair").agg(F.max("times").alias("times"), of("t", F.col("one")).alias("a"), of("q", F.col("one")).alias("b"), F.array_except(law("t"), law("q")).alias("added"))
-    both = both.select(*keys, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))), ((F.col("a") == F.col("b")) & (F.size("added") == 0)).alias("equivalent"))
+    both = each.groupBy(*keys, "pair").agg(F.max("times").alias("times"), F.min("legal").alias("legal"), of("t", F.col("one")).alias("a"), of("q", F.col("one")).alias("b"))
+    both = both.select(*keys, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))), ((F.col("a") == F.col("b")) & F.col("legal")).alias("equivalent"))
     return both.select(*keys, "equivalent")
 
 

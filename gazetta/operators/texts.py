@@ -214,30 +214,6 @@ def members(rows: DataFrame, key: str, text: Column, *within: str) -> DataFrame:
     return rows.alias("r").join(first.alias("f"), same).select("id", "representative")
 
 
-def statement_pairs(rows: DataFrame, key: str, text: str, least: float = 0.68, within: str | None = None, slices: int = 64) -> DataFrame:
-    """(a, b, ratio): distinct statements with the same set of numbers, or with none, whose edit similarity is ``least`` or more.
-
-    The block is the number set and the length in steps of a quarter octave; similar texts differ by two steps at most.  With ``within``
-    (a document's id), only statements of one document are compared.  Each block is compared in ``slices`` parts of one side.
-    """
-    numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))), ",")
-    owner = F.lit(0) if within is None else F.col(within)
-    rows = rows.select(F.col(key).alias("id"), owner.alias("owner"), F.col(text).alias("t"), numbers.alias("numbers")).where("t <> ''")
-    rows = rows.groupBy("owner", "numbers", "t").agg(F.min("id").alias("id")).withColumn("step", F.floor(4 * F.log2(F.length("t"))))
-    block = ["owner", "numbers", "step"] if within else ["owner", "numbers", "step", "slice"]
-    a = rows.select("owner", "numbers", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"), F.col("id").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence(F.col("step") - 3, F.col("step") + 3)).alias("step"))
-    b = rows.select("owner", "numbers", "step", F.col("id").alias("b"), F.col("t").alias("tb"))
-    if not within:  # one side in slices, the other to each; placed by hand, as few bytes make many pairs
-        b = b.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-        a, b = a.repartition(slices, *block), b.repartition(slices, *block)
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    near = (F.col("a") < F.col("b")) & (F.least(F.length("ta"), F.length("tb")) >= least * longest - 1)
-    # the distance is only worked out up to what the ratio allows; -1 is more
-    pairs = a.join(b.hint("shuffle_hash"), block).where(near).withColumn("most", F.ceil((1 - least) * longest).cast("int"))
-    pairs = pairs.withColumn("distance", F.expr("levenshtein(ta, tb, most)")).where("distance >= 0")
-    return pairs.withColumn("ratio", 1 - F.col("distance") / longest).where(F.col("ratio") >= least).select("a", "b", "ratio")
-
-
 def uncovered(requirements: DataFrame, items: DataFrame, key: str, least: float = 0.65) -> DataFrame:
     """Requirements (key, id, text) that no item (key, text) of theirs covers: as a part, or by words of which ``least`` agree, numbers all."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))

@@ -23,8 +23,8 @@ def round_robin(df: DataFrame, key: str, pool: str, order: list[Column], cap: in
     return out.withColumn("pick", pick).where(F.col("pick") <= cap).drop("__turn")
 
 
-def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows in order that still fit the budget, skipping those that do not.
+def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int, most: int | None = None) -> DataFrame:
+    """Rows in order that still fit the budget, skipping those that do not, and ``most`` rows of a key if given.
 
     Skipping depends on all choices before, so each key's rows are read once in order in a task; only the
     running total is held, however many rows a key has.
@@ -32,14 +32,15 @@ def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget:
     rows = df.repartition(key).sortWithinPartitions(key, *order)
 
     def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, left = object(), 0
+        at, left, taken = object(), 0, 0
         for part in parts:
             keep = []
             for k, n in zip(part[key], part[size]):
                 if k != at:
-                    at, left = k, budget
-                keep.append(n <= left)
-                left -= n if n <= left else 0
+                    at, left, taken = k, budget, 0
+                keep.append(n <= left and (most is None or taken < most))
+                if keep[-1]:
+                    left, taken = left - n, taken + 1
             yield part[keep]
 
     return rows.mapInPandas(choose, df.schema)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import statements as S
 from ..operators import texts as T
 from .base import ORACLES, query, table
 
@@ -242,10 +243,10 @@ def j12_documents(spark, sf):
 @query("j13_in_documents")
 def j13_documents(spark, sf):
     """The clauses of one document against each other."""
-    return T.statement_pairs(numbered(spark, sf), "id", "clause", within="doc_id").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return S.statement_pairs(numbered(spark, sf), "id", "clause", within="doc_id").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("j12_members")
+@query("j12_members", f"WITH {_NUMBERED} SELECT g.id, min(g.id) OVER (PARTITION BY lang, t) AS representative FROM g JOIN documents USING (doc_id) WHERE t <> ''")
 def j12_members(spark, sf):
     c = numbered(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
     return T.members(c, "id", T.compact(F.col("clause")), "lang")
@@ -254,12 +255,12 @@ def j12_members(spark, sf):
 @query("j13_statement_pairs")
 def j13(spark, sf):
     """All clauses; j13_members has the copies behind each id."""
-    return T.statement_pairs(numbered(spark, sf), "id", "clause").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return S.statement_pairs(numbered(spark, sf), "id", "clause").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("j13_members")
+@query("j13_members", f"WITH {_CLAUSES}, k AS (SELECT doc_id * 100000 + clause_no AS id, regexp_replace(clause, '[\\s,·ㆍ『』「」]', '', 'g') AS t FROM c) SELECT id, min(id) OVER (PARTITION BY t) AS representative FROM k WHERE t <> ''")
 def j13_members(spark, sf):
-    return T.members(numbered(spark, sf), "id", F.col("clause"))
+    return T.members(numbered(spark, sf), "id", S.statement_key(F.col("clause")))
 
 
 @query("j16_uncovered", r"""WITH a AS (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS text FROM documents), j AS (SELECT x.doc_id, x.text, y.text AS item FROM a x JOIN a y ON y.doc_id = x.doc_id + 1),

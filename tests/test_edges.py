@@ -307,34 +307,6 @@ def test_cosines_of_blocks_against_each_pair(spark, monkeypatch):
     assert R.cosine_pairs(df.limit(0), df, "vec_id").count() == 0
 
 
-def test_statement_pairs_of_a_document_and_of_all(spark):
-    import random
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    rng = random.Random(3)
-    words = "señal der 12 the ría 7 und ion".split()
-    texts = [(i, i % 3, " ".join(rng.choice(words) for _ in range(rng.randint(3, 6)))) for i in range(60)]
-    df = spark.createDataFrame([*texts, (98, 1, ""), (99, 2, None)], "id long, doc long, t string")
-    for within in (None, "doc"):
-        first, want = {}, set()
-        for i, doc, t in texts:
-            first.setdefault((doc if within else 0, t), i)
-        for (da, ta), a in first.items():
-            for (db, tb), b in first.items():
-                ratio = 1 - distance(ta, tb) / max(len(ta), len(tb))
-                if a < b and da == db and set(ta.split()) & {"12", "7"} == set(tb.split()) & {"12", "7"} and ratio >= 0.68:
-                    want.add((a, b, round(ratio, 6)))
-        got = {(r.a, r.b, round(r.ratio, 6)) for r in T.statement_pairs(df, "id", "t", within=within).collect()}
-        assert got == want and want
-
-
 def test_latency_of_skewed_repeated_and_missing_values(spark):
     from gazetta.operators import windows as W
 

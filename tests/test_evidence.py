@@ -20,6 +20,19 @@ def test_facts_equivalent(spark):
         ("A=1", "A1", False),
         (None, "", True),
         (None, "3명", False),
+        ("３명 이상", "3명 이상", True),
+        ("① 특허 없는 기업", "1 특허 없음 기업", True),
+        # laws: the text may leave out, with or without marks, but not add or change
+        ("상생협력법 제4조에 따른 중견기업", "중견기업", False),
+        ("상생협력법 제4조에 따른 중견기업", "「상생협력법」 제4조에 따른 중견기업", True),
+        ("상생협력법에 따른 중견기업", "「상생협력법」 제4조에 따른 중견기업", True),
+        ("상생협력법 제5조에 따른 중견기업", "「상생협력법」 제4조에 따른 중견기업", False),
+        ("「상생협력법」 제4조의 중견기업", "「상생협력법」 제4조의 중견기업", True),
+        ("「상생협력법 시행법」의 중견기업", "「상생협력법」의 중견기업", False),
+        ("에 따른 중견기업", "「상생협력법」 시행령 제4조제1항에 따른 중견기업", True),
+        ("상생협력법시행령 제4조제1항에 따른 중견기업", "「상생협력법」 시행령 제4조제1항에 따른 중견기업", True),
+        ("제7조의 중견기업", "제7조의 중견기업", True),
+        ("제7조의 중견기업", "중견기업", False),
     ]
     rows = spark.createDataFrame([(i, t, q, "x") for i, (t, q, _) in enumerate(cases)] + [(0, cases[0][0], cases[0][1], "y")], "id int, text string, quote string, side string")
     found = sorted((r.id, r.equivalent) for r in V.facts_equivalent(rows, ["id"], "text", "quote").collect())
