@@ -94,8 +94,8 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 HOT = 100_000
 
 
-def join_once(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Join on a key that ``table`` has once and rows may have any share of.
+def join_once(rows: DataFrame, table: DataFrame, key: str | list[str], hot: DataFrame) -> DataFrame:
+    """Join on a key (one column or several) that ``table`` has once and rows may have any share of.
 
     The keys in ``hot`` (staged) meet their rows where these are, the others in a shuffle.
     """

@@ -57,7 +57,8 @@ def build_index(entries: DataFrame, texts: DataFrame, bucket_keys: int = BUCKET_
     ``entries``: h, doc_id, row_key, code_points, text_sha256; ``texts``: h, norm, code_points, doc_id, row_key of the same rows.
     A bucket's keys are chains of classes.  Of a key that one row has, that row is the chain; the rows of a repeated key are
     grouped by all their bytes, partly before the shuffle, so that a text with any number of copies moves once a task.
-    Owner tasks, each with a range of buckets, lay a bucket's chains side by side and number the classes of a chain.
+    Owner tasks, each with a range of buckets, number the classes of a chain and write their buckets to files of their own; rows
+    find their class there by the bucket that the directory leads them to, and their key in it.
     """
     counts = staged(entries.groupBy("h").agg(F.count("*").alias("n")))
     slots, depth = directory(counts.select("h"), bucket_keys)
@@ -73,7 +74,7 @@ def build_index(entries: DataFrame, texts: DataFrame, bucket_keys: int = BUCKET_
     single = found(entries).join(counts.where("n = 1").drop("n"), "h")
     single = single.select("bucket", "h", F.lit(None).cast("string").alias("norm"), best.alias("best"), F.lit(1).cast("long").alias("group_size"))
     place, chain = Window.partitionBy("bucket", "h").orderBy("norm"), Window.partitionBy("bucket", "h")
-    index = single.unionByName(chains).withColumns({"place": F.row_number().over(place), "links": F.count("*").over(chain)})
+    index = single.unionByName(chains).repartitionByRange("bucket").withColumns({"place": F.row_number().over(place), "links": F.count("*").over(chain)})
     index = index.select("bucket", "h", "place", "links", "norm", (-F.col("best.neg")).alias("keep_id"), F.col("best.row_key").alias("keep_key"), "group_size")
     return staged(index), found(entries)
 
@@ -93,13 +94,13 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, key_of=F.xxhash
     entries = staged(rows.select("doc_id", "row_key", "h", "code_points", F.sha2("norm", 256).alias("text_sha256")))
     index, placed = build_index(entries, rows.select("h", "norm", "code_points", "doc_id", "row_key"), bucket_keys)
     found = index.select("bucket", "h", "links", "keep_id", "keep_key", "group_size", "norm")
-    hot = staged(found.where((F.col("group_size") > HOT) & (F.col("links") == 1)).select("h"))
-    out = join_once(placed.drop("bucket"), found.where("links = 1").drop("norm", "links"), "h", hot)
+    hot = staged(found.where((F.col("group_size") > HOT) & (F.col("links") == 1)).select("bucket", "h"))
+    out = join_once(placed, found.where("links = 1").drop("norm", "links"), ["bucket", "h"], hot)
     names = ["doc_id", "row_key", "keep_id", "keep_key", "group_size", "text_sha256", "bucket"]
     out = out.select(names)
     chained = staged(found.where("links > 1").drop("links"))
     if not chained.isEmpty():  # several texts of one key: the bytes decide
-        texts = placed.join(chained.select("h").distinct(), "h", "left_semi").join(rows.select("doc_id", "row_key", "norm").distinct().withColumnsRenamed({"doc_id": "__doc", "row_key": "__key"}),
+        texts = placed.join(chained.select("bucket", "h").distinct(), ["bucket", "h"], "left_semi").join(rows.select("doc_id", "row_key", "norm").distinct().withColumnsRenamed({"doc_id": "__doc", "row_key": "__key"}),
                             F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row_key") == F.col("__key")))
         out = out.unionByName(texts.join(chained, ["bucket", "h", "norm"]).select(names))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_key") == F.col("keep_key"))

@@ -65,6 +65,34 @@ def test_chains_tell_texts_of_one_key_apart(spark):
     assert len({r.bucket for r in got.values()}) > 1
 
 
+def test_rows_find_their_class_by_the_directory_only(spark, monkeypatch):
+    """A directory that leads some keys to another bucket when rows look theirs up, or has no slot for them, loses these rows."""
+    df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(120)], "doc_id long, text string")
+    whole, build, directory = exact_dedup.exact_dedup(df, 4), exact_dedup.build_index, exact_dedup.directory
+    assert whole.count() == 120 and whole.select("bucket").distinct().count() > 4
+
+    def holes(keys, bucket_keys):
+        slots, depth = directory(keys, bucket_keys)
+        return slots.where("slot % 4 > 0"), depth
+
+    def misled(entries, texts, bucket_keys):
+        index, placed = build(entries, texts, bucket_keys)
+        return index, placed.withColumn("bucket", F.when(F.col("h") % 2 == 0, F.col("bucket") + 1).otherwise(F.col("bucket")))
+
+    for name, wrong in (("directory", holes), ("build_index", misled)):
+        monkeypatch.setattr(exact_dedup, name, wrong)
+        assert 0 < exact_dedup.exact_dedup(df, 4).count() < 120
+        monkeypatch.undo()
+
+
+def test_owner_tasks_hold_ranges_of_buckets(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    rows = df.select("doc_id", F.xxhash64("text").alias("h"), F.lit(1).alias("row_key"), F.lit(1).alias("code_points"), F.lit("").alias("text_sha256"))
+    index, _ = exact_dedup.build_index(rows, rows.withColumn("norm", F.lit("")), 8)
+    held = index.groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(held, held[1:]))
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS h")
     slots, depth = exact_dedup.directory(keys, 80)
