@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,6 +20,10 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS, FIT_CHARS = 4000, 100_000
 #: Share of the chosen candidates that must be right on the part held out from the fit.
 PRECISION = 0.99
+#: A kind with fewer right candidates there takes the threshold of all kinds together.
+SCARCE = 20
+#: Lessons of a document, drawn by its text.
+LESSONS = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,34 +120,73 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
-def lessons(text: str) -> list[tuple[list[float], int, int]]:
-    """(features, label, part) to learn from: candidates are right where a base pattern agrees.
-
-    Of each base span more are written into its place: one with its signs disguised, which stays right, and
-    wrong ones: broken (a digit off, a part above 255, no host) or of another sort (dates, lists of numbers).
+def example(kind: str, rng: random.Random) -> str:
+    """A made-up span of a kind in the form of its base pattern."""
+    word = lambda n: "".join(rng.choice("abdeghiklmnoprstuw") for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        return f"{word(rng.randint(2, 8))}{rng.choice(['.', '_', ''])}{word(rng.randint(2, 8))}@{word(rng.randint(3, 9))}.{rng.choice(['example.org', 'com', 'net', 'de', 'co.uk'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 254)) for _ in range(4))
+    if kind == "card":
+        digits = rng.choice("3456") + number(14)
+        digits += next(d for d in "0123456789" if luhn(digits + d))
+        return rng.choice(["", " ", "-"]).join(digits[i : i + 4] for i in range(0, 16, 4))
+    return f"+{rng.randint(1, 98)} {number(3)} {number(3)} {number(4)}"
+
+
+def disguised(kind: str, s: str, rng: random.Random) -> str:
+    """A base span with its signs written otherwise; it is still personal data."""
+    if kind == "email":
+        user, host = s.split("@", 1)
+        return user + rng.choice([" [at] ", " (at) ", "(at)", "[at]", " @ "]) + (host if rng.random() < 0.6 else host.replace(".", rng.choice([" [dot] ", " (dot) "])))
+    if kind == "ip":
+        return s.replace(".", rng.choice([" . ", ". "]))
+    digits = _ascii_digits(s)
+    if kind == "card":
+        return rng.choice([".", "/", " - ", "  "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    cut = max(1, len(digits) - 10)
+    area, first, last = digits[cut : cut + 3], digits[cut + 3 : cut + 6], digits[cut + 6 :]
+    return rng.choice([f"+{digits[:cut]} / {area} / {first} / {last}", f"00{digits[:cut]} {area} {first} {last}", f"+{digits[:cut]}/{area}/{first}-{last}", f"({area}) {first}-{last}"])
+
+
+def broken(kind: str, s: str, rng: random.Random) -> list[str]:
+    """Spans that look like the kind but are not: a digit off, a part above 255, no host, dates, lists of numbers."""
+    digits = _ascii_digits(s)
+    if kind == "email":
+        user, host = s.split("@", 1)
+        return [user + "@" + re.sub(r"[A-Za-z]", "7", host), f"{user} at {host.split('.')[0]}"]
+    if kind == "ip":
+        return [re.sub(r"[0-9]+$", str(rng.randint(256, 999)), s), ".".join(str(rng.randint(300, 999)) for _ in range(4))]
+    if kind == "card":
+        wrong = digits[:-1] + str((int(digits[-1]) + rng.randint(1, 9)) % 10)
+        return [wrong, rng.choice([".", "/", " - ", " "]).join(wrong[i : i + 4] for i in range(0, len(wrong), 4))]
+    year, month, day = f"20{digits[-2:]}", f"{rng.randint(1, 12):02}", f"{rng.randint(1, 28):02}"
+    return [rng.choice("-/. ").join((year, month, day)), f"19{digits[-4:-2]}-20{digits[-2:]}", " ".join((digits[:2], digits[2:4], digits[4:6])), f"{day}.{month}.{year} {rng.randint(10, 23)}:{digits[-2:]}"]
+
+
+def lessons(text: str, most: int = LESSONS) -> list[tuple[list[float], int, int]]:
+    """(features, label, part) to learn from, at most ``most``: candidates are right where a base pattern agrees.
+
+    Each base span lends its place to others: itself disguised, which stays right, and broken, which is wrong, and one
+    made-up span of each other kind, plain, disguised and broken, so that kinds which a corpus hardly has are learnt as well.
+    The part of the fit goes by the text, so copies are never on both sides of it.
     """
     base = base_spans(text)
-    own = {(a, b, k) for a, b, k in base}
-    out = [(describe(text, c), int(c in own), c[0] % 4) for c in candidates(text)]
-    for a, b, kind in base:
-        s = text[a:b]
-        digits = _ascii_digits(s)
-        if kind == "email":
-            good, bad = s.replace("@", " [at] "), [s.split("@")[0] + "@" + re.sub(r"[A-Za-z]", "7", s.split("@")[1])]
-        elif kind == "ip":
-            good, bad = s.replace(".", " . "), [re.sub(r"[0-9]+$", "731", s)]
-        elif kind == "card":
-            good, bad = re.sub(r"([0-9]{4})(?=[0-9])", r"\1.", s), [s[:-1] + str((int(s[-1]) + 3) % 10)]
-        else:  # a date, a range of years, a list of numbers
-            sign = "-/. "[a % 4]
-            good, bad = s.replace("-", "/").replace(" ", "."), [sign.join(("20" + digits[-2:], "1" + digits[-3], "2" + digits[-1]))]
-            bad += [f"19{digits[-4:-2]}-20{digits[-2:]}", " ".join((digits[:2], digits[2:4], digits[4:6]))]
-        for new, label in ((good, 1), *((x, 0) for x in bad)):
-            made = text[max(0, a - 40) : a] + new + text[b : b + 40]
-            start = min(a, 40)
-            found = [c for c in candidates(made) if c[2] == kind and c[0] <= start + 1 and c[1] >= start + len(new) - 1]
-            out += [(describe(made, c), label, a % 4) for c in found]
-    return out
+    own, seed = set(base), zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    out = [(describe(text, c), int(c in own)) for c in candidates(text)]
+    rng = random.Random(seed)
+    for a, b, kind in base[:most]:
+        for other in KINDS:
+            s = text[a:b] if other == kind else example(other, rng)
+            made = [(disguised(other, s, rng), 1), *((x, 0) for x in broken(other, s, rng))] + ([(s, 1)] if other != kind else [])
+            for new, label in made:
+                near = text[max(0, a - 40) : a] + new + text[b : b + 40]
+                start = min(a, 40)
+                found = [c for c in candidates(near) if c[2] == other and c[0] <= start + 1 and c[1] >= start + len(new) - 1]
+                out += [(describe(near, c), label) for c in found]
+    rng.shuffle(out)
+    return [(x, y, seed % 4) for x, y in out[:most]]
 
 
 class Model(NamedTuple):
@@ -182,12 +227,17 @@ def logits(model: Model, x: np.ndarray) -> np.ndarray:
     return model.start + sum((_apply(t, x) for t in model.trees), np.zeros(len(x)))
 
 
-def fit(rows: list[tuple[list[float], int, int]], trees: int = 40, depth: int = 3, rate: float = 0.3) -> Model:
-    """Boosted trees on three quarters of the lessons; each kind's threshold is set on the last."""
+def fit(rows: list[tuple[list[float], int, int]], **options) -> Model:
+    """``fit_arrays`` on rows of (features, label, part)."""
+    x, y, part = (np.array([r[i] for r in rows], float) for i in range(3))
+    return fit_arrays(x, y, part, **options)
+
+
+def fit_arrays(x: np.ndarray, y: np.ndarray, part: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3) -> Model:
+    """Boosted trees on three quarters of the texts; each kind's threshold is set on the last."""
     never = [float("inf")] * len(KINDS)
-    if len({y for _, y, _ in rows}) < 2:
+    if len(set(y)) < 2:
         return Model(0.0, [], never)
-    x, y, part = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
     fold = part != 3
     if len(set(y[fold])) < 2:
         return Model(0.0, [], never)
@@ -199,14 +249,17 @@ def fit(rows: list[tuple[list[float], int, int]], trees: int = 40, depth: int =
         model.trees.append(_grow(x[fold], p - y[fold], p * (1 - p), depth, rate))
         z += _apply(model.trees[-1], x[fold])
     z, right, kind = logits(model, x[~fold]), y[~fold], x[~fold][:, 0]
-    for k in range(len(KINDS)):
-        order = np.argsort(-z[kind == k], kind="stable")
-        ranked, good = z[kind == k][order], right[kind == k][order]
-        ok = np.cumsum(good) >= PRECISION * np.arange(1, len(good) + 1)
-        ok &= np.r_[ranked[:-1] > ranked[1:], True] if len(ranked) else ok
-        if ok.any() and good.sum() >= 5:
-            never[k] = float(ranked[np.flatnonzero(ok)[-1]])
-    return model._replace(threshold=never)
+    together = _threshold(z, right)
+    return model._replace(threshold=[_threshold(z[kind == k], right[kind == k]) if right[kind == k].sum() >= SCARCE else together for k in range(len(KINDS))])
+
+
+def _threshold(z: np.ndarray, right: np.ndarray) -> float:
+    """The lowest score from which on PRECISION of the candidates are right; infinite where there is none."""
+    order = np.argsort(-z, kind="stable")
+    ranked, good = z[order], right[order]
+    ok = np.cumsum(good) >= PRECISION * np.arange(1, len(good) + 1)
+    ok &= np.r_[ranked[:-1] > ranked[1:], True] if len(ranked) else ok
+    return float(ranked[np.flatnonzero(ok)[-1]]) if ok.any() else float("inf")
 
 
 class _Taken:
@@ -246,21 +299,26 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
 
 
 def fit_on(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on the candidates of at most ``fit_docs`` documents of at most FIT_CHARS characters, drawn by a hash of the id."""
-    some = docs.where((F.char_length("text") <= FIT_CHARS) & F.col("text").rlike("[@0-9]")).where("doc_id IS NOT NULL")
-    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+    """Fit on at most LESSONS lessons of each of at most ``fit_docs`` documents of at most FIT_CHARS characters, drawn by a hash of the text.
+
+    Equal texts teach once, rows without an id as others.
+    """
+    some = docs.where((F.char_length("text") <= FIT_CHARS) & F.col("text").rlike("[@0-9]")).select(F.xxhash64("text").alias("h"), "text")
+    ids = some.select("h").distinct().orderBy(F.hash("h"), "h").limit(fit_docs)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *lesson) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for lesson in lessons(t)]
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "x", "y", "part"])
+            rows = [(h, i, *lesson) for h, t in zip(batch["h"].to_pylist(), batch["text"].to_pylist()) for i, lesson in enumerate(lessons(t))]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "i", "x", "y", "part"])
 
-    sample = some.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
-    rows = sample.mapInArrow(of, "doc_id long, x array<double>, y int, part int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"], r["y"], r["part"]))
-    return fit([([float(v) for v in r["x"]], r["y"], r["part"]) for r in rows])
+    sample = some.join(F.broadcast(ids), "h").groupBy("h").agg(F.min("text").alias("text"))
+    rows = sample.mapInArrow(of, "h long, i int, x array<double>, y int, part int").toArrow()
+    y, part = (rows.column(c).to_numpy() for c in ("y", "part"))
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) if len(y) else np.zeros((0, 1))
+    order = np.lexsort((rows.column("i").to_numpy(), rows.column("h").to_numpy()))
+    return fit_arrays(x[order], y[order].astype(float), part[order])
 
 
 def written(spans: list[Span]) -> str:
@@ -268,7 +326,11 @@ def written(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, counts of the base spans, base_sha256, spans (all), n_added; null text is empty and has none."""
+    """doc_id, counts of the base spans, base_sha256, spans (all), n_added: one row for each row of ``docs``, repeated ones too.
+
+    Null and empty texts have no spans.  A text is read once from end to end, however long.  Spans added never overlap others.
+    An empty table gives no rows.  Other columns are not read, whatever their names; a null doc_id stays null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

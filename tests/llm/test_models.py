@@ -200,3 +200,34 @@ def test_trees_choose_disguised_spans_and_redaction(spark):
     assert ("+1 (974) 555-3436", "phone") in found and not any("2024" in t for t, _ in found)
     df = spark.createDataFrame([(1, "call +1 (974) 555-3436 now", 5), (2, None, 6)], "doc_id long, text string, spans long")
     assert [r.text for r in pii.redact(df, model).orderBy("doc_id").collect()] == ["call [PHONE] now", None]
+
+
+def test_disguised_spans_of_every_kind_are_found(spark):
+    """The synthetic corpus has few base spans; made-up ones at their places teach every kind."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model, rng = pii.fit_on(docs), random.Random(77)
+    texts = [r.text for r in docs.where("length(text) > 300").limit(200).collect()]
+    for kind in pii.KINDS:
+        found = right = added = wrong = 0
+        for _ in range(150):
+            text = rng.choice(texts)
+            at = text.index(" ", rng.randrange(100, len(text) - 150)) + 1
+            left, right_side, plain = text[at - 60 : at], " " + text[at : at + 60], pii.example(kind, rng)
+            for new, good in ((pii.disguised(kind, plain, rng), True), *((x, False) for x in pii.broken(kind, plain, rng))):
+                base, spans = pii.all_spans(left + new + right_side, model)
+                here = [s for s in spans if s[0] < len(left) + len(new) and s[1] > len(left)]
+                more = [s for s in here if s not in base]
+                added += len(more)
+                wrong += 0 if good else len(more)
+                if good:
+                    right += 1
+                    found += any(a <= len(left) + 1 and b >= len(left) + len(new) - 1 for a, b, _ in here)
+        assert found >= 0.9 * right, kind
+        assert wrong <= 0.01 * added, kind
+
+
+def test_lessons_are_bounded_and_copies_share_a_part(spark):
+    text = "mail joe@corp.example.org or call +1 974 555 3436, " * 50
+    assert len(pii.lessons(text)) == pii.LESSONS and pii.lessons(text) == pii.lessons(text) and len({p for _, _, p in pii.lessons(text)}) == 1
+    twice = spark.createDataFrame([(i, t) for i, t in enumerate([text, text, None, "", "@ 1"])], "doc_id long, text string")
+    assert pii.fit_on(twice) == pii.fit_on(twice.where("doc_id > 0")) and pii.fit_on(twice.limit(0)).trees == []
