@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import staged
+
 #: BM25 and fusion constants, and themes by pattern (fixed values).
 K1, B, TITLE_WEIGHT, RRF_K, WINDOW, MATCHES = 1.2, 0.75, 2, 60, 20, 3
 THEMES = (
     "순환경제|재제조", "규제샌드박스|규제특례", "국제공동연구|국제협력|기술협력", "공연|예술|창작",
     "반도체|디스플레이|제조|설비|기계|공장|예지보전|결함탐지", "전산|유지보수|유지관리|^it$",
 )
-#: Rows of the query side that may be broadcast, and queries of a block.
-SMALL, BLOCK = 100_000, 512
+#: Rows of the query side that may be broadcast, queries of a block, and rows of one term that meet in a task.
+SMALL, BLOCK, PART = 100_000, 512, 50_000
+#: Postings of a query's strongest terms, as a multiple of its window, that tell what score its window reaches.
+SEEDS = 50
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -32,11 +36,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str, least: float = -1.0) -> DataFrame:
+def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str, least: float = -1.0, best: int | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, id, cosine) of a stated set of queries with all other rows of the same length, clamped to 1, from ``least`` on.
 
-    Every pair is wanted, so both sides are cut into blocks (by hash, about ``BLOCK`` queries and four times as many rows), and
-    a task multiplies one block of each as matrices.  Only pairs that reach ``least`` leave it.  Rows without an id take no part.
+    Both sides are cut into blocks (by hash, about ``BLOCK`` queries and four times as many rows), and a task multiplies one block
+    of each as matrices.  Only pairs that reach ``least`` leave it, and with ``best`` only those that can be among a query's ``best``
+    when cosines are rounded to ``digits`` and ties go to the smaller id; further ones may come along.  Rows without an id take no part.
     """
     blocks, slices = max(1, -(-queries.count() // BLOCK)), max(1, -(-candidates.count() // (4 * BLOCK)))
     part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -50,7 +55,7 @@ def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str, least: flo
         if asked.empty or rows.empty:
             return pd.DataFrame({"query_id": asked.query_id[:0], "id": rows.id[:0], "cosine": np.zeros(0)})
         values = np.clip(np.stack(asked.q) @ np.stack(rows.u).T, -1.0, 1.0)
-        i, j = np.nonzero((values >= least) & (asked.query_id.to_numpy()[:, None] != rows.id.to_numpy()[None, :]))
+        i, j = _best(values, (values >= least) & (asked.query_id.to_numpy()[:, None] != rows.id.to_numpy()[None, :]), rows.id.to_numpy(), best, digits)
         return pd.DataFrame({"query_id": asked.query_id.to_numpy()[i], "id": rows.id.to_numpy()[j], "cosine": values[i, j]})
 
     kind = dict(candidates.dtypes)[key]
@@ -58,6 +63,34 @@ def cosine_pairs(queries: DataFrame, candidates: DataFrame, key: str, least: flo
     return q.groupBy(*groups).cogroup(c.groupBy(*groups)).applyInPandas(multiply, f"query_id {kind}, id {kind}, cosine double")
 
 
+def _best(values: np.ndarray, mask: np.ndarray, ids: np.ndarray, best: int | None, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``mask`` of the pairs that can be among the ``best`` of their row, all where it is None.
+
+    What rounding may lift to the last of them stays; of equal values the ``best`` smallest ids do.
+    """
+    if best is None:
+        return np.nonzero(mask)
+    values = np.where(mask, values, -np.inf)
+    slack = 0.0 if digits is None else 10.0**-digits
+    last = np.partition(values, max(0, values.shape[1] - best), axis=1)[:, max(0, values.shape[1] - best)]
+    i, j = np.nonzero(mask & (values >= last[:, None] - slack))
+    order = np.lexsort((ids[j], -values[i, j], i))
+    i, j = i[order], j[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (values[i, j][1:] != values[i, j][:-1])] if len(i) else np.zeros(0, bool)
+    turn = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+    return i[turn < best], j[turn < best]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by: str, most: int | None = None) -> DataFrame:
+    """Join on a key that any share of ``right`` may have: its rows of one key meet in parts of about ``most``, by a hash of ``by``."""
+    most = PART if most is None else most
+    often = right.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).alias("__parts"))
+    often = F.broadcast(often) if often.count() <= SMALL else often
+    left = left.join(often, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1).cast("long")) - 1))).drop("__parts")
+    right = right.join(often, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1).cast("long")))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def term_table(df: DataFrame, key: str, title: str, purpose: str) -> DataFrame:
     """(key, term, tf): weighted frequency of each distinct term of two term arrays."""
     t = df.select(key, F.explode(title).alias("term"), F.lit(TITLE_WEIGHT).alias("w"))
@@ -81,27 +114,87 @@ def stats_excluding(terms: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "term", (F.col("df") - 1).alias("df"), (F.col("n") - 1).alias("n"), average.alias("average"))
 
 
-def bm25(queries: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(query_id, id, lexical) for queries (query_id, term) over (key, term, tf), the query's own document left out of statistics and results.
+def _placed(terms: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf, len) as a table of its own: each document's terms with its weighted length."""
+    return staged(terms.withColumn("len", F.sum("tf").over(Window.partitionBy(key))))
+
+
+def _asked(queries: DataFrame, placed: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """(query_id, term, df, idf, average, longest): what each query's terms weigh, its own document left out; and whether these are few.
 
-    ``query_id`` is the id of a document of ``terms`` or of none.  The terms lie by document, so that the parts of a score meet where
-    they arise: query terms counted small go to them, more of them are joined by term and the parts shuffled.
+    ``longest`` is no less than any average.
     """
-    df, whole = corpus_stats(terms, key)
-    lengths = terms.groupBy(key).agg(F.sum("tf").alias("len"))
-    asked = queries.select("query_id", "term").distinct()
-    own = lengths.select(F.col(key).alias("query_id"), F.col("len").alias("own_len"))
-    mine = terms.select(F.col(key).alias("query_id"), "term", F.lit(1).alias("own_df"))
-    asked = asked.join(own, "query_id", "left").join(mine, ["query_id", "term"], "left").join(df, "term", "left").crossJoin(F.broadcast(whole))
+    queries = staged(queries.select("query_id", "term").distinct())
+    df, whole = corpus_stats(placed, key)
+    own = placed.groupBy(F.col(key).alias("query_id")).agg(F.first("len").alias("own_len"))
+    mine = placed.select(F.col(key).alias("query_id"), "term", F.lit(1).alias("own_df"))
+    asked = queries.join(own, "query_id", "left").join(mine, ["query_id", "term"], "left").join(df, "term", "left").crossJoin(F.broadcast(whole))  # one row
     has = F.col("own_len").isNotNull().cast("int")
     n, f = F.col("n") - has, F.coalesce("df", F.lit(0)) - F.coalesce("own_df", F.lit(0))
     average = F.greatest(F.lit(1.0), (F.col("total") - F.coalesce("own_len", F.lit(0))) / F.greatest(F.lit(1), n))
-    asked = asked.select("query_id", "term", F.log(1 + (n - f + 0.5) / (f + 0.5)).alias("idf"), average.alias("average"))
-    asked = F.broadcast(asked) if queries.count() <= SMALL else asked
-    placed = terms.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
-    hits = placed.join(asked, "term").where(F.col("query_id") != F.col(key))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("average")))
-    return hits.groupBy("query_id", F.col(key).alias("id")).agg(F.sum(part).alias("lexical"))
+    longest = F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n") - 1))
+    asked = asked.select("query_id", "term", f.alias("df"), F.log(1 + (n - f + 0.5) / (f + 0.5)).alias("idf"), average.alias("average"), longest.alias("longest"))
+    return asked, queries.count() <= SMALL
+
+
+def _saturation(average: Column) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / average))
+
+
+def _hits(asked: DataFrame, placed: DataFrame, key: str, small: bool) -> DataFrame:
+    """Query terms met with the rows (key, term, tf, len) that have them: small ones where these lie, others by term, frequent terms in parts."""
+    hits = placed.join(F.broadcast(asked), "term") if small else split_join(asked, placed, "term", key)
+    return hits.where(F.col("query_id") != F.col(key))
+
+
+def bm25(queries: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(query_id, id, lexical) for queries (query_id, term) over (key, term, tf), the query's own document left out of statistics and results.
+
+    ``query_id`` is the id of a document of ``terms`` or of none.  Every pair with a term in common has a score, rounded to nine
+    digits; for the best ones alone use ``bm25_window``.  The terms lie by document, so that the parts of a score meet where they arise.
+    """
+    placed = _placed(terms, key)
+    asked, small = _asked(queries, placed, key)
+    hits = _hits(asked.drop("df", "longest"), placed, key, small)
+    return hits.groupBy("query_id", F.col(key).alias("id")).agg(F.round(F.sum(F.col("idf") * _saturation(F.col("average"))), 9).alias("lexical"))
+
+
+def bm25_window(queries: DataFrame, terms: DataFrame, key: str, k: int = WINDOW) -> DataFrame:
+    """(query_id, id, lexical) as ``bm25``, of every pair that can be among a query's ``k`` best, ties included; others may be missing.
+
+    No term adds more to a score than its bound: its weight at the document where it counts most.  What a query's strongest
+    terms give its k-th document is a score that its window reaches.  Terms whose bounds together stay below this are left
+    out at first: documents with no other term cannot enter the window, and they are met only by the candidates of the
+    other terms, of which those go on that can still reach the score.
+    """
+    placed = _placed(terms, key)
+    asked, small = _asked(queries, placed, key)
+    longest = asked.agg(F.max("longest").alias("longest"))
+    peak = placed.crossJoin(F.broadcast(longest)).groupBy("term").agg(F.max(_saturation(F.col("longest"))).alias("peak"))
+    asked = asked.join(peak, "term").withColumn("bound", F.col("idf") * F.col("peak")).drop("peak", "longest")
+    strong = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    before = F.coalesce(F.sum("df").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weak = Window.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = staged(asked.withColumns({"before": before, "upto": F.sum("bound").over(weak)}))
+    part = F.col("idf") * _saturation(F.col("average"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        return _hits(some, placed, key, small).groupBy("query_id", F.col(key).alias("id")).agg(F.sum(part).alias("score"))
+
+    seeds = scored(asked.where(F.col("before") < SEEDS * k))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    reached = seeds.withColumn("__n", turn).where(F.col("__n") <= k).where(F.col("__n") == k)
+    reached = staged(reached.select("query_id", (F.col("score") - 1e-6).alias("reached")))
+    asked = asked.join(reached, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
+    main = F.col("upto") >= F.col("reached")
+    rest = asked.where(~main).groupBy("query_id").agg(F.sum("bound").alias("more"))
+    found = scored(asked.where(main)).join(rest, "query_id", "left").join(reached, "query_id", "left")
+    found = found.where(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("reached", F.lit(0.0)))
+    found = staged(found.select("query_id", "id", "score"))
+    light = found.join(asked.where(~main).select("query_id", "term", "idf", "average"), "query_id")
+    light = light.join(placed.withColumnRenamed(key, "id"), ["id", "term"]).select("query_id", "id", part.alias("score"))
+    whole = found.select("query_id", "id", "score").unionByName(light).groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("lexical"))
+    return whole.join(reached, "query_id", "left").where(F.col("lexical") >= F.coalesce("reached", F.lit(0.0))).drop("reached")
 
 
 def rank_window(scores: DataFrame, value: str, k: int = WINDOW, rank: str = "rank") -> DataFrame:
@@ -173,7 +266,8 @@ def shared_terms(a: DataFrame, b: DataFrame, most: int = 5, gram: int = 4) -> Da
     """(query_id, id, shared): up to ``most`` common topics of documents a (query_id, terms) and b (id, terms), in order of the term.
 
     Terms are common if equal, or if one of at least four characters contains the other.  A containing term has all
-    grams of the contained one, so the first gram of the shorter is what they are joined on.
+    grams of the contained one, so the first gram of the shorter is what they are joined on.  The documents of a frequent topic
+    are met in parts.
     """
     x = a.select("query_id", F.explode("terms").alias("s")).distinct()
     y = b.select("id", F.explode("terms").alias("t")).distinct()
@@ -184,7 +278,7 @@ def shared_terms(a: DataFrame, b: DataFrame, most: int = 5, gram: int = 4) -> Da
     pairs = words.select(F.col("w").alias("s"), F.col("w").alias("t"), F.col("w").alias("common"))
     pairs = pairs.unionByName(inside.select(F.col("w").alias("s"), F.col("part").alias("t"), F.col("part").alias("common")))
     pairs = pairs.unionByName(inside.select(F.col("part").alias("s"), F.col("w").alias("t"), F.col("part").alias("common")))
-    hits = x.join(pairs, "s").join(y, "t").where("query_id <> id").select("query_id", "id", "common").distinct()
+    hits = split_join(split_join(pairs, x, "s", "query_id"), y, "t", "id").where("query_id <> id").select("query_id", "id", "common").distinct()
     return hits.groupBy("query_id", "id").agg(F.slice(F.sort_array(F.collect_set("common")), 1, most).alias("shared"))
 
 

@@ -1,4 +1,4 @@
-"""Rows of submission lists and responsible organisations, from table blocks and labelled lines of whole corpora."""
+"""Rows of submission lists, from table blocks of whole corpora."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .texts import compact, lines, tokens
+from .texts import compact, tokens
 
 #: Headers of the column that names documents, of other columns, cells that mark a level, and endings of document names (fixed values).
 NAME_HEADER = r"^(?:서류명|(?:제출|신청|접수|구비)(?:서류|자료)(?:목록|명)?)$"
@@ -31,6 +31,7 @@ STAGES = {
     "POST_SELECTION": r"선정\s*(?:후|이후)", "REPORTING": r"(?:운영|사업|실습)\s*(?:종료|완료)\s*후",
 }
 STAGE_UNCLEAR = r"협약|선정|평가|수행|운영"
+#: Characters before a table that are its context, and rows among which its header stands (fixed values).
 _BEFORE, _HEADER_ROWS = 600, 5
 _TABLE = r"(?s)\[표\].*?\[/표\]"
 
@@ -111,38 +112,3 @@ def submission_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     level, stage = requirement_level(F.col("quote")), requirement_stage(F.coalesce("own_context", "context"))
     out = sized.where("title <> ''").withColumns({"level": level, "stage": stage})
     return out.where("level IS NOT NULL").select(*on, "row_no", "title", "quote", "level", "stage", "marker", "condition")
-
-
-#: Roles of organisations, those of contacts among them, and names that are none (fixed values).
-ROLES = (
-    "주관기관", "주최기관", "총괄기관", "총괄부처", "소관부처", "시행기관", "전담기관", "운영기관", "관리기관", "전문기관", "주관", "주최", "접수처", "문의처",
-)
-CONTACT_ROLES = ("문의처", "접수처")
-GENERIC_NAME = r"^(?:(?:참여|책임|공동|소속|담당|실습|학생|신규|선임|수석)?연구원|연구책임자|담당자|직원|(?:국내|국외|공공|민간|영리|비영리)?(?:연구기관|연구소|기업부설연구소|대학|대학교|의료기관|사무국|기업))$"
-OTHER_CONTEXT = r"전년도|지난해|타\s*사업|다른\s*사업|참고\s*사업|작성\s*예시|예\s*[:：]"
-
-
-def organizations(df: DataFrame, key: str, text: str, roles: tuple[str, ...] = ROLES, contact: tuple[str, ...] = CONTACT_ROLES) -> DataFrame:
-    """(key, role, name, line_no): role and name pairs of labelled lines and of table cells beside a role, the first of each.
-
-    Names end at commas, semicolons and slashes; generic names are none.  A pair is one by role and name without white space.
-    An organisation that has another role is not listed as a contact too.
-    """
-    words = "|".join(sorted((r"\s*".join(r) for r in roles), key=len, reverse=True))
-    rows = lines(df, key, text).where(~F.col("line").rlike(OTHER_CONTEXT))
-    label = rf"^[\s○●■□▪·*\-(\[<【]*({words})\s*[)\]>】]?\s*[:：|]\s*(.+)$"
-    told = rows.where(F.col("line").rlike(label)).select(key, "line_no", F.regexp_extract("line", label, 1).alias("role"), F.regexp_extract("line", label, 2).alias("value"))
-    raw = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\R")).alias("line_no", "row")).where(F.contains("row", F.lit("\t")))
-    raw = raw.select(key, "line_no", F.posexplode(F.transform(F.split("row", "\t"), lambda c: F.trim(c))).alias("col", "cell"))
-    beside = F.lead("cell").over(Window.partitionBy(key, "line_no").orderBy("col"))
-    celled = raw.where("cell <> ''").withColumn("value", beside).where(F.col("cell").rlike(rf"^(?:{words})$") & F.col("value").isNotNull())
-    celled = celled.where(~F.col("value").rlike(rf"^(?:{words})$")).select(key, "line_no", F.col("cell").alias("role"), "value")
-    pairs = told.unionByName(celled).withColumn("name", F.explode(F.split("value", r"[,;/]\s*|\s및\s")))
-    name = F.trim(F.regexp_replace("name", r"\([^)]*\)|☎.*$|\d{2,4}-\d{3,4}-\d{4}", " "))
-    pairs = pairs.withColumns({"name": name, "role": F.regexp_replace("role", r"\s+", "")})
-    pairs = pairs.where((F.length("name") >= 2) & ~compact(F.col("name")).rlike(GENERIC_NAME)).withColumn("same", compact(F.col("name")))
-    first = pairs.groupBy(key, "role", "same").agg(F.min(F.struct("line_no", "name")).alias("f"))
-    is_contact = F.col("role").isin(*contact)
-    operating = first.where(~is_contact).select(key, "same").distinct()
-    out = first.where(~is_contact).unionByName(first.where(is_contact).join(operating, [key, "same"], "left_anti").select(first.columns))
-    return out.select(key, "role", F.col("f.name").alias("name"), F.col("f.line_no").alias("line_no"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize_text, sentences
+from .similarity import split_join
 
 #: Marks of table blocks in extracted text (fixed values).
 TABLE_OPEN, TABLE_CLOSE = "[표]", "[/표]"
@@ -179,30 +180,34 @@ def ground_quotes(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return per.select("claim_id", code.alias("result"))
 
 
-def near_duplicates(rows: DataFrame, key: str, kind: str, text: str, n: int = 3, threshold: float = 0.72) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str, kind: str, text: str, n: int = 3, threshold: float = 0.72, lengths: float = 0.0, least: int = 1) -> DataFrame:
     """(a, b): ids of near-duplicate texts of one kind with the same sorted numbers and an n-gram Jaccard of ``threshold`` or more.
 
-    Equal texts are joined once: only distinct texts are compared, and each stands for its smallest id.  Of a text's grams,
-    ordered rarest first, only the first ``size - ceil(threshold * size) + 1`` are joined on: texts that are alike share one
-    of them, and the commonest grams make no pairs.
+    Texts of under ``least`` characters without white space take no part; with ``lengths`` the shorter has that share of the longer one's
+    characters or more (context blocks of notices: n 5, threshold 0.88, lengths 0.8, least 12).  Equal texts are joined once: only
+    distinct texts are compared, and each stands for its smallest id.  Of a text's grams, ordered rarest first, only the
+    first ``size - ceil(threshold * size) + 1`` are joined on: texts that are alike share one of them.  A shared gram counts where as many grams stand at or after
+    it in both texts as they must share; the first that they share does.  A gram's texts are met in parts.
     """
     tight = F.regexp_replace(F.lower(text), r"\s+", "")
     rows = rows.select(F.col(key).alias("id"), F.col(kind).alias("kind"), tight.alias("t"), F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))), ",").alias("numbers"))
-    distinct = rows.where("t <> ''").groupBy("kind", "numbers", "t").agg(F.min("id").alias("id"))
+    distinct = rows.where(F.length("t") >= max(1, least)).groupBy("kind", "numbers", "t").agg(F.min("id").alias("id"))
     grams = F.expr(f"if(length(t) <= {n}, array(t), array_distinct(transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n}))))")
-    sets = distinct.withColumn("grams", grams)
-    each = sets.select("id", "kind", "numbers", F.explode("grams").alias("g"))
-    often = each.groupBy("kind", "numbers", "g").agg(F.count("*").alias("df"))
+    sets = distinct.select("id", F.xxhash64("kind", "numbers").alias("block"), F.length("t").alias("chars"), grams.alias("grams"))
+    each = sets.select("id", "chars", F.size("grams").alias("size"), F.explode(F.transform("grams", lambda g: F.xxhash64("block", g))).alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "g")
-    size = F.count("*").over(Window.partitionBy("id"))
-    placed = each.join(often, ["kind", "numbers", "g"]).withColumns({"place": F.row_number().over(order), "size": size})
-    first = placed.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1) & (F.col("df") > 1))
-    a = first.select("kind", "numbers", "g", F.col("id").alias("a"), F.col("size").alias("sa"))
-    b = first.select("kind", "numbers", "g", F.col("id").alias("b"), F.col("size").alias("sb"))
-    fits = (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, ["kind", "numbers", "g"]).where(fits).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    jaccard = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
+    placed = each.join(often, "g").withColumn("place", F.row_number().over(order))
+    first = placed.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1) & (F.col("df") > 1)).select("g", "id", "chars", "size", "place")
+    a = first.select("g", F.col("id").alias("a"), F.col("chars").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+    b = first.select("g", F.col("id").alias("b"), F.col("chars").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
+    shared = (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9
+    fits = (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold) & (F.col("a") < F.col("b")) & (F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + 1 >= shared)
+    fits = fits & (F.least("ca", "cb") >= lengths * F.greatest("ca", "cb"))
+    pairs = split_join(a, b, "g", "b").where(fits).select("a", "b").distinct()
+    one, other = (sets.select(F.col("id").alias(c), F.col("block").alias(f"block_{c}"), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    pairs = pairs.join(one, "a").join(other, "b").where("block_a = block_b")
+    jaccard = F.size(F.array_intersect("grams_a", "grams_b")) / F.size(F.array_union("grams_a", "grams_b"))
     return pairs.where(jaccard >= threshold).select("a", "b")
 
 

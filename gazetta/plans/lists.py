@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lists as L
 from ..operators.versioning import latest_per_key
-from .base import ORACLES, query, table
+from .base import query, table
 
 NOW = datetime(1996, 1, 1)
 
@@ -247,25 +247,13 @@ def _scored(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("score"))
 
 
-@query("t2_order_score", f"SELECT o_orderkey, score FROM {_SCORED} ORDER BY score DESC NULLS LAST, o_orderdate DESC, o_orderkey DESC LIMIT 500")
+@query("t2_order_score", f"SELECT o_orderkey, score FROM {_SCORED} ORDER BY score DESC NULLS LAST, o_orderdate DESC, o_orderkey DESC")
 def t2(spark, sf):
-    return L.order_score(_scored(spark, sf), "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score").limit(500)
-
-
-@query("t3_order_by_mode", f"SELECT o_orderkey, score FROM {_SCORED} ORDER BY coalesce(score, -1) DESC, o_orderdate DESC, o_orderkey DESC LIMIT 500")
-def t3(spark, sf):
-    return L.order_by_mode(_scored(spark, sf), True, "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score").limit(500)
-
-
-@query("t2_order_score_whole", ORACLES["t2_order_score"].removesuffix(" LIMIT 500"))
-def t2_whole(spark, sf):
-    """As t2, all orders."""
     return L.order_score(_scored(spark, sf), "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score")
 
 
-@query("t3_order_by_mode_whole", ORACLES["t3_order_by_mode"].removesuffix(" LIMIT 500"))
-def t3_whole(spark, sf):
-    """As t3, all orders."""
+@query("t3_order_by_mode", f"SELECT o_orderkey, score FROM {_SCORED} ORDER BY coalesce(score, -1) DESC, o_orderdate DESC, o_orderkey DESC")
+def t3(spark, sf):
     return L.order_by_mode(_scored(spark, sf), True, "score", "o_orderdate", "o_orderkey").select("o_orderkey", "score")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as S
-from .base import ORACLES, query, table
+from .base import query, table
 
 #: The synthetic texts have no Korean particles or headings; these are the vocabulary's parameters.
 _PLAIN = dict(generic=("the", "and"), prefixes=(), particles=(), synonyms=())
@@ -40,9 +40,9 @@ def r3(spark, sf):
 _PAIRS = _UNIT + ", p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.u, c.u) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)"
 
 
-def cosines(spark, sf, least=-1.0):
+def cosines(spark, sf, least=-1.0, best=None, digits=None):
     e = table(spark, sf, "embeddings")
-    return S.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", least)
+    return S.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", least, best, digits)
 
 
 @query("r4_cosine_pairs", f"WITH {_PAIRS} SELECT query_id, id, round(cosine, 5) AS cosine FROM p WHERE cosine >= 0.2")
@@ -52,31 +52,31 @@ def r4(spark, sf):
 
 @query("w3_rank_window", f"WITH {_PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 2) DESC, id) AS rn FROM p) SELECT query_id, id, CAST(rank() OVER (PARTITION BY query_id ORDER BY round(cosine, 2) DESC) AS INTEGER) AS rank FROM t WHERE rn <= 20")
 def w3(spark, sf):
-    return S.rank_window(cosines(spark, sf).withColumn("cosine", F.round("cosine", 2)), "cosine").select("query_id", "id", "rank")
+    return S.rank_window(cosines(spark, sf, best=S.WINDOW, digits=2).withColumn("cosine", F.round("cosine", 2)), "cosine").select("query_id", "id", "rank")
 
 
-_TERM_SQL = f"""d AS (SELECT doc_id, {_SQL_TERMS.format("regexp_extract(text, '^[^\n]*')")} AS title, {_SQL_TERMS.format("regexp_replace(text, '^[^\n]*\n?', '')")} AS purpose FROM documents WHERE lang = 'en'),
+_TERM_SQL = f"""d AS (SELECT doc_id, {_SQL_TERMS.format("regexp_extract(text, '^[^\n]*')")} AS title, {_SQL_TERMS.format("regexp_replace(text, '^[^\n]*\n?', '')")} AS purpose FROM documents),
 t AS (SELECT doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(title) AS term, 2 AS w FROM d UNION ALL SELECT doc_id, unnest(purpose), 1 FROM d) GROUP BY 1, 2)"""
 
 
-def features(spark, sf, only="true"):
-    d = table(spark, sf, "documents").where(only)
+def features(spark, sf):
+    d = table(spark, sf, "documents")
     return d.select("doc_id", terms(F.regexp_extract("text", "^[^\n]*", 0)).alias("title"), terms(F.regexp_replace("text", "^[^\n]*\n?", "")).alias("purpose"))
 
 
-def term_rows(spark, sf, only="true"):
-    return S.term_table(features(spark, sf, only), "doc_id", "title", "purpose")
+def term_rows(spark, sf):
+    return S.term_table(features(spark, sf), "doc_id", "title", "purpose")
 
 
 @query("a4_corpus_stats", f"WITH {_TERM_SQL} SELECT term, count(*) AS df FROM t GROUP BY 1")
 def a4(spark, sf):
-    return S.corpus_stats(term_rows(spark, sf, "lang = 'en'"), "doc_id")[0]
+    return S.corpus_stats(term_rows(spark, sf), "doc_id")[0]
 
 
 @query("a5_stats_excluding", f"""WITH {_TERM_SQL}, f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), o AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY 1), w AS (SELECT count(*) AS n, sum(len) AS total FROM o)
-SELECT doc_id, term, df - 1 AS df, n - 1 AS n, round(greatest(1.0, (total - len) / greatest(1, n - 1)), 6) AS average FROM t JOIN f USING (term) JOIN o USING (doc_id), w WHERE doc_id % 10 = 3 AND df > 1""")
+SELECT doc_id, term, df - 1 AS df, n - 1 AS n, round(greatest(1.0, (total - len) / greatest(1, n - 1)), 6) AS average FROM t JOIN f USING (term) JOIN o USING (doc_id), w WHERE df > 1""")
 def a5(spark, sf):
-    out = S.stats_excluding(term_rows(spark, sf, "lang = 'en'"), "doc_id").where("doc_id % 10 = 3 AND df > 0")
+    out = S.stats_excluding(term_rows(spark, sf), "doc_id").where("df > 0")
     return out.select("doc_id", "term", "df", "n", F.round("average", 6).alias("average"))
 
 
@@ -85,59 +85,54 @@ q AS (SELECT item_id - 1000000 AS query_id, unnest({_SQL_TERMS.format('text')})
 b AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(1, total / n)))) AS lexical FROM q JOIN f USING (term) JOIN t USING (term) JOIN o USING (doc_id), w GROUP BY 1, 2)"""
 
 
-def lexical(spark, sf, only="true"):
-    q = table(spark, sf, "benchmark").select((F.col("item_id") - 1000000).alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
-    return S.bm25(q, term_rows(spark, sf, only), "doc_id")
+def _passages(spark, sf):
+    return table(spark, sf, "benchmark").select((F.col("item_id") - 1000000).alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
 
 
-@query("r5_bm25", f"WITH {_BM25} SELECT query_id, id, round(lexical, 5) AS lexical FROM b")
+@query("r5_bm25", f"WITH {_BM25} SELECT query_id, id, round(lexical, 5) AS lexical FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, id) <= 20")
 def r5(spark, sf):
-    return lexical(spark, sf, "lang = 'en'").select("query_id", "id", F.round("lexical", 5).alias("lexical"))
+    """The window of each passage: its 20 best documents."""
+    best = S.rank_window(S.bm25_window(_passages(spark, sf), term_rows(spark, sf), "doc_id"), "lexical")
+    return best.select("query_id", "id", F.round("lexical", 5).alias("lexical"))
 
 
-def _all_languages(name):
-    return ORACLES[name].replace(" WHERE lang = 'en'", "")
+@query("r5_bm25_whole", f"WITH {_BM25} SELECT query_id, id, round(lexical, 5) AS lexical FROM b")
+def r5_whole(spark, sf):
+    """Every pair of a passage and a document with a term in common."""
+    return S.bm25(_passages(spark, sf), term_rows(spark, sf), "doc_id").select("query_id", "id", F.round("lexical", 5).alias("lexical"))
 
 
-@query("a4_corpus_stats_whole", _all_languages("a4_corpus_stats"))
-def a4_whole(spark, sf):
-    """As a4, over the documents of all languages."""
-    return S.corpus_stats(term_rows(spark, sf), "doc_id")[0]
+_TITLES = f"""{_TERM_SQL}, f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), o AS (SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS len FROM t GROUP BY 1), w AS (SELECT count(*) AS n, sum(len) AS total FROM o),
+q AS (SELECT doc_id AS query_id, unnest(title) AS term FROM d WHERE doc_id % 20 = 0),
+b AS (SELECT q.query_id, t.doc_id AS id, sum(ln(1 + (n - 1 - (df - 1) + 0.5) / (df - 1 + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * o.len / greatest(1, (total - m.len) / greatest(1, n - 1))))) AS lexical
+  FROM q JOIN o m ON m.doc_id = q.query_id JOIN f USING (term) JOIN t ON t.term = q.term AND t.doc_id <> q.query_id JOIN o ON o.doc_id = t.doc_id, w GROUP BY 1, 2),
+s AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY cosine DESC) AS semantic_rank FROM (SELECT * FROM p WHERE cosine >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) <= 20)),
+x AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY lexical DESC) AS lexical_rank FROM (SELECT query_id, id, round(lexical, 9) AS lexical FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, id) <= 20)),
+h AS (SELECT coalesce(s.query_id, x.query_id) AS query_id, coalesce(s.id, x.id) AS id, cosine, lexical, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(lexical_rank AS INTEGER) AS lexical_rank, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS fused FROM s FULL JOIN x ON s.query_id = x.query_id AND s.id = x.id)"""
 
 
-@query("a5_stats_excluding_whole", _all_languages("a5_stats_excluding").replace("doc_id % 10 = 3 AND ", ""))
-def a5_whole(spark, sf):
-    """As a5, for every document of all languages."""
-    out = S.stats_excluding(term_rows(spark, sf), "doc_id").where("df > 0")
-    return out.select("doc_id", "term", "df", "n", F.round("average", 6).alias("average"))
-
-
-@query("r5_bm25_whole", _all_languages("r5_bm25"))
-def r5_whole(spark, sf):
-    """As r5, over the documents of all languages."""
-    return lexical(spark, sf).select("query_id", "id", F.round("lexical", 5).alias("lexical"))
+def _hybrid(spark, sf):
+    q = features(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode("title").alias("term"))
+    return S.hybrid_rank(cosines(spark, sf, 0.2, S.WINDOW), S.bm25_window(q, term_rows(spark, sf), "doc_id"), 0.2)
 
 
-@query("r6_hybrid_rank")
+@query("r6_hybrid_rank", f"WITH {_PAIRS}, {_TITLES} SELECT query_id, id, semantic_rank, lexical_rank, round(fused, 6) AS fused FROM h")
 def r6(spark, sf):
-    q = features(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode("title").alias("term"))
-    lex = S.bm25(q, term_rows(spark, sf), "doc_id")
-    return S.hybrid_rank(cosines(spark, sf, 0.2), lex, 0.2).select("query_id", "id", "semantic_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
+    return _hybrid(spark, sf).select("query_id", "id", "semantic_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
 
 
 @query("t5_top_matches", f"WITH {_PAIRS}, r AS (SELECT query_id, id, round(cosine, 6) AS cosine FROM p) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS INTEGER) AS place FROM r QUALIFY place <= 3")
 def t5(spark, sf):
-    c = cosines(spark, sf).withColumn("cosine", F.round("cosine", 6))
+    c = cosines(spark, sf, best=S.MATCHES, digits=6).withColumn("cosine", F.round("cosine", 6))
     return S.top_matches(c.withColumn("fused", F.lit(0.0))).select("query_id", "id", "place")
 
 
 @query("r7_accept")
 def r7(spark, sf):
-    fused = S.hybrid_rank(cosines(spark, sf), S.bm25(features(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode("title").alias("term")), term_rows(spark, sf), "doc_id"), 0.2)
     f = features(spark, sf)
     a = f.select(F.col("doc_id").alias("query_id"), F.col("title").alias("title_q"), F.col("purpose").alias("purpose_q"))
     b = f.select(F.col("doc_id").alias("id"), F.col("title").alias("title_c"), F.col("purpose").alias("purpose_c"))
-    pairs = fused.join(a, "query_id").join(b, "id").withColumns({"in_semantic": F.col("semantic_rank").isNotNull(), "in_lexical": F.col("lexical_rank").isNotNull(), "reliable": F.lit(True), "shared": S.overlap(F.col("title_q"), F.col("title_c"))})
+    pairs = _hybrid(spark, sf).join(a, "query_id").join(b, "id").withColumns({"in_semantic": F.col("semantic_rank").isNotNull(), "in_lexical": F.col("lexical_rank").isNotNull(), "reliable": F.lit(True), "shared": S.overlap(F.col("title_q"), F.col("title_c"))})
     return S.accept(pairs, 0.2, 0.3, 0.4).select("query_id", "id", "basis")
 
 
@@ -206,4 +201,4 @@ def a11(spark, sf):
     near = e.select(F.col("vec_id").alias("left"), F.col("label").alias("a"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 40)).alias("right"))
     near = near.join(e.select(F.col("vec_id").alias("right"), F.col("label").alias("b")), "right")
     label = F.when(F.col("a") == F.col("b"), "similar").when(F.abs(F.col("a") - F.col("b")) == 1, "review").otherwise("different")
-    return S.confusion(cosines(spark, sf).where("round(cosine, 6) >= 0.2"), near.withColumn("label", label))
+    return S.confusion(cosines(spark, sf, 0.19999).where("round(cosine, 6) >= 0.2"), near.withColumn("label", label))

@@ -71,9 +71,15 @@ def m4(spark, sf):
     return _runs(spark, sf).where("outcome = 'LATE'").select("run_id", "late")
 
 
-@query("m5_stream_corpus_stats", "SELECT event_type AS term, count(*) AS df FROM events GROUP BY 1")
+@query("m5_stream_corpus_stats", """WITH l AS (SELECT user_id, event_type, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+t AS (SELECT DISTINCT user_id, unnest([event_type, props]) AS term FROM l) SELECT term, count(*) AS df FROM t WHERE term IS NOT NULL GROUP BY 1""")
 def m5(spark, sf):
-    base = _folder(spark)
-    terms = _stream(spark, sf, "events").select(F.col("event_type").alias("term"))
-    J.stream_corpus_stats(terms, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("term").agg(F.sum("df").alias("df"))
+    """A user's events are versions of one document, of two terms; only the latest counts."""
+    e = _stream(spark, sf, "events")
+    rows = e.select(F.col("user_id").alias("document_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.array_compact(F.array("event_type", "props")).alias("terms"))
+
+    def run(base):
+        J.stream_corpus_stats(rows, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return J.corpus_stats(spark, f"{base}/out")[0]
+
+    return _with_rocks(spark, run)

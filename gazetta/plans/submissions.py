@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import organizations as O
 from ..operators import submissions as B
 from .base import query, table
 
@@ -23,11 +24,18 @@ def e22(spark, sf):
     return out.groupBy("l_orderkey", "title", "level", "stage").agg(F.count("*").alias("n"))
 
 
-@query("e16_organizations", """SELECT s_suppkey, '주관기관' AS role, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, '문의처', 'Desk ' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT s_suppkey, '전담기관', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@query("e16_organizations", """WITH s AS (SELECT s_suppkey, '공급' || s_suppkey || '진흥원' AS own, '나라' || s_nationkey || '협회' AS other FROM supplier)
+SELECT s_suppkey, '주관기관' AS role, own AS name FROM s UNION ALL SELECT s_suppkey, '주관기관', '한국재단' FROM s UNION ALL SELECT s_suppkey, '운영기관', own FROM s WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, '문의처', '창구 ' || s_suppkey || ' 센터' FROM s WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, '전담기관', other FROM s UNION ALL SELECT s_suppkey, '관리기관', other FROM s WHERE s_suppkey % 5 > 0""")
 def e16(spark, sf):
-    """A supplier's notice names it twice, as operator and as contact, and its nation in a table; every other one has a desk."""
-    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # as many nations as there are
-    desk = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("\n문의처 : Desk "), F.col("s_suppkey").cast("string"))).otherwise("")
-    text = F.concat(F.lit("■ 주관 기관: "), "s_name", F.lit(", 연구소\n문의처: "), "s_name", desk, F.lit("\n지난해 주최: 다른 기관\n[표]\n전담기관\t"), "n_name", F.lit("\n[/표]"))
-    return B.organizations(s.select("s_suppkey", text.alias("text")), "s_suppkey", "text").select("s_suppkey", "role", "name")
+    """A supplier's notice names it as operator and as contact, and its nation in tables, beside and below; attachments repeat, and hold forms and examples."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    own, other = F.concat(F.lit("공급"), key.cast("string"), F.lit("진흥원")), F.concat(F.lit("나라"), nation, F.lit("협회"))
+    desk = F.when(key % 2 == 0, F.concat(F.lit("\n(문의처) 창구 "), key.cast("string"), F.lit(" 센터 02-123-4567"))).otherwise("")
+    table_end = F.when(key % 5 > 0, "[/표]").otherwise("")
+    body = F.concat(F.lit("■ 주관 기관: "), own, F.lit(" 및 한국재단, 연구소\n문의처\n"), own, desk, F.lit("\n지난해 주최: 다른협회\n[표]\n전담기관\t전담기관\t"), other, F.lit("\n[/표]"))
+    notice = F.concat(F.lit("주관기관: "), own, F.lit("\n[표]\n관리기관\t비고\n"), other, F.lit("\t없음\n"), table_end, F.lit("\n서식 1 신청서\n주최: 양식협회"))
+    bundle = F.concat(F.lit("[파일: 신청서.hwp]\n주관기관: 신청협회\n[파일: 공고문.hwp]\n"), F.when(key % 3 == 0, F.concat(F.lit("운영기관 "), own)).otherwise("운영기관: 추후 선정"), F.lit("\n작성 예시\n주최: 예제협회"))
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("file"), t.alias("text")) for n, f, t in ((0, None, body), (1, "공고.hwpx", notice), (2, "첨부.zip", bundle), (3, "참고자료.pdf", body))])
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(rows).alias("r")).select("s_suppkey", "r.*")
+    return O.organizations(rows, "s_suppkey", "text", "file", "n").select("s_suppkey", "role", "name")

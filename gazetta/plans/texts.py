@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import statements as S
 from ..operators import texts as T
-from .base import ORACLES, query, table
+from .base import query, table
 
 _CLAUSES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
 c AS (SELECT * FROM (SELECT doc_id, unnest(range(len(p))) AS clause_no, regexp_replace(trim(regexp_replace(unnest(p), '^[\s○●■□▪·*-]+', '')), '\s+', ' ', 'g') AS clause FROM s) WHERE length(clause) BETWEEN 15 AND 300)"""
@@ -24,31 +24,31 @@ def f1(spark, sf):
     return docs(spark, sf).select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("h"))
 
 
-@query("f8_classify_warning", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'TIMEOUT' WHEN doc_id % 7 = 1 THEN 'HTTP_503' WHEN doc_id % 7 = 2 THEN 'SOURCE' WHEN doc_id % 7 = 3 THEN 'ENCRYPTED' WHEN doc_id % 7 = 4 THEN 'CORRUPT' ELSE 'ATTACHMENT' END AS category FROM documents""")
-def f8(spark, sf):
-    k = F.col("doc_id") % 7
-    head = F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40)
-    raw = F.concat(head, F.when(k == 0, " Timed out after 30s").when(k == 1, " HTTP status 503").when(k == 3, " file is Encrypted").when(k == 4, " BadZip file").otherwise(""))
-    return docs(spark, sf).select("doc_id", X.classify_warning(raw, k == 2).alias("category"))
-
+_LINES_OF = r"SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS t FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]') AS p FROM documents)"
+_STATUS = r"'(?:http|status)\D{0,10}([45]\d\d)'"
 
-@query("f9_is_unknown", "SELECT doc_id, doc_id % 3 = 0 AS unknown FROM documents")
-def f9(spark, sf):
-    raw = F.when(F.col("doc_id") % 3 == 0, F.lit("  N/A. ")).otherwise(F.concat(F.lit("unknown to "), F.substring("text", 1, 30)))
-    return docs(spark, sf).select("doc_id", X.is_unknown(raw).alias("unknown"))
 
-
-@query("f8_classify_warning_whole")
-def f8_whole(spark, sf):
-    """Every line of the whole texts."""
-    return T.lines(docs(spark, sf), "doc_id", "text").select("doc_id", "line_no", X.classify_warning(F.col("line"), F.lit(False)).alias("category"))
+@query("f8_classify_warning", rf"""WITH r AS ({_LINES_OF}), l AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS line FROM r),
+k AS (SELECT doc_id, line_no, line || CASE line_no % 5 WHEN 0 THEN ' timed out' WHEN 1 THEN ' http status 503' WHEN 2 THEN ' badzip' ELSE '' END AS low FROM l WHERE line <> '')
+SELECT doc_id, line_no, CASE WHEN regexp_matches(low, 'timeout|timed out|시간 초과|시간이 초과') THEN 'TIMEOUT' WHEN regexp_matches(low, {_STATUS}) THEN 'HTTP_' || regexp_extract(low, {_STATUS}, 1)
+WHEN regexp_matches(low, '암호|encrypted|password protected') THEN 'ENCRYPTED' WHEN regexp_matches(low, '크기|too large|size limit') THEN 'TOO_LARGE' WHEN regexp_matches(low, '손상|badzip|corrupt') THEN 'CORRUPT'
+WHEN regexp_matches(low, '텍스트를 찾지|no text') THEN 'NO_TEXT' WHEN regexp_matches(low, '지원하지|unsupported') THEN 'UNSUPPORTED' ELSE 'ATTACHMENT' END AS category FROM k""")
+def f8(spark, sf):
+    """Every line of the whole texts, three of five with an error at their end."""
+    k = F.col("line_no") % 5
+    raw = F.concat("line", F.when(k == 0, " Timed out").when(k == 1, " HTTP status 503").when(k == 2, " BadZip").otherwise(""))
+    return T.lines(docs(spark, sf), "doc_id", "text").select("doc_id", "line_no", X.classify_warning(raw, F.lit(False)).alias("category"))
 
 
-@query("f9_is_unknown_whole")
-def f9_whole(spark, sf):
-    """Every sentence of the whole texts."""
+@query("f9_is_unknown", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+u AS (SELECT doc_id, CAST(n AS INTEGER) AS sentence_no, p[n + 1] AS t FROM (SELECT doc_id, p, unnest(range(len(p))) AS n FROM s))
+SELECT doc_id, sentence_no, sentence_no % 3 > 0 OR regexp_full_match(lower(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '[.!?。]+$', '')), 'unknown|n/?a') AS unknown FROM u""")
+def f9(spark, sf):
+    """Every sentence of the whole texts, two of three in the words of a placeholder."""
     s = docs(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    return s.select("doc_id", "sentence_no", X.is_unknown(F.col("sentence")).alias("unknown"))
+    k = F.col("sentence_no") % 3
+    said = F.when(k == 1, F.lit("N/A.")).when(k == 2, F.lit("본문에서 확인되지 않음")).otherwise(F.col("sentence"))
+    return s.select("doc_id", "sentence_no", X.is_unknown(said).alias("unknown"))
 
 
 @query("f10_source_role", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'form' WHEN 1 THEN 'example' WHEN 2 THEN 'reference' ELSE 'notice' END AS role FROM part")
@@ -198,24 +198,17 @@ def e26(spark, sf):
     return T.template_language(T.lines(docs(spark, sf), "doc_id", "text"), "doc_id", {"en": r"\bthe\b", "de": r"\bder\b"})
 
 
-@query("j10_ground_quotes", r"""WITH q AS (SELECT item_id AS claim_id, CAST(item_id % 50 AS BIGINT) AS document_id, substring(text, 1, 40) AS quote FROM benchmark UNION ALL SELECT doc_id + 5000000, doc_id, substring(text, 11, 30) FROM documents WHERE doc_id % 3 = 0),
-s AS (SELECT doc_id AS document_id, text FROM documents WHERE doc_id % 7 > 0)
-SELECT claim_id, CASE WHEN s.document_id IS NULL THEN 'SOURCE_NOT_FOUND' WHEN regexp_replace(lower(quote), '\s+', '', 'g') <> '' AND contains(regexp_replace(lower(text), '\s+', '', 'g'), regexp_replace(lower(quote), '\s+', '', 'g')) THEN 'OK' ELSE 'QUOTE_MISMATCH' END AS result FROM q LEFT JOIN s USING (document_id)""")
+@query("j10_ground_quotes", rf"""WITH {_CLAUSES}, q AS (SELECT item_id AS claim_id, CAST(item_id % 50 AS BIGINT) AS document_id, text AS quote FROM benchmark
+UNION ALL SELECT 5000000 + doc_id * 100000 + clause_no, doc_id + CAST(clause_no % 3 = 2 AS INTEGER), clause FROM c),
+src AS (SELECT doc_id AS document_id, regexp_replace(lower(text), '\s+', '', 'g') AS text FROM documents),
+k AS (SELECT claim_id, document_id, regexp_replace(lower(quote), '\s+', '', 'g') AS quote FROM q)
+SELECT claim_id, CASE WHEN src.document_id IS NULL THEN 'SOURCE_NOT_FOUND' WHEN quote <> '' AND contains(text, quote) THEN 'OK' ELSE 'QUOTE_MISMATCH' END AS result FROM k LEFT JOIN src USING (document_id)""")
 def j10(spark, sf):
-    return _grounded(spark, sf, "doc_id % 3 = 0", "doc_id % 7 > 0")
-
-
-@query("j10_ground_quotes_whole", ORACLES["j10_ground_quotes"].replace(" WHERE doc_id % 3 = 0", "").replace(" WHERE doc_id % 7 > 0", ""))
-def j10_whole(spark, sf):
-    """As j10, with every document as claim and source."""
-    return _grounded(spark, sf)
-
-
-def _grounded(spark, sf, claims="true", sources="true"):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 50).alias("document_id"), F.substring("text", 1, 40).alias("quote"))
-    d = docs(spark, sf).where(claims).select((F.col("doc_id") + 5000000).alias("claim_id"), F.col("doc_id").alias("document_id"), F.substring("text", 11, 30).alias("quote"))
-    s = docs(spark, sf).where(sources).select(F.col("doc_id").alias("document_id"), F.lit("body").alias("source"), "text")
-    return T.ground_quotes(b.unionByName(d).withColumn("source", F.lit("body")), s)
+    """Every passage, claimed of a document, and every clause, claimed of its own or, every third, of the next document."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 50).alias("document_id"), F.col("text").alias("quote"))
+    c = numbered(spark, sf).select((5000000 + F.col("id")).alias("claim_id"), (F.col("doc_id") + (F.col("clause_no") % 3 == 2).cast("int")).alias("document_id"), F.col("clause").alias("quote"))
+    s = docs(spark, sf).select(F.col("doc_id").alias("document_id"), F.lit("body").alias("source"), "text")
+    return T.ground_quotes(b.unionByName(c).withColumn("source", F.lit("body")), s)
 
 
 def numbered(spark, sf):

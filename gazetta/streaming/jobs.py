@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,15 +96,66 @@ def stream_runs(stream: DataFrame, wait: int = 3600, delay: str = "10 seconds")
     return timed.groupBy("run_id").transformWithStateInPandas(_Runs(wait * 1000), RUNS, "Append", "EventTime")
 
 
-def stream_corpus_stats(stream: DataFrame, table: str, checkpoint: str):
-    """Add each batch's term counts (term) to the parquet table ``table`` as deltas; their sum by term is the statistics."""
+class _Terms(StatefulProcessor):
+    """The terms of each document's latest version; a newer one takes the old one's back."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "at long, event_id long, terms array<string>")
 
-    def add(batch: DataFrame, number: int) -> None:
-        batch.groupBy("term").agg(F.count("*").alias("df")).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(table)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, event, had = self.latest.get() if self.latest.exists() else (None, None, None)
+        rows, before = pd.concat(list(rows)), had
+        for now, number, terms in sorted(zip(rows["at_ms"].tolist(), rows["event_id"].tolist(), rows["terms"]), key=lambda r: r[:2]):
+            if at is None or (now, number) > (at, event):  # an older version that comes late changes nothing
+                at, event, had = now, number, list(terms)
+        self.latest.update((at, event, list(had)))
+        if before is None or list(had) != list(before):
+            change: dict[str | None, list[int]] = {None: [int(before is None), len(had) - len(before or [])]}
+            for sign, terms in ((-1, before or []), (1, had)):
+                for term in set(terms):
+                    change.setdefault(term, [0, 0])[0] += sign
+            out = [(term, df, size) for term, (df, size) in change.items() if df or size]
+            yield pd.DataFrame(out, columns=["term", "df", "size"])
+
+    def close(self) -> None:
+        pass
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stream_corpus_stats(stream: DataFrame, table: str, checkpoint: str):
+    """Statistics of the latest versions (document_id, event_id, ts, terms) under ``table``; read them with ``corpus_stats``.
+
+    A document's new version retracts the terms of the one before, and what arrives out of order counts by its time, so that after any
+    order of batches the statistics are those of the latest versions.  Each batch merges its changes with the statistics before it into a
+    folder of its own number, and removes the one before that: the table keeps to its terms, and a batch that is repeated after a
+    failure begins from the same place.  Needs the RocksDB state store.
+    """
+    timed = stream.withColumn("at_ms", F.unix_millis("ts"))
+    changes = timed.groupBy("document_id").transformWithStateInPandas(_Terms(), "term string, df long, size long", "Append", "None")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, columns = batch.sparkSession, ["term", "df", "size"]
+        if number > 0:
+            batch = batch.unionByName(spark.read.parquet(f"{table}/batch-{number - 1}").select(columns))
+        merged = batch.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size")).where("df <> 0 OR size <> 0")
+        merged.write.mode("overwrite").parquet(f"{table}/batch-{number}")
+        if number > 1:
+            _remove(spark, f"{table}/batch-{number - 2}")
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def corpus_stats(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame]:
+    """(term, df) and one row (n, total) of the last batch of ``stream_corpus_stats``: documents, and terms in all of them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    last = spark.read.parquet(f"{table}/batch-{max(int(n.split('-')[1]) for n in names)}")
+    whole = last.where("term IS NULL").select(F.col("df").alias("n"), F.col("size").alias("total"))
+    return last.where("term IS NOT NULL AND df > 0").select("term", "df"), whole
 
 
 def run_to_end(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:

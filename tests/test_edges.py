@@ -212,7 +212,7 @@ def test_similar_notices_cover_all_languages(spark):
     assert {langs[d] for d in seen} == set(langs.values())
     lexical = QUERIES["r6_hybrid_rank"](spark, SMALL).where("lexical_rank IS NOT NULL").select("query_id", "id").collect()
     assert {langs[r.id] for r in lexical} - {"en"} and {langs[r.query_id] for r in lexical} - {"en"}
-    left = {r.doc_id for r in QUERIES["a5_stats_excluding_whole"](spark, SMALL).select("doc_id").distinct().collect()}
+    left = {r.doc_id for r in QUERIES["a5_stats_excluding"](spark, SMALL).select("doc_id").distinct().collect()}
     assert {d % 10 for d in left} == set(range(10)) and {langs[d] for d in left} - {"en"}
 
 
@@ -244,9 +244,10 @@ def test_whole_scores_warnings_and_quotes(spark, tmp_path):
     texts = [(1, "fine line\nHTTP status 503 here\ntimed out", "en"), (7, "All is well and good here. N/A.", "en")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert {(1, 1, "HTTP_503"), (1, 2, "TIMEOUT")} < {tuple(r) for r in QUERIES["f8_classify_warning_whole"](spark, str(tmp_path)).collect()}
-    assert rows(QUERIES["f9_is_unknown_whole"](spark, str(tmp_path)).where("doc_id = 7"), "sentence_no") == [(7, 0, False), (7, 1, True)]
-    assert rows(QUERIES["j10_ground_quotes_whole"](spark, str(tmp_path))) == [(5000001, "OK"), (5000007, "OK")]
+    warnings = {(r.doc_id, r.line_no): r.category for r in QUERIES["f8_classify_warning"](spark, str(tmp_path)).collect()}
+    assert warnings == {(1, 0): "TIMEOUT", (1, 1): "HTTP_503", (1, 2): "TIMEOUT", (7, 0): "TIMEOUT"}
+    assert rows(QUERIES["f9_is_unknown"](spark, str(tmp_path)).where("doc_id = 7"), "sentence_no") == [(7, 0, False), (7, 1, True)]
+    assert rows(QUERIES["j10_ground_quotes"](spark, str(tmp_path))) == [(5100001, "OK"), (5700000, "OK")]
 
 
 def test_orders_without_a_score_come_last(spark):
@@ -255,7 +256,7 @@ def test_orders_without_a_score_come_last(spark):
     from .conftest import SMALL
 
     n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
-    for name in ("t2_order_score_whole", "t3_order_by_mode_whole"):
+    for name in ("t2_order_score", "t3_order_by_mode"):
         scores = [r.score for r in QUERIES[name](spark, SMALL).collect()]
         known = [s for s in scores if s is not None]
         assert len(scores) == n > 500 and None in scores and scores[: len(known)] == sorted(known, reverse=True)
@@ -277,15 +278,6 @@ def test_submission_rows_of_literal_tables(spark):
     assert got == {(1, "사업계획서", "MANDATORY", "APPLICATION"), (1, "확인서", "CONDITIONAL", "POST_SELECTION"), (1, "통장 사본", "MANDATORY", "APPLICATION")}
 
 
-def test_organizations_of_lines_and_cells(spark):
-    from gazetta.operators import submissions as B
-
-    text = "주 관: 산업진흥원, 기술원 및 연구소\n문의처: 산업 진흥원\n접수처: 온라인팀\n참고 사업 주최: 타 기관\n전담기관\t평가원\n주관기관\t전담기관"
-    df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
-    got = {(r.role, r.name) for r in B.organizations(df, "id", "text").collect()}
-    assert got == {("주관", "산업진흥원"), ("주관", "기술원"), ("접수처", "온라인팀"), ("전담기관", "평가원")}
-
-
 def test_cosines_of_blocks_against_each_pair(spark, monkeypatch):
     import numpy as np
     from gazetta.operators import similarity as R
