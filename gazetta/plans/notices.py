@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import amounts as A
 from ..operators import deadlines as D
 from ..operators import sections as S
+from ..operators import statements as Q
 from .base import query, table
 
 _DATES = "d AS (SELECT *, o_orderdate + INTERVAL 90 YEAR AS first, o_orderdate + INTERVAL 90 YEAR + INTERVAL 30 DAY AS last, o_orderkey % 9 AS k FROM orders)"
@@ -88,3 +89,24 @@ def e20_sections(spark, sf):
     text = F.when(k == 2, F.concat(F.lit("□ 사업목적\n지원\n□ 신청자격\n"), line, F.lit("□ 제출서류\n서류\n"))).otherwise(F.repeat(line, (1 + F.col("o_orderkey") % 40).cast("int")))
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", group.alias("label"), text.alias("text"))
     return S.select_sections(rows, "o_custkey", "o_orderkey", "label", "text", max_bytes=4000, max_sources=8).select("o_custkey", "o_orderkey", "priority", F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
+@query("e27_statement_issues", """WITH s AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, (l_orderkey + l_linenumber) % 8 AS k FROM lineitem),
+r AS (SELECT doc, id, unnest(CASE k WHEN 1 THEN ['unknown_source', 'unsupported_quote'] WHEN 2 THEN ['unsupported_number'] WHEN 3 THEN ['unsupported_organization'] WHEN 4 THEN ['incomplete_sentence', 'legal_article_number', 'unsupported_number'] WHEN 5 THEN ['wrong_criterion'] WHEN 6 THEN ['unsupported_group'] WHEN 7 THEN ['unsupported_quote', 'dependent_fragment', 'incomplete_sentence'] ELSE [] END) AS rule FROM s)
+SELECT doc, id, rule FROM r UNION ALL SELECT doc, id, 'duplicate' FROM (SELECT doc, id, k, count(*) OVER (PARTITION BY doc, k) AS n FROM s) WHERE n > 1""")
+def e27_issues(spark, sf):
+    """Each order line is a statement about its order's one source, wrong in one way of eight; two of one way in an order are duplicates."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("k")).distinct()
+    k = F.col("k")
+    topics = F.element_at(F.array(*map(F.lit, ("상시근로자 채용 계획서", "수출 바우처 이용 경험", "매출 규모 확인 서류", "특허 출원 이력 보유", "법령상 등록 기업 여부", "품질 인증 획득 사실", "장애인 고용 우대 조건", "지역 소재지 이전 예정"))), (k + 1).cast("int"))
+    text = F.concat(
+        F.when(k == 2, "3억원 이상 ").when(k == 3, "한빛진흥원 추천 ").when(k == 4, "제5조에 따른 ").when(k == 7, "이는 ").otherwise(""), topics,
+        F.when(k == 7, F.lit("가 필요한 사항입니다. 다만 예외가 있는 기업도 있음")).otherwise(F.lit("가 있는 기업이 신청 대상입니다.")),
+    )
+    quote = F.when(k == 7, "없는 구절").otherwise(topics)
+    rows = li.select(
+        "doc", "id", F.when(k == 5, "UNKNOWN").otherwise("IP").alias("criterion"), text.alias("text"), F.when(k == 6, "성장 유형").otherwise("").alias("group_label"),
+        F.array(F.when(k == 1, "other").otherwise("s")).alias("source_ids"), F.array(quote).alias("quotes"), F.array(F.lit("창업 유형")).alias("types"), topics.alias("topic"),
+    )
+    sources = rows.where("text <> ''").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("topic")), "\n").alias("excerpt")).withColumn("source_id", F.lit("s"))
+    return Q.statement_issues(rows.drop("topic"), sources, ["IP", "REVENUE"])
