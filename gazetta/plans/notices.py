@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import amounts as A
+from ..operators import criteria as C
 from ..operators import deadlines as D
 from ..operators import sections as S
 from ..operators import statements as Q
@@ -110,3 +111,34 @@ def e27_issues(spark, sf):
     )
     sources = rows.where("text <> ''").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("topic")), "\n").alias("excerpt")).withColumn("source_id", F.lit("s"))
     return Q.statement_issues(rows.drop("topic"), sources, ["IP", "REVENUE"])
+
+
+_TOPICS = {
+    "상시근로자 10명 미만": ["HEADCOUNT"], "매출액 3억원 이상": ["REVENUE"], "특허 보유": ["IP"], "업력 7년 이내": ["BUSINESS_AGE"], "국세 체납 없음": ["TAX"], "부채 비율 200%": ["CREDIT"],
+    "trl 6단계": ["TRL"], "ISO 9001 인증": ["QUALITY"], "협동조합과 대학": ["BUSINESS_FORM", "LEGAL_FORM"], "일반 사항": [],
+}
+
+
+@query("e18_eligibility_topics", "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{C.CRITERIA[c][0]}')" for i, cs in enumerate(_TOPICS.values()) for c in cs) + f""") v(k, criterion, topic_group))
+SELECT l_orderkey, criterion, topic_group, count(*) AS n FROM lineitem JOIN t ON k = l_partkey % {len(_TOPICS)} GROUP BY 1, 2, 3""")
+def e18_topics(spark, sf):
+    """Order lines as clauses, each about one part's topic."""
+    clause = F.element_at(F.array(*map(F.lit, _TOPICS)), (F.col("l_partkey") % len(_TOPICS) + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", clause.alias("clause"))
+    return C.eligibility_topics(rows, "clause").groupBy("l_orderkey", "criterion", "topic_group").agg(F.count("*").alias("n"))
+
+
+@query("e14_support_types", """SELECT o_orderkey, [NULL, 'COMMERCIALIZATION', 'MARKET', NULL, 'SPACE', 'FINANCE'][1 + o_orderkey % 6] AS type, CAST([NULL, 220, 100, NULL, 200, 200][1 + o_orderkey % 6] AS INTEGER) AS score,
+CASE o_orderkey % 6 WHEN 0 THEN 'NO_USABLE_SOURCE' WHEN 3 THEN 'NO_SUPPORT_ACTIVITY' ELSE 'RULE_CLASSIFICATION' END AS reason FROM orders""")
+def e14_types(spark, sf):
+    """Orders as notices: none, a section of full rank with a title of its type, an overview before another section, support outside sections, a heading's own line, and lines that belong together."""
+    k, n = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    text = (
+        F.when(k == 1, F.concat(F.lit("공고 "), n, F.lit("\n□ 지원 내용\n시제품 제작 비용을 지원합니다.\n향후 융자 지원\n□ 문의\n융자 지원 안내")))
+        .when(k == 2, F.lit("□ 사업개요\n수출 바우처 지원 사업\n□ 지원대상\n융자 지원을 받은 기업"))
+        .when(k == 3, F.lit("융자 지원 안내\n지원대상: 기업"))
+        .when(k == 4, F.lit("2. 지원내용: 사무공간 입주를 지원합니다.\n붙임 1 신청서\n□ 지원내용\n융자 지원을 제공합니다."))
+        .when(k == 5, F.lit("□ 지원내용\n중소기업 정책자금으로\n필요한 비용을 지원합니다.\n□ 설비 교체 안내"))
+    )
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(k == 1, "제품화 사업 공고").otherwise("공고").alias("title"), text.alias("text"))
+    return C.support_types(rows, "o_orderkey", "title", "text").select("o_orderkey", "type", "score", "reason")

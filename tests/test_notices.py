@@ -209,3 +209,30 @@ def test_selected_sections_against_a_loop(spark):
     for r in S.select_sections(df, "doc", "place", "label", "body", 300, 5, topics).collect():
         found.setdefault(r.doc, {})[r.place] = r.priority
     assert found == want and len(found) > 20
+
+
+def test_support_types_of_sections(spark):
+    from gazetta.operators import criteria as C
+
+    notices = [
+        ("", "□ 지원내용\n마케팅 비용을 지원합니다.\n□ 신청방법\n융자 지원 신청", ("MARKET", 200)),
+        ("교육훈련 공고", "사업개요\n훈련과정 코칭 및 상담 제공\n지원내용 :\n컨설팅 제공과 교육지원", ("WORKFORCE", 220)),
+        ("", "□ 지원내용\n지원대상: 융자 기업\n전년도 실증 지원\n융자 지원 제외 기업", None),  # administrative, past, excluded
+        ("", "□ 지원내용\n■ 스마트공장 구축 지원 안내\n설명\n■ 접수 기간 안내\n실증 수행 지원", ("ADOPTION", 200)),  # a box that supports, then one that ends it
+        ("", "사업목적\n□ 스마트공장 구축 지원 안내", None),  # an overview ends at any box
+        ("", "□ 지원내용\n" + "설명하는 줄입니다.\n" * 36 + "인증 취득 지원합니다.", None),
+        ("", "□ 지원내용\n" + "설명하는 줄입니다.\n" * 30 + "인증 취득 지원합니다.", ("CERTIFICATION", 200)),
+        ("", "□ 지원내용\n해외진출과 융자 지원합니다.", ("MARKET", 200)),  # both: the earlier one
+        ("", "신청서\n□ 지원내용\n융자 지원합니다.", None), ("", "", None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x, _) in enumerate(notices)], "id int, title string, body string")
+    found = {r.id: (r.type, r.score) if r.type else None for r in C.support_types(df, "id", "title", "body").collect()}
+    assert found == {i: want for i, (_, _, want) in enumerate(notices)}
+
+
+def test_eligibility_topics(spark):
+    from gazetta.operators import criteria as C
+
+    df = spark.createDataFrame([(1, "벤처기업 인증과 특허를 가진 법인사업자"), (2, "국세청 안내"), (3, None), (4, "Trl 7, iso27001")], "id int, clause string")
+    found = {(r.id, r.criterion, r.topic_group) for r in C.eligibility_topics(df, "clause").collect()}
+    assert found == {(1, "CERTIFICATION", "TECHNOLOGY"), (1, "IP", "TECHNOLOGY"), (1, "BUSINESS_FORM", "COMPANY"), (4, "TRL", "TECHNOLOGY"), (4, "QUALITY", "TECHNOLOGY")}
