@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nfkc
+from ..functions.text import nfkc, once
 
 # Words read as one another, and the words of roles, applicants, metrics, units and conditions.
 ALIASES = [
@@ -165,17 +165,26 @@ def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -
 def evidence_units(df: DataFrame, key: str, text: str, topics: list[str] = TOPICS, most: int = 1600) -> DataFrame:
     """(key, start, end, topics, signature): a text's units in characters, end exclusive, with the numbers of the topics each shows.
 
-    A unit begins at a heading or after a blank line; one of over ``most`` characters is cut after a line or a sentence, never within it.
+    A unit begins at a heading or after a blank line; one of over ``most`` characters is cut after lines and sentences, each part as
+    long as the limit allows; only a single longer line or sentence passes it.
     A unit that begins with a proviso belongs to the one before; blank units are left out.
     """
     cut = rf"(?m)(?<=\n[ \t]{{0,40}}\r?\n)(?=.)|(?=^{HEADING})"
     rows = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), cut)).alias("unit", "body"))
-    # only units that are too long are read by lines and sentences
+    # only units that are too long are read by lines and sentences; a piece that would pass the limit begins a part
     lines = F.when(F.length("body") > most, F.split("body", r"(?<=\n)|(?<=[다요][.!?]\s{1,8})(?=\S)")).otherwise(F.array("body"))
-    rows = rows.select(key, "unit", F.posexplode(lines).alias("line", "body")).where("body <> ''")
+    begin = F.struct(*[F.lit(0).alias(c) for c in ("at", "start", "part")], F.array().cast("array<int>").alias("parts"))
+
+    def add(s: Column, piece: Column) -> Column:
+        right = s["at"] + F.length(piece)
+        new = (right - s["start"] > most) & (s["at"] > s["start"])
+        part = s["part"] + new.cast("int")
+        return F.struct(right.alias("at"), F.when(new, s["at"]).otherwise(s["start"]).alias("start"), part.alias("part"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    pieces = once(lines, lambda x: once(F.aggregate(x, begin, add, lambda s: s["parts"]), lambda parts: F.transform(x, lambda piece, i: F.struct(piece.alias("body"), F.get(parts, i).alias("part")))))
+    rows = rows.select(key, "unit", F.posexplode(pieces).alias("line", "p")).select(key, "unit", "line", "p.body", "p.part").where("body <> ''")
     up = Window.partitionBy(key).orderBy("unit", "line").rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy(key, "unit").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"end": F.sum(F.length("body")).over(up), "part": F.floor((F.sum(F.length("body")).over(inside) - 1) / most)})
+    rows = rows.withColumn("end", F.sum(F.length("body")).over(up))
     rows = rows.withColumn("start", F.col("end") - F.length("body"))
     parts = rows.groupBy(key, "unit", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("start", "body"))).alias("b"))
     parts = parts.withColumn("body", F.array_join("b.body", "")).where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "")

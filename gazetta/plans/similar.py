@@ -15,10 +15,10 @@ def terms(c):
     return X.topic_terms(c, **_PLAIN)
 
 
-@query("r1_topic_terms", f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t)[1:20], ' ') AS first FROM (SELECT doc_id, {_SQL_TERMS.format('text')} AS t FROM documents)")
+@query("r1_topic_terms", f"SELECT doc_id, len(t) AS n, sha256(array_to_string(list_sort(t), ' ')) AS terms_sha256 FROM (SELECT doc_id, {_SQL_TERMS.format('text')} AS t FROM documents)")
 def r1(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", terms(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 20), " ").alias("first"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("terms_sha256"))
 
 
 @query("r2_search_profile", """SELECT doc_id, substring(regexp_extract(text, '^[^.\n]*'), 1, 200) AS title, coalesce(nullif(trim(regexp_extract(text, '(?:Purpose|Objet):([^\n]*)', 1)), ''), trim(substring(regexp_extract(text, '^[^.\n]*[.\n]+([^.\n]*)', 1), 1, 300))) AS purpose FROM documents""")

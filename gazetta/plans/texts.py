@@ -277,9 +277,11 @@ def a13(spark, sf):
     return T.duplicate_of(docs(spark, sf), "doc_id", "text")
 
 
-@query("a12_retention", r"SELECT doc_id, contains(regexp_replace(lower(text), '\s+', '', 'g'), 'license') AS had, contains(regexp_replace(lower(substring(text, 1, 2000)), '\s+', '', 'g'), 'license') AND contains(regexp_replace(lower(text), '\s+', '', 'g'), 'license') AS kept, CAST(length(text) AS INTEGER) AS size_before, CAST(length(substring(text, 1, 2000)) AS INTEGER) AS size_after FROM documents")
+@query("a12_retention", r"""WITH d AS (SELECT doc_id, text AS before, replace(text, 'e ', ' ') AS after FROM documents), k AS (SELECT *, contains(regexp_replace(lower(before), '\s+', '', 'g'), 'license') AS had, contains(regexp_replace(lower(after), '\s+', '', 'g'), 'license') AS has FROM d)
+SELECT doc_id, had, had AND has AS kept, CAST(length(before) AS INTEGER) AS size_before, CAST(length(after) AS INTEGER) AS size_after FROM k""")
 def a12(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.lit("Licen se").alias("fact"), F.col("text").alias("before"), F.substring("text", 1, 2000).alias("after"))
+    """The whole texts before and after a step that takes away some letters."""
+    d = docs(spark, sf).select("doc_id", F.lit("Licen se").alias("fact"), F.col("text").alias("before"), F.replace("text", F.lit("e "), F.lit(" ")).alias("after"))
     return T.retention(d, "fact", "before", "after").select("doc_id", "had", "kept", "size_before", "size_after")
 
 

@@ -234,7 +234,7 @@ def test_whole_scores_warnings_and_quotes(spark, tmp_path):
     days = [datetime.datetime(1994, 1, 1) + datetime.timedelta(days=37 * i) for i in range(60)]
     items = [(i, 1 + i % 3, i, i, d) for i, d in enumerate(days)]
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = {r.item: (r.schedule, r.readiness) for r in QUERIES["k7_readiness_whole"](spark, str(tmp_path)).collect()}
+    got = {r.item: (r.schedule, r.readiness) for r in QUERIES["k7_readiness"](spark, str(tmp_path)).collect()}
     now, want = datetime.date(1995, 6, 17), {}
     for key, number, part, supplier, ship in items:
         left = sum((now + datetime.timedelta(days=k)).weekday() < 5 for k in range(1, (ship.date() - now).days + 1))

@@ -55,3 +55,7 @@ def test_select_evidence(spark):
     units = sorted((r.start, r.end) for r in V.evidence_units(rows.where("id = 5"), "id", "text").collect())
     assert units[0][0] == 0 and units[-1][1] == len(long) and all(a[1] == b[0] for a, b in zip(units, units[1:]))
     assert all(long[e - 1] == "\n" and e - s <= 1600 for s, e in units)
+    # lines of which no two fit together are units each; short ones fill a unit up; a long one stays whole
+    wide = "".join(c * 999 + "\n" for c in "abcd") + ("e" * 499 + "\n") * 5 + "f" * 2000 + "\n끝"
+    cut = sorted((r.start, r.end) for r in V.evidence_units(spark.createDataFrame([(1, wide)], "id long, text string"), "id", "text").collect())
+    assert cut == [(0, 1000), (1000, 2000), (2000, 3000), (3000, 4500), (4500, 6000), (6000, 6500), (6500, 8501), (8501, 8502)]
