@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import amounts as A
 from ..operators import criteria as C
 from ..operators import deadlines as D
+from ..operators import forms as M
 from ..operators import sections as S
 from ..operators import statements as Q
 from .base import query, table
@@ -142,3 +143,36 @@ def e14_types(spark, sf):
     )
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(k == 1, "제품화 사업 공고").otherwise("공고").alias("title"), text.alias("text"))
     return C.support_types(rows, "o_orderkey", "title", "text").select("o_orderkey", "type", "score", "reason")
+
+
+@query("e26_writing_language", "SELECT p_partkey, ['ko', 'en', 'ko', 'en', 'en', 'ko', 'ko'][1 + p_partkey % 7] AS language FROM part")
+def e26_language(spark, sf):
+    """Parts as templates: Korean by default, asked for in English, taken back, by name, by letters, on another file, and by a Korean name."""
+    k = F.col("p_partkey") % 7
+    text = (
+        F.when(k == 0, F.concat(F.lit("사업계획서\n기업명 (English)\n"), "p_name"))
+        .when(k == 1, F.lit("신청서\n\n※ 본 양식은 영문으로 작성하여 주십시오\n기업명"))
+        .when(k == 2, F.lit("신청서\n본 양식은 영어 작성 불필요"))
+        .when(k == 3, F.lit("양식"))
+        .when(k == 4, F.concat(F.lit("Applicant details and project summary: "), "p_name"))
+        .when(k == 5, F.lit("신청서\n요약\n별첨 양식은 영문으로 작성"))
+        .otherwise(F.lit("Please write in English this form and all sections"))
+    )
+    name = F.when(k == 3, "dir/요약서 (English).hwp").when(k == 6, "국문 신청서.hwp").otherwise("양식.hwp")
+    return M.writing_language(table(spark, sf, "part").select("p_partkey", name.alias("file"), text.alias("text")), "p_partkey", "file", "text")
+
+
+@query("e24_score_tables", """WITH r AS (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS row_no, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS points FROM lineitem),
+t AS (SELECT l_orderkey, sum(points) AS total FROM r GROUP BY 1)
+SELECT l_orderkey, row_no, '기준 ' || row_no AS criterion, points, CASE WHEN l_orderkey % 3 = 0 THEN 'deduction' ELSE 'bonus' END AS effect, CASE WHEN l_orderkey % 4 = 0 THEN least(total, 50.0) ELSE total END AS total,
+CASE WHEN l_orderkey % 4 = 0 THEN 50.0 END AS most FROM r JOIN t USING (l_orderkey) WHERE l_orderkey % 5 > 0""")
+def e24_tables(spark, sf):
+    """Each order is a table of points: a third of deductions, a fourth with a limit, and every fifth with a sign against its effect."""
+    li, key = table(spark, sf, "lineitem"), F.col("l_orderkey")
+    sign = F.when(key % 5 == 0, F.when(key % 3 == 0, "+").otherwise("-")).when(key % 3 == 0, "−").otherwise("")
+    cells = F.array(F.lit("1"), F.concat(F.lit(" 기준 "), F.col("l_linenumber").cast("string")), F.concat(sign, F.col("l_quantity").cast("int").cast("string"), F.lit(" 점")))
+    heads = F.array(F.lit("번호"), F.when(key % 3 == 0, "감점 사항").otherwise("우대 조건"), F.lit("배 점"))
+    orders = li.select("l_orderkey").distinct()
+    rows = li.select("l_orderkey", F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_no"), cells.alias("cells")).unionByName(orders.select("l_orderkey", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), heads.alias("cells")))
+    notes = orders.where(key % 4 == 0).select("l_orderkey", F.lit(0).alias("table_no"), F.lit("※ 합계는 최대 50점 이내").alias("note"))
+    return M.score_tables(rows, "l_orderkey", notes).drop("table_no")

@@ -236,3 +236,28 @@ def test_eligibility_topics(spark):
     df = spark.createDataFrame([(1, "벤처기업 인증과 특허를 가진 법인사업자"), (2, "국세청 안내"), (3, None), (4, "Trl 7, iso27001")], "id int, clause string")
     found = {(r.id, r.criterion, r.topic_group) for r in C.eligibility_topics(df, "clause").collect()}
     assert found == {(1, "CERTIFICATION", "TECHNOLOGY"), (1, "IP", "TECHNOLOGY"), (1, "BUSINESS_FORM", "COMPANY"), (4, "TRL", "TECHNOLOGY"), (4, "QUALITY", "TECHNOLOGY")}
+
+
+def test_writing_language(spark):
+    from gazetta.operators import forms as M
+
+    forms = [
+        ("a.hwp", "사업계획서\n영어로 작성", "en"), ("a.hwp", "기업명은 영문으로 작성", "ko"), ("a.hwp", "서식\n1\n2\n3\n영어로 작성", "ko"), ("a.hwp", "서식\n1\n2\n3\n전체 항목은 영어로 작성", "en"),
+        ("a.hwp", "이 서식은 영문 작성하지 않아도 됩니다", "ko"), ("a.hwp", "Write this form in English, not in Korean", "en"), ("a.hwp", "본 문서는 국문 작성, 요약은 영문 기재", "ko"), ("영문 양식.docx", "", "en"),
+        ("영문주소.docx", "", "ko"), ("x.docx", "one two three four", "en"), ("x.docx", "one two three", "ko"), (None, None, "ko"), ("English 국문.hwp", "", "ko"),
+    ]
+    df = spark.createDataFrame([(i, f, t) for i, (f, t, _) in enumerate(forms)], "id int, file string, body string")
+    assert {r.id: r.language for r in M.writing_language(df, "id", "file", "body").collect()} == {i: want for i, (_, _, want) in enumerate(forms)}
+
+
+def test_score_tables(spark):
+    from gazetta.operators import forms as M
+
+    tables = {
+        0: [["구분", "가점 항목", "점수"], ["1", "여성기업", "2점"], ["2", "수상 실적", "+1.5"]], 1: [["감점 기준", "감점"], ["제재", "−3 점"], ["포기", "2점"]], 2: [["우대 사항", "배점"], ["가", "-1점"]],
+        3: [["감점사항", "점수"], ["가", "+1점"]], 4: [["가점사항", "점수"], ["가", "협의"], ["나", "1점"]], 5: [["가점사항", "점수"], ["", "1점"]], 6: [["가점사항", "점수"], ["가", "1점", "x"]], 7: [["항목", "내용"], ["가", "1점"]], 8: [["평가내용", "점수"]],
+    }
+    rows = spark.createDataFrame([(1, t, n, c) for t, cells in tables.items() for n, c in enumerate(cells)], "id int, table_no int, row_no int, cells array<string>")
+    notes = spark.createDataFrame([(1, 0, "합계는 총 3점 이내"), (1, 1, "최대 점수 없음")], "id int, table_no int, note string")
+    found = sorted(tuple(r)[1:] for r in M.score_tables(rows, "id", notes).collect())
+    assert found == [(0, 1, "여성기업", 2.0, "bonus", 3.0, 3.0), (0, 2, "수상 실적", 1.5, "bonus", 3.0, 3.0), (1, 1, "제재", 3.0, "deduction", 5.0, None), (1, 2, "포기", 2.0, "deduction", 5.0, None)]
