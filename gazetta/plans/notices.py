@@ -6,6 +6,7 @@ from ..operators import amounts as A
 from ..operators import criteria as C
 from ..operators import deadlines as D
 from ..operators import forms as M
+from ..operators import natures as N
 from ..operators import sections as S
 from ..operators import statements as Q
 from .base import query, table
@@ -176,3 +177,19 @@ def e24_tables(spark, sf):
     rows = li.select("l_orderkey", F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_no"), cells.alias("cells")).unionByName(orders.select("l_orderkey", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), heads.alias("cells")))
     notes = orders.where(key % 4 == 0).select("l_orderkey", F.lit(0).alias("table_no"), F.lit("※ 합계는 최대 50점 이내").alias("note"))
     return M.score_tables(rows, "l_orderkey", notes).drop("table_no")
+
+
+_NATURES = [
+    ("기술개발 지원사업 모집 공고", "지원사업을 다음과 같이 모집합니다.", None), ("지원사업 평가 결과 안내", "선정 평가 결과를 다음과 같이 공고합니다.", "RESULT"), ("관리 지침 개정 고시", "관리 지침을 일부 개정하여 고시합니다.", "REGULATION"),
+    ("유공자 포상 추천 안내", "포상 대상과 훈격은 다음과 같습니다.", "AWARD"), ("아이디어 공모전 개최 공고", "공모전을 다음과 같이 개최합니다. 상금을 드립니다.", "CONTEST"), ("연구시설 지정 신청 안내", "지정 신청을 받습니다.", "DESIGNATION_RECRUITMENT"),
+    ("정책 설명회 개최", "설명회에 참석 바랍니다.", "GENERAL"), ("지원사업 평가 결과 안내", "전년도 결과입니다. 추가로 신청을 받습니다.", None),
+]
+
+
+@query("e13_natures", f"SELECT o_orderkey, [{', '.join('NULL' if n is None else chr(39) + n + chr(39) for *_, n in _NATURES)}][1 + o_orderkey % {len(_NATURES)}] AS nature FROM orders")
+def e13_natures(spark, sf):
+    """Orders as notices of each nature, and of none."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _NATURES]), (F.col("o_orderkey") % len(_NATURES) + 1).cast("int"))
+    number = F.concat(F.lit("제"), F.col("o_orderkey").cast("string"), F.lit("호 "))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(number, pick(0)).alias("title"), F.array(F.lit(""), pick(1)).alias("sources"))
+    return N.notice_nature(rows, "o_orderkey", "title", "sources")

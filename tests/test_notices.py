@@ -261,3 +261,19 @@ def test_score_tables(spark):
     notes = spark.createDataFrame([(1, 0, "합계는 총 3점 이내"), (1, 1, "최대 점수 없음")], "id int, table_no int, note string")
     found = sorted(tuple(r)[1:] for r in M.score_tables(rows, "id", notes).collect())
     assert found == [(0, 1, "여성기업", 2.0, "bonus", 3.0, 3.0), (0, 2, "수상 실적", 1.5, "bonus", 3.0, 3.0), (1, 1, "제재", 3.0, "deduction", 5.0, None), (1, 2, "포기", 2.0, "deduction", 5.0, None)]
+
+
+def test_natures_of_notices(spark):
+    from gazetta.operators import natures as N
+
+    notices = [
+        ("수요조사 안내", ["본 수요조사는 과제를 선정하는 것이 아닌 의견을 수렴하는 것입니다."], "GENERAL"), ("수요조사 안내", ["본 수요조사는 과제를 선정하는 것이 아닌 의견을 수렴합니다.", "수혜 기업을 모집"], None),
+        ("창업 경진대회 참가자 모집", ["경진대회를 개최합니다. 시상 내역은 아래와 같습니다."], "CONTEST"), ("창업 경진대회 참가자 모집", ["경진대회를 개최합니다."], None),
+        ("특구 지정 신청 공람", ["지정 신청이 있어 이해관계인은 의견서를 제출하시기 바랍니다."], "GENERAL"), ("입상자 발표", ["입상자를 발표합니다."], "RESULT"), ("지원 대상 선정 공고", ["선정 결과를 공고합니다."], "RESULT"),
+        ("운영 규정 개정", ["전년도에 규정을 개정하여 고시합니다."], None), ("연구원 채용 공고", [""], "GENERAL"), ("사업 설명회 참석 안내", [None], "GENERAL"), ("안내", ["내용"], "GENERAL"), ("안내", [" "], None), (None, None, None),
+        ("사업 안내", ["신청 기간: 5월"], None),
+    ]
+    df = spark.createDataFrame([(i, t, x, True) for i, (t, x, _) in enumerate(notices)], "id int, title string, sources array<string>, filed boolean")
+    found = {r.id: r.nature for r in N.notice_nature(df, "id", "title", "sources", "filed").collect()}
+    assert found == {i: want for i, (_, _, want) in enumerate(notices)} | {1: "GENERAL", 7: "GENERAL"}  # filed as general ones
+    assert N.notice_nature(df.where("id = 7"), "id", "title", "sources").first().nature is None
