@@ -142,11 +142,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def is_held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Rows without an id are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; held-out documents teach nothing."""
+    """doc_id, held_out, lang_pred, score of every row; held-out documents teach nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(~is_held_out()))
     return predict(docs, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")

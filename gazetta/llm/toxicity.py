@@ -210,10 +210,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) ->
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; rows of the held-out third teach nothing."""
+    """doc_id, held_out, score, predicted for every row; rows of the held-out third teach nothing, rows without an id are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = fit_on(docs, labels, ~held_out)
     out = score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "worst_start", "worst_end")

@@ -231,3 +231,12 @@ def test_lessons_are_bounded_and_copies_share_a_part(spark):
     assert len(pii.lessons(text)) == pii.LESSONS and pii.lessons(text) == pii.lessons(text) and len({p for _, _, p in pii.lessons(text)}) == 1
     twice = spark.createDataFrame([(i, t) for i, t in enumerate([text, text, None, "", "@ 1"])], "doc_id long, text string")
     assert pii.fit_on(twice) == pii.fit_on(twice.where("doc_id > 0")) and pii.fit_on(twice.limit(0)).trees == []
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    rows = [(i if i % 4 else None, f"das ist der text {i} und die zeile" if i % 2 else f"this is the text {i} and a line", "de" if i % 2 else "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for out, n in ((langid.op4_language_id(spark, str(tmp_path)), 5), (toxicity.op3_toxicity(spark, str(tmp_path)), 3)):
+        found = [(r.doc_id, r.held_out) for r in out.collect()]
+        assert len(found) == 40 and all(h == (d is not None and zlib.crc32(str(d).encode()) % n == (0 if n == 5 else 1)) for d, h in found)
