@@ -224,13 +224,32 @@ def j12(spark, sf):
 _NUMBERED = _CLAUSES + ", g AS (SELECT doc_id, doc_id * 100000 + clause_no AS id, clause, regexp_replace(lower(clause), '\\s+', '', 'g') AS t, array_to_string(list_sort(regexp_extract_all(clause, '\\d+')), ',') AS numbers FROM c)"
 
 
-@query("j12_in_documents", f"""WITH {_NUMBERED}, d AS (SELECT doc_id, numbers, t, min(id) AS id FROM g WHERE t <> '' GROUP BY ALL),
+_ALTERED = _CLAUSES + ", e AS (SELECT doc_id, doc_id * 100000 + clause_no AS id, clause FROM c UNION ALL SELECT doc_id, doc_id * 100000 + clause_no + 50000, clause || ' x' FROM c WHERE clause_no % 5 = 0), g AS (SELECT doc_id, id, clause, regexp_replace(lower(clause), '\\s+', '', 'g') AS t, array_to_string(list_sort(regexp_extract_all(clause, '\\d+')), ',') AS numbers FROM e)"
+
+
+def altered(spark, sf):
+    """Clauses, and every fifth one again with a letter more."""
+    n = numbered(spark, sf).select("doc_id", "clause_no", "id", "clause")
+    more = n.where("clause_no % 5 = 0").select("doc_id", (F.col("id") + 50000).alias("id"), F.concat("clause", F.lit(" x")).alias("clause"))
+    return n.drop("clause_no").unionByName(more)
+
+
+@query("j12_in_documents", f"""WITH {_ALTERED}, d AS (SELECT doc_id, numbers, t, min(id) AS id FROM g WHERE t <> '' GROUP BY ALL),
 k AS (SELECT doc_id, numbers, id, CASE WHEN length(t) <= 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) END AS grams FROM d),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.grams, b.grams)) AS n, len(a.grams) + len(b.grams) AS m FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.numbers = b.numbers AND a.id < b.id)
 SELECT a, b FROM p WHERE n / (m - n) >= 0.72""")
 def j12_documents(spark, sf):
     """The clauses of one document against each other."""
-    return T.near_duplicates(numbered(spark, sf), "id", "doc_id", "clause")
+    return T.near_duplicates(altered(spark, sf), "id", "doc_id", "clause")
+
+
+@query("j12_context_blocks", f"""WITH {_ALTERED}, d AS (SELECT doc_id, numbers, t, min(id) AS id FROM g WHERE length(t) >= 12 GROUP BY ALL),
+k AS (SELECT doc_id, numbers, id, length(t) AS chars, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) AS grams FROM d),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.grams, b.grams)) AS n, len(a.grams) + len(b.grams) AS m FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.numbers = b.numbers AND a.id < b.id AND least(a.chars, b.chars) >= 0.8 * greatest(a.chars, b.chars))
+SELECT a, b FROM p WHERE n / (m - n) >= 0.88""")
+def j12_blocks(spark, sf):
+    """As j12_in_documents, by the rule of context blocks."""
+    return T.near_duplicates(altered(spark, sf), "id", "doc_id", "clause", 5, 0.88, 0.8, 12)
 
 
 @query("j13_in_documents")
