@@ -107,26 +107,33 @@ def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -
     Quantities belong to the role and metric before them; those without a metric keep their order.  The branches of "또는" are
     compared one by one, in any order.  A text may leave out laws that the quote cites, or their articles, but not name another
     law or article, with marks or without.  Full-width and other compatibility characters count as the plain ones.  Null counts
-    as empty, and two empty texts are equivalent.  Repeated rows are judged once and given as often as they came.
+    as empty, and two empty texts are equivalent.  Equal pairs of texts are judged once, whatever their keys, and every row has its answer.
     """
-    pairs = pairs.select(*keys, F.coalesce(text, F.lit("")).alias("__text"), F.coalesce(quote, F.lit("")).alias("__quote"))
-    pairs = pairs.groupBy(*keys, "__text", "__quote").agg(F.count("*").alias("times"))
-    key = F.xxhash64(*keys, "__text", "__quote")  # places rows; the columns themselves are the key
-    pairs = pairs.select(*keys, key.alias("pair"), "times", _compared(F.col("__text")).alias("t"), _compared(F.col("__quote")).alias("q"))
+    value = lambda c: F.coalesce(c, F.lit(""))
+    rows = pairs.select(*keys, value(F.col(text)).alias("__text"), value(F.col(quote)).alias("__quote"))
+    pair = F.sha2(F.concat(F.length("__text").cast("string"), F.lit(":"), "__text", "__quote"), 256)
+    rows = rows.withColumn("__pair", pair)
+    judged = _judged(rows.select(F.col("__pair").alias("pair"), "__text", "__quote").distinct())
+    return rows.select(*keys, "__pair").join(judged.withColumnRenamed("pair", "__pair"), "__pair").select(*keys, "equivalent")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """(pair, equivalent) of different pairs of texts (pair, __text, __quote), as ``facts_equivalent`` tells."""
+    pairs = pairs.select("pair", _compared(F.col("__text")).alias("t"), _compared(F.col("__quote")).alias("q"))
     pairs = pairs.withColumns({"cited": _laws(F.col("q")), "named": _laws(F.col("t"))})
     names = lambda c: F.transform(c, lambda law: law["name"])
     legal = F.size(F.array_except(names(F.col("named")), names(F.col("cited")))) == 0
-    pairs = pairs.select(*keys, "pair", "times", legal.alias("legal"), _without_laws(F.col("t"), F.col("cited")).alias("t"), F.regexp_replace("q", LAW, "").alias("q"))
+    pairs = pairs.select("pair", legal.alias("legal"), _without_laws(F.col("t"), F.col("cited")).alias("t"), F.regexp_replace("q", LAW, "").alias("q"))
     added = [F.array_except(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.regexp_extract_all("q", F.lit(p), F.lit(0))) for p in (BARE_LAW, PROVISION)]
     pairs = pairs.withColumn("legal", F.col("legal") & (F.size(added[0]) == 0) & (F.size(added[1]) == 0))
     sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("value")), F.struct(F.lit("q").alias("side"), F.col("q").alias("value"))))
-    rows = pairs.select(*keys, "pair", "times", "legal", sides.alias("s")).select(*keys, "pair", "times", "legal", "s.side", "s.value")
+    rows = pairs.select("pair", "legal", sides.alias("s")).select("pair", "legal", "s.side", "s.value")
     plain = F.col("value")
     for pattern, word in ALIASES:
         plain = F.regexp_replace(plain, pattern, word)
     rows = rows.withColumn("value", plain)
     signs = F.array(F.contains(F.regexp_replace("value", ">=|<=", ""), F.lit("=")), *[F.contains("value", F.lit(c)) for c in "±×"])
-    id_ = [*keys, "pair", "side"]
+    id_ = ["pair", "side"]
     branches = F.split("value", "또는")
     # the whole text is branch -1; where there are several branches, each is read for itself too
     parts = F.concat(F.array("value"), F.when(F.size(branches) > 1, branches).otherwise(F.array().cast("array<string>")))
@@ -153,13 +160,12 @@ def facts_equivalent(pairs: DataFrame, keys: list[str], text: str, quote: str) -
     said = found.groupBy(*id_, "branch").agg(F.array_sort(F.collect_list(F.struct("fact", times.alias("n")))).alias("facts"))
     whole = F.when(F.col("branch") == 0, "whole").otherwise("branch")
     said = said.groupBy(*id_).agg(F.array_sort(F.collect_list(F.struct(whole.alias("of"), "facts"))).alias("said"))
-    each = rows.alias("r").join(said.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in id_], "left")
-    one = F.struct(signs.alias("signs"), F.size(branches).alias("branches"), F.col("s.said").alias("said"))
-    each = each.select(*[F.col(f"r.{c}").alias(c) for c in id_], F.col("r.legal").alias("legal"), F.col("r.times").alias("times"), one.alias("one"))
+    each = rows.join(said, id_, "left")
+    one = F.struct(signs.alias("signs"), F.size(branches).alias("branches"), "said")
+    each = each.select(*id_, "legal", one.alias("one"))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.struct(F.lit(1).alias("x"), F.to_json(c).alias("v"))))["v"]
-    both = each.groupBy(*keys, "pair").agg(F.max("times").alias("times"), F.min("legal").alias("legal"), of("t", F.col("one")).alias("a"), of("q", F.col("one")).alias("b"))
-    both = both.select(*keys, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))), ((F.col("a") == F.col("b")) & F.col("legal")).alias("equivalent"))
-    return both.select(*keys, "equivalent")
+    both = each.groupBy("pair").agg(F.min("legal").alias("legal"), of("t", F.col("one")).alias("a"), of("q", F.col("one")).alias("b"))
+    return both.select("pair", ((F.col("a") == F.col("b")) & F.col("legal")).alias("equivalent"))
 
 
 def evidence_units(df: DataFrame, key: str, text: str, topics: list[str] = TOPICS, most: int = 1600) -> DataFrame:

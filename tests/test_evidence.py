@@ -59,3 +59,13 @@ def test_select_evidence(spark):
     wide = "".join(c * 999 + "\n" for c in "abcd") + ("e" * 499 + "\n") * 5 + "f" * 2000 + "\n끝"
     cut = sorted((r.start, r.end) for r in V.evidence_units(spark.createDataFrame([(1, wide)], "id long, text string"), "id", "text").collect())
     assert cut == [(0, 1000), (1000, 2000), (2000, 3000), (3000, 4500), (4500, 6000), (6000, 6500), (6500, 8501), (8501, 8502)]
+
+
+def test_equal_pairs_are_judged_once(spark, monkeypatch):
+    """Rows of other keys with the same two texts share one answer, and none is lost."""
+    judged, plain = [], V._judged
+    monkeypatch.setattr(V, "_judged", lambda pairs: judged.append(pairs.count()) or plain(pairs))
+    rows = spark.createDataFrame([(i, ["3명", "4명"][i % 2], "3명") for i in range(40)] + [(7, "3명", None), (None, "3명", "3명")], "id int, text string, quote string")
+    found = sorted(((r.id, r.equivalent) for r in V.facts_equivalent(rows, ["id"], "text", "quote").collect()), key=str)
+    assert found == sorted([(i, i % 2 == 0) for i in range(40)] + [(7, False), (None, True)], key=str)
+    assert judged == [3]
