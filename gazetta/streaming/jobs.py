@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -58,30 +58,34 @@ class _Runs(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "outcome string, late long, accepted long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        outcome, late, accepted = self.state.get() if self.state.exists() else ("", 0, 0)
-        rows, came = pd.concat(list(rows)), []
-        for at, kind in sorted(zip(rows["at_ms"].tolist(), rows["kind"])):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        outcome, late, accepted = before or ("", 0, 0)
+        came = []
+        for at, kind in sorted((row.at_ms, row.kind) for row in rows):
             if kind == "accepted" and not outcome:
                 outcome, accepted = "OPEN", at
-                self.handle.registerTimer(at + self.wait_ms)
             elif kind == "result":
                 if outcome == "OPEN":
                     outcome = "COLLECTED" if at <= accepted + self.wait_ms else "FAILED"
-                    came.append((key[0], outcome, late))
+                    came.append(Row(run_id=key[0], outcome=outcome, late=late))
                     if outcome == "COLLECTED":
                         continue
                 late += 1
-                came.append((key[0], "LATE", late))
+                came.append(Row(run_id=key[0], outcome="LATE", late=late))
+        was_open = before is not None and before[0] == "OPEN"
+        if outcome == "OPEN" and not was_open:  # only runs that a batch leaves open wait
+            self.handle.registerTimer(accepted + self.wait_ms)
+        elif was_open and outcome != "OPEN":
+            self.handle.deleteTimer(accepted + self.wait_ms)
         self.state.update((outcome, late, accepted))
-        if came:
-            yield pd.DataFrame(came, columns=["run_id", "outcome", "late"])
+        return iter(came)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        outcome, late, accepted = self.state.get() if self.state.exists() else ("", 0, 0)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        outcome, late, accepted = self.state.get() or ("", 0, 0)
         if outcome == "OPEN":
             self.state.update(("FAILED", late, accepted))
-            yield pd.DataFrame([(key[0], "FAILED", late)], columns=["run_id", "outcome", "late"])
+            yield Row(run_id=key[0], outcome="FAILED", late=late)
 
     def close(self) -> None:
         pass
@@ -93,7 +97,7 @@ def stream_runs(stream: DataFrame, wait: int = 3600, delay: str = "10 seconds")
     Repeated acceptances are ignored; results of runs never accepted are late.
     """
     timed = stream.withWatermark("ts", delay).withColumn("at_ms", F.unix_millis("ts"))
-    return timed.groupBy("run_id").transformWithStateInPandas(_Runs(wait * 1000), RUNS, "Append", "EventTime")
+    return timed.groupBy("run_id").transformWithState(_Runs(wait * 1000), RUNS, "Append", "EventTime")
 
 
 class _Terms(StatefulProcessor):

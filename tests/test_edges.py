@@ -311,3 +311,24 @@ def test_latency_of_skewed_repeated_and_missing_values(spark):
     for cuts in (2, 256):
         assert {r.kind: (round(r.mean, 6), r.p95) for r in W.latency(df, "kind", "ms", cuts).collect()} == want
     assert W.latency(df.limit(0), "kind", "ms").count() == 0
+
+
+def test_only_open_runs_wait(monkeypatch):
+    """A run that its batch closes sets no timer, one that stays open does, and a later batch that closes it takes it back."""
+    from types import SimpleNamespace
+
+    from gazetta.streaming import jobs
+
+    timers, states = set(), {}
+    handle = SimpleNamespace(registerTimer=timers.add, deleteTimer=timers.remove)
+    rows = lambda *r: iter([SimpleNamespace(at_ms=at, kind=kind) for at, kind in r])
+
+    def feed(run, *r):
+        job = jobs._Runs(1000)
+        job.handle, job.state = handle, SimpleNamespace(get=lambda: states.get(run), exists=lambda: run in states, update=lambda v: states.update({run: v}))
+        return [(x["outcome"], x["late"]) for x in job.handleInputRows((run,), rows(*r), None)]
+
+    assert feed(1, (5, "accepted"), (900, "result"), (950, "result")) == [("COLLECTED", 0), ("LATE", 1)] and not timers
+    assert feed(2, (7, "accepted")) == [] and timers == {1007}
+    assert feed(2, (8, "accepted")) == [] and timers == {1007}
+    assert feed(2, (5000, "result"), (6000, "result")) == [("FAILED", 0), ("LATE", 1), ("LATE", 2)] and not timers
