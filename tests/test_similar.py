@@ -158,3 +158,46 @@ def test_sources_of_a_notice_and_members_of_archives(spark):
     assert found(spark, (None, "서식 1 신청서\n주관기관: 신청진흥원\n문의처: 나래재단")) == {("문의처", "나래재단")}
     broken = "주관기관: 한빛진흥원\n[표]\n운영기관\t새솔재단\n[표]\n전담기관\t가온연구원\n[/표]\n관리기관: 나래협회"
     assert found(spark, (None, broken)) == {("주관기관", "한빛진흥원")}
+
+
+def test_term_rows_of_repeated_ids_and_nulls(spark):
+    """Rows of one document add up wherever they lie; a document without terms has no row."""
+    rows = [(1, ["a", "b"], ["b", "c"]), (1, ["a"], None), (2, None, ["c"]), (3, [], [])]
+    df = spark.createDataFrame(rows, "doc long, title array<string>, purpose array<string>")
+    got = {tuple(r) for r in S.term_table(df, "doc", "title", "purpose").collect()}
+    assert got == {(1, "a", 4), (1, "b", 3), (1, "c", 1), (2, "c", 1)}
+
+
+def test_statistics_excluding_in_parts(spark, monkeypatch):
+    """A term that every document has meets its documents in parts; the plan has no join of all terms by term alone."""
+    monkeypatch.setattr(S, "PART", 3)
+    rows = [(i, t, 1 + i % 2) for i in range(20) for t in ("all", f"own{i}")]
+    got = {(r.doc, r.term): (r.df, r.n, round(r.average, 6)) for r in S.stats_excluding(spark.createDataFrame(rows, "doc long, term string, tf long"), "doc").collect()}
+    want = {(i, t): (19 if t == "all" else 0, 19, round((60 - 2 * (1 + i % 2)) / 19, 6)) for i, t, _ in rows}
+    assert got == want
+    plan = S.stats_excluding(spark.createDataFrame(rows, "doc long, term string, tf long"), "doc")._jdf.queryExecution().toString()
+    assert "__part" in plan
+
+
+def test_r5_gives_every_pair(spark):
+    """r5_bm25 is the whole job: as many rows as r5_bm25_whole, more than 20 for some passage."""
+    from gazetta import catalog
+
+    from .conftest import SMALL
+
+    some, whole = ({tuple(r) for r in catalog.QUERIES[q](spark, SMALL).collect()} for q in ("r5_bm25", "r5_bm25_whole"))
+    per = {}
+    for q, *_ in some:
+        per[q] = per.get(q, 0) + 1
+    assert some == whole and max(per.values()) > 20
+
+
+def test_topic_terms_read_each_word_once(spark):
+    """Words are cut down to different ones before the rules; one- and two-letter runs, numbers and Korean words as before."""
+    from gazetta.functions.text import topic_terms
+
+    df = spark.createDataFrame([("The cat, the CAT a 12 12년 x1 사업을 사업을 나무를 나무는 é ab é",), (None,)], "t string")
+    plain = topic_terms(F.col("t"), generic=("the", "and"), prefixes=(), particles=(), synonyms=())
+    assert [r[0] for r in df.select(plain).collect()] == [["cat", "x1", "사업을", "나무를", "나무는", "ab"], []]
+    assert df.select(topic_terms(F.col("t"))).first()[0] == ["the", "cat", "x1", "나무", "ab"]
+    assert df.select(topic_terms(F.col("t"), generic=()).alias("x"))._jdf.queryExecution().toString().count("regexp_extract_all") > 0
