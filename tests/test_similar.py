@@ -201,3 +201,12 @@ def test_topic_terms_read_each_word_once(spark):
     assert [r[0] for r in df.select(plain).collect()] == [["cat", "x1", "사업을", "나무를", "나무는", "ab"], []]
     assert df.select(topic_terms(F.col("t"))).first()[0] == ["the", "cat", "x1", "나무", "ab"]
     assert df.select(topic_terms(F.col("t"), generic=()).alias("x"))._jdf.queryExecution().toString().count("regexp_extract_all") > 0
+
+
+def test_candidates_take_texts_along_not_grams(spark):
+    """Pairs are met by texts, which become grams again after the joins: no row of theirs holds an array of grams."""
+    df = spark.createDataFrame([(1, "k", "one text of some words"), (2, "k", "one text of some word")], "id long, kind string, t string")
+    out = T.near_duplicates(df, "id", "kind", "t")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    joins = plan[plan.index("Join Inner") :]
+    assert "t_a" in joins and "grams_a" not in joins and [tuple(r) for r in out.collect()] == [(1, 2)]
