@@ -54,6 +54,16 @@ def test_bm25_window_has_what_all_scores_have(spark, monkeypatch, small):
         assert S.bm25_window(asked.limit(0), terms, "doc").isEmpty() and S.bm25_window(asked, terms.limit(0), "doc").isEmpty()
 
 
+def test_bm25_window_cuts_ties_where_they_arise(spark):
+    """Equal documents: only a query's first ones leave a slice, not all of them."""
+    terms = spark.createDataFrame([(i, w, 1) for i in range(400) for w in ("a", "b")], "doc long, term string, tf long")
+    asked = spark.createDataFrame([(q, w) for q in (0, 7, -1) for w in ("a", "b")], "query_id long, term string")
+    got = {}
+    for r in S.bm25_window(asked, terms, "doc", 4).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert {q: sorted(ids) for q, ids in got.items()} == {0: [1, 2, 3, 4], 7: [0, 1, 2, 3], -1: [0, 1, 2, 3]}
+
+
 def test_best_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 4)
     rng = np.random.default_rng(5)
