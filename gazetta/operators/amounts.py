@@ -1,7 +1,7 @@
 """Amounts of texts as typed quantities: value, unit, comparator, scope, frequency and payer.
 
 What qualifies an amount stands before it, back to the last quantity or the last sum of money, or after it, up to the next
-quantity.  Each text is cut at its quantities in its own row; nothing is shuffled.
+quantity.  Equal texts are read once; each is cut at its quantities in its own row.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .similarity import by_text
+
 # How quantities, scales, comparators, scopes, payers and frequencies are written.
 QUANTITY = r"(\d+(?:[.,]\d+)*)\s*(천만|백만|억|만|천)?\s*(개월|년|원|%|개|명)"
 SCALES = {"": 1, "천": 1_000, "만": 10_000, "백만": 1_000_000, "천만": 10_000_000, "억": 100_000_000}
@@ -55,6 +57,11 @@ def money_facts(df: DataFrame, key: str, text: str) -> DataFrame:
     Units are won, months, years, percent, pieces and persons.  Scope, frequency and payer are empty where nothing names them;
     scope and frequency are those of sums of money only.  A number with several points has no value.  Null and empty texts give no rows.
     """
+    facts = by_text(df, [key], [text], lambda once: _money_facts(once, "__same", text))
+    return facts.select(key, "n", "value", "unit", "comparator", "scope", "frequency", "payer")
+
+
+def _money_facts(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     group = lambda g: F.regexp_extract_all(t, F.lit(QUANTITY), F.lit(g))
     pieces = F.arrays_zip(group(0).alias("hit"), group(1).alias("number"), group(2).alias("scale"), group(3).alias("unit"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .similarity import by_text
+
 # Criteria with their group and the words that tell them.
 CRITERIA = {
     "BUSINESS_FORM": ("COMPANY", r"법인\s*사업자|개인\s*사업자|예비\s*창업자|외국\s*법인|기업\s*형태|기관\s*유형|기업(?=\s*만\s*가능)|(?<![가-힣])기업(?=\s*[,·ㆍ])|대학(?!원)|연구기관|의료기관"),
@@ -96,9 +98,13 @@ REACH, HIGH, LOW, TITLE = 35, 200, 100, 20
 
 
 def eligibility_topics(clauses: DataFrame, clause: str, criteria: dict[str, tuple[str, str]] = CRITERIA) -> DataFrame:
-    """``clauses`` with criterion and topic_group: one row for each criterion that a clause is about; it says nothing of who is eligible."""
+    """``clauses`` with criterion and topic_group: one row for each criterion that a clause is about; it says nothing of who is eligible.
+
+    Equal clauses are read once.
+    """
     hits = [F.when(F.col(clause).rlike(f"(?i){p}"), F.struct(F.lit(code).alias("criterion"), F.lit(group).alias("topic_group"))) for code, (group, p) in criteria.items()]
-    return clauses.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*clauses.columns, "__hit.criterion", "__hit.topic_group")
+    told = lambda once: once.select("__same", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("__same", "hit.criterion", "hit.topic_group")
+    return by_text(clauses, clauses.columns, [clause], told).select(*clauses.columns, "criterion", "topic_group")
 
 
 def _tight(c: Column) -> Column:
@@ -119,8 +125,13 @@ def support_types(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
     part of it while it describes support.  A line tells types by itself or with the two lines after it.  Score: the heading's rank, and
     20 more where the title tells the type as well; of equal ones the earliest counts.  ``reason``: RULE_CLASSIFICATION,
     NO_SUPPORT_ACTIVITY, or NO_USABLE_SOURCE for null and blank texts, the other columns being null then.  What follows the
-    heading of a form is not read.
+    heading of a form is not read.  Equal notices are read once.
     """
+    types = by_text(df, [key], [title, text], lambda once: _support_types(once, "__same", title, text))
+    return types.select(key, "type", "score", "evidence", "reason")
+
+
+def _support_types(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
     lines = df.select(key, F.coalesce(title, F.lit("")).alias("__title"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "physical"))
     line = F.regexp_replace("physical", r"^\s+|\s+$", "")
     up = Window.partitionBy(key).orderBy("line_no")
