@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import normalize_text, sentences
+from ..functions.text import normalize_text, once, sentences
 from ..sources.stages import staged
 from .similarity import split_join
 
@@ -76,10 +76,10 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def clauses(df: DataFrame, key: str, text: str, least: int = 15, most: int = 300) -> DataFrame:
-    """(key, clause_no, clause): sentences and lines without bullets, of a bounded length."""
-    rows = df.select(key, F.posexplode(sentences(F.col(text))).alias("clause_no", "clause"))
-    clean = normalize_text(F.regexp_replace("clause", r"^[\s○●■□▪·\-*]+", ""))
-    return rows.withColumn("clause", clean).where(F.length("clause").between(least, most))
+    """(key, clause_no, clause): sentences and lines without bullets, of a bounded length; each is cleaned once, in its text's row."""
+    clean = lambda s: normalize_text(F.regexp_replace(s, r"^[\s○●■□▪·\-*]+", ""))
+    rows = df.select(key, F.posexplode(F.transform(sentences(F.col(text)), clean)).alias("clause_no", "clause"))
+    return rows.where(F.length("clause").between(least, most))
 
 
 def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -154,7 +154,10 @@ def risk_findings(docs: DataFrame, tagged: DataFrame, key: str, missing_text: st
 
 def requirement_kind(clause: Column, rules: dict = REQUIREMENTS, after: tuple[str, ...] = AFTER_AWARD) -> Column:
     """The requirement that a clause states; each rule asks for one word of each of its groups, some for a number too."""
-    tight = F.regexp_replace(clause, r"\s+", "")
+    return once(F.regexp_replace(clause, r"\s+", ""), lambda tight: _requirement_kind(tight, rules, after))
+
+
+def _requirement_kind(tight: Column, rules: dict, after: tuple[str, ...]) -> Column:
     some = lambda words: tight.rlike("|".join(words))
     out = F.when(some(after), F.lit(None).cast("string")) if after else F.when(F.lit(False), "")
     for kind, (number, groups) in rules.items():
@@ -172,10 +175,13 @@ def compact(c: Column) -> Column:
 def ground_quotes(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims (claim_id, document_id, source, quote) with a result: OK, SOURCE_NOT_FOUND, AMBIGUOUS_SOURCE or QUOTE_MISMATCH.
 
-    ``sources``: document_id, source, text.  A quote must occur in the one source of that name, white space aside.
+    ``sources``: document_id, source, text.  A quote must occur in the one source of that name, white space aside.  Texts and quotes
+    are made compact before they meet, each once.
     """
+    claims = claims.select("claim_id", "document_id", "source", compact(F.col("quote")).alias("quote"))
+    sources = sources.select("document_id", "source", F.when(F.col("text").isNotNull(), compact(F.col("text"))).alias("text"))
     named = claims.join(sources, ["document_id", "source"], "left")
-    hit = F.contains(compact(F.col("text")), compact(F.col("quote"))) & (compact(F.col("quote")) != "")
+    hit = F.contains("text", F.col("quote")) & (F.col("quote") != "")
     per = named.groupBy("claim_id").agg(F.count("text").alias("n"), F.count_if(hit).alias("hits"))
     code = F.when(F.col("n") == 0, "SOURCE_NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS_SOURCE").when(F.col("hits") == 1, "OK").otherwise("QUOTE_MISMATCH")
     return per.select("claim_id", code.alias("result"))

@@ -106,7 +106,7 @@ _REQ = {"WITH_NUMBER": (True, (("the", "der"), ("ing", "ung"))), "PLAIN": (False
 
 @query("e6_requirements", f"WITH {_CLAUSES}, t AS (SELECT doc_id, clause_no, regexp_replace(clause, '\\s+', '', 'g') AS x FROM c) SELECT doc_id, clause_no, CASE WHEN regexp_matches(x, '\\d') AND regexp_matches(x, 'the|der') AND regexp_matches(x, 'ing|ung') THEN 'WITH_NUMBER' ELSE 'PLAIN' END AS kind FROM t WHERE NOT contains(x, 'erthe') AND ((regexp_matches(x, '\\d') AND regexp_matches(x, 'the|der') AND regexp_matches(x, 'ing|ung')) OR (regexp_matches(x, 'tion|lich') AND contains(x, 'en')))")
 def e6(spark, sf):
-    c = clauses(spark, sf).withColumn("kind", T.requirement_kind(F.col("clause"), _REQ, ("erthe",)))
+    c = X.worked_out(clauses(spark, sf), {"kind": T.requirement_kind(F.col("clause"), _REQ, ("erthe",))})
     return c.where("kind IS NOT NULL").select("doc_id", F.col("clause_no").cast("long").alias("clause_no"), "kind")
 
 
