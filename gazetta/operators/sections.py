@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import once, worked_out
 from .windows import greedy_budget
 
 # Marks before and after a line's text, references, groups, table headers, and general words for tasks.
@@ -145,7 +146,8 @@ def qualification_sections(df: DataFrame, keys: list[str], group: str, text: str
     """
     g, x = F.coalesce(F.col(group), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     df = df.select(*keys, g.alias("group_label"), x.alias("__text")).where((F.trim(F.regexp_replace("__text", r"\s+", " ")) != "") & ~_for_others(F.col("group_label"), F.col("__text")))
-    lines = df.select(*keys, F.posexplode(F.split("__text", r"(?<=\n)")).alias("line_no", "line")).where("line <> ''")
+    # only a text that names a qualification can have a heading of one
+    lines = df.where(F.col("__text").rlike(QUALIFICATION)).select(*keys, F.posexplode(F.split("__text", r"(?<=\n)")).alias("line_no", "line")).where("line <> ''")
     value = F.regexp_replace("line", r"^\s+|\s+$", "")
     order = Window.partitionBy(*keys).orderBy("line_no")
     mark = F.when(value.isin(*TABLE_MARKS), value)
@@ -160,10 +162,11 @@ def qualification_sections(df: DataFrame, keys: list[str], group: str, text: str
     gap = lambda p, i: F.when((i > 0) & (F.get("kept", F.greatest(i - 1, F.lit(0))).section != p.section - 1), BETWEEN).otherwise("")
     kept = kept.select(*keys, F.array_join(F.transform("kept", lambda p, i: F.concat(gap(p, i), p.part)), "").alias("own"))
     out = df.alias("d").join(kept.alias("k"), [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys], "left").select("d.*", "k.own")
-    heading = _heading(F.col("group_label"))
+    heading, title = _heading(F.col("group_label")), F.col("heading")
     parent = F.trim(F.regexp_extract("group_label", PARENT, 1))
-    priority = F.when(F.col("own").isNotNull(), 1).when(heading.rlike(IRRELEVANT), None).when(_qualifies(heading) | _qualifies(parent), 1).when(heading.rlike(PREFERENCE), 2).otherwise(3)
-    out = out.select(*keys, "group_label", F.coalesce("own", "__text").alias("excerpt"), heading.alias("heading"), priority.alias("priority")).where("priority IS NOT NULL")
+    priority = F.when(F.col("own").isNotNull(), 1).when(title.rlike(IRRELEVANT), None).when(_qualifies(title) | _qualifies(parent), 1).when(title.rlike(PREFERENCE), 2).otherwise(3)
+    out = worked_out(worked_out(out, {"heading": heading}), {"priority": priority}).where("priority IS NOT NULL")
+    out = out.select(*keys, "group_label", F.coalesce("own", "__text").alias("excerpt"), "heading", "priority")
     direct = F.concat("heading", F.lit("\n"), F.get(F.split("excerpt", r"\R"), F.lit(0))).rlike(DIRECT)
     return out.select(*keys, "group_label", "excerpt", F.when((F.col("priority") <= 1) & direct, 0).otherwise(F.col("priority")).alias("priority"))
 
@@ -178,8 +181,8 @@ def select_sections(df: DataFrame, key: str, place: str, group: str, text: str,
     """
     rows = qualification_sections(df, [key, place], group, text).withColumn("size", F.octet_length("excerpt"))
     about = F.concat(F.element_at(F.split("group_label", r"\[원문 구역\]"), -1), F.lit("\n"), F.col("excerpt"))
-    named = F.array_compact(F.array(*[F.when(about.rlike(p), F.lit(i)) for i, p in enumerate(topics.values())]))
-    rows = rows.withColumn("named", named).where((F.size("named") > 0) & (F.col("size") <= max_bytes))
+    named = once(about, lambda a: F.array_compact(F.array(*[F.when(a.rlike(p), F.lit(i)) for i, p in enumerate(topics.values())])))
+    rows = worked_out(rows.where(F.col("size") <= max_bytes), {"named": named}).where(F.size("named") > 0)
     same = F.sha2(F.regexp_replace("excerpt", r"\s+|[｢｣「」『』]", ""), 256)
     variant = F.row_number().over(Window.partitionBy(key, same, F.trim(F.regexp_extract("group_label", SCOPE, 1))).orderBy(place))
     rows = rows.withColumn("__variant", variant).where("__variant = 1")
