@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import once, worked_out
+from ..sources.stages import staged
 from .texts import compact, tokens
 
 #: Headers of the column that names documents, of other columns, cells that mark a level, and endings of document names (fixed values).
@@ -38,7 +40,10 @@ _TABLE = r"(?s)\[표\].*?\[/표\]"
 
 def requirement_level(quote: Column) -> Column:
     """MANDATORY, CONDITIONAL or OPTIONAL; null where the row asks for nothing or its condition is not clear."""
-    tight = compact(quote)
+    return once(compact(quote), lambda tight: _requirement_level(quote, tight))
+
+
+def _requirement_level(quote: Column, tight: Column) -> Column:
     long = F.length(F.trim(F.regexp_replace(quote, r"\s+", " "))) > 200
     out = F.when(tight.rlike(NOT_ASKED), F.lit(None).cast("string")).when(tight.rlike(OPTIONAL), "OPTIONAL")
     out = out.when(tight.rlike(CONDITIONAL), F.when(~long, "CONDITIONAL"))
@@ -62,7 +67,8 @@ def submission_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     A list is a whole table of which one of the first five rows heads, with two headers or more, a column of document names: the
     one column so headed that has the most names below it.  It must stand under words of a submission, or its header say so,
     under none of an example, and have no footnote right below.  Empty cells are never filled.  Every step keeps to one table's
-    rows, found by document and table.
+    rows, found by document and table.  The whole tables are
+    written down once, as several steps read them.
     """
     at = tokens(df, key, text, {"table": _TABLE}).withColumn("table_no", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1)
     at = at.join(df.select(key, F.col(text).alias("__text")), key)
@@ -71,10 +77,10 @@ def submission_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     after = F.substring("__text", end + 1, F.lit(40))
     inner = F.regexp_extract("token", r"(?s)^\[표\]\s*(.*?)\s*\[/표\]$", 1)
     rows = F.filter(F.transform(F.split(inner, r"\R"), lambda r: F.transform(F.split(r, "\t"), lambda c: F.trim(c))), lambda r: F.array_join(r, "") != "")
-    t = at.select(key, "table_no", context.alias("context"), after.alias("after"), rows.alias("rows"))
+    t = worked_out(at, {"context": context, "after": after, "rows": rows}).select(key, "table_no", "context", "after", "rows")
     width = F.size(F.get("rows", F.lit(0)))
     t = t.where((F.size("rows") > 0) & (width >= 2) & F.forall("rows", lambda r: F.size(r) == width))
-    t = t.where(~F.col("context").rlike(REFERENCE_BEFORE) & ~F.col("after").rlike(r"^\s*[*※]"))
+    t = staged(t.where(~F.col("context").rlike(REFERENCE_BEFORE) & ~F.col("after").rlike(r"^\s*[*※]")))
 
     on = [key, "table_no"]
     each = t.select(*on, F.posexplode("rows").alias("row_no", "cells"))
@@ -110,5 +116,5 @@ def submission_rows(df: DataFrame, key: str, text: str) -> DataFrame:
         "quote": quote, "title": F.get("cells", F.col("name_col")), "own_context": F.when(F.size(F.filter(pairs, lambda p: p.h.isin(*STAGE_HEADERS) & (p.c != ""))) > 0, when),
     })
     level, stage = requirement_level(F.col("quote")), requirement_stage(F.coalesce("own_context", "context"))
-    out = sized.where("title <> ''").withColumns({"level": level, "stage": stage})
+    out = worked_out(sized.where("title <> ''"), {"level": level, "stage": stage})
     return out.where("level IS NOT NULL").select(*on, "row_no", "title", "quote", "level", "stage", "marker", "condition")
