@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import once, worked_out
@@ -18,6 +22,7 @@ HEADER = (
     r"구분|지원유형|지원한도|주요내용|제출서류|비고|지원규모|자부담|국비|세부지원내용|업종|업종산재보험가입코드|신청조건|기관부담비율|연구개발기관유형"
 )
 GROUP_LINE, GROUP_CELL = r"(?:트랙|과제|유형|프로그램)$", r"트랙|과제|유형"
+PLAIN = r"^[가-힣A-Za-z0-9]++(?: [가-힣A-Za-z0-9]++)*+\z"
 TABLE_MARKS = ("[표]", "[/표]")
 # Headings of qualification sections and of others, and where sections begin.
 QUALIFICATION = r"(?:신청|참여|지원|모집|기업)\s*(?:자격|대상|요건|조건)|선정\s*(?:대상|기준)|자격\s*요건|입찰\s*참가\s*자격"
@@ -50,7 +55,11 @@ TOPICS = {
 
 
 def clean_line(c: Column) -> Column:
-    """A line without marks, numbering and references, white space settled."""
+    """A line without marks, numbering and references, white space settled; one of plain words stays as it is."""
+    return F.when(c.rlike(PLAIN), c).otherwise(_cleaned(c))
+
+
+def _cleaned(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x{FFFD}\x{FEFF}]", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"\(\s*기\s+업\s*\)", "(기업)"), r"\(\s*제\s+품\s*\)", "(제품)")
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, REFERENCE, " "), f"^(?:{PREFIX})+", ""), SUFFIX, "")
@@ -62,6 +71,32 @@ def _whole(c: Column, pattern: str) -> Column:
     return c.rlike(f"^(?:{pattern})$")
 
 
+def _carry_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the group and headers above them, each text, group and headers of a source once; lines of a source follow each other."""
+    source = None
+    for batch in batches:
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("__source", "__first", "text", "firm", "mark", "titles", "from_firm", "from_loose", "stays_firm", "gets_firm", "when_firm", "when_loose")}
+        cells, places, labels, above = batch.column("cells"), [], [], []
+        for i, (of, first, text, firm, mark, titles, from_firm, from_loose, stays_firm, gets_firm, when_firm, when_loose) in enumerate(zip(*column.values())):
+            if of != source:
+                source, label, is_firm, headers, seen = of, first, firm, (), set()
+            change, row, is_firm = (from_firm, when_firm, stays_firm) if is_firm else (from_loose, when_loose, gets_firm)
+            label = label if change is None else change
+            if mark:
+                headers = ()
+            elif titles:  # those of one width below a table mark are one header, joined column by column
+                new = cells[i].as_py()
+                headers = tuple(c if c == old else f"{old} / {c}" for old, c in zip(headers, new)) if len(headers) == len(new) else tuple(new)
+            if row and (text, label, headers) not in seen:
+                seen.add((text, label, headers))
+                places.append(i)
+                labels.append(label)
+                above.append(headers)
+        rows = batch.take(pa.array(places, pa.int64()))
+        kept = [c for c in batch.schema.names if c not in column or c == "text"]
+        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(labels, pa.string()), pa.array(above, pa.list_(pa.string()))], [*kept, "group_label", "headers"])
+
+
 def prepare_rows(df: DataFrame, keys: list[str], group: str, text: str) -> DataFrame:
     """(keys, row_no, text, group_label, headers, cells, structure): the lines of each source as condition rows, in order.
 
@@ -69,52 +104,41 @@ def prepare_rows(df: DataFrame, keys: list[str], group: str, text: str) -> DataF
     is the group of the rows below it; weaker labels (a leading bracket, words before a colon) are so until a line or cell names
     a track or task.  Rows of column titles are headers of the table's rows below, several in a column joined.  Rows with one
     text, group and headers come once, the first.  ``structure``: text, table_row, or ambiguous_table for lines that run several
-    titles together.  Blank lines, and null or empty texts, give no rows.  State is carried by windows over a source's lines.
+    titles together.  Blank lines, and null or empty texts, give no rows.  Each line is read by expressions; what it leaves to
+    those below is carried down within its task, as the lines of a source come one after another: nothing is shuffled or sorted.
     """
-    lines = df.select(*keys, clean_line(F.coalesce(F.col(group), F.lit(""))).alias("__first"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\n+|(?=[□■])")).alias("row_no", "raw"))
-    lines = lines.withColumn("raw", F.regexp_replace("raw", "^[ \r]+|[ \r]+$", "")).withColumn("text", clean_line(F.col("raw"))).where("text <> ''")
+    sources = df.withColumn("__source", F.monotonically_increasing_id())
+    lines = sources.select(*keys, "__source", clean_line(F.coalesce(F.col(group), F.lit(""))).alias("__first"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\n+|(?=[□■])")).alias("row_no", "raw"))
+    lines = lines.withColumn("raw", F.regexp_replace("raw", "^[ \r]+|[ \r]+$", ""))
+    lines = worked_out(lines, {"text": clean_line(F.col("raw"))}).where("text <> ''")
     cells = F.when(F.contains("raw", F.lit("\t")), F.split("raw", "\t")).otherwise(F.split(F.regexp_replace("raw", r"^\|+|\|+$", ""), r"\s*\|\s*"))
-    lines = lines.withColumn("cells", F.transform(cells, clean_line))
+    cut = F.contains("raw", F.lit("\t")) | F.contains("raw", F.lit("|"))
+    lines = worked_out(lines, {"cells": F.when(cut, F.transform(cells, clean_line)).otherwise(F.array("text"))})
     t, table, mark = F.col("text"), F.size("cells") >= 2, F.col("text").isin(*TABLE_MARKS)
     titles = ~mark & table & F.forall("cells", lambda c: _whole(F.regexp_replace(c, r"[\s()%0-9,.]", ""), HEADER))
-    inline = F.when(F.regexp_extract(t, r"^\(([^()]{1,60})\)\s*(.+)$", 2) != "", F.regexp_extract(t, r"^\(([^()]{1,60})\)\s*(.+)$", 1))
-    before_colon = F.when(F.regexp_extract(t, r"^([^:：]{1,40})[:：]\s*(.+)$", 2) != "", F.regexp_extract(t, r"^([^:：]{1,40})[:：]\s*(.+)$", 1))
+    inline = F.when(t.startswith("(") & (F.regexp_extract(t, r"^\(([^()]{1,60})\)\s*(.+)$", 2) != ""), F.regexp_extract(t, r"^\(([^()]{1,60})\)\s*(.+)$", 1))
+    before_colon = F.when(t.rlike("[:：]") & (F.regexp_extract(t, r"^([^:：]{1,40})[:：]\s*(.+)$", 2) != ""), F.regexp_extract(t, r"^([^:：]{1,40})[:：]\s*(.+)$", 1))
     weak = F.coalesce(F.when(~inline.isin("기업", "제품"), inline), before_colon)
     plain = ~mark & ~titles
     label = plain & (F.length(t) <= 60) & t.rlike(GROUP_LINE)
     cell = F.when(table & F.get("cells", F.lit(0)).rlike(GROUP_CELL), F.get("cells", F.lit(0)))
     lines = lines.withColumns({"mark": mark, "titles": titles, "plain": plain, "weak": F.when(plain, weak), "label": label, "cell": F.when(plain, cell)})
-    # a group that names a track or task is firm: weak labels no longer change it.  What a line makes of a firm group and of
-    # another one is known; lines that make the same of both settle it, a line that turns it over is counted
+    # a group that names a track or task is firm: weak labels no longer change it
     firm = lambda c: F.coalesce(_whole(c, GROUP), F.lit(False))
     from_firm = F.when(F.col("label"), F.col("text")).otherwise(F.col("cell"))
     from_loose = F.when(F.col("weak").isNotNull(), F.coalesce("cell", "weak")).when(F.col("label"), F.col("text")).otherwise(F.col("cell"))
     lines = lines.withColumns({"from_firm": from_firm, "from_loose": from_loose})
     stays_firm = F.when(F.col("from_firm").isNull(), True).otherwise(firm(F.col("from_firm")))
     gets_firm = F.when(F.col("from_loose").isNull(), False).otherwise(firm(F.col("from_loose")))
-    lines = lines.withColumns({"settled": F.when(stays_firm == gets_firm, stays_firm), "turned": F.when(~stays_firm & gets_firm, 1).otherwise(0)})
-    order = Window.partitionBy(*keys).orderBy("row_no")
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns({"base": F.coalesce(F.last("settled", ignorenulls=True).over(above), firm(F.col("__first"))), "part": F.coalesce(F.count("settled").over(above), F.lit(0))})
-    turns = F.coalesce(F.sum("turned").over(Window.partitionBy(*keys, "part").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("is_firm", F.col("base") != (turns % 2 == 1))
-    change = F.when(F.col("is_firm"), F.col("from_firm")).otherwise(F.col("from_loose"))
-    up = order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("group_label", F.coalesce(F.last(change, ignorenulls=True).over(up), F.col("__first")))
-    # rows of titles: those of one width below a table mark are one header, joined column by column
-    lines = lines.withColumn("table_no", F.sum(F.col("mark").cast("int")).over(up))
-    width = F.when(F.col("titles"), F.size("cells"))
-    in_table = Window.partitionBy(*keys, "table_no").orderBy("row_no")
-    lines = lines.withColumn("width", width).withColumn("__w", F.last("width", ignorenulls=True).over(in_table.rowsBetween(Window.unboundedPreceding, -1)))
-    new = F.when(F.col("titles") & ~F.col("width").eqNullSafe(F.col("__w")), 1).otherwise(0)
-    lines = lines.withColumn("header_no", F.sum(new).over(in_table.rowsBetween(Window.unboundedPreceding, 0)))
-    in_header = Window.partitionBy(*keys, "table_no", "header_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("rows", F.collect_list(F.when(F.col("titles"), F.col("cells"))).over(in_header))
-    join = lambda old, new: F.transform(new, lambda c, i: F.when(F.get(old, i).isNull() | (F.get(old, i) == c), c).otherwise(F.concat(F.get(old, i), F.lit(" / "), c)))
-    headers = F.aggregate("rows", F.array().cast("array<string>"), join)
-    rows = lines.where(F.col("plain") & ~(F.col("label") & (F.col("is_firm") | F.col("weak").isNull()))).withColumn("headers", headers)
-    first = F.row_number().over(Window.partitionBy(*keys, "text", "group_label", "headers").orderBy("row_no"))
-    rows = rows.withColumn("__n", first).where("__n = 1")
+    lone = F.col("label") & F.col("weak").isNull()  # a label line is no row itself; one with a weak label is, where the group is loose
+    lines = lines.select(
+        *keys, "row_no", "text", "cells", "__source", "__first", firm(F.col("__first")).alias("firm"), "mark", "titles", "from_firm", "from_loose",
+        stays_firm.alias("stays_firm"), gets_firm.alias("gets_firm"), (F.col("plain") & ~F.col("label")).alias("when_firm"), (F.col("plain") & ~lone).alias("when_loose"),
+    )
+    kept = [f for f in lines.schema if f.name in (*keys, "row_no", "text", "cells")]
+    out = StructType([*kept, StructField("group_label", StringType()), StructField("headers", ArrayType(StringType()))])
+    rows = lines.mapInArrow(_carry_down, out)
+    table = F.size("cells") >= 2
     run_on = F.size(F.regexp_extract_all("text", F.lit(f"({HEADER})"), F.lit(1))) >= 3
     structure = F.when(table, "table_row").when(run_on, "ambiguous_table").otherwise("text")
     return rows.select(*keys, "row_no", "text", "group_label", "headers", F.when(table, F.col("cells")).otherwise(F.array().cast("array<string>")).alias("cells"), structure.alias("structure"))
