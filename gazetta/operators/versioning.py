@@ -80,21 +80,27 @@ def refresh_attachments(stored: DataFrame, incoming: DataFrame, columns: list[st
 def align_members(prev: DataFrame, curr: DataFrame, key: str = "version_id") -> DataFrame:
     """Place archive members (key, position, name, text) of ``curr``: matched ones keep the old position, others follow.
 
-    Matches by name and text, then name, then text; equal ones in order of occurrence.
+    Matches by name and text, then name, then text; equal ones in order of occurrence.  Both sides meet once, by key: a pass
+    numbers the rows that no pass before matched, and one of each side with the same number are a pair.  Nulls match nothing.
     """
-    left, right, found = prev, curr, None
+    columns = [key, "position", "name", "text"]
+    rows = prev.select(*columns, F.lit(False).alias("__new")).unionByName(curr.select(*columns, F.lit(True).alias("__new"))).repartition(key)
+    rows = rows.withColumns({"aligned_position": F.lit(None).cast("long"), "matched_by": F.lit(None).cast("string")})
     for on in (["name", "text"], ["name"], ["text"]):
-        turn = Window.partitionBy(key, *on).orderBy("position")
-        a = left.withColumn("__n", F.row_number().over(turn)).select(key, *on, "__n", F.col("position").alias("old"))
-        b = right.withColumn("__n", F.row_number().over(turn)).withColumnRenamed("position", "new")
-        pairs = b.join(a, [key, *on, "__n"]).select(key, "old", "new", F.lit("+".join(on)).alias("matched_by"))
-        found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select(key, F.col("old").alias("position")), [key, "position"], "left_anti")
-        right = right.join(pairs.select(key, F.col("new").alias("position")), [key, "position"], "left_anti")
-    last = prev.groupBy(key).agg(F.max("position").alias("__last"))
-    extra = right.join(last, key, "left").withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("position")))
-    extra = extra.select(key, (F.coalesce("__last", F.lit(-1)) + F.col("__n")).cast("long").alias("old"), F.col("position").alias("new"), F.lit("appended").alias("matched_by"))
-    return found.unionByName(extra).select(key, F.col("new").alias("position"), F.col("old").alias("aligned_position"), "matched_by")
+        free = F.col("matched_by").isNull()
+        for c in (key, *on):
+            free = free & F.col(c).isNotNull()
+        rows = rows.withColumn("__free", free)
+        turn = F.row_number().over(Window.partitionBy(key, "__free", *on, "__new").orderBy("position"))
+        pair = Window.partitionBy(key, "__free", *on, "__turn")
+        rows = rows.withColumn("__turn", turn).withColumns({"__n": F.count("*").over(pair), "__old": F.max(F.when(~F.col("__new"), F.col("position"))).over(pair)})
+        met = F.col("__free") & (F.col("__n") == 2)
+        rows = rows.select(*columns, "__new", *[F.when(met, v).otherwise(F.col(c)).alias(c) for c, v in (("aligned_position", F.col("__old")), ("matched_by", F.lit("+".join(on))))])
+    last = F.when(F.col(key).isNotNull(), F.max(F.when(~F.col("__new"), F.col("position"))).over(Window.partitionBy(key)))
+    rows = rows.withColumn("__last", last).where("__new")
+    extra = F.row_number().over(Window.partitionBy(key, F.col("matched_by").isNull()).orderBy("position"))
+    place = F.coalesce("aligned_position", F.coalesce("__last", F.lit(-1)) + F.col("__extra"))
+    return rows.withColumn("__extra", extra).select(key, "position", place.cast("long").alias("aligned_position"), F.coalesce("matched_by", F.lit("appended")).alias("matched_by"))
 
 
 def line_changes(pairs: DataFrame, key: str, old: str, new: str, context: int = 2, budget: int = 2000) -> DataFrame:

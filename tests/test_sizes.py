@@ -15,6 +15,31 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_members(prev, curr):
+    out, left, right = [], sorted(prev), sorted(curr)
+    for name in ("name+text", "name", "text"):
+        pick = lambda r: tuple({"name": r[1], "text": r[2]}[c] for c in name.split("+"))  # noqa: B023, E731
+        for new in list(right):
+            old = next((o for o in left if None not in pick(o) and pick(o) == pick(new)), None)
+            if old:
+                left.remove(old)
+                right.remove(new)
+                out.append((new[0], old[0], name))
+    last = max([r[0] for r in prev], default=-1)
+    return sorted(out + [(new[0], last + i + 1, "appended") for i, new in enumerate(right)])
+
+
+def test_members_meet_once(spark):
+    rng = random.Random(2)
+    sides = [[(d, p, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", None])) for d in range(30) for p in range(rng.randint(0, 7))] for _ in range(2)]
+    prev, curr = (spark.createDataFrame(s + [(None, 0, "a", "x")], "version_id long, position long, name string, text string") for s in sides)
+    out = V.align_members(prev, curr)
+    got = sorted(tuple(r) for r in out.where("version_id IS NOT NULL").collect())
+    assert got == [(d, *r) for d in range(30) for r in plain_members(*[[x[1:] for x in s if x[0] == d] for s in sides])]
+    assert [tuple(r)[1:] for r in out.where("version_id IS NULL").collect()] == [(0, 0, "appended")]
+    assert "Join" not in plan(out) and plan(out).count("Exchange hashpartitioning") == 1
+
+
 def test_lines_are_carried_down_without_shuffle(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
