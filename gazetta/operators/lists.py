@@ -76,15 +76,13 @@ def pending_reviews(analyses: DataFrame, findings: DataFrame, types: DataFrame,
 
 
 def detection_summary(detections, documents, versions, run_sources, sources, analyses, tasks) -> DataFrame:
-    """The list row of each detection: its document, version and source, its analysis if any, and the latest task of its run."""
+    """The list row of each detection: its document, version and source, its analysis if any, and the latest task of its run.
+
+    All that a version has is put together once a version, before the detections, which are far more, meet it and their document.
+    """
     task = latest_per_key(tasks, ["run_id"], [F.desc("task_id")]).select("run_id", F.col("state").alias("task_state"))
-    return (
-        detections.join(documents, "document_id")
-        .join(versions, "version_id")
-        .join(run_sources.join(sources, "source_id"), "run_source_id")
-        .join(analyses, "version_id", "left")
-        .join(task, "run_id", "left")
-    )
+    listed = versions.join(run_sources.join(sources, "source_id"), "run_source_id").join(task, "run_id", "left").join(analyses, "version_id", "left")
+    return detections.join(listed, "version_id").join(documents, "document_id")
 
 
 def bookmarked(df: DataFrame, bookmarks: DataFrame, user_id: int, key: str = "version_id") -> DataFrame:

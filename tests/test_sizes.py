@@ -15,6 +15,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_detections_meet_versions_and_documents_only(spark):
+    text = QUERIES["j1_detection_summary"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [x for x in text[: next(i for i, x in enumerate(text) if "l_orderkey" in x and "Relation" in x)] if "Join" in x]
+    assert len(above) == 2  # versions, with their sources, tasks and analyses, and documents
+
+
 def plain_members(prev, curr):
     out, left, right = [], sorted(prev), sorted(curr)
     for name in ("name+text", "name", "text"):
