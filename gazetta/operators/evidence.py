@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,7 +207,7 @@ def evidence_units(df: DataFrame, key: str, text: str, topics: list[str] = TOPIC
     return units.select(key, "start", "end", shown.alias("topics"), F.sha2(F.trim(F.regexp_replace("body", r"\s+", " ")), 256).alias("signature"))
 
 
-def _choose(units: pd.DataFrame, limit: int, gap: int, most: int) -> list[int]:
+def _choose(units: Mapping[str, np.ndarray], limit: int, gap: int, most: int) -> list[int]:
     """Positions of the units to keep: those that add topics first, then those with most topics, first, last, in order."""
     topics = [set(t) for t in units["topics"]]
     cost, same = (units["end"] - units["start"] + gap).tolist(), units["signature"].tolist()
@@ -232,15 +235,20 @@ def _choose(units: pd.DataFrame, limit: int, gap: int, most: int) -> list[int]:
 def select_evidence(df: DataFrame, key: str, text: str, limit: int, topics: list[str] = TOPICS, most: int = 64) -> DataFrame:
     """(key, start, end): the parts of each text that fit ``limit`` characters with a mark at each gap; a text that fits stays whole.
 
-    Units are found by expressions; only their offsets, topics and hashes go, document by document, to the choice, in which each
+    Units are found by expressions; only their offsets, topics and hashes go, a batch of documents at a time, to the choice, in which each
     step depends on those before.  Empty and null texts give no row.  ``key`` is unique.
     """
     size = F.length(F.coalesce(text, F.lit("")))
     whole = df.where((size <= limit) & (size > 0)).select(key, F.lit(0).cast("long").alias("start"), size.cast("long").alias("end"))
     units = evidence_units(df.where(size > limit), key, text, topics).select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "topics", "signature")
 
-    def choose(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("start", ignore_index=True)
-        return one.iloc[_choose(one, limit, len(GAP), most)][[key, "start", "end"]]
+    units = units.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "topics", "signature"))).alias("u"))
+    units = units.select(key, "u.start", "u.end", "u.topics", "u.signature")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = [_choose(dict(zip(batch.columns[1:], u)), limit, len(GAP), most) for u in zip(*[batch[c] for c in batch.columns[1:]])]
+            ends = {c: [u[i] for u, chosen in zip(batch[c], kept) for i in chosen] for c in ("start", "end")}
+            yield pd.DataFrame({key: batch[key].repeat([len(chosen) for chosen in kept]), **ends})
 
-    return whole.unionByName(units.groupBy(key).applyInPandas(choose, whole.schema))
+    return whole.unionByName(units.mapInPandas(choose, whole.schema))

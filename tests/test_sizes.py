@@ -1,10 +1,14 @@
 """Steps that meet their rows once, and what they leave out of shuffles and sorts."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from gazetta.catalog import QUERIES
+from gazetta.operators import evidence as V2
 from gazetta.operators import sections as S
+from gazetta.operators import statements as Q
 from gazetta.operators import versioning as V
 from pyspark.sql import functions as F
 
@@ -65,3 +69,30 @@ def test_lines_are_carried_down_without_shuffle(spark):
 def test_plain_lines_are_clean(spark, line):
     df = spark.createDataFrame([(line,)], "c string").select(S.clean_line(F.col("c")).alias("a"), S._cleaned(F.col("c")).alias("b"))
     assert df.first().a == df.first().b
+
+
+def test_small_places_are_settled_together(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc기") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    for masks in (Q.MASKS, 50):
+        monkeypatch.setattr(Q, "MASKS", masks)
+        assert {(i[k], j[k]) for k in Q.may_be_alike(texts, i, j, 0.68)} == {tuple(sorted(p)) for p in Q.similar(texts, None, 0.68)}
+    df = spark.createDataFrame([(n, n % 20, t) for n, t in enumerate(texts)], "id long, doc long, t string")
+    tree = plan(Q.statement_pairs(df, "id", "t", within="doc")).split("Union")[1]
+    few = tree[: [m.start() for m in re.finditer("MapInPandas", tree)][1]]
+    assert few.count("Exchange") == 1 and "Join" not in few
+
+
+def test_evidence_is_chosen_by_batches(spark):
+    df = spark.createDataFrame([(i, "".join(f"{n}. 접수 {n * i}\n\n" for n in range(40))) for i in range(1, 6)] + [(9, None)], "id long, body string")
+    out = V2.select_evidence(df, "id", "body", 120, [r"\d"])
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    sizes = {r.id: r.n for r in out.groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
+    assert set(sizes) == set(range(1, 6)) and all(0 < n <= 120 for n in sizes.values())
+
+
+def test_statements_are_made_once_for_their_duplicates(spark):
+    out = QUERIES["e27_statement_issues"](spark, SMALL)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey") < 30  # equal and near texts read a table of them
+    assert plan(out).count("Scan parquet") > plan(out).count("lineitem.parquet") > 0
