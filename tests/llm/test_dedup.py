@@ -207,6 +207,19 @@ def test_passages_at_edges_and_shared_by_many(spark):
     assert check_passages(df) == check_passages(df, 20) > 0  # an anchor's segments in one part, and in many
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """Documents with nothing else in common: bytes decide, not words; ``n_bytes`` is the text's length and tells of no passage."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = {400: words(55) + "x" * 16, 399: words(55) + "x" * 15, 356: words(51), 0: ""}  # with what stands around them, no byte more in common
+    docs = [(n, f"{words(70)} {c}{text}{c} {words(70)}") for n, text in shared.items() for c in "PQRS"]
+    assert all(len(text) == n for n, text in shared.items())
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == {i: (len(text), 400 if n == 400 else 0, int(n == 400)) for i, (n, text) in enumerate(docs)}
+    assert check_passages(df) == 4 * 400
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     check_passages(odd_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     assert suffix_dedup.suffix_dedup(odd_docs).count() == odd_docs.count() and suffix_dedup.suffix_dedup(no_docs).count() == 0
