@@ -220,3 +220,33 @@ def test_candidates_take_texts_along_not_grams(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     joins = plan[plan.index("Join Inner") :]
     assert "t_a" in joins and "grams_a" not in joins and [tuple(r) for r in out.collect()] == [(1, 2)]
+
+
+def plain_shared(a, b, most=5, gram=4):
+    out = {}
+    for q, s in a:
+        for i, t in b:
+            x = {min(u, w, key=len) for u in s for w in t if u == w or (min(len(u), len(w)) >= gram and (u in w or w in u))}
+            if q != i and x:
+                out.setdefault((q, i), set()).update(x)
+    return {k: sorted(v)[:most] for k, v in out.items()}
+
+
+@pytest.mark.parametrize(("block", "common"), [(512, 2_000_000), (3, 40)])
+def test_shared_terms_against_all_pairs(spark, monkeypatch, block, common):
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "COMMON", common)
+    rng = random.Random(6)
+    words = lambda n: list({"".join(rng.choice("abé") for _ in range(rng.randint(2, 7))) for _ in range(n)})
+    a, b = [(i, words(rng.randint(0, 9))) for i in range(20)], [(i, words(rng.randint(0, 12))) for i in range(10, 50)]
+    b += [(10, words(4)), (60, []), (61, None)]
+    got = S.shared_terms(spark.createDataFrame(a, "query_id long, terms array<string>"), spark.createDataFrame(b, "id long, terms array<string>")).collect()
+    assert {(r.query_id, r.id): r.shared for r in got} == plain_shared(a, [(i, t or []) for i, t in b]) and len(got) == len({(r.query_id, r.id) for r in got})
+
+
+def test_shared_terms_read_whole_texts(spark, tmp_path):
+    from gazetta.catalog import QUERIES
+
+    spark.createDataFrame([(7, "solar panels in harbours")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "title\nof no use\nharbour and panels, far down"), (2, "title alone")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in QUERIES["j8_shared_terms"](spark, str(tmp_path)).collect()] == [(7, 1, "harbour panels")]
