@@ -250,3 +250,32 @@ def test_shared_terms_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([(7, "solar panels in harbours")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, "title\nof no use\nharbour and panels, far down"), (2, "title alone")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in QUERIES["j8_shared_terms"](spark, str(tmp_path)).collect()] == [(7, 1, "harbour panels")]
+
+
+@pytest.mark.parametrize(("few", "bucket"), [(1000, 50), (3, 50), (3, 7)])
+def test_near_duplicates_meet_in_cells(spark, monkeypatch, few, bucket):
+    """Blocks as a whole and in buckets, in bands of a few texts, over several batches: the pairs of all texts compared with all."""
+    monkeypatch.setattr(T, "BAND_CELLS", 1)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 5, 20, 60, 90]))) for _ in range(160)]
+    texts += [t[: len(t) // 2] + "é" + t[len(t) // 2 + 1 :] for t in texts[:80]] + [t + "ab" for t in texts[:80]] + texts[:9]
+    df = spark.createDataFrame([(i, "k" if i % 3 else None, t) for i, t in enumerate(texts)], "id long, kind string, t string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault((i % 3 > 0, t), i)
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} or {t} for (_, t), i in first.items()}
+    want = {(a, b) for (k, _), a in first.items() for (m, _), b in first.items() if k == m and a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.72}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = [tuple(r) for r in T.near_duplicates(df, "id", "kind", "t", few=few, bucket=bucket).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_clauses_of_one_document_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, "k", "one text of some words"), (2, "k", "one text of some word")], "id long, kind string, t string")
+    out = T.near_duplicates(df, "id", "kind", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    small = plan[plan.rindex("MapInPandas") :]
+    assert small.count("Exchange hashpartitioning") == 1 and "Generate" not in small and "Window" not in small
