@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 VERSIONS = "document_id long, event_id long, change_type string, version_no long"
 RUNS = "run_id long, outcome string, late long"
+#: Pages that runs are dealt to; a stream keeps its number, as its state does.
+PAGES = 2048
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -91,13 +94,97 @@ class _Runs(StatefulProcessor):
         pass
 
 
-def stream_runs(stream: DataFrame, wait: int = 3600, delay: str = "10 seconds") -> DataFrame:
-    """Runs (run_id, ts, kind: accepted or result) that were collected, failed after ``wait`` seconds, or got results late.
+class _RunPages(StatefulProcessor):
+    """As ``_Runs`` for all runs of a page at once: a call, a state and a timer (that of the first open run) for a page, not for each run."""
 
-    Repeated acceptances are ignored; results of runs never accepted are late.
+    OUTCOMES = np.array(["", "OPEN", "COLLECTED", "FAILED", "LATE"], object)
+    STATE = np.dtype([("run", np.int64), ("outcome", np.int8), ("late", np.int64), ("accepted", np.int64)])
+
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("runs", "runs binary")
+
+    def _runs(self) -> np.ndarray:
+        return np.frombuffer(self.state.get()[0], self.STATE).copy() if self.state.exists() else np.zeros(0, self.STATE)
+
+    def _first(self, runs: np.ndarray) -> int | None:
+        """When the first open run fails."""
+        waiting = runs["accepted"][runs["outcome"] == 1]
+        return int(waiting.min()) + self.wait_ms if len(waiting) else None
+
+    def _told(self, key: tuple, run: np.ndarray, outcome: np.ndarray, late: np.ndarray) -> pd.DataFrame:
+        ids = pd.array([None] * len(run), "Int64") if key[0] < 0 else run  # page -1 is that of the rows without a run
+        return pd.DataFrame({"run_id": ids, "outcome": self.OUTCOMES[outcome], "late": late})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([r[["run", "at_ms", "result"]] for r in rows])
+        run, at, result = (rows[c].to_numpy() for c in ("run", "at_ms", "result"))
+        order = np.lexsort((result, at, run))
+        run, at, result = run[order], at[order], result[order].astype(bool)
+        begin = np.nonzero(np.r_[True, run[1:] != run[:-1]])[0]
+        runs, of, place = self._runs(), np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(run)])), np.arange(len(run))
+        before, now = self._first(runs), np.zeros(len(begin), self.STATE)
+        now["run"] = run[begin]
+        at_old = np.minimum(np.searchsorted(runs["run"], now["run"]), max(0, len(runs) - 1))
+        old = runs["run"][at_old] == now["run"] if len(runs) else np.zeros(len(begin), bool)
+        now[old] = runs[at_old[old]]
+        never = len(run)
+        first = np.minimum.reduceat(np.where(result, never, place), begin)  # the first acceptance
+        opened = np.where(now["outcome"] == 1, -1, np.where(now["outcome"] == 0, first, never))
+        taken = (now["outcome"] == 0) & (first < never)
+        now["accepted"][taken] = at[first[taken]]
+        ends = np.minimum.reduceat(np.where(result & (place > opened[of]), place, never), begin)  # the result that ends the run
+        now["outcome"][taken] = 1
+        over = ends < never
+        last = ends[over]
+        now["outcome"][over] = np.where(at[last] <= now["accepted"][over] + self.wait_ms, 2, 3)
+        late = result.copy()
+        late[last[now["outcome"][over] == 2]] = False
+        count = np.cumsum(late)
+        total = now["late"][of] + count - (count[begin] - late[begin])[of]
+        told = [self._told(key, run[last], now["outcome"][over], total[last] - late[last]), self._told(key, run[late], np.full(late.sum(), 4), total[late])]
+        now["late"] = total[np.r_[begin[1:], len(run)] - 1]
+        kept = np.concatenate([np.delete(runs, at_old[old]), now])
+        kept = kept[np.argsort(kept["run"], kind="stable")]
+        self._keep(kept, before)
+        yield pd.concat(told, ignore_index=True)
+
+    def _keep(self, runs: np.ndarray, before: int | None) -> None:
+        after = self._first(runs)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+        self.state.update((runs.tobytes(),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        runs, passed = self._runs(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        over = (runs["outcome"] == 1) & (runs["accepted"] + self.wait_ms <= passed)
+        runs["outcome"][over] = 3
+        self._keep(runs, None)  # the timer before is the one that has run out
+        yield self._told(key, runs["run"][over], runs["outcome"][over], runs["late"][over])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_runs(stream: DataFrame, wait: int = 3600, delay: str = "10 seconds", pages: int | None = PAGES) -> DataFrame:
+    """Runs (run_id long, ts, kind: accepted or result) that were collected, failed after ``wait`` seconds, or got results late.
+
+    Repeated acceptances are ignored; results of runs never accepted are late.  Runs are dealt to ``pages`` by hash, each settled at
+    once and written whole where a batch touches it; with None each run has a state of its own, for batches that bring few runs of very many.
     """
     timed = stream.withWatermark("ts", delay).withColumn("at_ms", F.unix_millis("ts"))
-    return timed.groupBy("run_id").transformWithState(_Runs(wait * 1000), RUNS, "Append", "EventTime")
+    if pages is None:
+        return timed.groupBy("run_id").transformWithState(_Runs(wait * 1000), RUNS, "Append", "EventTime")
+    page = F.when(F.col("run_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("run_id"), F.lit(pages)))
+    rows = timed.where(F.col("kind").isin("accepted", "result") & F.col("at_ms").isNotNull())
+    rows = rows.select(page.cast("int").alias("page"), F.coalesce("run_id", F.lit(0)).cast("long").alias("run"), "ts", "at_ms", (F.col("kind") == "result").alias("result"))
+    return rows.groupBy("page").transformWithStateInPandas(_RunPages(wait * 1000), RUNS, "Append", "EventTime")
 
 
 class _Terms(StatefulProcessor):

@@ -332,3 +332,56 @@ def test_only_open_runs_wait(monkeypatch):
     assert feed(2, (7, "accepted")) == [] and timers == {1007}
     assert feed(2, (8, "accepted")) == [] and timers == {1007}
     assert feed(2, (5000, "result"), (6000, "result")) == [("FAILED", 0), ("LATE", 1), ("LATE", 2)] and not timers
+
+
+@pytest.mark.parametrize("key", [3, -1])
+def test_pages_of_runs_end_as_single_runs_do(key):
+    """Batches in any order, runs that stay silent until their time has passed, and rows without a run: one state and timer a page."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    from gazetta.streaming import jobs
+
+    rng, timers, pages, states = random.Random(9), {}, {}, {}
+
+    def fake(job, name, held, k):
+        mine = timers.setdefault((name, k), set())
+        job.handle = SimpleNamespace(registerTimer=mine.add, deleteTimer=mine.remove)
+        job.state = SimpleNamespace(get=lambda: held.get(k), exists=lambda: k in held, update=lambda v: held.update({k: v}))
+        return job
+
+    plain = lambda k: k if key > 0 else None
+    for batch in range(12):
+        rows = [(rng.randrange(40) if key > 0 else 0, 1000 * batch + rng.randrange(1500), rng.random() < 0.5) for _ in range(rng.randint(1, 60))]
+        job = fake(jobs._RunPages(700), "page", pages, key)
+        frame = pd.DataFrame(rows, columns=["run", "at_ms", "result"])
+        got = [tuple(r) for f in job.handleInputRows((key,), iter([frame[:7], frame[7:]]), None) for r in f.itertuples(index=False)]
+        want = []
+        for run in {r[0] for r in rows}:
+            one = fake(jobs._Runs(700), "run", states, run)
+            mine = [SimpleNamespace(at_ms=at, kind="result" if done else "accepted") for k, at, done in rows if k == run]
+            want += [(plain(r["run_id"]), r["outcome"], r["late"]) for r in one.handleInputRows((run,), iter(mine), None)]
+        assert sorted(map(str, [(plain(0) if r[0] is pd.NA else int(r[0]), r[1], int(r[2])) for r in got])) == sorted(map(str, want))
+        passed = 1000 * batch + 300
+        clock, got, want = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), [], []  # noqa: B023
+        for (name, k), due in list(timers.items()):
+            for at in sorted(t for t in due if t < passed):
+                if at in due:
+                    due.remove(at)
+                    info = SimpleNamespace(getExpiryTimeInMs=lambda: at)  # noqa: B023
+                    if name == "run":
+                        want += [(plain(r["run_id"]), r["outcome"], r["late"]) for r in fake(jobs._Runs(700), name, states, k).handleExpiredTimer((k,), clock, info)]
+                    else:
+                        got += [(plain(0) if r.run_id is pd.NA else int(r.run_id), r.outcome, int(r.late)) for f in fake(jobs._RunPages(700), name, pages, k).handleExpiredTimer((k,), clock, info) for r in f.itertuples()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(timers["page", key]) <= 1
+    assert np.frombuffer(pages[key][0], jobs._RunPages.STATE)["run"].tolist() == sorted(states)
+
+
+def test_runs_are_called_by_pages(spark):
+    """A batch calls Python once for each page that it touches, not once for each run, unless each run is to have a state."""
+    from gazetta.streaming import jobs
+
+    stream = spark.readStream.format("rate").load().selectExpr("value run_id", "timestamp ts", "'accepted' kind")
+    tree = lambda **k: jobs.stream_runs(stream, **k)._jdf.queryExecution().analyzed().toString()
+    assert "transformWithStateUDF(page#" in tree() and "transformWithStateUDF(page#" not in tree(pages=None)
