@@ -279,3 +279,37 @@ def test_clauses_of_one_document_are_shuffled_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     small = plan[plan.rindex("MapInPandas") :]
     assert small.count("Exchange hashpartitioning") == 1 and "Generate" not in small and "Window" not in small
+
+
+@pytest.mark.parametrize("queries", [1000, 4])
+def test_copies_and_pairs_of_slices_keep_to_their_number(spark, monkeypatch, queries):
+    """However many rows there are, queries are copied to SLICES slices at most, and each lets a query's best pairs out once."""
+    monkeypatch.setattr(S, "QUERIES", queries)
+    monkeypatch.setattr(S, "SLICES", 3)
+    monkeypatch.setattr(S, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(400)]
+    e = spark.createDataFrame(rows, "id long, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        few = S.cosine_pairs(e.where("id % 40 = 0"), e, "id", best=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(few) == 10 * 3 * 5
+    unit = np.array([v for _, v in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for q in range(0, 400, 40):
+        value = unit @ unit[q]
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-round(value[i], 12), i))[:5]
+        mine = sorted(((r.cosine, r.id) for r in few if r.query_id == q), key=lambda r: (-round(r[0], 12), r[1]))[:5]
+        assert [i for _, i in mine] == want
+
+
+def test_first_pairs_are_those_of_all(monkeypatch):
+    rng = np.random.default_rng(4)
+    query, ids, values = rng.integers(0, 9, 500), np.arange(500), rng.integers(0, 12, 500) / 8
+    kept = {tuple(r) for r in zip(*(x.tolist() for x in S._first(query, ids, values, 6, None)))}
+    for q in range(9):
+        mine = sorted(((-v, i) for k, i, v in zip(query, ids, values) if k == q))
+        assert {(q, i, -v) for v, i in mine[:6]} <= kept
+        assert len([1 for k in kept if k[0] == q]) <= 12
